@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voltlake.llm.common import table
 from voltlake.llm.op1_media import media_digest
+from voltlake.llm.op5_toxicity import toxicity
 from voltlake.llm.op10_tokens import count_tokens
 
 
@@ -16,6 +17,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +30,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op5_toxicity": op5_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 
