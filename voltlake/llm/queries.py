@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from voltlake.llm.common import table
 from voltlake.llm.op1_media import media_digest
+from voltlake.llm.op2_lines import BASE, PRIME, dedupe_lines
 from voltlake.llm.op5_toxicity import toxicity
+from voltlake.llm.op6_pii import pii_digest
 from voltlake.llm.op10_tokens import count_tokens
 
 
@@ -17,10 +19,40 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedupe_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
+OP2_SQL = f"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), hashed AS (
+  SELECT *, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM split
+), ended AS (
+  SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR (i >= 3
+    AND ((((h[i - 2] % {PRIME}) * {BASE} + h[i - 1]) % {PRIME}) * {BASE} + h[i]) % {PRIME} % 4 = 0)) AS ends FROM hashed
+), chunks AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(ends) + 1), lambda k: {{'no': k - 1, 'lines': list_slice(lines, CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END, ends[k])}})) AS c FROM ended
+), flat AS (
+  SELECT doc_id, c.no AS no, len(c.lines) AS n, array_to_string(c.lines, chr(10)) AS bytes FROM chunks
+), ranked AS (
+  SELECT *, n >= 2 AND row_number() OVER (PARTITION BY n >= 2, bytes ORDER BY doc_id, no) > 1 AS gone FROM flat
+)
+SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed_lines,
+  count(*) FILTER (gone)::BIGINT AS n_removed_chunks, md5(coalesce(string_agg(bytes, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_md5
+FROM ranked GROUP BY doc_id
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,8 +62,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op2_line_dedup": op2_line_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+}
