@@ -12,6 +12,7 @@ from voltlake.llm.op1_media import media_digest
 from voltlake.llm.op2_lines import BASE, PRIME, dedupe_lines
 from voltlake.llm.op5_toxicity import toxicity
 from voltlake.llm.op6_pii import pii_digest
+from voltlake.llm.op7_jaccard import jaccard_join
 from voltlake.llm.op10_tokens import count_tokens
 
 
@@ -53,6 +54,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
+    "op7_jaccard_join": op7_jaccard_join,
     "op10_token_counts": op10_token_counts,
 }
 
