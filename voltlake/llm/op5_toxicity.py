@@ -188,7 +188,7 @@ def fit_linear(rows: list[set[int]], target: np.ndarray, weight: np.ndarray, n:
     return w, b
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 4_096, max_keys: int = 1_024) -> dict:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 2_048, max_keys: int = 1_024) -> dict:
     """The scorer's parameters: a lexicon of at most ``max_keys`` keys, weights and an intercept.
 
     At most 2 x ``max_fit_rows`` labelled rows' distinct words, and vote pattern
