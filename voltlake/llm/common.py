@@ -46,10 +46,14 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+#: Stands for a null id in join keys.
+NULL_ID = -(2**63) + 1
+
+
 def row_keys(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
     """Two join keys that are never null: the id and a content hash.
 
     Rows that repeat an id with another text stay apart; rows equal in both get
     equal results, so sharing a key is harmless.
     """
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63) + 1).cast("long")), F.xxhash64(text_of(text))
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID).cast("long")), F.xxhash64(text_of(text))

@@ -13,6 +13,7 @@ from voltlake.llm.op2_lines import BASE, PRIME, dedupe_lines
 from voltlake.llm.op5_toxicity import toxicity
 from voltlake.llm.op6_pii import pii_digest
 from voltlake.llm.op7_jaccard import jaccard_join
+from voltlake.llm.op8_suffix import suffix_dedup
 from voltlake.llm.op9_decontam import contaminated
 from voltlake.llm.op10_tokens import count_tokens
 
@@ -59,6 +60,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.size("items").cast("long").alias("n_items"), (F.size("items") > 0).alias("contaminated"), F.transform("items", lambda x: x["item_id"]).alias("item_ids"), F.round(F.array_max(F.transform("items", lambda x: x["coverage"])), 4).alias("coverage"))
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
