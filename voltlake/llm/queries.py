@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from voltlake.llm.common import table
 from voltlake.llm.op1_media import media_digest
 from voltlake.llm.op2_lines import BASE, PRIME, dedupe_lines
+from voltlake.llm.op3_licences import TRIGGER, scan_licences
+from voltlake.llm.op4_mixing import mix
 from voltlake.llm.op5_toxicity import toxicity
 from voltlake.llm.op6_pii import pii_digest
 from voltlake.llm.op7_jaccard import jaccard_join
@@ -48,6 +50,22 @@ FROM ranked GROUP BY doc_id
 """
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/doc_id.txt; a short document that states a licence is its directory's licence file."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt"))))
+    notice = (F.length("text") <= 600) & F.col("text").rlike(TRIGGER)
+    found = scan_licences(docs, "path", notice)
+    return found.select("doc_id", "path", "licence", F.round("cosine", 6).alias("cosine"), "origin", "licence_path")
+
+
+#: Shares of the mixed tokens by domain.
+TARGETS = {"good": 0.9, "junk": 0.09, "toxic": 0.01}
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -79,6 +97,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_line_dedup": op2_line_dedup,
+    "op3_licence_scan": op3_licence_scan,
+    "op4_source_mixing": op4_source_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op7_jaccard_join": op7_jaccard_join,
