@@ -13,7 +13,7 @@ def _items() -> Column:
 
 
 def _open(folded: DataFrame, keys: list[str]) -> DataFrame:
-    return folded.select(*keys, F.explode("kept").alias("k")).select(*keys, "k.start", "k.score")
+    return folded.select(*keys, F.explode("kept").alias("__one")).select(*keys, "__one.start", "__one.score")
 
 
 def merge_nearby(candidates: DataFrame, gap: int, *keys: str) -> DataFrame:
