@@ -108,10 +108,16 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def set_hashes(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of an n-gram set, as two signed numbers."""
+    import xxhash
+
+    raw = s.tobytes()
+    return _signed(xxhash.xxh3_64_intdigest(raw)), _signed(xxhash.xxh64_intdigest(raw))
+
+
 def _sign(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         shingle = Shingler(n)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
@@ -122,9 +128,9 @@ def _sign(n: int, bands: int, rows: int):
                 ids, first, second, size, band = [], [], [], [], []
                 for d, s in zip(part.column("doc_id").to_pylist(), sets, strict=True):
                     ids.append(d)
-                    raw = s.tobytes() if len(s) else b"none" + str(d).encode()
-                    first.append(_signed(xxhash.xxh3_64_intdigest(raw)))
-                    second.append(_signed(xxhash.xxh64_intdigest(raw)))
+                    a, b = set_hashes(s) if len(s) else (d, d)
+                    first.append(a)
+                    second.append(b)
                     size.append(len(s))
                     band.append(None)
                 for i, row in zip(full, found, strict=True):
@@ -186,12 +192,22 @@ def _verify(n: int, threshold: float):
     """Rows sorted by (comp, i, j): one unit at a time. side is 0 for block i, 1 for block j of a unit with i < j."""
 
     def unit(rows: list[tuple]) -> Iterator[tuple]:
-        rows.sort(key=lambda r: (r[1], r[0]))
-        sides = [[r for r in rows if r[1] == side] for side in (0, 1)]
-        names = np.array([r[0] for side in sides for r in side])
-        copies = np.array([r[2] for side in sides for r in side], np.int64)
+        rows.sort(key=lambda r: (r[1], r[0], r[4]))
         shingle = Shingler(n)
-        sets = [[shingle(r[3]) for r in side] for side in sides]
+        sides: list[list[tuple]] = [[], []]
+        sets: list[list[np.ndarray]] = [[], []]
+        seen = set()
+        for row in rows:  # an id that repeats brings each of its texts; the set's own text counts, once
+            if (row[1], row[0], row[4]) in seen:
+                continue
+            got = shingle(row[3])
+            if set_hashes(got)[0] == row[4]:
+                seen.add((row[1], row[0], row[4]))
+                sides[row[1]].append(row)
+                sets[row[1]].append(got)
+        names = np.array([r[0] for side in sides for r in side], np.int64)
+        own = [r[4] for side in sides for r in side]
+        copies = np.array([r[2] for side in sides for r in side], np.int64)
         cut = len(sets[0])
         if not sets[1] and cut < 2:
             return
@@ -206,13 +222,13 @@ def _verify(n: int, threshold: float):
         a, b = np.nonzero(ok)
         roots = forest(len(names), zip(a.tolist(), (b + (cut if sets[1] else 0)).tolist(), strict=True), names)
         for k in np.flatnonzero(texts):
-            yield int(names[k]), int(links[k]), int(texts[k]), int(names[roots[k]])
+            yield int(names[k]), own[k], int(links[k]), int(texts[k]), int(names[roots[k]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
 
         def flush() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["rep", "links", "texts", "root"])
+            got = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=["rep", "s1", "links", "texts", "root"])
             out.clear()
             return got
 
@@ -224,7 +240,7 @@ def _verify(n: int, threshold: float):
                     key, rows = now, []
                     if len(out) > 10_000:
                         yield flush()
-                rows.append((row["rep"], row["side"], row["copies"], row["text"]))
+                rows.append((row["rep"], row["side"], row["copies"], row["text"], row["s1"]))
         out.extend(unit(rows))
         yield flush()
 
@@ -239,28 +255,26 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     sets = signed.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
 
     spread = sets.where("bands IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "h"))
-    buckets = spread.groupBy("band", "h").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high").select("band", "h", "low")
-    candidates = materialise(connected_components(spread.join(buckets, ["band", "h"]).select(F.col("rep").alias("u"), F.col("low").alias("v"))))
+    buckets = spread.groupBy("band", "h").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "h", "low")
+    met = materialise(spread.join(buckets, ["band", "h"]).select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct())
+    linked_ids = connected_components(met)
+    alone = met.select(F.col("u").alias("vertex")).distinct().join(linked_ids.select("vertex"), "vertex", "left_anti")  # an id's own texts met
+    candidates = materialise(linked_ids.unionByName(alone.select("vertex", F.col("vertex").alias("component"))))
 
     sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     members = candidates.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
     reps = signed.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    chosen = members.join(reps, members["vertex"] == reps["rep"]).select("rep", "copies", "blocks", "b", "component")
-    carried = texts.join(chosen, texts["doc_id"] == chosen["rep"]).select("rep", "copies", "blocks", "b", "component", "text")
-    units = carried.select(
-        "rep",
-        "copies",
-        "text",
-        F.col("component").alias("comp"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"), F.when(F.col("b") > o, 1).otherwise(0).alias("side")))).alias("unit"),
-    ).select("rep", "copies", "text", "comp", "unit.i", "unit.j", "unit.side")
+    chosen = members.join(reps, members["vertex"] == reps["rep"]).select("rep", "copies", "blocks", "b", "component", "s1")
+    carried = texts.join(chosen, texts["doc_id"] == chosen["rep"]).select("rep", "copies", "blocks", "b", "component", "s1", "text")
+    unit = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"), F.when(F.col("b") > o, 1).otherwise(0).alias("side")))
+    units = carried.select("rep", "copies", "s1", "text", F.col("component").alias("comp"), F.explode(unit).alias("unit")).select("rep", "copies", "s1", "text", "comp", "unit.i", "unit.j", "unit.side")
     ordered = units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    verified = materialise(ordered.mapInArrow(_verify(n, threshold), "rep long, links long, texts long, root long"))
+    verified = materialise(ordered.mapInArrow(_verify(n, threshold), "rep long, s1 long, links long, texts long, root long"))
 
     groups = connected_components(verified.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    counted = verified.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    linked = counted.join(groups, counted["rep"] == groups["vertex"], "left").select("rep", "links", "texts", "component")
-    known = reps.join(linked, "rep", "left").select("s1", "s2", "copies", "links", "texts", F.coalesce("component", "rep").alias("class_id"), "rep")
+    counted = verified.groupBy("rep", "s1").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
+    classes = groups.withColumnRenamed("vertex", "rep")
+    known = reps.join(counted, ["rep", "s1"], "left").join(classes, "rep", "left").select("s1", "s2", "copies", "links", "texts", F.coalesce("component", "rep").alias("class_id"))
     empty = F.col("size") == 0
     return (
         signed.select("doc_id", "s1", "s2", "size")
