@@ -7,9 +7,10 @@
    document outside the held-out fold; labels outside it are one more voter. The
    votes are counted by pattern: at most 3^K rows, whatever the input.
 3. A generative model with a latent class is fitted to the pattern counts by EM.
-   Its first fit takes voters as independent and gives their accuracies; the
-   conditional mutual information that is left gives their correlations, and the
-   second fit follows the maximum spanning tree of those (one parent a voter).
+   Two first rounds take voters as independent; the conditional mutual
+   information that is left gives their correlations, and the fit goes on along
+   the maximum spanning tree of those (one parent a voter). Accuracies are read
+   from its posteriors.
 4. A linear classifier is trained on the model's posterior labels and scores
    every document.
 
@@ -141,7 +142,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.1
         log = np.log(np.array([[1 - p], [p]])) + sum(np.log(t[j][:, votes[:, parent[j]] if parent[j] >= 0 else 0, votes[:, j]]) for j in order)
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
-    def em(post: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
+    def em(post: np.ndarray, rounds: int) -> tuple[float, list[np.ndarray], np.ndarray]:
         for _ in range(rounds):
             p, t = tables(post)
             new = infer(p, t)
@@ -150,8 +151,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.1
             post = new
         return p, t, post
 
-    p, t, post = em(post)
-    accuracy = [float((1 - p) * t[j][0, 0, 0] + p * t[j][1, 0, 2]) / max(1e-9, float((1 - p) * (t[j][0, 0, 0] + t[j][0, 0, 2]) + p * (t[j][1, 0, 0] + t[j][1, 0, 2]))) for j in range(k)]
+    p, t, post = em(post, 2)  # few rounds: run to the end, an independent model would take a correlated pair for the class
     shared = np.zeros((k, k))
     for i in range(k):
         for j in range(i):
@@ -169,7 +169,9 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.1
         inside.add(j)
         out.remove(j)
         order.append(j)
-    p, t, post = em(post)
+    p, t, post = em(post, rounds)
+    right = (votes == 2) * post[:, None] + (votes == 0) * (1 - post)[:, None]
+    accuracy = ((weight @ right) / np.maximum(weight @ (votes != 1), 1e-9)).tolist()
     return {"prior": p, "tables": t, "parent": parent, "accuracy": accuracy, "correlation": shared, "posterior": {tuple(int(x) for x in row): float(v) for row, v in zip(patterns, post, strict=True)}}
 
 
@@ -252,8 +254,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 2_048,
     return {"keys": keys, "odds": odds, "weights": w.tolist(), "intercept": float(b), "label_model": model}
 
 
-def score_toxicity(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and score, for every row. The model is bounded by ``max_keys``."""
+def score_toxicity(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """``keep`` columns (but for one of the score's name) and the score, for every row. The model is bounded by ``max_keys``."""
+    keep = tuple(c for c in keep if c != name)
     keys, odds, weights, intercept = (model[k] for k in ("keys", "odds", "weights", "intercept"))
     kept = docs.select(*keep)
 
@@ -264,10 +267,10 @@ def score_toxicity(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_i
             for text in batch.column("__text"):
                 z = intercept + sum(weights[i] for i in sorted(lex.found(text.as_py() or "")[0]))
                 scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, name])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{ddl}, score double")
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{ddl}, `{name}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
