@@ -104,8 +104,13 @@ def removed_chunks(keyed: DataFrame, window: int, divisor: int) -> DataFrame:
     return texts.join(firsts, ["h", "bytes"]).where(place != F.col("kept")).groupBy("k1", "k2").agg(F.collect_set("no").alias("removed"))
 
 
-def dedupe_lines(docs: DataFrame, window: int = 3, divisor: int = 4) -> DataFrame:
-    """``docs`` with ``text`` less its repeated chunks, and n_lines, n_removed_lines, n_removed_chunks."""
+def dedupe_lines(docs: DataFrame, window: int = 3, divisor: int = 4, prefix: str = "") -> DataFrame:
+    """``docs`` with ``text`` less its repeated chunks, and n_lines, n_removed_lines, n_removed_chunks, each with the prefix.
+
+    Input columns with the name of one of these are replaced.
+    """
+    added = [f"{prefix}{c}" for c in ("n_lines", "n_removed_lines", "n_removed_chunks")]
+    docs = docs.drop(*added)
     first, second = row_keys()
     keyed = docs.withColumn("__k1", first).withColumn("__k2", second)
     lost = removed_chunks(keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), text_of().alias("text")), window, divisor)
@@ -123,8 +128,8 @@ def dedupe_lines(docs: DataFrame, window: int = 3, divisor: int = 4) -> DataFram
     gone = F.col("__removed").isNotNull()
     out = joined.select(
         *(F.when(gone, F.col("__kept.text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        n_lines.alias("n_lines"),
-        F.when(gone, n_lines - F.col("__kept.n")).otherwise(F.lit(0)).cast("long").alias("n_removed_lines"),
-        F.when(gone, F.size("__removed")).otherwise(0).cast("long").alias("n_removed_chunks"),
+        n_lines.alias(added[0]),
+        F.when(gone, n_lines - F.col("__kept.n")).otherwise(F.lit(0)).cast("long").alias(added[1]),
+        F.when(gone, F.size("__removed")).otherwise(0).cast("long").alias(added[2]),
     )
     return out

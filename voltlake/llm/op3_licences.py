@@ -13,7 +13,7 @@ follows directories, not files.
 
 Edge cases: null texts and paths count as empty; a file without passage or
 licensed ancestor has a null licence; ties go to the first template name and the
-first path; repeated rows get equal results; extra columns pass through; an empty
+first path; repeated rows get equal results; extra columns pass through, those named as an output are replaced; an empty
 table gives an empty result.
 """
 
@@ -64,6 +64,7 @@ def directory(path: Column) -> Column:
 
 def scan_licences(files: DataFrame, path: str = "path", is_licence_file: Column | None = None, threshold: float = 0.5) -> DataFrame:
     """``files`` with licence, cosine, origin ('own', 'inherited' or null) and licence_path (the licence file inherited from)."""
+    files = files.drop("licence", "cosine", "origin", "licence_path")
     spark = files.sparkSession
     named = F.coalesce(F.col(path), F.lit(""))
     special = F.coalesce(is_licence_file if is_licence_file is not None else named.rlike(FILE_NAME), F.lit(False))
@@ -91,19 +92,19 @@ def scan_licences(files: DataFrame, path: str = "path", is_licence_file: Column
     cosines = dots.join(lengths, ["p", "special", "th", "no"]).select("p", "special", "th", "name", F.round(F.col("dot") / (F.col("len") * F.col("vlen")), 9).alias("cosine")).where(F.col("cosine") >= threshold)
     own = cosines.groupBy("p", "special", "th").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "name")).alias("best")).select("p", "special", "th", F.col("best.name").alias("name"), (-F.col("best.c")).alias("cosine"))
 
-    licensed = own.where("special").groupBy(directory(F.col("p")).alias("dir")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "p", "name")).alias("x")).select("dir", F.col("x.name").alias("dir_name"), (-F.col("x.c")).alias("dir_cosine"), F.col("x.p").alias("dir_path"))
+    licensed = own.where("special").groupBy(directory(F.col("p")).alias("dir")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "p", "name")).alias("x")).select("dir", F.col("x.name").alias("__dir_name"), (-F.col("x.c")).alias("__dir_cosine"), F.col("x.p").alias("__dir_path"))
     dirs = keyed.select(directory(F.col("p")).alias("d")).distinct()
     parts = F.split("d", "/")
     chain = dirs.select("d", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir")))).alias("a")).select("d", "a.depth", "a.dir")
-    nearest = chain.join(licensed, "dir").groupBy("d").agg(F.max(F.struct("depth", "dir_name", "dir_cosine", "dir_path")).alias("x")).select("d", "x.dir_name", "x.dir_cosine", "x.dir_path")
+    nearest = chain.join(licensed, "dir").groupBy("d").agg(F.max(F.struct("depth", "__dir_name", "__dir_cosine", "__dir_path")).alias("x")).select("d", "x.__dir_name", "x.__dir_cosine", "x.__dir_path")
 
     left = files.withColumn("__p", named).withColumn("__s", special).withColumn("__th", F.xxhash64(text_of())).withColumn("__d", directory(named))
     mine = own.select(F.col("p").alias("__p"), F.col("special").alias("__s"), F.col("th").alias("__th"), F.col("name").alias("__name"), F.col("cosine").alias("__cosine"))
     joined = left.join(mine, ["__p", "__s", "__th"], "left").join(nearest.withColumnRenamed("d", "__d"), "__d", "left")
     return joined.select(
         *(F.col(c) for c in files.columns),
-        F.coalesce("__name", "dir_name").alias("licence"),
-        F.coalesce("__cosine", "dir_cosine").alias("cosine"),
-        F.when(F.col("__name").isNotNull(), "own").when(F.col("dir_name").isNotNull(), "inherited").alias("origin"),
-        F.when(F.col("__name").isNull(), F.col("dir_path")).alias("licence_path"),
+        F.coalesce("__name", "__dir_name").alias("licence"),
+        F.coalesce("__cosine", "__dir_cosine").alias("cosine"),
+        F.when(F.col("__name").isNotNull(), "own").when(F.col("__dir_name").isNotNull(), "inherited").alias("origin"),
+        F.when(F.col("__name").isNull(), F.col("__dir_path")).alias("licence_path"),
     )

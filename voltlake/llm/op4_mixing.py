@@ -99,7 +99,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 1_024) -
 
 
 def posteriors(docs: DataFrame, model: dict, grid: float = 0.01, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, n_tokens (words), cell (posteriors in units of ``grid``, adding up to 1)."""
+    """``keep`` columns, n_tokens (words), __cell (posteriors in units of ``grid``, adding up to 1)."""
     w, b, units = model["w"].astype(np.float32), model["b"], round(1 / grid)
     kept = docs.select(*keep)
 
@@ -117,10 +117,10 @@ def posteriors(docs: DataFrame, model: dict, grid: float = 0.01, keep: tuple[str
                     cell[k] += 1
                 cells.append(cell.astype(np.int32))
                 tokens.append(n)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(tokens, pa.int64()), pa.array(cells, pa.list_(pa.int32()))], names=[*keep, "n_tokens", "cell"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(tokens, pa.int64()), pa.array(cells, pa.list_(pa.int32()))], names=[*keep, "n_tokens", "__cell"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return docs.select(*keep, text_of().alias("__text")).mapInArrow(run, f"{ddl}, n_tokens long, cell array<int>")
+    return docs.select(*keep, text_of().alias("__text")).mapInArrow(run, f"{ddl}, n_tokens long, __cell array<int>")
 
 
 def fold(p: np.ndarray, steps: list[np.ndarray], eta: float, ridge: float, most: float) -> np.ndarray:
@@ -167,15 +167,16 @@ def fit_rates(cells: DataFrame, targets: dict[str, float], total: float | None =
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = ("doc_id",), grid: float = 0.01, **options) -> DataFrame:
-    """``keep`` columns, n_tokens, p_<domain> and rate for every row of ``docs``."""
+    """``keep`` columns (but for those named as an output), n_tokens, p_<domain> and rate for every row of ``docs``."""
+    keep = tuple(c for c in keep if c not in ("n_tokens", "rate", "__cell", *(f"p_{d}" for d in DOMAINS)))
     scored = materialise(posteriors(docs, fit_domains(docs, labels), grid, keep))
-    cells = materialise(scored.groupBy("cell").agg(F.sum("n_tokens").alias("tokens")).coalesce(8))
+    cells = materialise(scored.groupBy(F.col("__cell").alias("cell")).agg(F.sum("n_tokens").alias("tokens")).coalesce(8))
     fitted = fit_rates(cells, targets, grid=grid, **options)
     steps, eta, ridge, most = (fitted[x] for x in ("steps", "eta", "ridge", "most"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.array(batch.column("cell").to_pylist(), float).reshape(-1, len(DOMAINS)) * grid
+            p = np.array(batch.column("__cell").to_pylist(), float).reshape(-1, len(DOMAINS)) * grid
             cols = [*(batch.column(c) for c in (*keep, "n_tokens")), *(pa.array(p[:, k]) for k in range(len(DOMAINS))), pa.array(fold(p, steps, eta, ridge, most))]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"])
 
