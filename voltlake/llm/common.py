@@ -46,6 +46,17 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def join_key(key: str):
+    """Key for joining rows with an aggregate grouped by ``key``.
+
+    The aggregate is already dealt by its grouping key, so a join on that key
+    would reuse it, and a stage below an aggregate can't be split. An expression
+    of the key makes the planner deal both sides for the join, where adaptive
+    execution splits a hot key.
+    """
+    return F.col(key).bitwiseXOR(F.lit(0x5BD1E995))
+
+
 #: Stands for a null id in join keys.
 NULL_ID = -(2**63) + 1
 

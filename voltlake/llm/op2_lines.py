@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import row_keys, text_of
+from voltlake.llm.common import join_key, row_keys, text_of
 
 BASE, PRIME = 1_009, 2_147_483_647
 
@@ -81,7 +81,7 @@ def removed_chunks(keyed: DataFrame, window: int, divisor: int) -> DataFrame:
         ).alias("chunk"),
     ).select("k1", "k2", "chunk.no", "chunk.h")
     repeated = hashed.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    suspects = hashed.join(repeated, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("no").alias("nos"))
+    suspects = hashed.withColumn("j", join_key("h")).join(repeated.select(join_key("h").alias("j")), "j", "left_semi").groupBy("k1", "k2").agg(F.collect_set("no").alias("nos"))
     texts = (
         keyed.join(suspects, ["k1", "k2"])
         .select(
@@ -100,8 +100,8 @@ def removed_chunks(keyed: DataFrame, window: int, divisor: int) -> DataFrame:
         .withColumn("h", F.xxhash64("bytes"))
     )
     place = F.struct("k1", "k2", "no")
-    firsts = texts.groupBy("h", "bytes").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept != last").select("h", "bytes", "kept")
-    return texts.join(firsts, ["h", "bytes"]).where(place != F.col("kept")).groupBy("k1", "k2").agg(F.collect_set("no").alias("removed"))
+    firsts = texts.groupBy("h", "bytes").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept != last").select(join_key("h").alias("j"), "bytes", "kept")
+    return texts.withColumn("j", join_key("h")).join(firsts, ["j", "bytes"]).where(place != F.col("kept")).groupBy("k1", "k2").agg(F.collect_set("no").alias("removed"))
 
 
 def dedupe_lines(docs: DataFrame, window: int = 3, divisor: int = 4, prefix: str = "") -> DataFrame:
