@@ -9,17 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import drop_materialised, materialise
+from voltlake.llm.common import drop_materialised, join_key, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.where("v < u")
     lowest = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    near, by = near.withColumn("j", join_key("u")), lowest.select(join_key("u").alias("j"), "m")
     if large:
-        linked = near.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        linked = near.where("v > u").join(by, "j").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        linked = near.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
+        linked = near.join(by, "j").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
     return linked.where("u != v").distinct()
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import materialise, text_of
+from voltlake.llm.common import join_key, materialise, text_of
 from voltlake.llm.components import connected_components
 
 MEMO_WORDS = 500_000
@@ -255,8 +255,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     sets = signed.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
 
     spread = sets.where("bands IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "h"))
-    buckets = spread.groupBy("band", "h").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "h", "low")
-    met = materialise(spread.join(buckets, ["band", "h"]).select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct())
+    buckets = spread.groupBy("band", "h").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", join_key("h").alias("j"), "low")
+    met = materialise(spread.withColumn("j", join_key("h")).join(buckets, ["band", "j"]).select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct())
     linked_ids = connected_components(met)
     alone = met.select(F.col("u").alias("vertex")).distinct().join(linked_ids.select("vertex"), "vertex", "left_anti")  # an id's own texts met
     candidates = materialise(linked_ids.unionByName(alone.select("vertex", F.col("vertex").alias("component"))))
