@@ -6,9 +6,10 @@ so two equal strings share an anchor at the same offset; only suffixes at
 anchors are sorted.
 
 1. Anchors of every document carry the hash of their window and of their whole
-   context: the bytes that any string through the anchor can hold. They are
-   dealt by window hash. Those whose context occurs twice are covered whole;
-   equal contexts are thereby collapsed before any text is exchanged.
+   context: the bytes that any string through the anchor can hold. Counts by hash
+   are pre-aggregated, and joins with them can split a hot hash. Anchors whose
+   context occurs twice are covered whole; equal contexts are thereby collapsed
+   before any text is exchanged.
 2. Where an anchor's window occurs with several contexts, one suffix for each
    distinct context is sent: every task writes front-coded sorted runs for each
    bucket of window hashes.
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import NULL_ID, materialise, row_keys, text_of
+from voltlake.llm.common import NULL_ID, join_key, materialise, row_keys, text_of
 from voltlake.llm.op7_jaccard import _mix, _signed
 
 ANCHOR, SEGMENT, FLUSH = 64, 1 << 20, 48 << 20
@@ -366,30 +367,28 @@ def suffix_dedup(docs: DataFrame, length: int = 200, max_group: int = 10_000, pe
     first, second = row_keys()
     keyed = docs.select(first.alias("k1"), second.alias("k2"), text_of().alias("text"))
     found = keyed.mapInArrow(_find(length), "k1 long, k2 long, pos long, h long, c long")
-    repeated = materialise(
-        found.withColumn("n_h", F.expr("count(*) OVER (PARTITION BY h)"))
-        .where("n_h > 1")
-        .withColumn("n_c", F.expr("count(*) OVER (PARTITION BY h, c)"))
-        .withColumn("nth", F.expr("row_number() OVER (PARTITION BY h, c ORDER BY k1, k2, pos)"))
-        .withColumn("contexts", F.expr("sum(IF(nth = 1, 1, 0)) OVER (PARTITION BY h)"))
-        .select("k1", "k2", "pos", "h", "n_c", "nth", "contexts")
-    )
-    sorted_ = F.col("contexts").between(2, max_group) & (F.col("nth") == 1)
-    large = (F.col("contexts") > max_group) & (F.col("nth") == 1)
-    n_sorted, n_large = repeated.agg(F.count_if(sorted_), F.count_if(large)).first()
+    shared = found.groupBy("h").agg(F.count("*").alias("n_h")).where("n_h > 1").select(join_key("h").alias("j"))
+    suspects = materialise(found.withColumn("j", join_key("h")).join(shared, "j", "left_semi").drop("j"))
+    place = F.struct("k1", "k2", "pos")
+    contexts = materialise(suspects.groupBy("h", "c").agg(F.count("*").alias("n_c"), F.min(place).alias("first")))
+    many = contexts.groupBy("h").agg(F.count("*").alias("contexts")).select(join_key("h").alias("j"), "contexts")
+    firsts = contexts.withColumn("j", join_key("h")).join(many, "j").select("first.k1", "first.k2", "first.pos", "h", "n_c", "contexts").where("contexts > 1")
+    sorted_, large = F.col("contexts") <= max_group, F.col("contexts") > max_group
+    n_sorted, n_large = firsts.agg(F.count_if(sorted_), F.count_if(large)).first()
 
     def with_wanted(which):
-        wanted = repeated.where(which).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "h", "n_c")).alias("wanted"))
+        wanted = firsts.where(which).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "h", "n_c")).alias("wanted"))
         return keyed.join(wanted.hint("merge"), ["k1", "k2"])
 
-    whole = repeated.where("n_c > 1").select("k1", "k2", (F.col("pos") - (length - ANCHOR)).alias("a"), (F.col("pos") + length).alias("b"))
+    twice = contexts.where("n_c > 1").select("h", "c")
+    whole = suspects.join(twice, ["h", "c"], "left_semi").select("k1", "k2", (F.col("pos") - (length - ANCHOR)).alias("a"), (F.col("pos") + length).alias("b"))
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_sorted // per_task))
     runs = with_wanted(sorted_).mapInArrow(_runs(length, 4 * partitions), "bucket long, run binary")
     cuts = whole.unionByName(runs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_combine(length), "k1 long, k2 long, a long, b long"))
     if n_large:
         windows = with_wanted(large).mapInArrow(_windows(length), "w1 long, w2 long, k1 long, k2 long, s long, n long")
-        twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-        cuts = cuts.unionByName(windows.join(twice, ["w1", "w2"], "left_semi").select("k1", "k2", F.col("s").alias("a"), (F.col("s") + length).alias("b")))
+        again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select(join_key("w1").alias("j"), "w2")
+        cuts = cuts.unionByName(windows.withColumn("j", join_key("w1")).join(again, ["j", "w2"], "left_semi").select("k1", "k2", F.col("s").alias("a"), (F.col("s") + length).alias("b")))
     per_doc = cuts.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
     return (
         keyed.join(per_doc.hint("merge"), ["k1", "k2"], "left")
