@@ -83,7 +83,8 @@ def scan_licences(files: DataFrame, path: str = "path", is_licence_file: Column
     n = passages.select(F.lit(1).alias("one")).unionByName(spark.createDataFrame([(1,)] * len(rows), "one int")).agg(F.count("*").alias("n"))
     idf = seen.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     weigh = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    vectors = counted.join(idf, "term").select("p", "special", "th", "no", "term", weigh.alias("w"))
+    keyed_idf = idf.select(F.xxhash64("term").alias("j"), F.col("term").alias("__term"), "idf")  # another key than the grouping's, so that a frequent term can be split
+    vectors = counted.withColumn("j", F.xxhash64("term")).join(keyed_idf, "j").where("term = __term").select("p", "special", "th", "no", "term", weigh.alias("w"))
     lengths = vectors.groupBy("p", "special", "th", "no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     models = template.join(idf, "term").select("name", "variant", "term", weigh.alias("v"))
     model_len = models.groupBy("name", "variant").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("vlen"))
