@@ -186,12 +186,14 @@ def test_projected_steps_match_a_direct_solver(spark):
     cells = spark.createDataFrame([([int(round(x * 100)) for x in row], int(t)) for row, t in zip(p, tokens)], "cell array<int>, tokens long")
     f = mixing.fit_rates(cells, {"good": 0.5, "junk": 0.3, "toxic": 0.2}, rounds=300)
     r = mixing.fold(p, f["steps"], f["eta"], f["ridge"], f["most"])
-    n, q = tokens.sum(), (tokens @ p) / tokens.sum()
-    loss = lambda r: ((((r * tokens) @ p - f["wanted"]) / n) ** 2 / q).sum() + 1e-3 * (tokens / n * (r - 1) ** 2).sum()
+    n = tokens.sum()
+    m = np.linalg.inv((p * tokens[:, None]).T @ p / n + 1e-6 * np.eye(3))
+    gap = lambda r: ((r * tokens) @ p - f["wanted"]) / n
+    loss = lambda r: gap(r) @ m @ gap(r) + 1e-3 * (tokens / n * (r - 1) ** 2).sum()
     best = np.ones(30)
     for _ in range(20000):
-        best = np.clip(best - 0.5 * (p @ ((((best * tokens) @ p) - f["wanted"]) / n / q) + 1e-3 * (best - 1)), 0, 8)
-    assert loss(r) <= loss(best) + 1e-6
+        best = np.clip(best - 0.5 * (p @ (m @ gap(best)) + 1e-3 * (best - 1)), 0, 8)
+    assert loss(r) <= loss(best) + 1e-6 and len(f["steps"]) < 60
 
 
 def test_mixing_edges(docs, empty, spark):

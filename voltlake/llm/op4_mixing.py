@@ -6,8 +6,9 @@
 2. Documents of equal posteriors have equal rates, so tokens are summed by
    posterior before anything else moves.
 3. Projected gradient steps fit rates r >= 0 to
-   sum_k ((sum_d r_d t_d p_dk - T_k) / N)^2 / q_k + ridge * sum_d t_d / N * (r_d - 1)^2,
-   where q_k is the domain's present share. Each step is one distributed sum of
+   e' M^-1 e + ridge * sum_d t_d / N * (r_d - 1)^2, e = (sum_d r_d t_d p_d - T) / N,
+   where M = sum_d t_d p_d p_d' / N scales each direction by what documents can
+   move in it, so that few steps are needed. Each step is one distributed sum of
    a table of posteriors; a rate is refolded from the residuals so far, so no
    state is kept on executors and a lost one costs a recomputation only.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from voltlake.llm.common import materialise, text_of
 
 DOMAINS = ("good", "junk", "toxic")
-BUCKETS = 2_048
+BUCKETS = 1 << 15
 MEMO_WORDS = 400_000
 
 
@@ -59,19 +60,23 @@ class Features:
         return at, value / max(1e-12, np.linalg.norm(value)), len(words)
 
 
-def fit_softmax(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, rounds: int = 200, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    x = np.zeros((len(rows), BUCKETS + 256), np.float32)
-    for i, (at, value) in enumerate(rows):
-        x[i, at] = value
+def fit_softmax(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, rounds: int = 300, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features x classes) and intercepts, on features scaled by their inverse document frequency in the rows."""
+    at = np.concatenate([r[0] for r in rows])
+    of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    n = BUCKETS + 256
+    idf = np.log((len(rows) + 1) / (np.bincount(at, minlength=n) + 1)) + 0.2
+    value = np.concatenate([r[1] for r in rows]) * idf[at]
     one = np.eye(k)[y]
-    w, b, vw, vb = np.zeros((x.shape[1], k)), np.zeros(k), 0.0, 0.0
+    w, b, vw, vb = np.zeros((n, k)), np.zeros(k), 0.0, 0.0
     for _ in range(rounds):
-        z = x @ w + b
+        z = np.stack([np.bincount(of, value * w[at, c], len(rows)) for c in range(k)], 1) + b
         p = np.exp(z - z.max(1, keepdims=True))
         g = (p / p.sum(1, keepdims=True) - one) / len(rows)
-        vw, vb = 0.9 * vw - 8.0 * (x.T @ g + l2 * w), 0.9 * vb - 2.0 * g.sum(0)
+        vw = 0.9 * vw - 8.0 * (np.stack([np.bincount(at, value * g[of, c], n) for c in range(k)], 1) + l2 * w)
+        vb = 0.9 * vb - 2.0 * g.sum(0)
         w, b = w + vw, b + vb
-    return w, b
+    return w * idf[:, None], b
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 1_024) -> dict:
@@ -124,14 +129,23 @@ def posteriors(docs: DataFrame, model: dict, grid: float = 0.01, keep: tuple[str
 
 
 def fold(p: np.ndarray, steps: list[np.ndarray], eta: float, ridge: float, most: float) -> np.ndarray:
-    """Rates after the projected steps whose scaled residuals are given, starting from 1."""
-    r = np.ones(len(p))
-    for e in steps:
-        r = np.clip(r - eta * (p @ e + ridge * (r - 1)), 0.0, most)
-    return r
+    """Rates after the projected steps whose scaled residuals are given, starting from 1.
 
+    Residuals are those at an extrapolated point (Nesterov's momentum), which is
+    refolded along with the rates.
+    """
+    return _folded(p, steps, eta, ridge, most)[0]
 
-def fit_rates(cells: DataFrame, targets: dict[str, float], total: float | None = None, ridge: float = 1e-3, most: float = 8.0, rounds: int = 80, tolerance: float = 1e-5, grid: float = 0.01) -> dict:
+
+def _folded(p: np.ndarray, steps: list[np.ndarray], eta: float, ridge: float, most: float) -> tuple[np.ndarray, np.ndarray]:
+    r = ahead = np.ones(len(p))
+    for k, e in enumerate(steps):
+        new = np.clip(ahead - eta * (p @ e + ridge * (ahead - 1)), 0.0, most)
+        ahead, r = new + k / (k + 3) * (new - r), new
+    return r, ahead
+
+
+def fit_rates(cells: DataFrame, targets: dict[str, float], total: float | None = None, ridge: float = 1e-3, most: float = 8.0, rounds: int = 80, tolerance: float = 1e-4, grid: float = 0.01) -> dict:
     """Residual history of the projected gradient for ``cells`` (cell, tokens); shares of domains that can't be reached are left out."""
     k = len(DOMAINS)
 
@@ -139,13 +153,20 @@ def fit_rates(cells: DataFrame, targets: dict[str, float], total: float | None =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 p = np.array(batch.column("cell").to_pylist(), float).reshape(-1, k) * grid
-                mass = fold(p, steps, eta, ridge, most) * np.array(batch.column("tokens").to_pylist(), float)
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (mass @ p).tolist()], names=[f"s{i}" for i in range(k)])
+                tokens = np.array(batch.column("tokens").to_pylist(), float)
+                sums = [(r * tokens) @ p for r in _folded(p, steps, eta, ridge, most)]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in np.concatenate(sums).tolist()], names=[f"s{i}" for i in range(2 * k)])
 
-        got = cells.select("cell", "tokens").mapInArrow(run, ", ".join(f"s{i} double" for i in range(k))).agg(*(F.sum(f"s{i}") for i in range(k))).first()
-        return np.array([x or 0.0 for x in got])
+        got = cells.select("cell", "tokens").mapInArrow(run, ", ".join(f"s{i} double" for i in range(2 * k))).agg(*(F.sum(f"s{i}") for i in range(2 * k))).first()
+        return np.array([x or 0.0 for x in got]).reshape(2, k)
 
-    present = summed([], 1.0)
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.array(batch.column("cell").to_pylist(), float).reshape(-1, k) * grid
+            m = (p * np.array(batch.column("tokens").to_pylist(), float)[:, None]).T @ p
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in m.ravel().tolist()], names=[f"m{i}" for i in range(k * k)])
+
+    present = summed([], 1.0)[0]
     tokens = present.sum()
     if not tokens:
         return {"steps": [], "eta": 1.0, "ridge": ridge, "most": most, "reached": present, "wanted": present}
@@ -154,15 +175,19 @@ def fit_rates(cells: DataFrame, targets: dict[str, float], total: float | None =
     live = present > 1e-6 * tokens
     want = np.where(live, want, 0)
     want = want / max(1e-12, want.sum()) * total
-    scale, eta = np.where(live, tokens / np.maximum(present, 1e-9), 0.0), 0.9
+    found = cells.select("cell", "tokens").mapInArrow(moments, ", ".join(f"m{i} double" for i in range(k * k))).agg(*(F.sum(f"m{i}") for i in range(k * k))).first()
+    scale, eta = np.linalg.inv(np.array(found, float).reshape(k, k) / tokens + 1e-6 * np.eye(k)), 0.9
     steps: list[np.ndarray] = []
-    reached = present
+    reached, ahead = present, present
     for _ in range(rounds):
         error = (reached - want) / tokens
-        if np.abs(error).max() < tolerance or (len(steps) > 1 and np.abs(steps[-1] - error * scale).max() < tolerance):
+        if np.abs(error).max() < tolerance:
+            break
+        steps.append(scale @ ((ahead - want) / tokens))
+        before = reached
+        reached, ahead = summed(steps, eta)
+        if len(steps) > 3 and np.abs(reached - before).max() < tolerance * tokens:
             break
-        steps.append(error * scale)
-        reached = summed(steps, eta)
     return {"steps": steps, "eta": eta, "ridge": ridge, "most": most, "reached": reached, "wanted": want}
 
 
