@@ -247,7 +247,7 @@ def _verify(n: int, threshold: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, max_hashes: int = 128, block: int = 1_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, max_hashes: int = 128, block: int = 256) -> DataFrame:
     """doc_id, class_id (least id of its linked group), n_links (other documents at or above the threshold), n_linked_texts (other n-gram sets)."""
     bands, rows = bands_and_rows(threshold, recall, max_hashes)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id IS NOT NULL")
@@ -261,7 +261,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     alone = met.select(F.col("u").alias("vertex")).distinct().join(linked_ids.select("vertex"), "vertex", "left_anti")  # an id's own texts met
     candidates = materialise(linked_ids.unionByName(alone.select("vertex", F.col("vertex").alias("component"))))
 
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = candidates.groupBy("component").agg(F.ceil(F.least(F.count("*") / block, F.sqrt(F.count("*").cast("double")))).cast("int").alias("blocks"))
     members = candidates.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
     reps = signed.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     chosen = members.join(reps, members["vertex"] == reps["rep"]).select("rep", "copies", "blocks", "b", "component", "s1")
