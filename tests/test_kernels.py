@@ -27,6 +27,15 @@ def test_band_pass_keeps_the_band_and_removes_the_rest():
     assert np.abs((z - sine(10, 250, 2500) - 30)[mid]).max() < 1.5
 
 
+def test_blockwise_recursion_equals_the_plain_one():
+    b, a = dsp.biquad("high", 1.0, 250, 0.7)
+    x, y, s1, s2 = noise((700, 3)), np.zeros((700, 3)), 0.0, 0.0
+    for n, v in enumerate(x):
+        y[n] = b[0] * v + s1
+        s1, s2 = b[1] * v - a[1] * y[n] + s2, b[2] * v - a[2] * y[n]
+    assert np.abs(dsp._recursive(b, a, x) - y).max() < 1e-9
+
+
 def test_band_pass_validates():
     for options in ({"low": 200.0}, {"high": 50.0, "low": 10.0}):
         with pytest.raises(ValueError):
