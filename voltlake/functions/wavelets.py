@@ -7,6 +7,12 @@ import numpy as np
 #: Scaling filters of public wavelet families.
 SCALING = {
     "db4": (0.23037781330885523, 0.7148465705525415, 0.6308807679295904, -0.02798376941698385, -0.18703481171888114, 0.030841381835986965, 0.032883011666982945, -0.010597401784997278),
+    "coif4": (
+        -1.7849850030882614e-06, -3.2596802368833675e-06, 3.1229875865345646e-05, 6.233903446100713e-05, -0.00025997455248771324, -0.0005890207562443383,
+        0.0012665619292980445, 0.003751436157278457, -0.00565828668661072, -0.015211731527946259, 0.025082261844864097, 0.03933442712333749,
+        -0.09622044203398833, -0.06662747426342504, 0.4343860564914685, 0.7822389309206135, 0.41530840703043026, -0.05607731331675481,
+        -0.08126669968087875, 0.026682300156053072, 0.016068943964776348, -0.0073461663276420935, -0.0016294920126017326, 0.0008923136685823146,
+    ),
     "sym4": (0.032223100604042702, -0.012603967262037833, -0.099219543576847216, 0.29785779560527736, 0.80373875180591614, 0.49761866763201545, -0.02963552764599851, -0.075765714789273325),
 }
 

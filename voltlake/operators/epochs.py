@@ -142,3 +142,10 @@ def reduction_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def centre_topography(average: DataFrame, width: int) -> DataFrame:
     return average.where(F.col("rel") == width // 2).select("category", "channel_index", "value")
+
+
+def snr_for_averaged(average: DataFrame, pre: int) -> DataFrame:
+    """Measures that an averaged category allows: its trial count, root and baseline noise and SNR."""
+    base, resp = F.col("rel") < pre, F.col("rel") >= pre
+    m = average.groupBy("category").agg(F.max("n_trials").cast("long").alias("trial_count"), F.sqrt(F.avg(F.when(base, F.col("value") ** 2))).alias("baseline_noise"), F.max(F.when(resp, F.abs("value"))).alias("peak"))
+    return m.select("category", "trial_count", F.sqrt("trial_count").alias("root_n"), "baseline_noise", F.when(F.col("baseline_noise") > 1e-12, F.col("peak") / F.col("baseline_noise")).alias("baseline_snr"))

@@ -186,3 +186,9 @@ def grade_counts(health: DataFrame) -> DataFrame:
 def interpolated_health(health: DataFrame, weights: DataFrame) -> DataFrame:
     """Mean score of the channels that contribute to an interpolated one."""
     return weights.where("weight != 0").join(health.select("channel_index", "score"), "channel_index").groupBy("target").agg(F.avg("score").alias("score"))
+
+
+def segment_summary(decisions: DataFrame) -> DataFrame:
+    """Counts and samples of all, kept and rejected segments, and the rejected ones by grade."""
+    n = F.col("end_sample") - F.col("start_sample") + 1
+    return decisions.agg(F.count("*").alias("segments"), F.count_if("kept").alias("kept"), F.sum(n).alias("samples"), F.coalesce(F.sum(F.when(F.col("kept"), n)), F.lit(0)).alias("kept_samples"), F.count_if(~F.col("kept") & (F.col("grade") == "poor")).alias("poor"), F.coalesce(F.sum("overlap_samples"), F.lit(0)).alias("overlap_samples"))

@@ -110,3 +110,12 @@ def interpolated_channels(spark, d):
 def replayed_script(spark, d):
     steps = Pipeline().add("filter", highPass=1, lowPass=40).add("epoch", replayable=False).add("averageReference", bad="3")
     return to_samples(Pipeline.from_xml(steps.to_xml()).run(traces(spark, d), RATE), "recording_id", "channel_index")
+
+
+@query()
+def resting_analysis(spark, d):
+    from voltlake.plans.registry import n_samples
+    from voltlake.plans.resting import resting_analysis as analyse
+
+    kernels.ship(spark)
+    return analyse(signal(spark, d).where("channel_index < 8"), RATE, n_samples(spark, d), 8, 0.5)["rows"]

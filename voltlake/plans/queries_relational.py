@@ -381,3 +381,60 @@ def dense_markers(spark, d):
 def measurement_error(spark, d):
     return epochs.measurement_error(trials(spark, d), 10)
 
+
+
+@query(f"WITH {_TRIALS}, a AS (SELECT category, ch, rel, avg(v) AS v FROM x GROUP BY ALL), n AS (SELECT category, count(DISTINCT trial) AS k FROM x GROUP BY 1) SELECT category, any_value(k) AS trial_count, round(sqrt(any_value(k)), 6) AS root_n, round(sqrt(avg(v*v) FILTER (rel < 10)), 6) AS baseline_noise, round(max(abs(v)) FILTER (rel >= 10) / sqrt(avg(v*v) FILTER (rel < 10)), 5) AS baseline_snr FROM a JOIN n USING (category) GROUP BY category".replace("n AS (SELECT category, count", "nn AS (SELECT category, count").replace("JOIN n USING", "JOIN nn USING"))
+def averaged_snr(spark, d):
+    m = epochs.snr_for_averaged(epochs.average_trials(trials(spark, d)), 10)
+    return m.select("category", "trial_count", r("root_n").alias("root_n"), r("baseline_noise").alias("baseline_noise"), r("baseline_snr", 5).alias("baseline_snr"))
+
+
+@query(f"WITH {SIGNAL}, p AS (SELECT max(abs(v)) AS pb, max(abs(v * 0.25)) AS pa, sqrt(avg(v*v)) AS rb, sqrt(avg(v*v*0.0625)) AS ra FROM s WHERE ch < 4) SELECT round(pb, 6) AS peak_before, round(pa, 6) AS peak_after, round(rb, 6) AS rms_before, round(ra, 6) AS rms_after, round(1 - pa / pb, 6) AS peak_reduction, round(1 - ra / rb, 6) AS rms_reduction FROM p")
+def reduction_metrics(spark, d):
+    before = signal(spark, d).where("channel_index < 4").withColumnRenamed("sample_index", "rel")
+    m = epochs.reduction_metrics(before, before.withColumn("value", F.col("value") * 0.25))
+    return m.select(*(r(c).alias(c) for c in m.columns))
+
+
+@query(f"WITH {_TRIALS} SELECT category, ch::BIGINT AS channel_index, round(avg(v), 6) + 0.0 AS value FROM x WHERE rel = 10 GROUP BY ALL")
+def centre_topography(spark, d):
+    return epochs.centre_topography(epochs.average_trials(trials(spark, d)), 20).select("category", F.col("channel_index").cast("long").alias("channel_index"), r("value").alias("value"))
+
+
+@query("WITH h AS (SELECT l_linenumber AS ch, avg(l_discount) * 10 AS s FROM lineitem GROUP BY 1) SELECT 99 AS target, round(avg(s), 6) AS score FROM h WHERE ch <= 3")
+def interpolated_health(spark, d):
+    h = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("channel_index")).agg((F.avg("l_discount") * 10).alias("score"))
+    w = h.select(F.lit(99).alias("target"), "channel_index", F.when(F.col("channel_index") <= 3, 0.4).otherwise(0.0).alias("weight"))
+    return health.interpolated_health(h, w).select("target", r("score").alias("score"))
+
+
+@query("SELECT count(*) AS candidates, count(*) FILTER (value >= 200) AS matches, max(value) AS best, round(quantile_cont(value, 0.5), 6) AS median FROM events")
+def score_summary(spark, d):
+    return detect.score_summary(table(spark, d, "events").select(F.col("value").alias("score")), 200.0).withColumn("median", r("median"))
+
+
+@query("WITH p AS (SELECT l_orderkey AS volume, l_orderkey + l_linenumber - 4 AS candidate, max(1 - l_discount * 2) AS r FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY volume ORDER BY abs(r) DESC, candidate) AS nth FROM p WHERE abs(r) >= 0.9 AND abs(candidate - volume) <= 3 AND candidate <> volume) SELECT volume, candidate, nth FROM k WHERE nth <= 2")
+def correlated_donors(spark, d):
+    p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("volume"), (F.col("l_orderkey") + F.col("l_linenumber") - 4).alias("candidate")).agg(F.max(1 - F.col("l_discount") * 2).alias("r"))
+    return topk.correlated_donors(p, 2, 3).select("volume", "candidate", F.col("nth").cast("long").alias("nth"))
+
+
+@query("WITH t AS (SELECT l_returnflag AS file_id, count(*) AS n, stddev_pop(l_discount) AS s FROM lineitem GROUP BY 1) SELECT file_id, round(CASE WHEN s > 1e-9 THEN 1 / (s * s) ELSE greatest(n, 1) END, 4) AS weight FROM t")
+def inverse_variance_weights(spark, d):
+    t = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("file_id")).agg(F.count("*").alias("n"), F.stddev_pop("l_discount").alias("s"))
+    return t.select("file_id", r(epochs.inverse_variance_weight(F.lit(None).cast("double"), F.col("s"), F.col("n")), 4).alias("weight"))
+
+
+@query(f"WITH {TRACK}, g AS (SELECT code, count(*) AS n, avg(value) / 350 AS f, min(floor(t))::BIGINT AS a FROM e GROUP BY code), k AS (SELECT *, CASE WHEN f >= 0.78 THEN 'good' WHEN f >= 0.5 THEN 'watch' ELSE 'poor' END AS grade, f > 0.29 AS kept FROM g) SELECT count(*) AS segments, count(*) FILTER (kept) AS kept, sum(100)::BIGINT AS samples, coalesce(sum(100) FILTER (kept), 0)::BIGINT AS kept_samples, count(*) FILTER (NOT kept AND grade = 'poor') AS poor, sum(n)::BIGINT AS overlap_samples FROM k")
+def segment_summary(spark, d):
+    from voltlake.functions.scoring import grade
+
+    g = track(spark, d).groupBy("code").agg(F.count("*").alias("overlap_samples"), (F.avg("value") / 350).alias("f"), F.floor(F.min("begin_s")).alias("start_sample"))
+    k = g.select("overlap_samples", grade(F.col("f")).alias("grade"), (F.col("f") > 0.29).alias("kept"), "start_sample", (F.col("start_sample") + 99).alias("end_sample"))
+    return health.segment_summary(k)
+
+
+@query(f"WITH {_CIRCLE}, p AS (SELECT a.ch, b.ch AS o, sqrt((a.x + b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM l a, l b), m AS (SELECT ch, o FROM (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY d, o) AS k FROM p) WHERE k = 1 AND d < 0.18) SELECT DISTINCT c::BIGINT AS channel_index FROM (SELECT unnest([1, 5, 9]) AS c UNION ALL SELECT o FROM m WHERE ch IN (1, 5, 9))")
+def mirrored_selection(spark, d):
+    chosen = spark.createDataFrame([(1,), (5,), (9,)], "channel_index int")
+    return views.mirrored_selection(chosen, sensors(spark)).select(F.col("channel_index").cast("long").alias("channel_index"))
