@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voltlake.functions import scoring as sc
 from voltlake.operators import layout, select, sets, stats, windows
-from voltlake.plans.registry import SERIES, SIGNAL, TRACK, query, r, series, signal, table, track
+from voltlake.plans.registry import CHANNELS, SERIES, SIGNAL, TRACK, query, r, series, signal, table, track
 
 
 @query(f"WITH {SIGNAL} SELECT ch::BIGINT AS channel_index, round(quantile_cont(abs(v), 0.95), 6) + 0.0 AS p95, round(sqrt(avg(v*v)), 6) + 0.0 AS rms, round(var_pop(v), 6) + 0.0 AS var_pop, round(var_samp(v), 6) + 0.0 AS var_samp, round(sum(v*v), 5) + 0.0 AS energy, round(kurtosis_pop(v), 5) + 0.0 AS kurtosis FROM s GROUP BY ch")
@@ -40,9 +40,9 @@ def clipping(spark, d):
     return stats.clipping_fraction(li, "value", "channel_index").withColumn("clipping", r("clipping"))
 
 
-@query("WITH x AS (SELECT embedding[1]::DOUBLE a, embedding[2]::DOUBLE b, embedding[3]::DOUBLE c FROM embeddings) SELECT 0 AS i, 0 AS j, round(var_samp(a), 6) AS cov FROM x UNION ALL SELECT 0, 1, round(covar_samp(a, b), 6) FROM x UNION ALL SELECT 0, 2, round(covar_samp(a, c), 6) FROM x UNION ALL SELECT 1, 1, round(var_samp(b), 6) FROM x UNION ALL SELECT 1, 2, round(covar_samp(b, c), 6) FROM x UNION ALL SELECT 2, 2, round(var_samp(c), 6) FROM x")
+@query(f"WITH {SIGNAL} SELECT a.ch::BIGINT AS i, b.ch::BIGINT AS j, round(covar_samp(a.v, b.v), 6) + 0.0 AS cov FROM s a JOIN s b ON a.i = b.i AND a.ch <= b.ch GROUP BY ALL")
 def covariance_matrix(spark, d):
-    return stats.covariance(signal(spark, d).where("channel_index < 3"), 3).select("i", "j", r("cov").alias("cov"))
+    return stats.covariance(signal(spark, d), CHANNELS).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r("cov").alias("cov"))
 
 
 @query("WITH m AS (SELECT o_orderkey AS volume, o_totalprice / 1e5 AS p FROM orders), x AS (SELECT volume, abs(p - lag(p) OVER (ORDER BY volume)) AS d FROM m) SELECT volume, round(coalesce(d * 0.3 * pi() / 180 * 50 + d * 0.7, 0), 6) AS fd FROM x")
@@ -131,12 +131,13 @@ def decimated(spark, d):
     return layout.decimate(signal(spark, d), 5).select(F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
 
 
-@query(f"""WITH {SIGNAL}, b AS (SELECT ch, i // 4 AS k, avg(v) AS v FROM s WHERE ch < 4 GROUP BY 1, 2), g AS (SELECT ch, max(k) AS last, unnest(range(40)) AS i FROM b GROUP BY ch),
+@query(f"""WITH {SIGNAL}, b AS (SELECT ch, i // 4 AS k, avg(v) AS v FROM s GROUP BY 1, 2), g AS (SELECT ch, max(k) AS last, unnest(range((SELECT max(vec_id) + 1 FROM embeddings))) AS i FROM b GROUP BY ch),
 p AS (SELECT *, greatest(0.0, least(last::DOUBLE, (i - 1.5) / 4)) AS pos FROM g)
 SELECT p.ch::BIGINT AS channel_index, p.i::BIGINT AS sample_index, round(a.v + (c.v - a.v) * (pos - floor(pos)), 6) + 0.0 AS value FROM p JOIN b a ON a.ch = p.ch AND a.k = floor(pos) JOIN b c ON c.ch = p.ch AND c.k = least(floor(pos) + 1, last)""")
 def linear_upsampled(spark, d):
-    s = layout.block_average(signal(spark, d).where("channel_index < 4"), 4)
-    return layout.linear_upsample(s, 4, 40).select(F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
+    from voltlake.plans.registry import n_samples
+
+    return layout.linear_upsample(layout.block_average(signal(spark, d), 4), 4, n_samples(spark, d)).select(F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
 
 
 @query(f"WITH {SIGNAL} SELECT ch::BIGINT AS channel_index, i AS sample_index, round(v, 6) + 0.0 AS value FROM s")

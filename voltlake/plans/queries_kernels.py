@@ -7,42 +7,42 @@ from pyspark.sql import functions as F
 
 from voltlake.operators import kernels, spectra
 from voltlake.operators.layout import to_samples, to_traces
-from voltlake.plans.registry import CHANNELS, RATE, SIGNAL, circle, query, r, signal
+from voltlake.plans.registry import CHANNELS, RATE, SIGNAL, circle, n_samples, query, r, signal
 from voltlake.plans.script import Pipeline
 
 
-def traces(spark, d, n: int = CHANNELS):
+def traces(spark, d):
     kernels.ship(spark)
-    return to_traces(signal(spark, d).where(F.col("channel_index") < n)).withColumn("recording_id", F.lit("embeddings"))
+    return to_traces(signal(spark, d)).withColumn("recording_id", F.lit("embeddings"))
 
 
-def segments(n: int = 448) -> list[tuple[int, int]]:
-    return [(0, n)]
+def segments(spark, d) -> list[tuple[int, int]]:
+    return [(0, n_samples(spark, d))]
 
 
-_SPECTRA = f"""{SIGNAL}, wins AS (SELECT unnest([0, 128]) AS a), x AS (SELECT ch, a, i - a AS k, v FROM s, wins WHERE i >= a AND i < a + 256 AND ch < 6), y AS (SELECT ch, a, k, (v - avg(v) OVER (PARTITION BY ch, a)) * (0.5 - 0.5 * cos(2 * pi() * k / 256)) AS v FROM x), b AS (SELECT unnest(range(128)) AS bin),
+_SPECTRA = f"""{SIGNAL}, wins AS (SELECT unnest(range(0, (SELECT max(vec_id) + 1 FROM embeddings) - 255, 128)) AS a), x AS (SELECT ch, a, i - a AS k, v FROM s, wins WHERE i >= a AND i < a + 256), y AS (SELECT ch, a, k, (v - avg(v) OVER (PARTITION BY ch, a)) * (0.5 - 0.5 * cos(2 * pi() * k / 256)) AS v FROM x), b AS (SELECT unnest(range(128)) AS bin),
 f AS (SELECT ch, a, bin, sum(v * cos(2 * pi() * bin * k / 256)) AS re, sum(v * sin(2 * pi() * bin * k / 256)) AS im FROM y, b GROUP BY ALL), p AS (SELECT ch, bin, bin * 250.0 / 256 AS hz, avg(re * re + im * im) AS p FROM f GROUP BY ALL)"""
 
 
 @query(f"WITH {_SPECTRA} SELECT ch::BIGINT AS channel_index, bin::BIGINT AS bin, round(p, 5) AS power FROM p")
 def power_spectrum(spark, d):
-    return spectra.pooled_spectra(traces(spark, d, 6), segments(), RATE).select(F.col("channel_index").cast("long").alias("channel_index"), F.col("bin").cast("long").alias("bin"), r("power", 5).alias("power"))
+    return spectra.pooled_spectra(traces(spark, d), segments(spark, d), RATE).select(F.col("channel_index").cast("long").alias("channel_index"), F.col("bin").cast("long").alias("bin"), r("power", 5).alias("power"))
 
 
 @query(f"WITH {_SPECTRA}, bands AS (SELECT unnest(['Delta', 'Theta', 'Alpha', 'Beta', 'Low Gamma']) AS band, unnest([1.0, 4.0, 8.0, 13.0, 30.0]) AS lo, unnest([4.0, 8.0, 13.0, 30.0, 45.0]) AS hi), a AS (SELECT ch, band, sum(CASE WHEN hz BETWEEN lo AND hi THEN p ELSE 0 END) AS v FROM p, bands GROUP BY ALL) SELECT ch::BIGINT AS channel_index, band, round(v, 5) AS absolute, round(v / sum(v) OVER (PARTITION BY ch), 6) AS relative, round(log10(greatest(v, 1e-12)), 6) + 0.0 AS log10_power FROM a")
 def band_powers(spark, d):
-    b = spectra.band_powers(spectra.pooled_spectra(traces(spark, d, 6), segments(), RATE))
+    b = spectra.band_powers(spectra.pooled_spectra(traces(spark, d), segments(spark, d), RATE))
     return b.select(F.col("channel_index").cast("long").alias("channel_index"), "band", r("absolute", 5).alias("absolute"), r("relative").alias("relative"), r("log10_power").alias("log10_power"))
 
 
 @query(f"WITH {_SPECTRA}, v AS (SELECT ch, log10(greatest(avg(p), 1e-12)) AS v FROM p WHERE hz BETWEEN 1 AND 100 GROUP BY ch) SELECT ch::BIGINT AS channel_index, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 5) + 0.0 AS z FROM v")
 def spectral_outliers(spark, d):
-    return spectra.spectral_outliers(spectra.pooled_spectra(traces(spark, d, 6), segments(), RATE)).select(F.col("channel_index").cast("long").alias("channel_index"), r("z", 5).alias("z"))
+    return spectra.spectral_outliers(spectra.pooled_spectra(traces(spark, d), segments(spark, d), RATE)).select(F.col("channel_index").cast("long").alias("channel_index"), r("z", 5).alias("z"))
 
 
 @query(f"WITH {_SPECTRA} SELECT ch::BIGINT AS channel_index, round(regr_slope(log10(greatest(p, 1e-12)), log10(hz)) FILTER (hz BETWEEN 2 AND 40), 5) + 0.0 AS slope, round(sum(p) FILTER (hz > 20 AND hz <= 40) / sum(p) FILTER (hz BETWEEN 2 AND 20), 5) AS emg_ratio FROM p GROUP BY ch")
 def advanced_spectral(spark, d):
-    return spectra.advanced_spectral(spectra.pooled_spectra(traces(spark, d, 6), segments(), RATE)).select(F.col("channel_index").cast("long").alias("channel_index"), r("slope", 5).alias("slope"), r("emg_ratio", 5).alias("emg_ratio"))
+    return spectra.advanced_spectral(spectra.pooled_spectra(traces(spark, d), segments(spark, d), RATE)).select(F.col("channel_index").cast("long").alias("channel_index"), r("slope", 5).alias("slope"), r("emg_ratio", 5).alias("emg_ratio"))
 
 
 _PAIR = "c AS (SELECT a.ch AS x, b.ch AS y, sum(a.re * b.re + a.im * b.im) AS cr, sum(a.im * b.re - a.re * b.im) AS ci, sum(a.re * a.re + a.im * a.im) AS px, sum(b.re * b.re + b.im * b.im) AS py, sum(abs(a.im * b.re - a.re * b.im)) AS ai FROM f a JOIN f b ON a.a = b.a AND a.bin = b.bin AND a.ch < b.ch WHERE a.bin * 250.0 / 256 BETWEEN 8 AND 13 GROUP BY ALL)"
@@ -50,19 +50,19 @@ _PAIR = "c AS (SELECT a.ch AS x, b.ch AS y, sum(a.re * b.re + a.im * b.im) AS cr
 
 @query(f"WITH {_SPECTRA}, {_PAIR} SELECT x::VARCHAR AS node_a, y::VARCHAR AS node_b, unnest(['coherence', 'imaginary_coherence', 'wpli']) AS metric, round(unnest([(cr * cr + ci * ci) / (px * py), abs(ci) / sqrt(px * py), abs(ci) / ai]), 5) AS value FROM c")
 def connectivity(spark, d):
-    c = spectra.connectivity(traces(spark, d, 6), segments(), RATE).where("band = 'Alpha' AND metric IN ('coherence', 'imaginary_coherence', 'wpli')")
+    c = spectra.connectivity(traces(spark, d), segments(spark, d), RATE).where("band = 'Alpha' AND metric IN ('coherence', 'imaginary_coherence', 'wpli')")
     return c.select("node_a", "node_b", "metric", r("value", 5).alias("value"))
 
 
 @query()
 def connectivity_all(spark, d):
-    return spectra.connectivity(traces(spark, d, 8), segments(), RATE)
+    return spectra.connectivity(traces(spark, d), segments(spark, d), RATE)
 
 
 @query()
 def resting_result_rows(spark, d):
-    t = traces(spark, d, 8)
-    return spectra.result_rows(spectra.band_powers(spectra.pooled_spectra(t, segments(), RATE)), spectra.connectivity(t, segments(), RATE))
+    t = traces(spark, d)
+    return spectra.result_rows(spectra.band_powers(spectra.pooled_spectra(t, segments(spark, d), RATE)), spectra.connectivity(t, segments(spark, d), RATE))
 
 
 def _q(name, f):
@@ -79,25 +79,25 @@ _q("wavelet_reduced", lambda s, d: to_samples(kernels.wavelet_reduced(traces(s,
 _q("wavelet_goodness", lambda s, d: kernels.wavelet_goodness(traces(s, d)))
 _q("wavelet_ranges", lambda s, d: kernels.wavelet_ranges(traces(s, d), RATE))
 for _algorithm in ("simple", "pan_tompkins", "hamilton", "wfdb", "wavelet", "christov"):
-    _q(f"r_waves_{_algorithm}", lambda s, d, a=_algorithm: kernels.r_wave_events(traces(s, d, 2), RATE, a))
+    _q(f"r_waves_{_algorithm}", lambda s, d, a=_algorithm: kernels.r_wave_events(traces(s, d), RATE, a))
 for _method in ("periodic", "spatial", "refined"):
     _q(f"bcg_{_method}", lambda s, d, m=_method: kernels.bcg_events(traces(s, d), RATE, m))
 for _method in ("waveform", "trajectory", "wavelet"):
     _q(f"template_{_method}", lambda s, d, m=_method: kernels.template_events(traces(s, d), 100, 32, 0.2, m))
 _TIMES = [0.2 * k for k in range(1, 9)]
 for _method in ("template", "obs", "ssp"):
-    _q(f"cleaned_by_{_method}", lambda s, d, m=_method: to_samples(kernels.artifact_cleaned(traces(s, d, 16), [{"method": m, "times": _TIMES, "width": 40}], RATE), "recording_id", "channel_index"))
-_q("obs_variance", lambda s, d: kernels.obs_variance(traces(s, d, 16), _TIMES, RATE, 40))
+    _q(f"cleaned_by_{_method}", lambda s, d, m=_method: to_samples(kernels.artifact_cleaned(traces(s, d), [{"method": m, "times": _TIMES, "width": 40}], RATE), "recording_id", "channel_index"))
+_q("obs_variance", lambda s, d: kernels.obs_variance(traces(s, d), _TIMES, RATE, 40))
 for _scheme in ("neighbour", "farm", "moosmann"):
-    _q(f"gradient_{_scheme}", lambda s, d, m=_scheme: to_samples(kernels.gradient_corrected(traces(s, d, 4), RATE, list(range(0, 475, 25)), 25, factor=4, scheme=m), "recording_id", "channel_index"))
+    _q(f"gradient_{_scheme}", lambda s, d, m=_scheme: to_samples(kernels.gradient_corrected(traces(s, d), RATE, list(range(0, n_samples(s, d) // 25 * 25, 25)), 25, factor=4, scheme=m), "recording_id", "channel_index"))
 
 
 def _positions() -> np.ndarray:
     return np.array([(x, y) for _, x, y in circle(CHANNELS)])
 
 
-_q("ica_components", lambda s, d: kernels.ica_fitted(traces(s, d, 16), RATE, _positions()))
-_q("ica_cleaned", lambda s, d: to_samples(kernels.ica_cleaned(traces(s, d, 16), RATE, _positions()), "recording_id", "channel_index"))
+_q("ica_components", lambda s, d: kernels.ica_fitted(traces(s, d), RATE, _positions()))
+_q("ica_cleaned", lambda s, d: to_samples(kernels.ica_cleaned(traces(s, d), RATE, _positions()), "recording_id", "channel_index"))
 
 
 @query()
@@ -114,8 +114,7 @@ def replayed_script(spark, d):
 
 @query()
 def resting_analysis(spark, d):
-    from voltlake.plans.registry import n_samples
     from voltlake.plans.resting import resting_analysis as analyse
 
     kernels.ship(spark)
-    return analyse(signal(spark, d).where("channel_index < 8"), RATE, n_samples(spark, d), 8, 0.5)["rows"]
+    return analyse(signal(spark, d), RATE, n_samples(spark, d), CHANNELS, 0.5)["rows"]

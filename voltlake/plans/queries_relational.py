@@ -40,20 +40,20 @@ def segment_epochs(spark, d):
 
 
 #: Triggers within the recording: events' times folded into its two seconds.
-_TRIG = f"{TRACK}, n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), g AS (SELECT event_id, code, (t - floor(t / 2) * 2) AS t FROM e WHERE event_id < 400)"
-_WIN = "w AS (SELECT event_id, code, t, round(t * 250)::BIGINT - 10 AS a FROM g, n WHERE round(t * 250) - 10 >= 0 AND round(t * 250) + 10 <= n), u AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY t, event_id) - 1 AS trial, unnest(range(20)) AS rel FROM w)"
-_TRIALS = f"{SIGNAL}, {_TRIG}, {_WIN}, x AS (SELECT code AS category, trial, ch, rel, v FROM u JOIN s ON s.i = a + rel AND s.ch < 8)"
+_TRIG = f"{TRACK}, n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), g AS (SELECT event_id, code, (t - floor(t / 2) * 2) AS t FROM e)"
+_WIN = "w AS (SELECT event_id, code, t, round(t * 250)::BIGINT - 5 AS a FROM g, n WHERE round(t * 250) - 5 >= 0 AND round(t * 250) + 5 <= n), u AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY t, event_id) - 1 AS trial, unnest(range(10)) AS rel FROM w)"
+_TRIALS = f"{SIGNAL}, {_TRIG}, {_WIN}, x AS (SELECT code AS category, trial, ch, rel, v FROM u JOIN s ON s.i = a + rel)"
 
 
 def triggers(spark, d):
     t = F.col("begin_s") - F.floor(F.col("begin_s") / 2) * 2
-    return track(spark, d).where("event_id < 400").select("event_id", "code", t.alias("begin_s"))
+    return track(spark, d).select("event_id", "code", t.alias("begin_s"))
 
 
 def trials(spark, d):
     n = n_samples(spark, d)
-    found = triggers(spark, d).where((F.round(F.col("begin_s") * RATE) >= 10) & (F.round(F.col("begin_s") * RATE) + 10 <= n))
-    return epochs.epoch(found, signal(spark, d).where("channel_index < 8"), RATE, 10, 10, n)
+    found = triggers(spark, d).where((F.round(F.col("begin_s") * RATE) >= 5) & (F.round(F.col("begin_s") * RATE) + 5 <= n))
+    return epochs.epoch(found, signal(spark, d), RATE, 5, 5, n)
 
 
 @query(f"WITH {_TRIALS} SELECT category, ch::BIGINT AS channel_index, rel::BIGINT AS rel, round(avg(v), 6) + 0.0 AS value, count(*) AS n_trials FROM x GROUP BY ALL")
@@ -61,22 +61,22 @@ def event_average(spark, d):
     return epochs.average_trials(trials(spark, d)).select("category", F.col("channel_index").cast("long").alias("channel_index"), F.col("rel").cast("long").alias("rel"), r("value").alias("value"), "n_trials")
 
 
-@query(f"WITH {_TRIALS}, c AS (SELECT category, ch, rel, v - avg(v) FILTER (rel < 10) OVER (PARTITION BY category, trial, ch) AS v FROM x) SELECT category, ch::BIGINT AS channel_index, rel::BIGINT AS rel, round(avg(v), 6) + 0.0 AS value FROM c GROUP BY ALL")
+@query(f"WITH {_TRIALS}, c AS (SELECT category, ch, rel, v - avg(v) FILTER (rel < 5) OVER (PARTITION BY category, trial, ch) AS v FROM x) SELECT category, ch::BIGINT AS channel_index, rel::BIGINT AS rel, round(avg(v), 6) + 0.0 AS value FROM c GROUP BY ALL")
 def baseline_corrected_average(spark, d):
-    return epochs.average_trials(epochs.baseline_corrected(trials(spark, d), 10)).select("category", F.col("channel_index").cast("long").alias("channel_index"), F.col("rel").cast("long").alias("rel"), r("value").alias("value"))
+    return epochs.average_trials(epochs.baseline_corrected(trials(spark, d), 5)).select("category", F.col("channel_index").cast("long").alias("channel_index"), F.col("rel").cast("long").alias("rel"), r("value").alias("value"))
 
 
 @query(f"""WITH {_TRIALS}, tn AS (SELECT category, max(trial) + 1 AS nt FROM x GROUP BY 1), p AS (SELECT category, ch, rel, avg(v) AS m, avg(CASE WHEN trial % 2 = 0 THEN v ELSE -v END) AS q, avg(v) FILTER (trial % 2 = 0) AS a, avg(v) FILTER (trial % 2 = 1) AS b FROM x GROUP BY ALL),
-o AS (SELECT category, sqrt(avg(m*m)) AS sig, sqrt(avg(q*q)) AS noise, sqrt(avg(m*m) FILTER (rel < 10)) AS base, max(abs(m)) FILTER (rel >= 10) AS peak, corr(a, b) AS r FROM p GROUP BY 1), f AS (SELECT category, sum(s) AS gs, sum(k) AS gk FROM (SELECT category, rel, sqrt(avg(m*m)) AS s, sqrt(avg(q*q)) AS k FROM p GROUP BY ALL) GROUP BY 1)
+o AS (SELECT category, sqrt(avg(m*m)) AS sig, sqrt(avg(q*q)) AS noise, sqrt(avg(m*m) FILTER (rel < 5)) AS base, max(abs(m)) FILTER (rel >= 5) AS peak, corr(a, b) AS r FROM p GROUP BY 1), f AS (SELECT category, sum(s) AS gs, sum(k) AS gk FROM (SELECT category, rel, sqrt(avg(m*m)) AS s, sqrt(avg(q*q)) AS k FROM p GROUP BY ALL) GROUP BY 1)
 SELECT category, nt::BIGINT AS trial_count, round(sqrt(nt), 6) AS root_n, round(noise, 6) AS plus_minus_noise, round(sig / noise, 5) AS plus_minus_snr, round(gs / gk, 5) AS gfp_snr, round(base, 6) AS baseline_noise, round(peak / base, 5) AS baseline_snr, round(2 * r / (1 + r), 5) + 0.0 AS split_half FROM tn JOIN o USING (category) JOIN f USING (category)""")
 def snr_metrics(spark, d):
-    m = epochs.snr_metrics(trials(spark, d), 10)
+    m = epochs.snr_metrics(trials(spark, d), 5)
     return m.select("category", "trial_count", *(r(c, k).alias(c) for c, k in (("root_n", 6), ("plus_minus_noise", 6), ("plus_minus_snr", 5), ("gfp_snr", 5), ("baseline_noise", 6), ("baseline_snr", 5), ("split_half", 5))))
 
 
-@query(f"""WITH {_TRIALS}, c AS (SELECT *, avg(v) FILTER (rel < 2) OVER k AS a, avg(v) FILTER (rel >= 18) OVER k AS b FROM x WINDOW k AS (PARTITION BY category, trial, ch)) SELECT category, ch::BIGINT AS channel_index, rel::BIGINT AS rel, round(avg(v - (a + (b - a) * (rel - 0.5) / 18)), 6) + 0.0 AS value FROM c GROUP BY ALL""")
+@query(f"""WITH {_TRIALS}, c AS (SELECT *, avg(v) FILTER (rel < 1) OVER k AS a, avg(v) FILTER (rel >= 9) OVER k AS b FROM x WINDOW k AS (PARTITION BY category, trial, ch)) SELECT category, ch::BIGINT AS channel_index, rel::BIGINT AS rel, round(avg(v - (a + (b - a) * rel / 9)), 6) + 0.0 AS value FROM c GROUP BY ALL""")
 def preview_average(spark, d):
-    return epochs.linear_baseline_average(trials(spark, d), 20, RATE).select("category", F.col("channel_index").cast("long").alias("channel_index"), F.col("rel").cast("long").alias("rel"), r("value").alias("value"))
+    return epochs.linear_baseline_average(trials(spark, d), 10, RATE).select("category", F.col("channel_index").cast("long").alias("channel_index"), F.col("rel").cast("long").alias("rel"), r("value").alias("value"))
 
 
 @query(f"WITH {_TRIALS}, m AS (SELECT category, ch, rel, avg(v) AS m FROM x GROUP BY ALL), e2 AS (SELECT category, ch, sum(m*m) AS e FROM m GROUP BY ALL), k AS (SELECT category, trial, ch, sum(v*m) / any_value(e2.e) AS k FROM x JOIN m USING (category, ch, rel) JOIN e2 USING (category, ch) GROUP BY ALL) SELECT category, ch::BIGINT AS channel_index, trial::BIGINT AS trial, round(k, 5) + 0.0 AS scale FROM k")
@@ -167,9 +167,9 @@ def file_compatibility(spark, d):
     return joins.compatibility(f, first).select("file_id", F.array_join("flags", ",").alias("flags"))
 
 
-@query(f"WITH {SIGNAL} SELECT i AS sample_index, round(sum(v * (ch + 1) / 36.0), 6) + 0.0 AS value FROM s WHERE ch < 8 GROUP BY i")
+@query(f"WITH {SIGNAL} SELECT i AS sample_index, round(sum(v * (ch + 1) / 2080.0), 6) + 0.0 AS value FROM s GROUP BY i")
 def weighted_sources(spark, d):
-    weights = spark.range(8).select(F.lit(64).alias("target"), F.col("id").cast("int").alias("channel_index"), ((F.col("id") + 1) / F.lit(36.0)).alias("weight"))
+    weights = spark.range(CHANNELS).select(F.lit(64).alias("target"), F.col("id").cast("int").alias("channel_index"), ((F.col("id") + 1) / F.lit(2080.0)).alias("weight"))
     return joins.weighted_sources(signal(spark, d), weights).select("sample_index", r("value").alias("value"))
 
 
@@ -263,11 +263,11 @@ def ranked_channels(spark, d):
     return detect.template_channels(signal(spark, d)).select(F.col("channel_index").cast("long").alias("channel_index"), r("peak").alias("peak"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {SIGNAL}, k AS (SELECT ch, i, v, i // 25 AS tr, i % 25 AS ph FROM s WHERE ch < 4 AND i < 475), f AS (SELECT ch, tr, regr_slope(v, ph) AS m, regr_intercept(v, ph) AS c FROM k GROUP BY ALL), z AS (SELECT k.*, v - c - m * ph AS x FROM k JOIN f USING (ch, tr)),
+@query(f"""WITH {SIGNAL}, n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), k AS (SELECT ch, i, v, i // 25 AS tr, i % 25 AS ph FROM s, n WHERE i < n // 25 * 25), f AS (SELECT ch, tr, regr_slope(v, ph) AS m, regr_intercept(v, ph) AS c FROM k GROUP BY ALL), z AS (SELECT k.*, v - c - m * ph AS x FROM k JOIN f USING (ch, tr)),
 w AS (SELECT *, avg(x) OVER (PARTITION BY ch, ph ORDER BY tr ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS a, avg(x) OVER (PARTITION BY ch, ph ORDER BY tr ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS b FROM z)
-SELECT ch::BIGINT AS channel_index, i AS sample_index, round(x - CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE 0.5 * a + 0.5 * b END, 6) + 0.0 AS value FROM w UNION ALL SELECT ch::BIGINT, i, round(v, 6) + 0.0 FROM s WHERE ch < 4 AND i >= 475""")
+SELECT ch::BIGINT AS channel_index, i AS sample_index, round(x - CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE 0.5 * a + 0.5 * b END, 6) + 0.0 AS value FROM w UNION ALL SELECT ch::BIGINT, i, round(v, 6) + 0.0 FROM s, n WHERE i >= n // 25 * 25""")
 def gradient_removal(spark, d):
-    return correct.gradient_removed(signal(spark, d).where("channel_index < 4"), 0, 25, 19).select(F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
+    return correct.gradient_removed(signal(spark, d), 0, 25, n_samples(spark, d) // 25).select(F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
 
 
 _UP = "CASE WHEN {x} <= {g} THEN 1.0 WHEN {x} >= {h} THEN 0.0 ELSE 1.0 - ({x} - {g}) / ({h} - {g}) END"
@@ -379,26 +379,26 @@ def dense_markers(spark, d):
 
 @query()
 def measurement_error(spark, d):
-    return epochs.measurement_error(trials(spark, d), 10)
+    return epochs.measurement_error(trials(spark, d), 5)
 
 
 
-@query(f"WITH {_TRIALS}, a AS (SELECT category, ch, rel, avg(v) AS v FROM x GROUP BY ALL), n AS (SELECT category, count(DISTINCT trial) AS k FROM x GROUP BY 1) SELECT category, any_value(k) AS trial_count, round(sqrt(any_value(k)), 6) AS root_n, round(sqrt(avg(v*v) FILTER (rel < 10)), 6) AS baseline_noise, round(max(abs(v)) FILTER (rel >= 10) / sqrt(avg(v*v) FILTER (rel < 10)), 5) AS baseline_snr FROM a JOIN n USING (category) GROUP BY category".replace("n AS (SELECT category, count", "nn AS (SELECT category, count").replace("JOIN n USING", "JOIN nn USING"))
+@query(f"WITH {_TRIALS}, a AS (SELECT category, ch, rel, avg(v) AS v FROM x GROUP BY ALL), n AS (SELECT category, count(DISTINCT trial) AS k FROM x GROUP BY 1) SELECT category, any_value(k) AS trial_count, round(sqrt(any_value(k)), 6) AS root_n, round(sqrt(avg(v*v) FILTER (rel < 5)), 6) AS baseline_noise, round(max(abs(v)) FILTER (rel >= 5) / sqrt(avg(v*v) FILTER (rel < 5)), 5) AS baseline_snr FROM a JOIN n USING (category) GROUP BY category".replace("n AS (SELECT category, count", "nn AS (SELECT category, count").replace("JOIN n USING", "JOIN nn USING"))
 def averaged_snr(spark, d):
-    m = epochs.snr_for_averaged(epochs.average_trials(trials(spark, d)), 10)
+    m = epochs.snr_for_averaged(epochs.average_trials(trials(spark, d)), 5)
     return m.select("category", "trial_count", r("root_n").alias("root_n"), r("baseline_noise").alias("baseline_noise"), r("baseline_snr", 5).alias("baseline_snr"))
 
 
-@query(f"WITH {SIGNAL}, p AS (SELECT max(abs(v)) AS pb, max(abs(v * 0.25)) AS pa, sqrt(avg(v*v)) AS rb, sqrt(avg(v*v*0.0625)) AS ra FROM s WHERE ch < 4) SELECT round(pb, 6) AS peak_before, round(pa, 6) AS peak_after, round(rb, 6) AS rms_before, round(ra, 6) AS rms_after, round(1 - pa / pb, 6) AS peak_reduction, round(1 - ra / rb, 6) AS rms_reduction FROM p")
+@query(f"WITH {SIGNAL}, p AS (SELECT max(abs(v)) AS pb, max(abs(v * 0.25)) AS pa, sqrt(avg(v*v)) AS rb, sqrt(avg(v*v*0.0625)) AS ra FROM s) SELECT round(pb, 6) AS peak_before, round(pa, 6) AS peak_after, round(rb, 6) AS rms_before, round(ra, 6) AS rms_after, round(1 - pa / pb, 6) AS peak_reduction, round(1 - ra / rb, 6) AS rms_reduction FROM p")
 def reduction_metrics(spark, d):
-    before = signal(spark, d).where("channel_index < 4").withColumnRenamed("sample_index", "rel")
+    before = signal(spark, d).withColumnRenamed("sample_index", "rel")
     m = epochs.reduction_metrics(before, before.withColumn("value", F.col("value") * 0.25))
     return m.select(*(r(c).alias(c) for c in m.columns))
 
 
-@query(f"WITH {_TRIALS} SELECT category, ch::BIGINT AS channel_index, round(avg(v), 6) + 0.0 AS value FROM x WHERE rel = 10 GROUP BY ALL")
+@query(f"WITH {_TRIALS} SELECT category, ch::BIGINT AS channel_index, round(avg(v), 6) + 0.0 AS value FROM x WHERE rel = 5 GROUP BY ALL")
 def centre_topography(spark, d):
-    return epochs.centre_topography(epochs.average_trials(trials(spark, d)), 20).select("category", F.col("channel_index").cast("long").alias("channel_index"), r("value").alias("value"))
+    return epochs.centre_topography(epochs.average_trials(trials(spark, d)), 10).select("category", F.col("channel_index").cast("long").alias("channel_index"), r("value").alias("value"))
 
 
 @query("WITH h AS (SELECT l_linenumber AS ch, avg(l_discount) * 10 AS s FROM lineitem GROUP BY 1) SELECT 99 AS target, round(avg(s), 6) AS score FROM h WHERE ch <= 3")
