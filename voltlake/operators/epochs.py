@@ -100,16 +100,28 @@ def snr_metrics(trials: DataFrame, pre: int) -> DataFrame:
 def measurement_error(trials: DataFrame, pre: int, draws: int = 200, seed: int = 1) -> DataFrame:
     """Bootstrap deviation of the mean response amplitude, averaged over channels; categories with at least four trials.
 
-    Each draw weighs a trial by a Poisson-like multiplicity derived from a hash of
-    (seed, category, channel, draw, trial), so reruns and lost executors give the same value.
+    Draws come from a generator seeded by (seed, category, channel), and trials are
+    in order, so reruns and lost executors give the same value.
     """
     means = trials.where(F.col("rel") >= pre).groupBy("category", "channel_index", "trial").agg(F.avg("value").alias("m"))
     packed = means.groupBy("category", "channel_index").agg(F.array_sort(F.collect_list(F.struct("trial", "m"))).alias("t")).where(F.size("t") >= 4)
-    n = F.size("t")
-    drawn = packed.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn(
-        "mean", F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, i: a + F.get("t", F.pmod(F.xxhash64(F.lit(seed), F.col("category"), F.col("channel_index"), F.col("draw"), i), n).cast("int"))["m"]) / n
-    )
-    return drawn.groupBy("category", "channel_index").agg(F.stddev_pop("mean").alias("sd")).groupBy("category").agg(F.avg("sd").alias("sme"))
+
+    def draw(batches):
+        import zlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sd = []
+            for category, channel, m in zip(batch.column("category").to_pylist(), batch.column("channel_index").to_pylist(), batch.column("m"), strict=True):
+                x = m.values.to_numpy(zero_copy_only=False)
+                rng = np.random.default_rng([seed, zlib.crc32(str(category).encode()), channel])
+                sd.append(float(np.std([x[rng.integers(0, len(x), len(x))].mean() for _ in range(draws)])))
+            yield pa.RecordBatch.from_arrays([batch.column("category"), pa.array(sd)], names=["category", "sd"])
+
+    one_each = packed.select("category", "channel_index", F.transform("t", lambda t: t["m"]).alias("m"))
+    return one_each.mapInArrow(draw, "category string, sd double").groupBy("category").agg(F.avg("sd").alias("sme"))
 
 
 def category_summary(trials: DataFrame) -> DataFrame:
