@@ -33,7 +33,7 @@ from voltlake.llm.common import text_of
 MARGIN = 64
 #: Fixed value: the public pre-tokenizer pattern of byte-level BPE.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 
 
 class TokenCounter:

@@ -35,7 +35,7 @@ from voltlake.llm.common import materialise, text_of
 
 DOMAINS = ("good", "junk", "toxic")
 BUCKETS = 1 << 15
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 class Features:

@@ -42,7 +42,7 @@ WORD = re.compile(r"[^\W_]+")
 SEEDS = ("idiot", "moron", "stupid", "loser", "trash", "scum", "clown", "pathetic", "disgusting", "worthless")
 FOLDS = 5
 VOTERS = ("seed", "words", "starts", "ends", "dense", "several", "shout", "plain")
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: Share of a key's sample rows that must be toxic.
 PURE = 0.97
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from voltlake.llm.common import join_key, materialise, text_of
 from voltlake.llm.components import connected_components
 
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 STEP = 1 << 15
 
 
