@@ -65,7 +65,10 @@ def test_sidecars_and_layout():
     assert f.sensors(b"Fp1 1 2 3\nbad\n", "sfp") == [("Fp1", 1.0, 2.0, 3.0)]
     assert f.sensors(b"EEG Cz 0 0\n", "elp")[0][3] == pytest.approx(1)
     assert f.sensors(b"1 90 0.5 T8\n", "loc")[0][1] == pytest.approx(0.5)
-    assert f.inferred_layout(["Fp1", "T3", "Cz", "EOG"])[1] == f.TEN_TWENTY["T7"]
+    got = f.inferred_layout(["Fp1", "EEG T3-REF", "Cz", "EOG left", "PO10"])
+    assert sorted(got) == [0, 1, 2, 4] and got[1] == (-0.95, 0.0) and got[2] == (0.0, 0.0)
+    assert got[0] == pytest.approx((-0.28 * 0.98 / np.hypot(0.28, 0.95), 0.95 * 0.98 / np.hypot(0.28, 0.95))) and np.hypot(*got[4]) == pytest.approx(0.98)
+    assert [f.standard_position(n) for n in ("O3", "X1", "Q", "")] == [None] * 4 and f.standard_position("Nz") == (0.0, 0.98)
     assert f.inferred_layout(["A", "B", "Cz"]) is None
     p = f.projected([(0, 0), (2, 0), (1, 3)], True)
     assert max(np.hypot(*q) for q in p) == pytest.approx(1)

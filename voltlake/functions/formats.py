@@ -205,18 +205,44 @@ def sensors(raw: bytes, kind: str) -> list[tuple[str, float, float, float]]:
     return out
 
 
-#: Standard 10-20 positions on the unit circle (x right, y nose) and older names.
-TEN_TWENTY = {"Fp1": (-0.31, 0.95), "Fp2": (0.31, 0.95), "F7": (-0.81, 0.59), "F3": (-0.55, 0.67), "Fz": (0.0, 0.72), "F4": (0.55, 0.67), "F8": (0.81, 0.59), "T7": (-1.0, 0.0), "C3": (-0.72, 0.0), "Cz": (0.0, 0.0), "C4": (0.72, 0.0), "T8": (1.0, 0.0), "P7": (-0.81, -0.59), "P3": (-0.55, -0.67), "Pz": (0.0, -0.72), "P4": (0.55, -0.67), "P8": (0.81, -0.59), "O1": (-0.31, -0.95), "Oz": (0.0, -1.0), "O2": (0.31, -0.95)}
+#: Rows of the 10-20 and 10-10 systems by their height (nose up), distances from the midline by pair of
+#: numbers, distances that hold for a whole row, older names, and beginnings of names that aren't on the scalp.
+ROW_HEIGHT = {"FP": 0.95, "AF": 0.78, "F": 0.56, "FC": 0.30, "FT": 0.30, "C": 0.0, "T": 0.0, "TP": -0.30, "CP": -0.30, "P": -0.56, "PO": -0.78, "O": -0.95, "I": -1.03}
+PAIR_DISTANCE = (0.22, 0.42, 0.62, 0.84, 1.02)
+ROW_DISTANCE = {"FP": 0.28, "O": 0.28, "A": 1.04, "M": 1.04}
+TEMPORAL_DISTANCE, NASION_HEIGHT, RIM = 0.95, 1.03, 0.98
 OLD_NAMES = {"T3": "T7", "T4": "T8", "T5": "P7", "T6": "P8"}
-NON_SCALP = ("eog", "ecg", "ekg", "emg", "resp", "trig", "status", "ref", "gnd", "hr", "spo2")
+NON_SCALP = ("ECG", "EKG", "EOG", "HEOG", "VEOG", "EMG", "GSR", "RESP", "PULSE", "TRIG", "TRIGGER", "STATUS", "STI", "AUX", "DC", "SYNC", "REF", "VREF", "CMS", "DRL", "GND", "GROUND")
+
+
+def standard_position(name: str) -> tuple[float, float] | None:
+    """Place of a standard label on the unit circle, x to the right; None if it isn't one."""
+    key = re.sub(r"-?REF|[\s_.]", "", name.upper())
+    for label in (key, key.removeprefix("EEG")):
+        m = re.fullmatch(r"([A-Z]+?)(Z|10|[1-9])", OLD_NAMES.get(label, label))
+        if not m:
+            continue
+        row, place = m[1], m[2]
+        if place == "Z":
+            if row != "N" and row not in ROW_HEIGHT:
+                continue
+            x, y = 0.0, NASION_HEIGHT if row == "N" else ROW_HEIGHT[row]
+        else:
+            k = int(place)
+            if row not in (*ROW_HEIGHT, "A", "M") or (row in ROW_DISTANCE and k > 2):
+                continue
+            far = ROW_DISTANCE.get(row) or (TEMPORAL_DISTANCE if row == "T" and k in (7, 8) else PAIR_DISTANCE[(k - 1) // 2])
+            x, y = far if k % 2 == 0 else -far, ROW_HEIGHT.get(row, 0.0)
+        shrink = min(1.0, RIM / math.hypot(x, y)) if x or y else 1.0
+        return x * shrink, y * shrink
+    return None
 
 
 def inferred_layout(names: list[str]) -> dict[int, tuple[float, float]] | None:
-    """Positions of names from the standard table; None unless max(3, half) of the scalp channels are known."""
-    table = {k.lower(): v for k, v in TEN_TWENTY.items()} | {old.lower(): TEN_TWENTY[new] for old, new in OLD_NAMES.items()}
-    clean = [re.sub(r"(?i)^eeg\s*|-.*$|\s", "", n).lower() for n in names]
-    scalp = [c for c in clean if not c.startswith(NON_SCALP)]
-    found = {i: table[c] for i, c in enumerate(clean) if c in table}
+    """Positions of standard labels by channel; None unless max(3, half) of the scalp channels have one."""
+    plain = [re.sub(r"[\s_]", "", n.upper()) for n in names]
+    scalp = [i for i, n in enumerate(plain) if n and not n.startswith(NON_SCALP)]
+    found = {i: p for i in scalp if (p := standard_position(names[i]))}
     return found if len(found) >= max(3, math.ceil(len(scalp) / 2)) else None
 
 
