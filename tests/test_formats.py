@@ -126,8 +126,9 @@ def test_xml_values_times_and_versions():
 
 def test_script_sets_and_dispatch():
     steps = [{"op": "filter", "parameters": {"b": "2", "a": "1"}, "replayable": True, "note": None}, {"op": "mystery", "parameters": {}, "replayable": False}]
+    steps[0]["rejections"] = [{"category": "A", "total": 9, "included": 7, "reasons": {"blink": 2}}]
     got = f.read_script(f.write_script(steps), frozenset({"filter"}))
-    assert len(got) == 1 and got[0]["parameters"] == {"a": "1", "b": "2"}
+    assert len(got) == 1 and got[0]["parameters"] == {"a": "1", "b": "2"} and got[0]["rejections"] == steps[0]["rejections"]
     assert f.channel_sets(json.dumps({"sets": [{"id": 1, "name": "x", "channels": [1, 2]}]}).encode())[0]["channels"] == [1, 2]
     for name in ("a.set", "a.xyz"):
         with pytest.raises(f.FormatError):

@@ -526,23 +526,29 @@ def write_package(x: np.ndarray, rate: float, segments: list[dict] | None = None
 
 
 def read_script(raw: bytes, known: frozenset[str]) -> list[dict]:
-    """Steps in order; unknown ops are skipped."""
+    """Steps in order with their parameters and rejections by category; unknown ops are skipped."""
+    whole = lambda e, k: int(e.get(k)) if (e.get(k) or "").lstrip("-").isdigit() else 0
     out = []
-    for s in _plain(raw).iter("step"):
-        op = s.get("op") or s.findtext("op") or ""
-        if op in known:
-            out.append({"seq": len(out), "op": op, "parameters": {p.get("name"): (p.text or p.get("value") or "") for p in s.iter("parameter")}, "replayable": (s.get("replayable") or "true").lower() == "true", "note": s.findtext("note")})
+    for s in _plain(raw).findall("step"):
+        if s.get("op") not in known:
+            continue
+        rejected = [{"category": c.get("name"), "total": whole(c, "total"), "included": whole(c, "included"), "reasons": {r.get("code"): whole(r, "count") for r in c.findall("reason") if r.get("code")}} for c in s.findall("category") if c.get("name")]
+        out.append({"seq": len(out), "op": s.get("op"), "parameters": {p.get("key"): p.text or "" for p in s.findall("param") if p.get("key")}, "replayable": s.get("replayable", "true") == "true", "note": s.findtext("note"), "rejections": rejected})
     return out
 
 
-def write_script(steps: list[dict]) -> bytes:
-    root = ET.Element("processing")
+def write_script(steps: list[dict], root_name: str = "processing") -> bytes:
+    root = ET.Element(root_name, version="1")
     for s in steps:
         e = ET.SubElement(root, "step", op=s["op"], replayable=str(bool(s.get("replayable", True))).lower())
         for k in sorted(s.get("parameters") or {}):
-            ET.SubElement(e, "parameter", name=k).text = str(s["parameters"][k])
+            ET.SubElement(e, "param", key=k).text = str(s["parameters"][k])
         if s.get("note"):
             ET.SubElement(e, "note").text = s["note"]
+        for c in s.get("rejections") or []:
+            found = ET.SubElement(e, "category", name=c["category"], total=str(c["total"]), included=str(c["included"]))
+            for code in sorted(c["reasons"]):
+                ET.SubElement(found, "reason", code=code, count=str(c["reasons"][code]))
     return ET.tostring(root, encoding="utf-8", xml_declaration=True)
 
 

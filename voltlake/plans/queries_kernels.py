@@ -108,7 +108,7 @@ def interpolated_channels(spark, d):
 
 @query()
 def replayed_script(spark, d):
-    steps = Pipeline().add("filter", highPass=1, lowPass=40).add("epoch", replayable=False).add("averageReference", bad="3")
+    steps = Pipeline().add("filter", highPassHz=1, lowPassHz=40).add("segment", replayable=False).add("reference", bad="3")
     return to_samples(Pipeline.from_xml(steps.to_xml()).run(traces(spark, d), RATE), "recording_id", "channel_index")
 
 

@@ -25,17 +25,20 @@ def number(p: dict[str, str], key: str) -> float | None:
     return float(p[key]) if p.get(key, "").strip() else None
 
 
-@op("filter")
-def _filter(traces, rate, p):
-    return kernels.filtered(traces, rate, high=number(p, "highPass"), low=number(p, "lowPass"), notch=number(p, "notch"), slope=int(number(p, "slope") or 24))
+#: The vocabulary of scripts. Those without a transform here are recorded and passed over.
+VOCABULARY = frozenset(("filter", "reference", "mriGradientCorrection", "waveletReduce", "artifactClean", "icaClean", "bcgDetection", "ecgDetection", "interpolateChannels", "markBad", "segment", "baseline", "average", "combine", "split"))
 
 
-@op("lineNoise")
-def _line(traces, rate, p):
-    return kernels.line_reduced(traces, rate, line=number(p, "frequency") or 60.0, strength=number(p, "strength") or 1.0)
+@op("filter")
+def _filter(traces, rate, p):
+    """Band-pass and notch, then line noise, then average reference, as far as parameters ask for them."""
+    out = kernels.filtered(traces, rate, high=number(p, "highPassHz"), low=number(p, "lowPassHz"), notch=number(p, "notchHz"), slope=int(number(p, "slope") or 24))
+    if number(p, "lineNoiseHz"):
+        out = kernels.line_reduced(out, rate, line=number(p, "lineNoiseHz"), strength=number(p, "lineNoiseStrength") or 1.0)
+    return _reference(out, rate, p) if p.get("averageReference") == "true" else out
 
 
-@op("averageReference")
+@op("reference")
 def _reference(traces, rate, p):
     bad = [int(c) for c in p.get("bad", "").split(",") if c.strip()]
 
@@ -46,18 +49,24 @@ def _reference(traces, rate, p):
     return kernels.matrix_kernel(traces, run)
 
 
-@op("waveletReduction")
+@op("baseline")
+def _baseline(traces, rate, p):
+    n = int(number(p, "samples") or 0)
+    return kernels.map_traces(traces, lambda x: x - x[:n].mean() if n and len(x) else x)
+
+
+@op("waveletReduce")
 def _wavelet(traces, rate, p):
     return kernels.wavelet_reduced(traces, name=p.get("wavelet", "db4"), levels=int(number(p, "levels") or 5), rule=p.get("rule", "universal"), hard=p.get("hard") == "true", stationary=p.get("kind") == "swt")
 
 
-@op("gradient")
+@op("mriGradientCorrection")
 def _gradient(traces, rate, p):
     starts = [int(v) for v in p["starts"].split(",")]
     return kernels.gradient_corrected(traces, rate, starts, int(p["spacing"]), factor=int(number(p, "factor") or 10), scheme=p.get("scheme", "neighbour"))
 
 
-@op("ica")
+@op("icaClean")
 def _ica(traces, rate, p):
     import numpy as np
 
@@ -65,7 +74,7 @@ def _ica(traces, rate, p):
     return kernels.ica_cleaned(traces, rate, positions, tuple(p.get("reject", "Eye,Heart").split(",")), p.get("method", "picard"))
 
 
-@op("artifact")
+@op("artifactClean")
 def _artifact(traces, rate, p):
     return kernels.artifact_cleaned(traces, [{"method": p["method"], "times": [float(t) for t in p["times"].split(",")], "width": int(p["width"]), "components": int(number(p, "components") or 2)}], rate)
 
@@ -77,12 +86,12 @@ class Pipeline:
     steps: list[dict] = field(default_factory=list)
 
     def add(self, name: str, replayable: bool = True, **parameters) -> Pipeline:
-        self.steps.append({"seq": len(self.steps), "op": name, "parameters": {k: str(v) for k, v in parameters.items()}, "replayable": replayable, "note": None})
+        self.steps.append({"seq": len(self.steps), "op": name, "parameters": {k: str(v) for k, v in parameters.items()}, "replayable": replayable, "note": None, "rejections": []})
         return self
 
     def run(self, traces: DataFrame, rate: float) -> DataFrame:
         for s in self.steps:
-            if s["replayable"]:
+            if s["replayable"] and s["op"] in OPS:
                 traces = OPS[s["op"]](traces, rate, s["parameters"])
         return traces
 
@@ -91,4 +100,4 @@ class Pipeline:
 
     @classmethod
     def from_xml(cls, raw: bytes) -> Pipeline:
-        return cls(formats.read_script(raw, frozenset(OPS) | {"epoch", "average", "combine", "note"}))
+        return cls(formats.read_script(raw, VOCABULARY))
