@@ -16,7 +16,7 @@ def per_channel(*keys: str):
 
 def framewise_displacement(motion: DataFrame, radius_mm: float = 50.0) -> DataFrame:
     """Sum of absolute steps of six parameters, rotations as arcs on a sphere; 0 for the first volume."""
-    order = Window.orderBy("volume")  # one row a volume: thousands at most
+    order = Window.partitionBy(*(c for c in ("recording_id",) if c in motion.columns)).orderBy("volume")
     step = lambda c: F.abs(F.col(c) - F.lag(c).over(order))
     arc = math.pi / 180 * radius_mm
     fd = sum((step(c) * arc for c in ("roll", "pitch", "yaw")), F.lit(0.0)) + sum((step(c) for c in ("d_s", "d_l", "d_p")), F.lit(0.0))
