@@ -466,3 +466,9 @@ def test_widening_finds_a_boundary(tokenizer):
     c = tok.TokenCounter(tokenizer)
     for text in ("x" * 2000 + " tail words here " * 20, "word " * 700, "<|endoftext|>" * 90):
         assert tok.count_widening(c, text, 200) == c.library([text])[0] == c.counts([text])[0]
+
+
+def test_native_operators_plan_no_python_and_no_cross_joins(docs):
+    for df in (lines.dedupe_lines(docs), pii.pii_digest(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|MapInArrow|CartesianProduct|NestedLoop", plan)
