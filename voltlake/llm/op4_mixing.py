@@ -93,12 +93,12 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 1_024) -
             got = [features(t or "") for t in picked.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([picked.column("doc_id"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float64()))], names=["doc_id", "at", "value"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, at array<int>, value array<double>").dropDuplicates(["doc_id"]).collect() if chosen else []
-    rows.sort(key=lambda r: r.doc_id)
-    if not rows:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, at array<int>, value array<double>").dropDuplicates(["doc_id"]).toArrow() if chosen else None
+    if rows is None or not rows.num_rows:
         return {"w": np.zeros((BUCKETS + 256, len(DOMAINS))), "b": np.zeros(len(DOMAINS))}
-    y = np.array([chosen[r.doc_id] for r in rows])
-    w, b = fit_softmax([(np.array(r.at), np.array(r.value)) for r in rows], y, len(DOMAINS))
+    rows = rows.sort_by("doc_id").combine_chunks()
+    y = np.array([chosen[d] for d in rows.column("doc_id").to_pylist()])
+    w, b = fit_softmax([(at.values.to_numpy().astype(np.int64), value.values.to_numpy()) for at, value in zip(rows.column("at"), rows.column("value"), strict=True)], y, len(DOMAINS))
     b[[k for k in range(len(DOMAINS)) if not (y == k).any()]] = -1e9
     return {"w": w, "b": b}
 

@@ -94,13 +94,18 @@ class Lexicon:
 
 def mine(rows: list[tuple[list[str], int]], max_keys: int) -> Lexicon:
     """Keys by the likelihood ratio of their presence in toxic and in clean rows, at most ``max_keys`` and the seeds."""
+    size = [sum(toxic == y for _, toxic in rows) for y in (0, 1)]
+    least, scored = 3, []
     counts = (Counter(), Counter())
-    size = [0, 0]
     for words, toxic in rows:
-        counts[toxic].update({s for w in words for s in shapes(w)})
-        size[toxic] += 1
-    scored = []
-    least = 3
+        if toxic:
+            counts[1].update({s for w in words for s in shapes(w)})
+    for key in [k for k, t in counts[1].items() if t < least]:
+        del counts[1][key]
+    wanted = counts[1]
+    for words, toxic in rows:  # keys that no toxic rows share can't be chosen
+        if not toxic:
+            counts[0].update({s for w in words for s in shapes(w) if s in wanted})
     needed = 0.75 * math.log(max(2, sum(t >= least for t in counts[1].values())))  # about one key by chance
     for key, t in counts[1].items():
         c = counts[0].get(key, 0)
@@ -190,7 +195,7 @@ def fit_linear(rows: list[set[int]], target: np.ndarray, weight: np.ndarray, n:
     return w, b
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 2_048, max_keys: int = 1_024) -> dict:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 1_024, max_keys: int = 1_024) -> dict:
     """The scorer's parameters: a lexicon of at most ``max_keys`` keys, weights and an intercept.
 
     At most 2 x ``max_fit_rows`` labelled rows' distinct words, and vote pattern
@@ -212,7 +217,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 2_048,
                 distinct.append(sorted(set(WORD.findall((text or "").lower()))))
             yield pa.RecordBatch.from_arrays([picked.column("doc_id"), pa.array(distinct, pa.list_(pa.string())), pa.array(loud, pa.int64())], names=["doc_id", "words", "loud"])
 
-    rows = sorted(((r.doc_id, r.words, r.loud) for r in texts.mapInArrow(words, "doc_id long, words array<string>, loud long").dropDuplicates(["doc_id"]).collect()), key=lambda r: r[0]) if chosen else []
+    rows = []
+    if chosen:
+        table = texts.mapInArrow(words, "doc_id long, words array<string>, loud long").dropDuplicates(["doc_id"]).toArrow()
+        one = {}  # equal words share a string
+        rows = sorted((d, [one.setdefault(x, x) for x in w.as_py()], n) for d, w, n in zip(table.column("doc_id").to_pylist(), table.column("words"), table.column("loud").to_pylist(), strict=True))
+        del table, one
     labelled = [(w, chosen[d]) for d, w, _ in rows]
     if len({y for _, y in labelled}) < 2:
         lexicon = Lexicon(["=" + s for s in SEEDS], [2.0] * len(SEEDS))
