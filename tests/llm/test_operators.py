@@ -126,6 +126,36 @@ def test_line_chunks_resist_shifts():
     assert len({tuple(c) for c in a} & {tuple(c) for c in b}) >= len(a) - 2
 
 
+def test_every_repeated_passage_goes(docs, empty, spark):
+    rng = random.Random(4)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(25))
+    rows, passages = [], {}
+    for size in (2, 3, 4, 5):
+        for _ in range(6):
+            shared = [line() for _ in range(size)]
+            for copy in range(2):
+                passages[len(rows)] = (shared, copy)
+                rows.append((len(rows), "\n".join([*(line() for _ in range(2)), *shared[:1], *[""][: size % 2], *shared[1:], *(line() for _ in range(2))])))
+    got = {r.doc_id: r for r in lines.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string"), passages=True).collect()}
+    for d, text in rows:
+        shared, copy = passages[d]
+        kept = text.split("\n") if not copy else text.split("\n")[:2] + text.split("\n")[-2:]
+        assert got[d].text.split("\n") == kept and got[d].n_removed_lines == len(text.split("\n")) - len(kept)
+
+    first = {}  # awkward rows against brute force
+    keyed = docs.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("d"), F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("k", F.xxhash64("text"))
+    expected = {}
+    for r in sorted(keyed.collect(), key=lambda r: (r.d, r.k)):
+        ls = r.text.split("\n")
+        solid = [i for i, x in enumerate(ls) if x.strip(" ")]
+        gone = {i for a, b in zip(solid, solid[1:]) if first.setdefault("\n".join(ls[a : b + 1]), (r.d, r.k, a)) != (r.d, r.k, a) for i in range(a, b + 1)}
+        expected[r.d, r.text] = "\n".join(x for i, x in enumerate(ls) if i not in gone)
+    cleaned = lines.dedupe_lines(docs.withColumn("original", F.coalesce("text", F.lit(""))), passages=True).collect()
+    assert len(cleaned) == docs.count() and lines.dedupe_lines(empty, passages=True).count() == 0
+    for r in cleaned:
+        assert (r.text or "") == expected[r.doc_id if r.doc_id is not None else -(2**63) + 1, r.original]
+
+
 # 3
 
 

@@ -6,6 +6,12 @@ them when lines are inserted above. A chunk of at least two lines that occurs in
 more than one place stays where it comes first, by (doc_id, content hash, chunk
 number), and goes everywhere else.
 
+Those boundaries need luck: a short passage inside otherwise different documents
+goes only if one falls before it and one at its end. With ``passages``, the chunks
+are instead all pairs of neighbouring lines that are not blank, so every repeated
+passage of two lines and more goes, wherever it stands; a line goes with any pair
+that has come before, and its first place always stays.
+
 Plan: chunk hashes without text are counted (partial aggregates before the
 shuffle); the texts of chunks whose hash repeats are then grouped by hash and
 bytes, so equal hashes alone remove nothing. Documents are shuffled once, by row
@@ -71,13 +77,27 @@ def with_chunks(text: Column, window: int, divisor: int, body: Callable[[Column,
     return let(F.split(text, "\n", -1), chunks)
 
 
-def removed_chunks(keyed: DataFrame, window: int, divisor: int) -> DataFrame:
-    """k1, k2, removed (chunk numbers), n_removed for the rows of ``keyed`` (k1, k2, text) that lose chunks."""
+def with_passages(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the lines and of all pairs of neighbouring lines that are not blank, as structs like those of ``with_chunks``; blank lines between belong to a pair."""
+
+    def pairs(lines: Column) -> Column:
+        solid = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.trim(F.get(lines, i - 1)) != "")
+
+        def structs(at: Column) -> Column:
+            return F.transform(F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0))), lambda i, k: F.struct(k.alias("no"), i.alias("first"), (F.get(at, k + 1) - i + 1).alias("n")))
+
+        return let(let(solid, structs), lambda c: body(lines, c))
+
+    return let(F.split(text, "\n", -1), pairs)
+
+
+def removed_chunks(keyed: DataFrame, cut: Callable[[Column, Callable[[Column, Column], Column]], Column]) -> DataFrame:
+    """k1, k2, removed (chunk numbers) for the rows of ``keyed`` (k1, k2, text) that lose chunks, as ``cut`` makes them."""
     hashed = keyed.select(
         "k1",
         "k2",
         F.explode(
-            with_chunks(F.col("text"), window, divisor, lambda lines, chunks: F.transform(F.filter(chunks, lambda c: c["n"] >= 2), lambda c: F.struct(c["no"].alias("no"), F.xxhash64(F.slice(lines, c["first"], c["n"])).alias("h"))))
+            cut(F.col("text"), lambda lines, chunks: F.transform(F.filter(chunks, lambda c: c["n"] >= 2), lambda c: F.struct(c["no"].alias("no"), F.xxhash64(F.slice(lines, c["first"], c["n"])).alias("h"))))
         ).alias("chunk"),
     ).select("k1", "k2", "chunk.no", "chunk.h")
     repeated = hashed.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
@@ -88,10 +108,8 @@ def removed_chunks(keyed: DataFrame, window: int, divisor: int) -> DataFrame:
             "k1",
             "k2",
             F.explode(
-                with_chunks(
+                cut(
                     F.col("text"),
-                    window,
-                    divisor,
                     lambda lines, chunks: F.transform(F.col("nos"), lambda no: let(F.get(chunks, no), lambda c: F.struct(no.alias("no"), c["n"].alias("n"), F.concat_ws("\n", F.slice(lines, c["first"], c["n"])).alias("bytes")))),
                 )
             ).alias("chunk"),
@@ -104,26 +122,29 @@ def removed_chunks(keyed: DataFrame, window: int, divisor: int) -> DataFrame:
     return texts.withColumn("j", join_key("h")).join(firsts, ["j", "bytes"]).where(place != F.col("kept")).groupBy("k1", "k2").agg(F.collect_set("no").alias("removed"))
 
 
-def dedupe_lines(docs: DataFrame, window: int = 3, divisor: int = 4, prefix: str = "") -> DataFrame:
+def dedupe_lines(docs: DataFrame, window: int = 3, divisor: int = 4, prefix: str = "", passages: bool = False) -> DataFrame:
     """``docs`` with ``text`` less its repeated chunks, and n_lines, n_removed_lines, n_removed_chunks, each with the prefix.
 
-    Input columns with the name of one of these are replaced.
+    Input columns with the name of one of these are replaced. With ``passages``, all
+    repeated passages of two lines and more go, and pairs of lines count as chunks.
     """
+
+    def cut(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+        return with_passages(text, body) if passages else with_chunks(text, window, divisor, body)
+
     added = [f"{prefix}{c}" for c in ("n_lines", "n_removed_lines", "n_removed_chunks")]
     docs = docs.drop(*added)
     first, second = row_keys()
     keyed = docs.withColumn("__k1", first).withColumn("__k2", second)
-    lost = removed_chunks(keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), text_of().alias("text")), window, divisor)
+    lost = removed_chunks(keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), text_of().alias("text")), cut)
 
     def rest(lines: Column, chunks: Column) -> Column:
-        kept = F.transform(F.array_except(F.transform(chunks, lambda c: c["no"]), F.col("__removed")), lambda no: F.get(chunks, no))
-        return F.struct(
-            F.concat_ws("\n", F.flatten(F.transform(kept, lambda c: F.slice(lines, c["first"], c["n"])))).alias("text"),
-            F.aggregate(kept, F.lit(0), lambda a, c: a + c["n"]).alias("n"),
-        )
+        gone = F.flatten(F.transform(F.col("__removed"), lambda no: let(F.get(chunks, no), lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1))))
+        kept = F.array_except(F.sequence(F.lit(1), F.size(lines)), gone)
+        return let(kept, lambda at: F.struct(F.concat_ws("\n", F.transform(at, lambda i: F.get(lines, i - 1))).alias("text"), F.size(at).alias("n")))
 
     lost = lost.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("removed").alias("__removed"))
-    joined = keyed.join(lost, ["__k1", "__k2"], "left").withColumn("__kept", F.when(F.col("__removed").isNotNull(), with_chunks(text_of(), window, divisor, rest)))
+    joined = keyed.join(lost, ["__k1", "__k2"], "left").withColumn("__kept", F.when(F.col("__removed").isNotNull(), cut(text_of(), rest)))
     n_lines = F.size(F.split(text_of(), "\n", -1)).cast("long")
     gone = F.col("__removed").isNotNull()
     out = joined.select(
