@@ -465,6 +465,30 @@ def test_window_hashes_match_templates():
         assert dec.Canon(8).hashes(t).tolist() == [xxhash.xxh64_intdigest(k) for k in kinds]
 
 
+def test_reparameterised_forms(spark):
+    money = "Anna paid $12 for 3kg of rice at 10:30. Anna then sold 1/2 of the rice with a gain of 15% to a friend. How much did Anna get?"
+    bench = spark.createDataFrame([(1, QUESTION), (2, money), (3, "What is the capital of France?"), (4, "Define photosynthesis")], "item_id long, text string")
+    words = QUESTION.split()
+    rows = [
+        (QUESTION.replace("Rome", "New York"), [1]),
+        (QUESTION.replace("Anna", "Mary Jane").replace("Rome", "San Juan"), [1]),
+        (" ".join([*words[:13], "busy", *words[13:]]), [1]),
+        (" ".join([*words[:12], *words[13:]]), [1]),
+        (money.replace("$12", "$30.50").replace("3kg", "14 kg").replace("10:30", "9:15").replace("1/2", "3/4").replace("15%", "20%"), [2]),
+        ("Talk. " + money.replace("Anna", "Boris"), [2]),
+        (money.replace("Anna then", "Boris then"), []),
+        ("What is the capital of Peru?", [3]),
+        ("This is the capital of Peru.", []),
+        ("However photosynthesis", []),
+        ("We read: Define photosynthesis now", [4]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: [x.item_id for x in r["items"]] for r in dec.contaminated(docs, bench).collect()}
+    assert [got[i] for i in range(len(rows))] == [x for _, x in rows]
+    for t in (money, "New York, Rome (Paris) 3 1/2 km 4 , 5 ... The Hague 10% % 7 . m", "...", "3 ... 4 kg"):
+        assert dec.Canon(8).hashes(t).tolist() == [dec.Canon(8).hash(k) for k in dec.template(t)[0]]
+
+
 # 10
 
 

@@ -1,15 +1,20 @@
 """Benchmark decontamination by template canonicalisation.
 
-Tokens become template tokens: numbers are <num>, capitalised words inside a
-sentence <name>, unit words after a number <unit>, other words their lower case
-without punctuation. Windows of ``window`` template tokens of the benchmark
-items are hash-joined with those of the documents. An alignment of an item in a
-document (windows at the same distance) counts if the windows found there cover
-at least ``coverage`` of the item's tokens and its slots are consistent: a
-one-to-one renaming of the item's names and units to the document's, and equal
-item numbers stand for equal document numbers. So a question whose numbers and
-names were exchanged throughout is caught, an unrelated text of the same shape
-with clashing slots isn't.
+Tokens become template tokens: numbers, with their currency signs, percent signs
+and units, are <num>, capitalised words that are no function words <name>, other
+words their lower case without punctuation. Neighbouring numbers and neighbouring
+names without punctuation between are one token, so 'Rome' and 'New York' are one
+each. Windows of ``window`` template tokens of the benchmark items are hash-joined
+with those of the documents. Windows found at the same distance of item and
+document form segments, and segments chain over shifts of up to ``window`` tokens,
+so inserted and dropped words break no alignment. An alignment counts if it covers
+at least ``coverage`` of the item's tokens and its slots are consistent where it
+covers them: a one-to-one renaming of the item's names and units to the document's,
+and equal item numbers stand for equal document numbers. A changed word at the
+start of a sentence may be no name: unless the item repeats it, it isn't counted as
+covered, and items shorter than the window may hold none. So a question whose
+numbers and names were exchanged throughout is caught, an unrelated text of the
+same shape with clashing slots isn't.
 
 The benchmark's window hashes are broadcast only up to ``max_broadcast`` windows
 (counted first); beyond that, the same functions run as a shuffle join on the
@@ -37,51 +42,64 @@ from voltlake.llm.op7_jaccard import _mix
 
 #: Words that are units when a number stands before them.
 UNITS = ("km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "s", "ms", "h", "min", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "year", "miles", "mile", "feet", "foot", "inches", "pounds", "dollars", "dollar", "euros", "euro", "cents", "percent", "%", "$", "€", "°c", "°f", "mph", "kmh", "w", "kw", "v", "a", "hz", "j", "n")
-NUMBER = re.compile(r"^[+-]?(?:\d[\d,.]*|\.\d+)$")
+NUMBER = re.compile(r"^[+-]?([$€£]?)[+-]?((?:\d[\d,.]*|\.\d+)(?:[/:–-]\d[\d,.]*)*)(%s)?$" % "|".join(re.escape(u) for u in sorted(UNITS, key=len, reverse=True)), re.IGNORECASE)
+SIGNS = {"$": "dollar", "€": "euro", "£": "pound", "%": "percent"}
+#: Capitalised words that begin sentences without being names.
+FUNCTION = frozenset(
+    "a an the if when what which who whose whom where why how is are was were do does did can could will would should may might must has have had in on at of for from to by with after before during while since as and or but so then there this that these those it its he she they we you i his her their our your my not no yes each every all some any both one two "
+    "der die das den dem des ein eine einen wenn wann was welche welcher welches wer wo warum wie ist sind war im in am an auf von für aus zu mit nach vor und oder aber dann es er sie wir ihr ich nicht "
+    "le la les l un une des si quand que quel quelle qui où pourquoi comment est sont dans en sur de du pour par avec après avant et ou mais il elle ils elles nous vous je ne "
+    "el los las una unos si cuando qué cuál quién dónde por cómo es son en del para con después antes y o pero él ella ellos nosotros yo no".split()
+)
+BREAKS = ".,;:!?)]}»”"
 STRIP = ".,;:!?\"'()[]{}<>«»“”„’"
 MEMO_WORDS = 200_000
 
 
-def template(text: str) -> tuple[list[str], list[str]]:
-    """Template tokens and the words they stand for."""
+def _kind(word: str) -> str:
+    if not word[0].isalpha() and NUMBER.match(word):
+        return "<num>"
+    low = word.lower()
+    return "<name>" if word[0].isupper() and low not in FUNCTION else low
+
+
+def template(text: str) -> tuple[list[str], list[tuple[str, bool]]]:
+    """Template tokens, and for each the words it stands for and whether it begins a sentence."""
     kinds, values = [], []
-    fresh = True
+    fresh, gap, last = True, True, ""
     for raw in text.split():
         word = raw.strip(STRIP)
         if word:
-            if NUMBER.match(word):
-                kinds.append("<num>")
-            elif word.lower() in UNITS and kinds and kinds[-1] == "<num>":
-                kinds.append("<unit>")
-            elif word[0].isupper() and not fresh:
-                kinds.append("<name>")
+            kind = _kind(word)
+            if not gap and (kind == last and kind in ("<num>", "<name>") or last == "<num>" and word.lower() in UNITS):
+                values[-1] = (f"{values[-1][0]} {word}", values[-1][1])
             else:
-                kinds.append(word.lower())
-            values.append(word)
+                kinds.append(kind)
+                values.append((word, fresh))
+            last, gap = kind, False
+        gap = gap or raw[-1] in BREAKS
         fresh = raw[-1] in ".!?:" or (fresh and not word)
     return kinds, values
 
 
 class Canon:
-    """Window hashes of texts. Words that look the same wherever they stand are hashed through a bounded memo."""
+    """Window hashes of texts. Words look the same wherever they stand and are hashed through a bounded memo."""
 
     def __init__(self, window: int):
         import xxhash
 
         self.window, self.hash = window, xxhash.xxh64_intdigest
         self.memo: dict[str, int] = {}
-        self.first, self.later, self.ends = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, bool)
-        self.slots = {k: self.hash(k) for k in ("<num>", "<unit>", "<name>")}
+        self.word, self.flags = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
+        self.slots = {k: self.hash(k) for k in ("<num>", "<name>")}
 
-    def _entry(self, raw: str) -> tuple[int, int, bool]:
-        """Hash as a sentence's first word, as a later one (0: no token), and whether it ends a sentence."""
-        word, ends = raw.strip(STRIP), raw[-1] in ".!?:"
+    def _entry(self, raw: str) -> tuple[int, int]:
+        """Hash (0: no token), and flags: 1 number, 2 name, 4 unit word, 8 followed by a break."""
+        word, gap = raw.strip(STRIP), 8 * (raw[-1] in BREAKS)
         if not word:
-            return 0, 0, ends
-        if NUMBER.match(word):
-            return self.slots["<num>"], self.slots["<num>"], ends
-        plain = self.hash(word.lower())
-        return plain, self.slots["<name>"] if word[0].isupper() else plain, ends
+            return 0, gap
+        kind = _kind(word)
+        return self.slots.get(kind) or self.hash(kind), (kind == "<num>") + 2 * (kind == "<name>") + 4 * (word.lower() in UNITS) + gap
 
     def _learn(self, words: set[str]) -> None:
         if len(self.memo) > MEMO_WORDS:
@@ -89,10 +107,10 @@ class Canon:
         for w in words:
             if w not in self.memo:
                 k = len(self.memo)
-                if k == len(self.first):
-                    self.first, self.later, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.later, self.ends))
+                if k == len(self.word):
+                    self.word, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.word, self.flags))
                 self.memo[w] = k
-                self.first[k], self.later[k], self.ends[k] = self._entry(w)
+                self.word[k], self.flags[k] = self._entry(w)
 
     def hashes(self, text: str) -> np.ndarray:
         raw = text.split()
@@ -103,21 +121,17 @@ class Canon:
         except KeyError:
             self._learn(set(raw))
             at = np.fromiter(map(self.memo.__getitem__, raw), np.int64, len(raw))
-        first, later, ends = self.first[at], self.later[at], self.ends[at]
-        token = first != 0
-        # a word is a sentence's first if the words since the last end hold no token
-        start = np.r_[True, ends[:-1]]
-        last = np.maximum.accumulate(np.where(start, np.arange(len(raw)), 0))
-        before = np.r_[0, np.cumsum(token)]
-        fresh = before[np.arange(len(raw))] == before[last]
-        h = np.where(fresh, first, later)[token]
-        number = h == self.slots["<num>"]
-        if number.any():
-            words = [w for w, t in zip(raw, token, strict=True) if t]
-            for k in np.flatnonzero(number[:-1]) + 1:
-                if words[k].strip(STRIP).lower() in UNITS and not number[k]:
-                    h[k] = self.slots["<unit>"]
-        return h
+        h, flags = self.word[at], self.flags[at]
+        token = h != 0
+        if not token.all():  # breaks of words without a token count for the token before
+            k = np.flatnonzero(token)
+            breaks = np.r_[0, np.cumsum(flags >> 3)]
+            after = np.r_[k[1:], len(raw)][: len(k)]
+            h, flags = h[k], (flags[k] & 7) | ((breaks[after] > breaks[k]).astype(np.uint8) << 3)
+        # a number or name goes on in the next word of its kind, a number in its unit, if no break stands between
+        a, b = flags[:-1], flags[1:]
+        apart = ((a & (b | b >> 2 & 1) & 3) == 0) | (a > 7)
+        return h if apart.all() else np.r_[h[:1], h[1:][apart]]
 
     def windows(self, h: np.ndarray) -> np.ndarray:
         w = min(self.window, len(h))
@@ -129,41 +143,125 @@ class Canon:
         return _mix(out)
 
 
-def consistent(item: tuple[list[str], list[str]], doc: tuple[list[str], list[str]], at: int) -> bool:
-    """Whether the slots of an aligned item map one to one (numbers: as a function) to the document's."""
+def _number(value: str) -> tuple[str, str]:
+    """A number token's number and unit, in one spelling."""
+    number, unit = "", ""
+    for word in value.split():
+        found = NUMBER.match(word)
+        number += " " * bool(number) + found[2] if found else ""
+        unit = (found[1] or found[3] or unit if found else word).lower()
+    unit = SIGNS.get(unit, unit)
+    return number.strip(".,"), unit[:-1] if len(unit) > 3 and unit.endswith("s") else unit
+
+
+def _names(mine: str, other: str) -> list[tuple[str, str]]:
+    """Which words of two names stand for each other: one by one, or as a whole if their numbers differ."""
+    a, b = mine.lower().split(), other.lower().split()
+    if len(a) == len(b):
+        return list(zip(a, b, strict=True))
+    while len(a) > 1 and len(b) > 1 and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while len(a) > 1 and len(b) > 1 and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    return [(" ".join(a), " ".join(b))]
+
+
+def consistent(item: tuple[list[str], list[tuple[str, bool]]], doc: tuple[list[str], list[tuple[str, bool]]], pairs: dict[int, int]) -> int | None:
+    """Of aligned positions (item's: document's): None if slots don't map one to one (numbers: as a function), else how many are words at sentence starts that changed and that the item doesn't repeat."""
     there: dict[tuple[str, str], str] = {}
     back: dict[tuple[str, str], str] = {}
-    for k, (kind, value) in enumerate(zip(*item, strict=True)):
-        if not 0 <= at + k < len(doc[0]) or kind[0] != "<" or doc[0][at + k] != kind:
-            continue
-        mine, other = value.lower(), doc[1][at + k].lower()
-        if there.setdefault((kind, mine), other) != other:
-            return False
-        if kind != "<num>" and back.setdefault((kind, other), mine) != mine:
-            return False
-    return True
-
 
-def matched_items(text: str, canon: Canon, positions: np.ndarray, owners: list[list[tuple[int, int]]], items: dict[int, tuple[list[str], list[str]]], coverage: float) -> list[tuple[int, float]]:
+    def fits(kind: str, mine: str, other: str) -> bool:
+        return there.setdefault((kind, mine), other) == other and (kind == "<num>" or back.setdefault((kind, other), mine) == mine)
+
+    doubtful = []
+    for k, at in pairs.items():
+        kind, (value, first) = item[0][k], item[1][k]
+        if kind == "<num>":
+            (mine, unit), (other, its) = _number(value), _number(doc[1][at][0])
+            if not fits(kind, mine, other) or (unit and its and not fits("<unit>", unit, its)):
+                return None
+        elif kind == "<name>":
+            same = _names(value, doc[1][at][0])
+            if not all(fits(kind, *x) for x in same):
+                return None
+            if first and same[0][0] != same[0][1]:
+                doubtful.append(same[0][0].split()[0])
+    if not doubtful:
+        return 0
+    uses = [w for kind, (value, _) in zip(*item, strict=True) if kind == "<name>" for w in value.lower().split()]
+    return sum(uses.count(w) < 2 for w in doubtful)
+
+
+def alignments(hits: list[tuple[int, int]], w: int, length: int) -> list[dict[int, int]]:
+    """Item's positions to the document's, by alignment, of the windows (document's, item's place) found: all of one distance, and chains over shifts."""
+    runs: dict[int, list[int]] = defaultdict(list)
+    for p, q in hits:
+        runs[p - q].append(q)
+    out, segments = [], []
+    for at, qs in runs.items():
+        qs = sorted(set(qs))
+        out.append({x: x + at for q in qs for x in range(q, q + w)})
+        start = qs[0]
+        for a, b in zip(qs, [*qs[1:], None], strict=True):
+            if b is None or b > a + w:
+                segments.append((start + at, start, a + w - start))
+                start = b
+    segments.sort()
+    best: list[tuple[int, int]] = []  # tokens covered by the best chain to a segment, and its segment before
+    for j, (p, q, n) in enumerate(segments):
+        top = (n, -1)
+        for i in range(j - 1, -1, -1):
+            pi, qi, ni = segments[i]
+            if p - pi > length + w:
+                break
+            shift = (p - q) - (pi - qi)
+            lost = max(0, qi + ni - q, pi + ni - p)  # a token stands for one token only
+            if shift and abs(shift) <= w and qi < q and pi < p and lost < n and best[i][0] + n - lost > top[0]:
+                top = (best[i][0] + n - lost, i)
+        best.append(top)
+    for j, (_, i) in enumerate(best):
+        if i >= 0:
+            chain = [j]
+            while best[chain[-1]][1] >= 0:
+                chain.append(best[chain[-1]][1])
+            pairs: dict[int, int] = {}
+            nq = np_ = -1
+            for p, q, n in (segments[k] for k in reversed(chain)):
+                skip = max(0, nq - q, np_ - p)
+                pairs.update((q + x, p + x) for x in range(skip, n))
+                nq, np_ = q + n, p + n
+            out.append(pairs)
+    return out
+
+
+def matched_items(text: str, canon: Canon, positions: np.ndarray, owners: list[list[tuple[int, int]]], items: dict[int, tuple[list[str], list[tuple[str, bool]]]], coverage: float) -> list[tuple[int, float]]:
     """(item, covered share) of the items that an alignment supports. positions: the document's windows found in the benchmark."""
-    runs: dict[tuple[int, int], set[int]] = defaultdict(set)
+    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for p, owner in zip(positions.tolist(), owners, strict=True):
         for item, q in owner:
-            w = min(canon.window, len(items[item][0]))
-            runs[item, p - q].update(range(q, q + w))
+            found[item].append((p, q))
     best: dict[int, float] = {}
     doc = None
-    for (item, at), covered in sorted(runs.items(), key=lambda x: (-len(x[1]), x[0])):
-        share = len(covered) / len(items[item][0])
-        if share < coverage or share <= best.get(item, 0.0):
+    for item, hits in found.items():
+        length = len(items[item][0])
+        w = min(canon.window, length)
+        if len({q for _, q in hits}) * w < coverage * length:
             continue
-        doc = doc or template(text)
-        if consistent(items[item], doc, at):
-            best[item] = share
+        for pairs in sorted(alignments(hits, w, length), key=len, reverse=True):
+            if len(pairs) < coverage * length or len(pairs) / length <= best.get(item, 0.0):
+                break
+            doc = doc or template(text)
+            doubtful = consistent(items[item], doc, pairs)
+            if doubtful is None or (doubtful and length < canon.window):
+                continue
+            share = (len(pairs) - doubtful) / length
+            if share >= coverage:
+                best[item] = max(share, best.get(item, 0.0))
     return sorted(best.items())
 
 
-def _index(items: dict[int, tuple[list[str], list[str]]], window: int) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+def _index(items: dict[int, tuple[list[str], list[tuple[str, bool]]]], window: int) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
     import xxhash
 
     canon, found = Canon(window), defaultdict(list)
