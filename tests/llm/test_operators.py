@@ -489,6 +489,14 @@ def test_reparameterised_forms(spark):
         assert dec.Canon(8).hashes(t).tolist() == [dec.Canon(8).hash(k) for k in dec.template(t)[0]]
 
 
+def test_both_forms_find_the_same(spark):
+    bench = spark.createDataFrame([(1, QUESTION), (4, "Two short words"), (5, "one"), (6, "Where was Anna born?")], "item_id long, text string")
+    texts = ["now Two short words here", "Two short words", "one", "only one of many words in a rather long text", "Where was Boris born?", "I ask: Where was Mary Jane born? Two short words.", QUESTION + " Where was Rome born?", "short words", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near, far = ({r.doc_id: [tuple(x) for x in r["items"]] for r in dec.contaminated(docs, bench, max_broadcast=limit).collect()} for limit in (2_000_000, 0))
+    assert near == far and [[k for k, _ in far[i]] for i in range(len(texts))] == [[4], [4], [5], [5], [6], [4, 6], [1, 6], [], [], []]
+
+
 # 10
 
 

@@ -325,19 +325,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverag
 def _contaminated_by_shuffle(docs: DataFrame, questions: DataFrame, window: int, coverage: float, keep: tuple[str, ...], name: str) -> DataFrame:
     """The form for large benchmarks: windows of both sides are joined on their hash, alignments checked by pair."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon(window)
+        for batch in batches:
+            found = {min(window, len(canon.hashes(t.as_py()))) for t in batch.column("text")}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["n"])
+
+    short = sorted(r.n for r in questions.select("text").mapInArrow(lengths, "n long").distinct().where(f"0 < n AND n < {window}").collect())  # fewer than window
+
+    def windows(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...] = ()) -> Iterator[pa.RecordBatch]:
+        canon, small = Canon(window), [Canon(k) for k in widths]
         for batch in batches:
             for one in range(batch.num_rows):
                 row = batch.slice(one, 1)
-                w = canon.windows(canon.hashes(row.column("text")[0].as_py()))
-                yield pa.RecordBatch.from_arrays([pa.repeat(row.column("k")[0], len(w)), pa.array(w.view(np.int64)), pa.array(np.arange(len(w)), pa.int64())], names=["k", "h", "p"])
+                h = canon.hashes(row.column("text")[0].as_py())
+                for c in (canon, *(c for c in small if c.window < len(h))):
+                    w = c.windows(h)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(row.column("k")[0], len(w)), pa.array(w.view(np.int64)), pa.array(np.arange(len(w)), pa.int64())], names=["k", "h", "p"])
+
+    def all_widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return windows(batches, tuple(short))
 
     keyed = docs.withColumn("__k", F.xxhash64("__text"))  # equal texts have equal matches
     texts = keyed.groupBy(F.col("__k").alias("k"), F.col("__text").alias("text")).agg(F.count("*").alias("copies")).drop("copies")
     asked = questions.withColumn("k", F.xxhash64("item_id", "text"))
-    mine = texts.mapInArrow(windows, "k long, h long, p long")
-    theirs = asked.select("k", "text").mapInArrow(windows, "k long, h long, p long").select("h", F.col("k").alias("item"), F.col("p").alias("q"))
+    mine = texts.mapInArrow(all_widths, "k long, h long, p long")
+    theirs = asked.select("k", "text").mapInArrow(lambda batches: windows(batches), "k long, h long, p long").select("h", F.col("k").alias("item"), F.col("p").alias("q"))
     pairs = mine.join(theirs, "h").groupBy("k", "item").agg(F.collect_set(F.struct("p", "q")).alias("at"))
     held = pairs.join(texts, "k").join(asked.select(F.col("k").alias("item"), "item_id", F.col("text").alias("question")), "item")
 
