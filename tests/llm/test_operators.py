@@ -226,6 +226,15 @@ def test_projected_steps_match_a_direct_solver(spark):
     assert loss(r) <= loss(best) + 1e-6 and len(f["steps"]) < 60
 
 
+def test_mixing_meets_targets_of_rare_domains(spark):
+    cells = spark.createDataFrame([([100, 0, 0], 500_000), ([90, 10, 0], 200_000), ([0, 100, 0], 200_000), ([10, 90, 0], 100_000), ([0, 0, 100], 100)], "cell array<int>, tokens long")
+    f = mixing.fit_rates(cells, {"good": 0.9, "junk": 0.09, "toxic": 0.01})
+    assert np.allclose(f["reached"] / f["reached"].sum(), [0.9, 0.09, 0.01], atol=1e-3) and f["unmet"] == []
+    for options, rows in (({"most": 8.0}, cells), ({}, cells.where("cell[2] = 0"))):
+        with pytest.warns(UserWarning, match="toxic 0.0[0-9]* of 0.01"):
+            assert "toxic" in mixing.fit_rates(rows, {"good": 0.9, "junk": 0.09, "toxic": 0.01}, **options)["unmet"]
+
+
 def test_mixing_edges(docs, empty, spark):
     labels = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (None, 1, 1), (4, 7, 0)], "doc_id long, quality int, toxic int")
     got = mixing.mix(docs, labels, {"good": 1.0}, tuple(c for c in docs.columns if c != "text"))

@@ -12,6 +12,9 @@
    a table of posteriors; a rate is refolded from the residuals so far, so no
    state is kept on executors and a lost one costs a recomputation only.
 
+Rates have no upper bound: what is left of a rare domain is repeated as often as its
+target needs. Targets that are missed all the same are told by a warning.
+
 Every document is kept; a rate of 0 leaves it out of the mix, 2 repeats it.
 Edge cases: null and empty texts have no tokens, the posterior of an empty text
 and its rate; a domain without labelled rows has no posterior, its target can't
@@ -23,6 +26,8 @@ columns pass through; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -145,8 +150,13 @@ def _folded(p: np.ndarray, steps: list[np.ndarray], eta: float, ridge: float, mo
     return r, ahead
 
 
-def fit_rates(cells: DataFrame, targets: dict[str, float], total: float | None = None, ridge: float = 1e-3, most: float = 8.0, rounds: int = 80, tolerance: float = 1e-4, grid: float = 0.01) -> dict:
-    """Residual history of the projected gradient for ``cells`` (cell, tokens); shares of domains that can't be reached are left out."""
+def fit_rates(cells: DataFrame, targets: dict[str, float], total: float | None = None, ridge: float = 1e-3, most: float = math.inf, rounds: int = 80, tolerance: float = 1e-4, grid: float = 0.01, slack: float = 1e-3) -> dict:
+    """Residual history of the projected gradient for ``cells`` (cell, tokens); shares of domains that can't be reached are left out.
+
+    ``reached`` and ``wanted`` are tokens by domain; ``unmet`` names domains that miss
+    their target by more than ``slack`` of all tokens, and a warning tells of them.
+    Rates have no upper bound but for ``most``.
+    """
     k = len(DOMAINS)
 
     def summed(steps: list[np.ndarray], eta: float) -> np.ndarray:
@@ -169,7 +179,7 @@ def fit_rates(cells: DataFrame, targets: dict[str, float], total: float | None =
     present = summed([], 1.0)[0]
     tokens = present.sum()
     if not tokens:
-        return {"steps": [], "eta": 1.0, "ridge": ridge, "most": most, "reached": present, "wanted": present}
+        return {"steps": [], "eta": 1.0, "ridge": ridge, "most": most, "reached": present, "wanted": present, "unmet": []}
     total = total or tokens
     want = np.array([targets.get(d, 0.0) for d in DOMAINS])
     live = present > 1e-6 * tokens
@@ -188,7 +198,13 @@ def fit_rates(cells: DataFrame, targets: dict[str, float], total: float | None =
         reached, ahead = summed(steps, eta)
         if len(steps) > 3 and np.abs(reached - before).max() < tolerance * tokens:
             break
-    return {"steps": steps, "eta": eta, "ridge": ridge, "most": most, "reached": reached, "wanted": want}
+    asked = np.array([targets.get(d, 0.0) for d in DOMAINS])
+    asked = asked / max(1e-12, asked.sum()) * total
+    unmet = [d for d, x, y in zip(DOMAINS, reached, asked, strict=True) if abs(x - y) > slack * total]
+    if unmet:
+        told = ", ".join(f"{d} {x / total:.4f} of {y / total:.4f}" for d, x, y in zip(DOMAINS, reached, asked, strict=True) if d in unmet)
+        warnings.warn(f"mixing targets not met, shares reached of wanted: {told}", stacklevel=2)
+    return {"steps": steps, "eta": eta, "ridge": ridge, "most": most, "reached": reached, "wanted": want, "unmet": unmet}
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = ("doc_id",), grid: float = 0.01, **options) -> DataFrame:
