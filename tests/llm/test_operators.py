@@ -458,9 +458,9 @@ def test_reparameterised_questions(spark):
     clash = copy.replace("does Boris", "does Clara")
     rows = [(0, "Intro words. " + QUESTION + " Outro."), (1, "Some talk first. " + copy), (2, "Some talk first. " + clash), (3, "Nothing like it at all in this text"), (4, None), (5, ""), (6, "now Two short words here")]
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, items string")
-    for limit in (2_000_000, 0):
-        got = {r.doc_id: [x.item_id for x in r["items"]] for r in dec.contaminated(docs, bench, max_broadcast=limit).collect()}
-        assert got[0] == [1] and got[1] == [1] and got[2] == [] and got[3] == got[4] == got[5] == [], limit
+    for bits in (24, 6):
+        got = {r.doc_id: [x.item_id for x in r["items"]] for r in dec.contaminated(docs, bench, filter_bits=bits).collect()}
+        assert [got[i] for i in range(7)] == [[1], [1], [], [], [], [], [4]], bits
     assert dec.contaminated(docs.where("false"), bench).count() == 0
     assert dec.contaminated(docs, bench.where("false")).where(F.size("items") > 0).count() == 0
     assert dec.contaminated(docs, bench, keep=("doc_id", "items", "text")).columns == ["doc_id", "text", "items"]
@@ -498,11 +498,40 @@ def test_reparameterised_forms(spark):
         assert dec.Canon(8).hashes(t).tolist() == [dec.Canon(8).hash(k) for k in dec.template(t)[0]]
 
 
-def test_both_forms_find_the_same(spark):
+def template_truth(texts, items, window=8, coverage=0.6):
+    """Brute force: every pair of places of the two templates at which a window is equal, then the alignment."""
+    out = []
+    for text in texts:
+        kinds, values = dec.template(text or "")
+        found = []
+        for item_id, question in items:
+            item = dec.template(question)
+            w = min(window, len(item[0]))
+            hits = [(p, q) for p in range(len(kinds) - w + 1) for q in range(len(item[0]) - w + 1) if kinds[p : p + w] == item[0][q : q + w]]
+            share = dec.aligned_share(item, dict(enumerate(v for v, _ in values)), hits, window, coverage)
+            if share is not None:
+                found.append((item_id, share))
+        out.append(sorted(found))
+    return out
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(12)
+    words = ["Anna", "Boris", "buys", "3", "12", "kg", "of", "rice", "in", "Rome", "then", "sells", "the", "rest", "for", "$5", "to", "friends", "every", "day."]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([2, 5, 9, 14, 30])))) for i in range(25)]
+    texts = [" ".join([*(rng.choice(words) for _ in range(20)), *rng.choice(items)[1].replace("Anna", "Mary Jane").replace("12", "99").split(), *(rng.choice(words) for _ in range(20))]) for _ in range(60)]
+    texts += texts[:5] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r["items"]] for r in dec.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = template_truth(texts, items)
+    assert [got[i] for i in range(len(texts))] == want and sum(map(bool, want)) > 40
+
+
+def test_every_filter_size_finds_the_same(spark):
     bench = spark.createDataFrame([(1, QUESTION), (4, "Two short words"), (5, "one"), (6, "Where was Anna born?")], "item_id long, text string")
     texts = ["now Two short words here", "Two short words", "one", "only one of many words in a rather long text", "Where was Boris born?", "I ask: Where was Mary Jane born? Two short words.", QUESTION + " Where was Rome born?", "short words", "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    near, far = ({r.doc_id: [tuple(x) for x in r["items"]] for r in dec.contaminated(docs, bench, max_broadcast=limit).collect()} for limit in (2_000_000, 0))
+    near, far = ({r.doc_id: [tuple(x) for x in r["items"]] for r in dec.contaminated(docs, bench, filter_bits=bits).collect()} for bits in (24, 6))
     assert near == far and [[k for k, _ in far[i]] for i in range(len(texts))] == [[4], [4], [5], [5], [6], [4, 6], [1, 6], [], [], []]
 
 

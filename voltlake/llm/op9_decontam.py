@@ -16,14 +16,19 @@ covered, and items shorter than the window may hold none. So a question whose
 numbers and names were exchanged throughout is caught, an unrelated text of the
 same shape with clashing slots isn't.
 
-The benchmark's window hashes are broadcast only up to ``max_broadcast`` windows
-(counted first); beyond that, the same functions run as a shuffle join on the
-hash, with the document side split by skewed-join handling.
+Plan, the same for any benchmark: windows of both sides are hash-joined, and the
+planner picks the join's form by the benchmark's size. Before the join, documents'
+windows pass a Bloom filter of ``filter_bits`` (fixed size, so what is broadcast has
+a bound; a fuller one lets more windows through to the join, which decides). Windows
+carry the words of their slots, so no text is shuffled for the alignment, and those
+of equal texts, known by 128 bits of hash, are collapsed before it. Only hits of one
+document on one item come together.
 
 Edge cases: null and empty texts match nothing; items of fewer than ``window``
-tokens are one window of all their tokens; empty items match nothing; items with
-equal templates are all tried; repeated rows give repeated results; extra columns
-of either table are ignored; an empty benchmark flags nothing.
+tokens are one window of all their tokens; empty items match nothing; items without
+an id are reported with a null one; items with equal templates are all tried, and of
+items that share an id the best counts; repeated rows give repeated results; extra
+columns of either table are ignored; an empty benchmark flags nothing.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import text_of
+from voltlake.llm.common import materialise, text_of
 from voltlake.llm.op7_jaccard import _mix
 
 #: Words that are units when a number stands before them.
@@ -166,7 +171,7 @@ def _names(mine: str, other: str) -> list[tuple[str, str]]:
     return [(" ".join(a), " ".join(b))]
 
 
-def consistent(item: tuple[list[str], list[tuple[str, bool]]], doc: tuple[list[str], list[tuple[str, bool]]], pairs: dict[int, int]) -> int | None:
+def consistent(item: tuple[list[str], list[tuple[str, bool]]], words: dict[int, str], pairs: dict[int, int]) -> int | None:
     """Of aligned positions (item's: document's): None if slots don't map one to one (numbers: as a function), else how many are words at sentence starts that changed and that the item doesn't repeat."""
     there: dict[tuple[str, str], str] = {}
     back: dict[tuple[str, str], str] = {}
@@ -178,11 +183,11 @@ def consistent(item: tuple[list[str], list[tuple[str, bool]]], doc: tuple[list[s
     for k, at in pairs.items():
         kind, (value, first) = item[0][k], item[1][k]
         if kind == "<num>":
-            (mine, unit), (other, its) = _number(value), _number(doc[1][at][0])
+            (mine, unit), (other, its) = _number(value), _number(words[at])
             if not fits(kind, mine, other) or (unit and its and not fits("<unit>", unit, its)):
                 return None
         elif kind == "<name>":
-            same = _names(value, doc[1][at][0])
+            same = _names(value, words[at])
             if not all(fits(kind, *x) for x in same):
                 return None
             if first and same[0][0] != same[0][1]:
@@ -235,138 +240,127 @@ def alignments(hits: list[tuple[int, int]], w: int, length: int) -> list[dict[in
     return out
 
 
-def matched_items(text: str, canon: Canon, positions: np.ndarray, owners: list[list[tuple[int, int]]], items: dict[int, tuple[list[str], list[tuple[str, bool]]]], coverage: float) -> list[tuple[int, float]]:
-    """(item, covered share) of the items that an alignment supports. positions: the document's windows found in the benchmark."""
-    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for p, owner in zip(positions.tolist(), owners, strict=True):
-        for item, q in owner:
-            found[item].append((p, q))
-    best: dict[int, float] = {}
-    doc = None
-    for item, hits in found.items():
-        length = len(items[item][0])
-        w = min(canon.window, length)
-        if len({q for _, q in hits}) * w < coverage * length:
+def aligned_share(item: tuple[list[str], list[tuple[str, bool]]], words: dict[int, str], hits: list[tuple[int, int]], window: int, coverage: float) -> float | None:
+    """Covered share of the item by the best alignment of the windows (document's, item's place) found that its slots support. words: the document's, by place, where windows were found."""
+    length, best = len(item[0]), None
+    for pairs in sorted(alignments(hits, min(window, length), length), key=len, reverse=True):
+        if len(pairs) < coverage * length or (best is not None and len(pairs) / length <= best):
+            break
+        doubtful = consistent(item, words, pairs)
+        if doubtful is None or (doubtful and length < window):
             continue
-        for pairs in sorted(alignments(hits, w, length), key=len, reverse=True):
-            if len(pairs) < coverage * length or len(pairs) / length <= best.get(item, 0.0):
-                break
-            doc = doc or template(text)
-            doubtful = consistent(items[item], doc, pairs)
-            if doubtful is None or (doubtful and length < canon.window):
-                continue
-            share = (len(pairs) - doubtful) / length
-            if share >= coverage:
-                best[item] = max(share, best.get(item, 0.0))
-    return sorted(best.items())
+        share = (len(pairs) - doubtful) / length
+        if share >= coverage and (best is None or share > best):
+            best = share
+    return best
 
 
-def _index(items: dict[int, tuple[list[str], list[tuple[str, bool]]]], window: int) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-    import xxhash
+MATCHES = "array<struct<item_id: long, coverage: double>>"
 
-    canon, found = Canon(window), defaultdict(list)
-    for item, (kinds, _) in items.items():
-        h = np.array([xxhash.xxh64_intdigest(k) for k in kinds], np.uint64)
-        for q, x in enumerate(canon.windows(h).tolist()):
-            found[x].append((item, q))
-    keys = sorted(found)
-    return np.array(keys, np.uint64), [found[k] for k in keys]
 
+def _bits(h: np.ndarray, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each window hash in the filter of 2^filter_bits bits."""
+    mask = np.uint64((1 << filter_bits) - 1)
+    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
-MATCHES = "array<struct<item_id: long, coverage: double>>"
-MATCH = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
 
+def _item_windows(window: int, filter_bits: int):
+    """Rows of items (item, text): a row a window with hash, place and item length, and a row a 64-bit word of the filter it sets."""
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.6, max_broadcast: int = 2_000_000, keep: tuple[str, ...] = ("doc_id",), name: str = "items") -> DataFrame:
-    """``keep`` columns (but for one of the list's name) and items (item_id and covered share of each benchmark item found) for every row of ``docs``."""
-    keep = tuple(c for c in keep if c != name)
-    kept = docs.select(*keep, text_of().alias("__text"))
-    questions = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where("item_id IS NOT NULL AND text != ''").distinct()
-    if (questions.agg(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] or 0) > max_broadcast:
-        return _contaminated_by_shuffle(kept, questions, window, coverage, keep, name)
-    rows = sorted((r.item_id, r.text) for r in questions.collect())
-    items = {k: t for k, (_, text) in enumerate(rows) if (t := template(text))[0]}
-    ids = [i for i, _ in rows]
-    keys, owners = _index(items, window)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon = Canon(window)
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text"), strict=True):
+                tokens = canon.hashes(text.as_py())
+                h = canon.windows(tokens)
+                if not len(h):
+                    continue
+                at = np.unique(np.concatenate(_bits(h, filter_bits)))
+                words, first = np.unique(at >> 6, return_index=True)
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first).view(np.int64)
+                n, m = len(h), len(words)
+                pad = lambda x, before, after: pa.array([None] * before + x.tolist() + [None] * after, pa.int64())
+                cols = [pa.array(np.full(n + m, item, np.int64)), pa.array(np.full(n + m, len(tokens), np.int64)), pad(h.view(np.int64), 0, m), pad(np.arange(n), 0, m), pad(words, n, 0), pad(bits, n, 0)]
+                yield pa.RecordBatch.from_arrays(cols, names=["item", "length", "h", "q", "word", "bits"])
+
+    return run
+
+
+HITS = pa.schema([("k", pa.string()), ("h", pa.int64()), ("p", pa.int64()), ("words", pa.list_(pa.string()))])
+
+
+def _document_windows(window: int, short: tuple[int, ...], filter_bits: int, words: dict[int, int]):
+    """Windows of documents (k, text) that pass the filter, with the words that stand in their slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(1 << (filter_bits - 6), np.uint64)
+        if words:
+            bitmap[np.fromiter(words, np.int64, len(words))] = np.fromiter(words.values(), np.int64, len(words)).view(np.uint64)
+        passes = np.unpackbits(bitmap.view(np.uint8), bitorder="little").view(bool)
         canon = Canon(window)
-        mask = np.uint64((1 << 20) - 1)
-        marked = np.zeros(1 << 20, bool)  # most windows are settled by this table, the others by search
-        marked[(keys & mask).astype(np.int64)] = True
-        short = sorted({len(t[0]) for t in items.values() if len(t[0]) < window})
-        small = [Canon(k) for k in short]
+        widths = [canon, *(Canon(k) for k in short)]
+        rows: list[tuple] = []
+
+        def table() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(HITS)], schema=HITS)
+            rows.clear()
+            return got
+
         for batch in batches:
-            found = []
-            for text in batch.column("__text"):
+            for key, text in zip(batch.column("k"), batch.column("text"), strict=True):
                 text = text.as_py()
-                h = canon.hashes(text)
-                hits: dict[int, list] = defaultdict(list)
-                for c in (canon, *small):
-                    if not len(keys) or len(h) < c.window:
+                tokens = canon.hashes(text)
+                slots = None
+                for c in widths:
+                    if len(tokens) < c.window and c is not canon:
                         continue
-                    windows = c.windows(h)
-                    for p in np.flatnonzero(marked[(windows & mask).astype(np.int64)]).tolist():
-                        at = int(np.searchsorted(keys, windows[p]))
-                        if at < len(keys) and keys[at] == windows[p]:
-                            hits[p].extend(owners[at])
-                got: dict[int, float] = {}
-                if hits:
-                    where = sorted(hits)
-                    for k, share in matched_items(text, canon, np.array(where), [hits[p] for p in where], items, coverage):
-                        got[ids[k]] = max(share, got.get(ids[k], 0.0))
-                found.append([{"item_id": k, "coverage": v} for k, v in sorted(got.items())])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, MATCH)], names=[*keep, name])
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema.fields)
-    return kept.mapInArrow(run, f"{ddl}, `{name}` {MATCHES}")
-
-
-def _contaminated_by_shuffle(docs: DataFrame, questions: DataFrame, window: int, coverage: float, keep: tuple[str, ...], name: str) -> DataFrame:
-    """The form for large benchmarks: windows of both sides are joined on their hash, alignments checked by pair."""
-
-    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = Canon(window)
-        for batch in batches:
-            found = {min(window, len(canon.hashes(t.as_py()))) for t in batch.column("text")}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["n"])
+                    h = c.windows(tokens)
+                    near, far = _bits(h, filter_bits)
+                    hit = np.flatnonzero(passes[near])
+                    for p in hit[passes[far[hit]]].tolist():
+                        if slots is None:
+                            slots = [word if kind[0] == "<" else "" for kind, (word, _) in zip(*template(text), strict=True)]
+                        rows.append((key.as_py(), int(h[p].view(np.int64)), p, slots[p : p + c.window]))
+                if len(rows) > 20_000:
+                    yield table()
+        yield table()
 
-    short = sorted(r.n for r in questions.select("text").mapInArrow(lengths, "n long").distinct().where(f"0 < n AND n < {window}").collect())  # fewer than window
+    return run
 
-    def windows(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...] = ()) -> Iterator[pa.RecordBatch]:
-        canon, small = Canon(window), [Canon(k) for k in widths]
-        for batch in batches:
-            for one in range(batch.num_rows):
-                row = batch.slice(one, 1)
-                h = canon.hashes(row.column("text")[0].as_py())
-                for c in (canon, *(c for c in small if c.window < len(h))):
-                    w = c.windows(h)
-                    yield pa.RecordBatch.from_arrays([pa.repeat(row.column("k")[0], len(w)), pa.array(w.view(np.int64)), pa.array(np.arange(len(w)), pa.int64())], names=["k", "h", "p"])
-
-    def all_widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return windows(batches, tuple(short))
-
-    keyed = docs.withColumn("__k", F.xxhash64("__text"))  # equal texts have equal matches
-    texts = keyed.groupBy(F.col("__k").alias("k"), F.col("__text").alias("text")).agg(F.count("*").alias("copies")).drop("copies")
-    asked = questions.withColumn("k", F.xxhash64("item_id", "text"))
-    mine = texts.mapInArrow(all_widths, "k long, h long, p long")
-    theirs = asked.select("k", "text").mapInArrow(lambda batches: windows(batches), "k long, h long, p long").select("h", F.col("k").alias("item"), F.col("p").alias("q"))
-    pairs = mine.join(theirs, "h").groupBy("k", "item").agg(F.collect_set(F.struct("p", "q")).alias("at"))
-    held = pairs.join(texts, "k").join(asked.select(F.col("k").alias("item"), "item_id", F.col("text").alias("question")), "item")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = Canon(window)
+
+def _align(window: int, coverage: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, item, share = [], [], []
+            out: tuple[list, list, list] = ([], [], [])
             for row in batch.to_pylist():
-                at = sorted((x["p"], x["q"]) for x in row["at"])
-                for _, s in matched_items(row["text"], canon, np.array([p for p, _ in at]), [[(0, q)] for _, q in at], {0: template(row["question"])}, coverage):
-                    k.append(row["k"])
-                    item.append(row["item_id"])
-                    share.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(item, pa.int64()), pa.array(share, pa.float64())], names=["k", "item_id", "coverage"])
-
-    found = held.select("k", "text", "item_id", "question", "at").mapInArrow(align, "k long, item_id long, coverage double")
-    listed = found.groupBy("k", "item_id").agg(F.max("coverage").alias("coverage")).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("item_id", "coverage"))).alias("__items")).withColumnRenamed("k", "__k")
+                words = {x["p"] + i: w for x in row["at"] for i, w in enumerate(x["words"])}
+                share = aligned_share(template(row["question"]), words, [(x["p"], x["q"]) for x in row["at"]], window, coverage)
+                if share is not None:
+                    for column, value in zip(out, (row["k"], row["item_id"], share), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.float64()), strict=True)], names=["k", "item_id", "coverage"])
+
+    return run
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.6, filter_bits: int = 24, keep: tuple[str, ...] = ("doc_id",), name: str = "items") -> DataFrame:
+    """``keep`` columns (but for one of the list's name) and items (item_id and covered share of each benchmark item found) for every row of ``docs``."""
+    if not 6 <= filter_bits <= 30:
+        raise ValueError("filter_bits must lie between 6 and 30")
+    keep = tuple(c for c in keep if c != name)
+    kept = docs.select(*keep, text_of().alias("__text")).withColumn("__k", F.md5("__text"))
+    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where("text != ''").distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    windows = materialise(asked.select("item", "text").mapInArrow(_item_windows(window, filter_bits), "item long, length long, h long, q long, word long, bits long"))
+    words = {r.word: r.bits for r in windows.where("word IS NOT NULL").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()}
+    short = tuple(sorted(r.length for r in windows.where(F.col("length") < window).select("length").distinct().collect()))
+    theirs = windows.where("h IS NOT NULL").select("item", "length", "h", "q")
+
+    mine = kept.select(F.col("__k").alias("k"), F.col("__text").alias("text")).mapInArrow(_document_windows(window, short, filter_bits, words), "k string, h long, p long, words array<string>")
+    pairs = mine.join(theirs, "h").groupBy("k", "item", "length").agg(F.collect_set(F.struct("p", "q", "words")).alias("at"))
+    long_enough = F.size(F.array_distinct(F.transform("at", lambda x: x["q"]))) * F.least(F.col("length"), F.lit(window)) >= coverage * F.col("length")
+    held = pairs.where(long_enough).join(asked.select("item", "item_id", F.col("text").alias("question")), "item")
+    found = held.select("k", "item_id", "question", "at").mapInArrow(_align(window, coverage), "k string, item_id long, coverage double")
+    per_item = found.groupBy("k", "item_id").agg(F.max("coverage").alias("coverage"))
+    listed = materialise(per_item.groupBy(F.col("k").alias("__k")).agg(F.sort_array(F.collect_list(F.struct("item_id", "coverage"))).alias("__items")))
     none = F.array().cast("array<struct<item_id:bigint,coverage:double>>")
-    return keyed.join(listed, "__k", "left").select(*keep, F.coalesce("__items", none).alias(name))
+    return kept.join(listed, "__k", "left").select(*keep, F.coalesce("__items", none).alias(name))
