@@ -2,15 +2,16 @@
 
 1. A softmax classifier is fitted on at most ``max_fit_rows`` labelled rows a
    domain (lowest hash of the id) over hashed words and byte counts; it gives
-   every document a posterior over domains, rounded to ``grid``.
-2. Documents of equal posteriors have equal rates, so tokens are summed by
-   posterior before anything else moves.
-3. Projected gradient steps fit rates r >= 0 to
+   every document a posterior over domains.
+2. Projected gradient steps fit document rates r >= 0 to
    e' M^-1 e + ridge * sum_d t_d / N * (r_d - 1)^2, e = (sum_d r_d t_d p_d - T) / N,
    where M = sum_d t_d p_d p_d' / N scales each direction by what documents can
-   move in it, so that few steps are needed. Each step is one distributed sum of
-   a table of posteriors; a rate is refolded from the residuals so far, so no
-   state is kept on executors and a lost one costs a recomputation only.
+   move in it. All rates move along the documents' posteriors, so after any number
+   of steps they are the projection max(0, 1 - p_d' u) of one vector u of a number
+   a domain, and a step is one distributed sum over documents' own posteriors. The
+   step's scale is the Gram matrix of the documents whose rate is positive, halved
+   while it doesn't shrink the gradient, so that about ten steps are enough. No
+   state is kept on executors: a lost one costs a recomputation only.
 
 Rates have no upper bound: what is left of a rare domain is repeated as often as its
 target needs. Targets that are missed all the same are told by a warning.
@@ -20,7 +21,8 @@ Edge cases: null and empty texts have no tokens, the posterior of an empty text
 and its rate; a domain without labelled rows has no posterior, its target can't
 be met and is left out of the fit; without any labels all posteriors are equal;
 label rows without an id or with values other than 0 and 1 are ignored, and of
-contradictory ones the larger values count; repeated rows get equal rates; extra
+contradictory ones the larger values count; of several texts of a labelled id the
+one with the least features is fitted; repeated rows get equal rates; extra
 columns pass through; an empty table gives an empty result.
 """
 
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltlake.llm.common import materialise, text_of
@@ -98,7 +100,9 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 1_024) -
             got = [features(t or "") for t in picked.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([picked.column("doc_id"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float64()))], names=["doc_id", "at", "value"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, at array<int>, value array<double>").dropDuplicates(["doc_id"]).toArrow() if chosen else None
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, at array<int>, value array<double>")
+    first = found.groupBy("doc_id").agg(F.min(F.struct("at", "value")).alias("x")).select("doc_id", "x.at", "x.value")
+    rows = first.toArrow() if chosen else None
     if rows is None or not rows.num_rows:
         return {"w": np.zeros((BUCKETS + 256, len(DOMAINS))), "b": np.zeros(len(DOMAINS))}
     rows = rows.sort_by("doc_id").combine_chunks()
@@ -108,118 +112,99 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 1_024) -
     return {"w": w, "b": b}
 
 
-def posteriors(docs: DataFrame, model: dict, grid: float = 0.01, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, n_tokens (words), __cell (posteriors in units of ``grid``, adding up to 1)."""
-    w, b, units = model["w"].astype(np.float32), model["b"], round(1 / grid)
+def posteriors(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, n_tokens (words) and p_<domain>, adding up to 1."""
+    w, b = model["w"].astype(np.float32), model["b"]
     kept = docs.select(*keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            cells, tokens = [], []
+            found, tokens = [], []
             for text in batch.column("__text"):
                 at, value, n = features(text.as_py())
                 z = value @ w[at] + b
                 p = np.exp(z - z.max())
-                p = p / p.sum() * units
-                cell = np.floor(p)
-                for k in np.argsort(cell - p, kind="stable")[: int(units - cell.sum())]:
-                    cell[k] += 1
-                cells.append(cell.astype(np.int32))
+                found.append(p / p.sum())
                 tokens.append(n)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(tokens, pa.int64()), pa.array(cells, pa.list_(pa.int32()))], names=[*keep, "n_tokens", "__cell"])
+            p = np.array(found).reshape(-1, len(DOMAINS))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(tokens, pa.int64()), *(pa.array(p[:, k]) for k in range(len(DOMAINS)))], names=[*keep, "n_tokens", *(f"p_{d}" for d in DOMAINS)])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return docs.select(*keep, text_of().alias("__text")).mapInArrow(run, f"{ddl}, n_tokens long, __cell array<int>")
+    return docs.select(*keep, text_of().alias("__text")).mapInArrow(run, f"{ddl}, n_tokens long, {', '.join(f'p_{d} double' for d in DOMAINS)}")
 
 
-def fold(p: np.ndarray, steps: list[np.ndarray], eta: float, ridge: float, most: float) -> np.ndarray:
-    """Rates after the projected steps whose scaled residuals are given, starting from 1.
+def rate_of(u: np.ndarray, most: float = math.inf) -> Column:
+    """A document's rate: 1 less its posterior's product with ``u``, projected onto 0 <= r <= most."""
+    moved = F.lit(1.0) - sum((F.col(f"p_{d}") * F.lit(float(x)) for d, x in zip(DOMAINS, u, strict=True)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), moved if math.isinf(most) else F.least(F.lit(float(most)), moved))
 
-    Residuals are those at an extrapolated point (Nesterov's momentum), which is
-    refolded along with the rates.
-    """
-    return _folded(p, steps, eta, ridge, most)[0]
-
-
-def _folded(p: np.ndarray, steps: list[np.ndarray], eta: float, ridge: float, most: float) -> tuple[np.ndarray, np.ndarray]:
-    r = ahead = np.ones(len(p))
-    for k, e in enumerate(steps):
-        new = np.clip(ahead - eta * (p @ e + ridge * (ahead - 1)), 0.0, most)
-        ahead, r = new + k / (k + 3) * (new - r), new
-    return r, ahead
 
-
-def fit_rates(cells: DataFrame, targets: dict[str, float], total: float | None = None, ridge: float = 1e-3, most: float = math.inf, rounds: int = 80, tolerance: float = 1e-4, grid: float = 0.01, slack: float = 1e-3) -> dict:
-    """Residual history of the projected gradient for ``cells`` (cell, tokens); shares of domains that can't be reached are left out.
+def fit_rates(scored: DataFrame, targets: dict[str, float], total: float | None = None, ridge: float = 1e-3, most: float = math.inf, rounds: int = 60, tolerance: float = 1e-7, slack: float = 1e-3) -> dict:
+    """``u`` of the rates (see ``rate_of``) for ``scored`` (n_tokens, p_<domain>); shares of domains that can't be reached are left out.
 
     ``reached`` and ``wanted`` are tokens by domain; ``unmet`` names domains that miss
     their target by more than ``slack`` of all tokens, and a warning tells of them.
     Rates have no upper bound but for ``most``.
     """
     k = len(DOMAINS)
-
-    def summed(steps: list[np.ndarray], eta: float) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                p = np.array(batch.column("cell").to_pylist(), float).reshape(-1, k) * grid
-                tokens = np.array(batch.column("tokens").to_pylist(), float)
-                sums = [(r * tokens) @ p for r in _folded(p, steps, eta, ridge, most)]
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in np.concatenate(sums).tolist()], names=[f"s{i}" for i in range(2 * k)])
-
-        got = cells.select("cell", "tokens").mapInArrow(run, ", ".join(f"s{i} double" for i in range(2 * k))).agg(*(F.sum(f"s{i}") for i in range(2 * k))).first()
-        return np.array([x or 0.0 for x in got]).reshape(2, k)
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = np.array(batch.column("cell").to_pylist(), float).reshape(-1, k) * grid
-            m = (p * np.array(batch.column("tokens").to_pylist(), float)[:, None]).T @ p
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in m.ravel().tolist()], names=[f"m{i}" for i in range(k * k)])
-
-    present = summed([], 1.0)[0]
+    p = [F.col(f"p_{d}") for d in DOMAINS]
+    tokens_of = F.col("n_tokens").cast("double")
+
+    def summed(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens by domain at ``u``, and the Gram matrix of the documents that can move there."""
+        rate = rate_of(u, most)
+        free = F.when((rate > 0) & (rate < F.lit(float(most))), tokens_of).otherwise(0.0)
+        got = scored.agg(*(F.sum(rate * tokens_of * x).alias(f"s{i}") for i, x in enumerate(p)), *(F.sum(free * p[i] * p[j]).alias(f"m{i}{j}") for i in range(k) for j in range(i + 1))).first()
+        gram = np.zeros((k, k))
+        for i in range(k):
+            for j in range(i + 1):
+                gram[i, j] = gram[j, i] = got[f"m{i}{j}"] or 0.0
+        return np.array([got[f"s{i}"] or 0.0 for i in range(k)]), gram
+
+    u = np.zeros(k)
+    present, whole = summed(u)
     tokens = present.sum()
     if not tokens:
-        return {"steps": [], "eta": 1.0, "ridge": ridge, "most": most, "reached": present, "wanted": present, "unmet": []}
+        return {"u": u, "most": most, "steps": 0, "reached": present, "wanted": present, "unmet": []}
     total = total or tokens
-    want = np.array([targets.get(d, 0.0) for d in DOMAINS])
+    asked = np.array([targets.get(d, 0.0) for d in DOMAINS])
     live = present > 1e-6 * tokens
-    want = np.where(live, want, 0)
+    want = np.where(live, asked, 0)
     want = want / max(1e-12, want.sum()) * total
-    found = cells.select("cell", "tokens").mapInArrow(moments, ", ".join(f"m{i} double" for i in range(k * k))).agg(*(F.sum(f"m{i}") for i in range(k * k))).first()
-    scale, eta = np.linalg.inv(np.array(found, float).reshape(k, k) / tokens + 1e-6 * np.eye(k)), 0.9
-    steps: list[np.ndarray] = []
-    reached, ahead = present, present
-    for _ in range(rounds):
-        error = (reached - want) / tokens
-        if np.abs(error).max() < tolerance:
+    scale = (whole / tokens) * np.outer(live, live) + np.diag(np.where(live, 1e-12, 1.0))
+
+    def gradient(reached: np.ndarray, u: np.ndarray) -> np.ndarray:
+        return np.where(live, (reached - want) / tokens - ridge * scale @ u, 0.0)
+
+    reached, gram = present, whole
+    g = gradient(reached, u)
+    steps = 0
+    while steps < rounds and np.abs(g).max() > tolerance:
+        move = np.linalg.solve(gram / tokens * np.outer(live, live) + ridge * scale + np.diag(np.where(live, 1e-12, 1.0)), g)
+        size = 1.0
+        while steps < rounds:
+            steps += 1
+            tried = u + size * move
+            now, its = summed(tried)
+            new = gradient(now, tried)
+            if np.abs(new).max() < np.abs(g).max() or size < 1e-3:
+                break
+            size /= 2
+        if np.abs(new).max() >= np.abs(g).max():
             break
-        steps.append(scale @ ((ahead - want) / tokens))
-        before = reached
-        reached, ahead = summed(steps, eta)
-        if len(steps) > 3 and np.abs(reached - before).max() < tolerance * tokens:
-            break
-    asked = np.array([targets.get(d, 0.0) for d in DOMAINS])
+        u, reached, gram, g = tried, now, its, new
     asked = asked / max(1e-12, asked.sum()) * total
     unmet = [d for d, x, y in zip(DOMAINS, reached, asked, strict=True) if abs(x - y) > slack * total]
     if unmet:
         told = ", ".join(f"{d} {x / total:.4f} of {y / total:.4f}" for d, x, y in zip(DOMAINS, reached, asked, strict=True) if d in unmet)
         warnings.warn(f"mixing targets not met, shares reached of wanted: {told}", stacklevel=2)
-    return {"steps": steps, "eta": eta, "ridge": ridge, "most": most, "reached": reached, "wanted": want, "unmet": unmet}
+    return {"u": u, "most": most, "steps": steps, "reached": reached, "wanted": want, "unmet": unmet}
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = ("doc_id",), grid: float = 0.01, **options) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
     """``keep`` columns (but for those named as an output), n_tokens, p_<domain> and rate for every row of ``docs``."""
-    keep = tuple(c for c in keep if c not in ("n_tokens", "rate", "__cell", *(f"p_{d}" for d in DOMAINS)))
-    scored = materialise(posteriors(docs, fit_domains(docs, labels), grid, keep))
-    cells = materialise(scored.groupBy(F.col("__cell").alias("cell")).agg(F.sum("n_tokens").alias("tokens")).coalesce(8))
-    fitted = fit_rates(cells, targets, grid=grid, **options)
-    steps, eta, ridge, most = (fitted[x] for x in ("steps", "eta", "ridge", "most"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = np.array(batch.column("__cell").to_pylist(), float).reshape(-1, len(DOMAINS)) * grid
-            cols = [*(batch.column(c) for c in (*keep, "n_tokens")), *(pa.array(p[:, k]) for k in range(len(DOMAINS))), pa.array(fold(p, steps, eta, ridge, most))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"])
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.select(*keep).schema.fields)
-    return scored.mapInArrow(run, f"{ddl}, n_tokens long, {', '.join(f'p_{d} double' for d in DOMAINS)}, rate double")
+    keep = tuple(c for c in keep if c not in ("n_tokens", "rate", *(f"p_{d}" for d in DOMAINS)))
+    scored = materialise(posteriors(docs, fit_domains(docs, labels), keep))
+    fitted = fit_rates(scored, targets, **options)
+    return scored.withColumn("rate", rate_of(fitted["u"], fitted["most"]))
