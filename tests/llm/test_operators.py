@@ -59,6 +59,68 @@ def test_media_handles_large_and_open_boxes():
         list(media.walk(deep))
 
 
+def fragmented(payloads, base_flag=False):
+    """A file whose samples all come in fragments: trex gives size 64 and no sync, each run's first sample is sync by its first flags."""
+    box, full = media._box, media._full
+    moov = media.mux(bytes(64))
+    at = moov.index(b"moov") - 4
+    head = moov[at : at + int.from_bytes(moov[at : at + 4], "big")]
+    n = head.index(b"stbl") - 4
+    size = int.from_bytes(head[n : n + 4], "big")
+    inner = head[n + 8 : n + size]
+    empty = box(b"stbl", inner[: int.from_bytes(inner[:4], "big")])
+    grown = head.replace(head[n : n + size], empty)
+    for kind in (b"minf", b"mdia", b"trak", b"moov"):
+        k = grown.index(kind) - 4
+        grown = grown[:k] + (int.from_bytes(grown[k : k + 4], "big") - size + len(empty)).to_bytes(4, "big") + grown[k + 4 :]
+    trex = box(b"mvex", full(b"trex", b"".join(x.to_bytes(4, "big") for x in (1, 1, 64, 64, 0x10000))))
+    grown = (len(grown) + len(trex)).to_bytes(4, "big") + grown[4:] + trex
+    out, ranges = box(b"ftyp", b"iso5", bytes(4)) + grown, []
+    for k, p in enumerate(payloads):
+        sizes = b"".join((min(64, len(p) - a)).to_bytes(4, "big") for a in range(0, len(p), 64))
+        count = -(-len(p) // 64)
+
+        def moof(offset, at=0):
+            tfhd = full(b"tfhd", (1).to_bytes(4, "big"), at.to_bytes(8, "big") if base_flag else b"", flags=0x1 if base_flag else 0x20000)
+            return box(b"moof", full(b"mfhd", k.to_bytes(4, "big")), box(b"traf", tfhd, full(b"trun", count.to_bytes(4, "big"), offset.to_bytes(4, "big"), (0).to_bytes(4, "big"), sizes, flags=0x205)))
+
+        offset = len(moof(0)) + 8
+        ranges.append((len(out) + offset, min(64, len(p))))
+        out += moof(offset, len(out)) + box(b"mdat", p)
+    return out, ranges
+
+
+def test_media_fragments():
+    parts = [bytes(range(100)), b"z" * 64 * 5, b"q"]
+    for base_flag in (False, True):
+        stored, ranges = fragmented(parts, base_flag)
+        found = media.probe(stored)
+        track = found["tracks"][0]
+        assert found["fragments"] == 3 and media.track_bytes(stored, track) == b"".join(parts)
+        assert track["keyframes"] == ranges and len(track["sizes"]) == 2 + 5 + 1
+
+
+def test_media_fuzz_never_fails_a_job(spark):
+    rng = random.Random(7)
+    base = [media.mux(bytes(64 * 40)), fragmented([bytes(300), b"a" * 100])[0]]
+    broken = [b"\0\0\0\x08moov", b"\0\0\0\x10moov\0\0\0\x08mvhd", base[0].replace(b"stsz", b"stz2")]
+    for _ in range(600):
+        x = bytearray(rng.choice(base))
+        for _ in range(rng.randint(1, 6)):
+            x[rng.randrange(len(x))] = rng.choice([0, 1, 255, rng.randrange(256)])
+        broken.append(bytes(x[: rng.choice([len(x), rng.randrange(len(x))])]))
+    files = spark.createDataFrame([(str(i), bytearray(b)) for i, b in enumerate(broken)], "path string, content binary")
+    got = media.scan_media(files).collect()
+    assert len(got) == len(broken) and sum(r.error is not None for r in got) > 100
+    for b in broken:
+        try:
+            for t in media.probe(b)["tracks"]:
+                assert all(0 <= o and o + n <= len(b) for o, n in t["keyframes"])
+        except (media.MediaError, ValueError, KeyError, IndexError, OverflowError, __import__("struct").error):
+            pass
+
+
+
 def test_media_digest(docs, empty, spark):
     for r in media.media_digest(docs).collect():
         assert r.payload_bytes % 64 == 0 and r.payload_bytes > 0
@@ -70,7 +132,9 @@ def test_media_digest(docs, empty, spark):
         padded = raw + bytes(64 if not raw else -len(raw) % 64)
         r = by_id[d]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-        assert r.media_sha256 == hashlib.sha256(media.mux(padded)).hexdigest()
+        stored = media.mux(padded)
+        assert r.media_sha256 == hashlib.sha256(stored).hexdigest()
+        assert b"".join(stored[k.offset : k.offset + k.length] for k in r.keyframes) == b"".join(padded[k : k + 64] for k in range(0, len(padded), 64 * 16))
     assert media.media_digest(empty).count() == 0
     files = spark.createDataFrame([("a", bytearray(media.mux(bytes(64)))), ("b", bytearray(b"nope")), ("c", None)], "path string, content binary")
     got = {r.path: r for r in media.scan_media(files).collect()}

@@ -2,8 +2,9 @@
 
 Documents of up to ``huge_chars`` characters are counted where they are read.
 Longer ones are cut into chunks of ``chunk_chars`` that overlap by
-``overlap_chars``; the chunks are encoded as separate rows with offsets, and a
-splice joins neighbours at a boundary that both encodings agree on.
+``overlap_chars``, in one pass of the reading task; the chunks are encoded as
+separate rows with offsets by other tasks, and a join on the offset splices
+neighbours at a boundary that both encodings have.
 
 Why such a boundary is proven stable: the pre-tokenizer scans left to right, and
 what it does after a pre-token boundary depends on the text that follows alone;
@@ -14,6 +15,9 @@ of the whole text, and from there on the right chunk is right as well. If the
 overlap has no such boundary (one long word), the document goes to
 ``count_widening``, which doubles the window until a boundary is found.
 
+Equal huge texts, known by 128 bits of hash, are encoded once. Only offsets and
+counts of the overlaps come together by document, never its text.
+
 Edge cases: null text counts as empty (0 tokens); repeated rows give repeated
 results; extra columns of the input are ignored; an empty table gives an empty
 result.
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import text_of
+from voltlake.llm.common import materialise, text_of
 
 #: Characters before a cut within which a boundary isn't trusted.
 MARGIN = 64
@@ -104,10 +108,35 @@ class TokenCounter:
                 out[i] = n
         return out
 
-    def boundaries(self, text: str) -> tuple[list[int], list[int], int]:
-        """Offsets at which a pre-token begins, the number of tokens before each, and all tokens."""
+    def plain(self, text: str) -> bool:
+        """Whether the text can be counted by pre-tokens; that holds for its parts as well."""
+        if not self.fast:
+            return False
+        chars = set(text)
+        if new := chars - self.known:
+            self._verify(new)
+        return not (self.odd and chars & self.odd) and not any(a in text for a in self.added)
+
+    def boundaries(self, text: str, plain: bool = False) -> tuple[list[int], list[int], int]:
+        """Offsets at which a pre-token begins, the number of tokens before each, and all tokens. ``plain`` texts go by pre-tokens, others by the library."""
+        at, before = [], []
+        if plain:
+            total = 0
+            words, starts = [], []
+            for m in self.pattern.finditer(text):
+                words.append(m.group())
+                starts.append(m.start())
+            fresh = [w for w in set(words) if w not in self.memo]
+            if len(self.memo) + len(fresh) > MEMO_ENTRIES:
+                self.memo.clear()
+                fresh = list(set(words))
+            self.memo.update(zip(fresh, self.library(fresh), strict=True))
+            for w in words:
+                before.append(total)
+                total += self.memo[w]
+            return starts, before, total
         e = self.tokenizer.encode(text, add_special_tokens=False)
-        at, before, last = [], [], object()
+        last = object()
         for i, (word, (start, _)) in enumerate(zip(e.word_ids, e.offsets, strict=True)):
             if word is None or word != last:
                 at.append(start)
@@ -116,19 +145,6 @@ class TokenCounter:
         return at, before, len(e.ids)
 
 
-def splice(chunks: list[dict], stride: int) -> int | None:
-    """Tokens of a document from its chunks' summaries, in order; None where two have no common boundary."""
-    total = 0
-    for left, right in zip(chunks, chunks[1:], strict=False):
-        mine = dict(zip(left["right_at"], left["right_before"], strict=True))
-        common = next(((mine[a + stride], b) for a, b in zip(right["left_at"], right["left_before"], strict=True) if a + stride in mine), None)
-        if common is None:
-            return None
-        total += common[0]
-        total -= common[1]
-    return total + chunks[-1]["total"]
-
-
 def count_widening(counter: TokenCounter, text: str, chunk: int) -> int:
     """Sequential form: encode a window, keep it up to its last stable boundary, widen where there is none."""
     start, total = 0, 0
@@ -147,9 +163,6 @@ def count_widening(counter: TokenCounter, text: str, chunk: int) -> int:
     return total + (counter.library([text[start:]])[0] if start < len(text) else 0)
 
 
-SUMMARY = "doc_id long, key long, copies long, n_bytes long, chunk long, total long, left_at array<int>, left_before array<int>, right_at array<int>, right_before array<int>"
-
-
 def _count_small(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter(path)
@@ -161,29 +174,58 @@ def _count_small(path: str):
     return run
 
 
-def _summarise(path: str, stride: int, overlap: int):
+def _key(text: str) -> str:
+    from xxhash import xxh3_128_hexdigest
+
+    return xxh3_128_hexdigest(text)
+
+
+def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = pa.array([_key(t.as_py()) for t in batch.column("text")], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), keys], names=["doc_id", "n_bytes", "key"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = pa.array([_key(t.as_py()) for t in batch.column("text")], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), batch.column("text"), keys], names=["doc_id", "n_bytes", "text", "key"])
+
+
+def _cut(path: str, stride: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter(path)
         for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                text = one.column("piece")[0].as_py()
-                at, before, total = counter.boundaries(text)
-                left = [(a, b) for a, b in zip(at, before, strict=True) if a < overlap]
-                right = [(a, b) for a, b in zip(at, before, strict=True) if stride <= a <= len(text) - MARGIN]
-                cols = [one.column(c) for c in ("doc_id", "key", "copies", "n_bytes", "chunk")] + [pa.array([total], pa.int64())]
-                for pairs in (left, right):
-                    cols += [pa.array([[p[k] for p in pairs]], pa.list_(pa.int32())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "copies", "n_bytes", "chunk", "total", "left_at", "left_before", "right_at", "right_before"])
+            for text in batch.column("text"):
+                text = text.as_py()
+                key, plain = _key(text), counter.plain(text)
+                chunks = range(0, max(1, len(text) - overlap), stride)
+                for first in range(0, len(chunks), 64):
+                    part = chunks[first : first + 64]
+                    n = len(part)
+                    cols = [pa.array([key] * n), pa.array([plain] * n), pa.array(range(first, first + n), pa.int64()), pa.array([text[a : a + stride + overlap] for a in part]), pa.array([first + k == len(chunks) - 1 for k in range(n)])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "plain", "chunk", "piece", "ends"])
 
     return run
 
 
-def _splice(stride: int):
+OFFSETS = "array<struct<at: int, before: int>>"
+
+
+def _summarise(path: str, stride: int, overlap: int):
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("before", pa.int32())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = TokenCounter(path)
         for batch in batches:
-            n = [splice(row, stride) for row in batch.column("chunks").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "copies", "n_bytes")), pa.array(n, pa.int64())], names=["doc_id", "key", "copies", "n_bytes", "n_tokens"])
+            totals, lefts, rights = [], [], []
+            for text, plain in zip(batch.column("piece"), batch.column("plain").to_pylist(), strict=True):
+                text = text.as_py()
+                at, before, total = counter.boundaries(text, plain)
+                totals.append(total)
+                lefts.append([{"at": a, "before": b} for a, b in zip(at, before, strict=True) if a < overlap])
+                rights.append([{"at": a - stride, "before": b} for a, b in zip(at, before, strict=True) if stride <= a <= len(text) - MARGIN])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "chunk", "ends")), pa.array(totals, pa.int64()), pa.array(lefts, kind), pa.array(rights, kind)], names=["key", "chunk", "ends", "total", "left_at", "right_at"])
 
     return run
 
@@ -193,30 +235,45 @@ def _widen(path: str, chunk: int):
         counter = TokenCounter(path)
         for batch in batches:
             n = [count_widening(counter, text, chunk) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "copies", "n_bytes")), pa.array(n, pa.int64())], names=["doc_id", "key", "copies", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, huge_chars: int = 65_536, chunk_chars: int = 32_768, overlap_chars: int = 1_024) -> DataFrame:
+def splice(summaries: DataFrame) -> DataFrame:
+    """key, n_tokens of documents from their chunks' summaries; a null count where two neighbours have no common boundary."""
+    right = summaries.where("NOT ends").select("key", (F.col("chunk") + 1).alias("chunk"), F.inline("right_at")).withColumnRenamed("before", "mine")
+    left = summaries.where("chunk > 0").select("key", "chunk", F.inline("left_at")).withColumnRenamed("before", "its")
+    first = right.join(left, ["key", "chunk", "at"]).groupBy("key", "chunk").agg(F.min_by(F.col("mine") - F.col("its"), "at").alias("gain"))
+    gained = first.groupBy("key").agg(F.sum("gain").alias("gain"), F.count("*").alias("joints"))
+    whole = summaries.groupBy("key").agg(F.max("chunk").alias("wanted"), F.max(F.when(F.col("ends"), F.col("total"))).alias("total"))
+    joined = whole.join(gained, "key", "left")
+    return joined.select("key", F.when(F.col("wanted") == F.coalesce("joints", F.lit(0)), F.col("total") + F.coalesce("gain", F.lit(0))).alias("n_tokens"))
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, huge_chars: int = 16_384, chunk_chars: int = 8_192, overlap_chars: int = 1_024) -> DataFrame:
     """doc_id, n_bytes, n_tokens for every row of ``docs`` (doc_id, text).
 
-    The only shuffle is that of huge documents' texts and of their chunks'
-    summaries; a document's chunks are encoded by different tasks.
+    What is shuffled are huge documents' chunks, each once, and their summaries; a
+    document's chunks are encoded by different tasks.
     """
     if not MARGIN < overlap_chars <= chunk_chars:
         raise ValueError("overlap_chars must lie between the margin and chunk_chars")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    small = base.where(F.length("text") <= huge_chars).mapInArrow(_count_small(tokenizer_path), "doc_id long, n_bytes long, n_tokens long")
-
-    huge = base.where(F.length("text") > huge_chars).groupBy("doc_id", "text", "n_bytes").agg(F.count("*").alias("copies")).withColumn("key", F.xxhash64("text"))
-    chunks = huge.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("text") - 1 - overlap_chars) / chunk_chars).cast("long")))).select(
-        "doc_id", "key", "copies", "n_bytes", "chunk", F.substring("text", F.col("chunk").cast("int") * chunk_chars + 1, F.lit(chunk_chars + overlap_chars)).alias("piece")
-    )
-    summaries = chunks.repartition("doc_id", "key", "chunk").mapInArrow(_summarise(tokenizer_path, chunk_chars, overlap_chars), SUMMARY)
-    fields = ("chunk", "total", "left_at", "left_before", "right_at", "right_before")
-    spliced = summaries.groupBy("doc_id", "key", "copies", "n_bytes").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("chunks")).mapInArrow(_splice(chunk_chars), "doc_id long, key long, copies long, n_bytes long, n_tokens long")
-    failed = spliced.where("n_tokens IS NULL").select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
-    wide = huge.join(failed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi").mapInArrow(_widen(tokenizer_path, chunk_chars), "doc_id long, key long, copies long, n_bytes long, n_tokens long")
-    whole = spliced.where("n_tokens IS NOT NULL").unionByName(wide).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "n_bytes", "n_tokens")
-    return small.unionByName(whole)
+    counted = "doc_id long, n_bytes long, n_tokens long"
+    small = base.where(F.length("text") <= huge_chars).mapInArrow(_count_small(tokenizer_path), counted)
+
+    huge = base.where(F.length("text") > huge_chars)
+    pieces = huge.select("text").mapInArrow(_cut(tokenizer_path, chunk_chars, overlap_chars), "key string, plain boolean, chunk long, piece string, ends boolean")
+    once = pieces.groupBy("key", "chunk").agg(F.first("plain").alias("plain"), F.first("piece").alias("piece"), F.first("ends").alias("ends"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summaries = materialise(once.repartition(tasks, "key", "chunk").mapInArrow(_summarise(tokenizer_path, chunk_chars, overlap_chars), f"key string, chunk long, ends boolean, total long, left_at {OFFSETS}, right_at {OFFSETS}"))
+    spliced = materialise(splice(summaries))
+    named = huge.mapInArrow(_name, "doc_id long, n_bytes long, key string")
+    whole = named.join(spliced.where("n_tokens IS NOT NULL"), "key").select("doc_id", "n_bytes", "n_tokens")
+    counts = small.unionByName(whole)
+    failed = spliced.where("n_tokens IS NULL").select("key")
+    if failed.first() is None:
+        return counts
+    keyed = huge.mapInArrow(_keyed, "doc_id long, n_bytes long, text string, key string")
+    return counts.unionByName(keyed.join(failed, "key", "left_semi").mapInArrow(_widen(tokenizer_path, chunk_chars), counted))

@@ -2,7 +2,9 @@
 
 ``probe`` reads boxes and sample tables only; payload bytes are touched by
 ``track_bytes`` alone, which follows the sample table. ``mux`` writes a lossless
-container with one track of 8-bit PCM.
+container with one track of 8-bit PCM. Samples of fragments (moof, traf, trun, with
+the defaults of trex and tfhd) follow those of the sample table. Tables are checked
+against the file's size before anything of the size they claim is made.
 
 Edge cases: a null payload counts as empty; bytes that aren't a container, or
 that end inside a box, give a row whose ``error`` says so and no tracks; equal
@@ -73,28 +75,98 @@ def _sample_offsets(t: dict) -> np.ndarray:
         return np.zeros(0, np.int64)
     if not len(runs) or not len(chunks):
         raise MediaError("samples without chunks")
-    first = runs[:, 0].astype(np.int64) - 1
-    each = np.repeat(runs[:, 1].astype(np.int64), np.diff(np.append(first, len(chunks))))
-    chunk = np.repeat(np.arange(len(each)), each)[: len(sizes)]
-    if len(chunk) < len(sizes):
+    first = np.append(runs[:, 0].astype(np.int64) - 1, len(chunks))
+    if first[0] != 0 or (np.diff(first) < 0).any():
+        raise MediaError("runs of chunks are out of order")
+    ends = np.cumsum(np.repeat(np.minimum(runs[:, 1].astype(np.int64), len(sizes)), np.diff(first)))
+    if ends[-1] < len(sizes):
         raise MediaError("the chunks hold fewer samples than stsz lists")
+    chunk = np.searchsorted(ends, np.arange(len(sizes)), side="right")
+    starts = np.append(0, ends[:-1])
     before = np.cumsum(sizes) - sizes
-    starts = np.cumsum(each) - each
-    return chunks[chunk].astype(np.int64) + before - before[np.minimum(starts, len(sizes) - 1)][chunk]
+    return chunks[chunk].astype(np.int64) + before - before[starts[chunk]]
+
+
+def _equal_sizes(n: int, size: int, data: bytes) -> np.ndarray:
+    """Sizes of n samples of one size, if the file can hold them."""
+    if n * max(1, size) > len(data):
+        raise MediaError("more samples than the file can hold")
+    return np.full(n, size, np.int64)
+
+
+def _packed_sizes(data: bytes, at: int, end: int, bits: int, n: int) -> np.ndarray:
+    raw = np.frombuffer(data[at:end], np.uint8)
+    if bits not in (4, 8, 16) or -(-n * bits // 8) > len(raw):
+        raise MediaError("a table of sizes is cut off")
+    if bits == 4:
+        return np.stack([raw >> 4, raw & 15], 1).ravel()[:n].astype(np.int64)
+    return raw[: n * bits // 8].view(">u2" if bits == 16 else np.uint8).astype(np.int64)
+
+
+def _fragment_header(data: bytes, at: int, moof: int, extends: dict[int, dict]) -> dict:
+    """A track fragment's id, base offset and defaults (tfhd)."""
+    flags = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF
+    out = {"track_id": struct.unpack_from(">I", data, at + 4)[0], "base": moof, "duration": 0, "size": 0, "flags": 0}
+    out |= extends.get(out["track_id"], {})
+    at += 8
+    for bit, name, kind in ((0x1, "base", ">Q"), (0x2, "", ">I"), (0x8, "duration", ">I"), (0x10, "size", ">I"), (0x20, "flags", ">I")):
+        if flags & bit:
+            if name:
+                out[name] = struct.unpack_from(kind, data, at)[0]
+            at += struct.calcsize(kind)
+    return out | {"next": out["base"]}
+
+
+def _run_samples(data: bytes, at: int, end: int, head: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Offsets, sizes, sync flags and ticks of a run of fragment samples (trun); its data go on where the run before ended, if it names no offset."""
+    flags, n = struct.unpack_from(">II", data, at)
+    at += 8
+    start, first_flags = head["next"], None
+    if flags & 0x1:
+        start = head["base"] + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    if flags & 0x4:
+        first_flags = struct.unpack_from(">I", data, at)[0]
+        at += 4
+    names = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+    if names and at + 4 * len(names) * n > end:
+        raise MediaError("a run of samples is cut off")
+    listed = np.frombuffer(data, ">u4", n * len(names), at).reshape(n, len(names)).astype(np.int64) if names else np.zeros((0, 0), np.int64)
+    sizes = listed[:, names.index("size")] if "size" in names else _equal_sizes(n, head["size"], data)
+    marks = listed[:, names.index("flags")].copy() if "flags" in names else np.full(n, head["flags"], np.int64)
+    if first_flags is not None and n:
+        marks[0] = first_flags
+    ticks = int(listed[:, names.index("duration")].sum()) if "duration" in names else n * head["duration"]
+    offsets = start + np.cumsum(sizes) - sizes
+    head["next"] = start + int(sizes.sum())
+    return offsets, sizes, (marks & 0x10000) == 0, ticks
 
 
 def probe(data: bytes) -> dict:
     """Brand, movie duration and the tracks' codec, times, sample table and keyframe byte ranges."""
     out: dict = {"brand": None, "duration_s": None, "fragments": 0, "tracks": []}
     track: dict = {}
+    extends: dict[int, dict] = {}
+    runs: list[tuple[int, tuple]] = []
+    moof, head = 0, {}
     for path, at, end in walk(data):
         kind = path[-1]
         if kind == b"ftyp" and end - at >= 4:
             out["brand"] = bytes(data[at : at + 4]).decode("latin-1")
         elif kind == b"moof":
             out["fragments"] += 1
+            moof = at - 8
+        elif kind == b"trex":
+            which, _, duration, size, flags = struct.unpack_from(">IIIII", data, at + 4)
+            extends[which] = {"duration": duration, "size": size, "flags": flags}
+        elif kind == b"tfhd":
+            head = _fragment_header(data, at, moof, extends)
+        elif kind == b"trun":
+            if not head:
+                raise MediaError("a run of samples without its header")
+            runs.append((head["track_id"], _run_samples(data, at, end, head)))
         elif kind in (b"mvhd", b"mdhd"):
-            long = data[at] == 1
+            long = data[at : at + 1] == b"\1"
             scale, ticks = struct.unpack_from(">IQ" if long else ">II", data, at + (20 if long else 12))
             if kind == b"mvhd":
                 out["duration_s"] = ticks / scale if scale else None
@@ -104,33 +176,41 @@ def probe(data: bytes) -> dict:
             track = {"track_id": 0, "handler": "", "codec": "", "timescale": 0, "duration": 0, "sizes": np.zeros(0, np.int64), "chunks": np.zeros(0, np.int64), "runs": np.zeros((0, 3), np.int64), "sync": None, "ticks": 0}
             out["tracks"].append(track)
         elif kind == b"tkhd":
-            track["track_id"] = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
+            track["track_id"] = struct.unpack_from(">I", data, at + (20 if data[at : at + 1] == b"\1" else 12))[0]
         elif kind == b"hdlr" and b"mdia" in path:
             track["handler"] = bytes(data[at + 8 : at + 12]).decode("latin-1")
         elif kind == b"stsd" and end - at >= 16:
             track["codec"] = bytes(data[at + 12 : at + 16]).decode("latin-1")
         elif kind == b"stts":
-            runs = _table(data, at + 4, end, ">u4", 2).astype(np.int64)
-            track["ticks"] = int((runs[:, 0] * runs[:, 1]).sum())
+            times = _table(data, at + 4, end, ">u4", 2).astype(np.int64)
+            track["ticks"] = int((times[:, 0] * times[:, 1]).sum())
         elif kind == b"stss":
             track["sync"] = _table(data, at + 4, end, ">u4").astype(np.int64) - 1
         elif kind == b"stsc":
             track["runs"] = _table(data, at + 4, end, ">u4", 3)
         elif kind == b"stsz":
             fixed, n = struct.unpack_from(">II", data, at + 4)
-            track["sizes"] = np.full(n, fixed, np.int64) if fixed else _table(data, at + 8, end, ">u4").astype(np.int64)
+            track["sizes"] = _equal_sizes(n, fixed, data) if fixed else _table(data, at + 8, end, ">u4").astype(np.int64)
         elif kind == b"stz2":
             bits, n = struct.unpack_from(">II", data, at + 4)
-            raw = np.frombuffer(data, np.uint8, -(-n * (bits & 255) // 8), at + 12)
-            track["sizes"] = {4: np.stack([raw >> 4, raw & 15], 1).ravel()[:n], 8: raw, 16: raw.view(">u2") if len(raw) % 2 == 0 else raw}[bits & 255].astype(np.int64)
+            track["sizes"] = _packed_sizes(data, at + 12, end, bits & 255, n)
         elif kind in (b"stco", b"co64"):
             track["chunks"] = _table(data, at + 4, end, ">u4" if kind == b"stco" else ">u8").astype(np.int64)
     for t in out["tracks"]:
         t["offsets"] = _sample_offsets(t)
-        if len(t["offsets"]) and int((t["offsets"] + t["sizes"]).max()) > len(data):
+        sync = np.ones(len(t["sizes"]), bool)
+        if t["sync"] is not None:
+            sync[:] = False
+            sync[t["sync"][(t["sync"] >= 0) & (t["sync"] < len(sync))]] = True
+        mine = [run for which, run in runs if which == t["track_id"]]
+        if mine:
+            t["offsets"], t["sizes"], sync = (np.concatenate([x, *(run[k] for run in mine)]) for k, x in enumerate((t["offsets"], t["sizes"], sync)))
+            t["ticks"] += sum(run[3] for run in mine)
+            t["duration"] = t["duration"] or t["ticks"]
+        if len(t["offsets"]) and (int(t["offsets"].min()) < 0 or int((t["offsets"] + t["sizes"]).max()) > len(data)):
             raise MediaError("a sample lies beyond the end of the file")
-        keys = np.arange(len(t["sizes"])) if t["sync"] is None else t["sync"][(t["sync"] >= 0) & (t["sync"] < len(t["sizes"]))]
-        t["keyframes"] = [(int(o), int(n)) for o, n in zip(t["offsets"][keys], t["sizes"][keys], strict=True)]
+        keys = np.flatnonzero(sync)
+        t["keyframes"] = list(zip(t["offsets"][keys].tolist(), t["sizes"][keys].tolist(), strict=True))
         t["duration_s"] = t["duration"] / t["timescale"] if t["timescale"] else None
     return out
 
@@ -189,7 +269,8 @@ def mux(payload: bytes) -> bytes:
     return ftyp + moov(head) + _box(b"mdat", payload)
 
 
-TRACK = pa.struct([("track_id", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])))])
+RANGES = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+TRACK = pa.struct([("track_id", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", RANGES)])
 TRACK_DDL = "array<struct<track_id: long, handler: string, codec: string, timescale: long, duration: long, duration_s: double, n_samples: long, keyframes: array<struct<offset: long, length: long>>>>"
 
 
@@ -208,7 +289,7 @@ def scan_media(files: DataFrame, content: str = "content", keep: tuple[str, ...]
                 try:
                     found = probe(data.as_py() or b"")
                     rows.append((found["brand"], found["duration_s"], found["fragments"], [_row(t) for t in found["tracks"]], None))
-                except (MediaError, struct.error, ValueError, KeyError) as e:
+                except (MediaError, struct.error, ValueError, KeyError, IndexError, OverflowError) as e:
                     rows.append((None, None, 0, [], str(e) or type(e).__name__))
             cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.list_(TRACK), pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols], names=[*keep, "brand", "duration_s", "fragments", "tracks", "error"])
@@ -227,14 +308,14 @@ def pad(raw: bytes, unit: int = UNIT) -> bytes:
     return raw + bytes(unit if not raw else -len(raw) % unit)
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_s double, n_keyframes long"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_s double, n_keyframes long, keyframes array<struct<offset:bigint,length:bigint>>"
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
     """Stores each text as a container, probes the stored bytes, reads the payload back, and gives digests of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), RANGES)
         for batch in batches:
             rows = []
             for text in batch.column("text"):
@@ -243,7 +324,7 @@ def media_digest(docs: DataFrame) -> DataFrame:
                 stored = mux(pad(raw))
                 t = probe(stored)["tracks"][0]
                 payload = track_bytes(stored, t)
-                rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(t), t["duration_s"], len(t["keyframes"])))
+                rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(t), t["duration_s"], len(t["keyframes"]), [{"offset": o, "length": n} for o, n in t["keyframes"]]))
             cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=[x.split()[0] for x in DIGEST.split(", ")])
 
