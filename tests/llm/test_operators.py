@@ -433,7 +433,11 @@ def test_jaccard_join(docs, empty, block):
         near = [(1, " ".join(f"w{k}" for k in range(60))), (1, " ".join(f"w{k}" for k in range(61)))]
         twice = jac.jaccard_join(docs.sparkSession.createDataFrame(near, "doc_id long, text string"))
         assert collected(twice) == [(1, 1, 1, 1), (1, 1, 1, 1)]
-        assert jac.jaccard_join(empty).count() == 0 and jac.jaccard_join(docs).count() == docs.where("doc_id IS NOT NULL").count()
+        assert jac.jaccard_join(empty).count() == 0 and jac.jaccard_join(docs).count() == docs.count()
+        odd = docs.sparkSession.createDataFrame([(7, "one two three four five six"), (7, "all other words in this second text"), (None, "one two three four five six"), (None, "alone without an id"), (3, None), (3, "")], "doc_id long, text string")
+        got = [tuple(r) for r in jac.jaccard_join(odd).collect()]
+        assert sorted(r[:1] + r[2:] for r in got if r[0] == 7) == [(7, 0, 0), (7, 1, 0)] and sum(r[0] is None for r in got) == 2
+        assert all(r[1] == 3 for r in got if r[0] == 3) and sorted(r[2] for r in got if r[0] is None) == [0, 1]
 
 
 def test_bands_reach_the_recall():

@@ -13,9 +13,10 @@ forest.
 N-grams are ``n`` lower-cased words, split at white space, held as 64-bit
 hashes. Edge cases: a text with fewer words than ``n`` has one n-gram of all its
 words; null, empty and blank texts have none, link to nothing, and each is a
-class of its own; rows with a null id are left out; an id that repeats counts as
-one document for each row, and with other texts it joins their classes; extra
-columns are ignored; an empty table gives an empty result.
+class of its own; rows that share an id are documents of their own, in one class
+only if their texts are linked; the class of rows without an id only is named by a
+number of at least 2^62; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import join_key, materialise, text_of
+from voltlake.llm.common import NULL_ID, join_key, materialise, text_of
 from voltlake.llm.components import connected_components
 
 MEMO_WORDS = 200_000
@@ -126,7 +127,7 @@ def _sign(n: int, bands: int, rows: int):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 found = signatures([sets[i] for i in full], bands, rows).view(np.int64)
                 ids, first, second, size, band = [], [], [], [], []
-                for d, s in zip(part.column("doc_id").to_pylist(), sets, strict=True):
+                for d, s in zip(part.column("vertex").to_pylist(), sets, strict=True):
                     ids.append(d)
                     a, b = set_hashes(s) if len(s) else (d, d)
                     first.append(a)
@@ -135,7 +136,7 @@ def _sign(n: int, bands: int, rows: int):
                     band.append(None)
                 for i, row in zip(full, found, strict=True):
                     band[i] = row
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(size, pa.int64()), pa.array(band, pa.list_(pa.int64()))], names=["doc_id", "s1", "s2", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(size, pa.int64()), pa.array(band, pa.list_(pa.int64()))], names=["vertex", "s1", "s2", "size", "bands"])
 
     return run
 
@@ -197,14 +198,11 @@ def _verify(n: int, threshold: float):
         sides: list[list[tuple]] = [[], []]
         sets: list[list[np.ndarray]] = [[], []]
         seen = set()
-        for row in rows:  # an id that repeats brings each of its texts; the set's own text counts, once
-            if (row[1], row[0], row[4]) in seen:
-                continue
-            got = shingle(row[3])
-            if set_hashes(got)[0] == row[4]:
-                seen.add((row[1], row[0], row[4]))
+        for row in rows:  # rows that repeat a document bring its text again
+            if row[0] not in seen:
+                seen.add(row[0])
                 sides[row[1]].append(row)
-                sets[row[1]].append(got)
+                sets[row[1]].append(shingle(row[3]))
         names = np.array([r[0] for side in sides for r in side], np.int64)
         own = [r[4] for side in sides for r in side]
         copies = np.array([r[2] for side in sides for r in side], np.int64)
@@ -247,25 +245,40 @@ def _verify(n: int, threshold: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, max_hashes: int = 128, block: int = 256) -> DataFrame:
-    """doc_id, class_id (least id of its linked group), n_links (other documents at or above the threshold), n_linked_texts (other n-gram sets)."""
+def with_vertices(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``__vertex``, and doc_id, vertex of the rows whose vertex isn't their id.
+
+    A vertex is the row's id, so that the least one of a class is its least id. Rows
+    without an id, and those that share one with another text, have a number of at
+    least 2^62 made of id and text instead; the ids that repeat are found by a partial
+    aggregate of id and hash, and are broadcast only if the planner finds them small.
+    """
+    text_hash = F.xxhash64(text_of())
+    made = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), text_of()), 2).bitwiseOR(F.lit(1 << 62))
+    several = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("__shared")).agg(F.min(text_hash).alias("a"), F.max(text_hash).alias("b")).where("a != b").select("__shared")
+    several = materialise(several)
+    marked = docs.join(several.withColumn("__found", F.lit(True)), F.col("doc_id").cast("long") == F.col("__shared"), "left")
+    own = F.col("__found").isNull() & F.col("doc_id").isNotNull()
+    out = marked.withColumn("__vertex", F.when(own, F.col("doc_id").cast("long")).otherwise(made)).drop("__shared", "__found")
+    return out, out.where(F.col("__vertex") >= 1 << 62).where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("__vertex"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__vertex").alias("vertex")).distinct()
+
+
+def jaccard_classes(texts: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, max_hashes: int = 160, block: int = 256) -> DataFrame:
+    """vertex, class (its least vertex), n_links, n_linked_texts for every row of ``texts`` (vertex, text)."""
     bands, rows = bands_and_rows(threshold, recall, max_hashes)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id IS NOT NULL")
-    signed = materialise(texts.mapInArrow(_sign(n, bands, rows), "doc_id long, s1 long, s2 long, size long, bands array<long>"))
-    sets = signed.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    signed = materialise(texts.mapInArrow(_sign(n, bands, rows), "vertex long, s1 long, s2 long, size long, bands array<long>"))
+    sets = signed.groupBy("s1", "s2").agg(F.min("vertex").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
 
     spread = sets.where("bands IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "h"))
     buckets = spread.groupBy("band", "h").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", join_key("h").alias("j"), "low")
     met = materialise(spread.withColumn("j", join_key("h")).join(buckets, ["band", "j"]).select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct())
-    linked_ids = connected_components(met)
-    alone = met.select(F.col("u").alias("vertex")).distinct().join(linked_ids.select("vertex"), "vertex", "left_anti")  # an id's own texts met
-    candidates = materialise(linked_ids.unionByName(alone.select("vertex", F.col("vertex").alias("component"))))
+    candidates = materialise(connected_components(met))
 
     sizes = candidates.groupBy("component").agg(F.ceil(F.least(F.count("*") / block, F.sqrt(F.count("*").cast("double")))).cast("int").alias("blocks"))
     members = candidates.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
-    reps = signed.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = signed.groupBy("s1", "s2").agg(F.min("vertex").alias("rep"), F.count("*").alias("copies"))
     chosen = members.join(reps, members["vertex"] == reps["rep"]).select("rep", "copies", "blocks", "b", "component", "s1")
-    carried = texts.join(chosen, texts["doc_id"] == chosen["rep"]).select("rep", "copies", "blocks", "b", "component", "s1", "text")
+    carried = texts.join(chosen, texts["vertex"] == chosen["rep"]).select("rep", "copies", "blocks", "b", "component", "s1", "text")
     unit = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"), F.when(F.col("b") > o, 1).otherwise(0).alias("side")))
     units = carried.select("rep", "copies", "s1", "text", F.col("component").alias("comp"), F.explode(unit).alias("unit")).select("rep", "copies", "s1", "text", "comp", "unit.i", "unit.j", "unit.side")
     ordered = units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
@@ -274,15 +287,24 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     groups = connected_components(verified.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counted = verified.groupBy("rep", "s1").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     classes = groups.withColumnRenamed("vertex", "rep")
-    known = reps.join(counted, ["rep", "s1"], "left").join(classes, "rep", "left").select("s1", "s2", "copies", "links", "texts", F.coalesce("component", "rep").alias("class_id"))
+    known = reps.join(counted, ["rep", "s1"], "left").join(classes, "rep", "left").select("s1", "s2", "copies", "links", "texts", F.coalesce("component", "rep").alias("class"))
     empty = F.col("size") == 0
     return (
-        signed.select("doc_id", "s1", "s2", "size")
+        signed.select("vertex", "s1", "s2", "size")
         .join(known, ["s1", "s2"], "left")
         .select(
-            "doc_id",
-            F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+            "vertex",
+            F.when(empty, F.col("vertex")).otherwise(F.col("class")).alias("class"),
             F.when(empty, 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
             F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
         )
     )
+
+
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (least id of its linked group), n_links (other documents at or above the threshold), n_linked_texts (other n-gram sets), for every row."""
+    marked, others = with_vertices(docs)
+    found = jaccard_classes(marked.select(F.col("__vertex").alias("vertex"), text_of().alias("text")), **options)
+    mine, theirs = others.select("vertex", F.col("doc_id").alias("__id"), F.lit(True).alias("__made")), others.select(F.col("vertex").alias("class"), F.col("doc_id").alias("__class_id"))
+    named = found.join(mine, "vertex", "left").join(theirs, "class", "left")
+    return named.select(F.when(F.col("__made"), F.col("__id")).otherwise(F.col("vertex")).alias("doc_id"), F.coalesce("__class_id", "class").alias("class_id"), "n_links", "n_linked_texts")
