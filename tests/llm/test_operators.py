@@ -233,11 +233,104 @@ def test_licences(spark):
     assert licences.scan_licences(files).count() == len(rows) and licences.scan_licences(files.where("false")).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2021 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+BSD_TEXT = """Copyright (c) 2020, The Authors
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+"""
+ISC_TEXT = """Copyright 2019 A. Person
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+APACHE_HEADER = """#!/bin/sh
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+"""
+GPL_HEADER = """/* This program is free software: you can redistribute it
+ * and/or modify it under the terms of the GNU
+ * General Public License as published by the Free Software
+ * Foundation, either version 3 of the License, or
+ * (at your option) any later version. */
+int main;
+"""
+
+
+def test_whole_licence_texts_and_header_blocks(spark):
+    code = "def f(x):\n    return x + 1\n" * 40
+    filler = "These words of a preamble speak of freedoms and of rights that others have in general terms. " * 300
+    gpl = "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n\n" + filler
+    rows = [("m/LICENSE", MIT_TEXT, "MIT"), ("b/COPYING", BSD_TEXT, "BSD-3-Clause"), ("i/LICENSE.md", ISC_TEXT, "ISC"), ("g/COPYING", gpl, "GPL-3.0"), ("x/run.sh", APACHE_HEADER + code, "Apache-2.0"), ("x/main.c", GPL_HEADER + code, "GPL-3.0"), ("n/a.py", code, None), ("n/LICENSE", code, None)]
+    rows += [(f"{d}/sub/deep/a{k}.py", code, name) for d, name in (("m", "MIT"), ("b", "BSD-3-Clause"), ("g", "GPL-3.0")) for k in range(3)]
+    got = {r.path: r.licence for r in licences.scan_licences(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
+    assert got == {p: name for p, _, name in rows}
+
+
+def test_inheritance_matches_brute_force(spark):
+    rng = random.Random(9)
+    notices = {"MIT": "Released under the MIT License.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "Apache-2.0": "Licensed under the Apache License, Version 2.0."}
+    folders = ["/".join(rng.choice("abc") for _ in range(rng.randint(0, 5))) for _ in range(60)]
+    special = {d: rng.choice(list(notices)) for d in folders if rng.random() < 0.3}
+    rows = [(f"{d}/LICENSE".lstrip("/"), notices[n]) for d, n in special.items()] + [(f"{d}/f{k}.py".lstrip("/"), "code" if k else None) for d in set(folders) for k in range(2)]
+    got = {r.path: (r.licence, r.licence_path) for r in licences.scan_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for path, _ in rows:
+        if path.endswith("LICENSE"):
+            continue
+        d, want = path.rpartition("/")[0], (None, None)
+        while True:
+            if d in special:
+                want = (special[d], f"{d}/LICENSE".lstrip("/"))
+                break
+            if not d:
+                break
+            d = d.rpartition("/")[0]
+        assert got[path] == want, path
+
+
 def test_licence_cosines_match_brute_force(spark):
     rows = [(f"f{i}", t) for i, t in enumerate(["Released under the MIT License.", "We use a licence of our own making here", "Licensed under CC BY-NC 4.0.\nCopyright holders may redistribute in source form"])]
     got = {r.path: (r.licence, r.cosine) for r in licences.scan_licences(spark.createDataFrame(rows, "path string, text string"), threshold=0.0).collect()}
     split = lambda t: [w for w in re.split(r"[^\w.+-]+|[.,;:]+(?=\s|$)", t.lower()) if w]
+    windows = lambda ws: [ws[k : k + licences.WINDOW] for k in range(0, max(1, len(ws)), licences.STEP)]
     passages = [(p, split(x)) for p, t in rows for x in t.split("\n") if re.search(licences.TRIGGER, x)]
+    passages += [(p, w) for p, t in rows if re.search(licences.TRIGGER, t) for w in windows(split(t)) if any(re.search(licences.TRIGGER, x) for x in w) or "public domain" in " ".join(w)]
     templates = [(n, split(x)) for n, ts in licences.TEMPLATES.items() for x in ts]
     df = Counter(w for _, ws in passages + templates for w in set(ws))
     n = len(passages) + len(templates)

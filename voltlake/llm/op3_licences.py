@@ -1,10 +1,14 @@
 """Licence scans: TF-IDF cosines of headers and licence files to templates, then inheritance by directory.
 
-A header is a passage around lines that speak of a licence, a copyright or an
-SPDX tag; a licence file's passage is its whole text. Inverse document
-frequencies are counted over all passages and the templates. Passages become
-sparse term rows that are joined with the idf table and with the templates'
-terms (a fixed list, so broadcast), and cosines are sums over the shared terms.
+A text is compared in passages: each line that speaks of a licence, a copyright or
+an SPDX tag, and windows of ``WINDOW`` terms, ``STEP`` apart, that run over line
+breaks and comment marks. Of a licence file all windows count, of other files those
+that hold such a word; so a header block of several short lines and a licence text
+of any length are compared piece by piece. Templates are notices and, of whole
+licence texts, their distinctive passages. Inverse document frequencies are counted
+over all passages and the templates. Passages become sparse term rows that are
+joined with the idf table and with the templates' terms (a fixed list, so
+broadcast), and cosines are sums over the shared terms.
 
 A file takes the licence of its best passage; without one, that of the nearest
 ancestor directory with a licence file: each distinct directory is exploded into
@@ -13,8 +17,8 @@ follows directories, not files.
 
 Edge cases: null texts and paths count as empty; a file without passage or
 licensed ancestor has a null licence; ties go to the first template name and the
-first path; repeated rows get equal results; extra columns pass through, those named as an output are replaced; an empty
-table gives an empty result.
+first path; repeated rows get equal results; extra columns pass through, those named
+as an output are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,38 +28,79 @@ from pyspark.sql import functions as F
 
 from voltlake.llm.common import text_of
 
-#: Notices by which licences are stated, by SPDX identifier.
+#: Notices by which licences are stated and passages of their public texts, by SPDX identifier.
 TEMPLATES = {
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction. SPDX-License-Identifier: MIT"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0. SPDX-License-Identifier: Apache-2.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3. SPDX-License-Identifier: GPL-3.0"),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", "You can redistribute this library and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation. SPDX-License-Identifier: LGPL-3.0"),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products. SPDX-License-Identifier: BSD-3-Clause"),
-    "MPL-2.0": ("This file is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, you can obtain one at mozilla.org/MPL/2.0. SPDX-License-Identifier: MPL-2.0"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted. SPDX-License-Identifier: ISC"),
-    "Unlicense": ("Released into the public domain under the Unlicense.", "This is free and unencumbered software released into the public domain. SPDX-License-Identifier: Unlicense"),
+    "MIT": (
+        "Released under the MIT License.",
+        "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights",
+        "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "SPDX-License-Identifier: MIT",
+    ),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+        "SPDX-License-Identifier: Apache-2.0",
+    ),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.",
+        "SPDX-License-Identifier: GPL-3.0-only SPDX-License-Identifier: GPL-3.0-or-later",
+    ),
+    "LGPL-3.0": (
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007. This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+        "SPDX-License-Identifier: LGPL-3.0-only SPDX-License-Identifier: LGPL-3.0-or-later",
+    ),
+    "BSD-3-Clause": (
+        "Licensed under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ),
+    "MPL-2.0": (
+        "This file is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. 1.2. \"Contributor Version\" means the combination of the Contributions of others",
+        "SPDX-License-Identifier: MPL-2.0",
+    ),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under the Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    "ISC": (
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "Unlicense": (
+        "Released into the public domain under the Unlicense.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
 }
 TRIGGER = r"(?i)licen[cs]e|copyright|spdx|public domain"
 FILE_NAME = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|notice)(?:\.[a-z]+)?$"
+WINDOW, STEP = 45, 15
 
 
 def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+|[.,;:]+(?=\s|$)"), lambda t: t != "")
 
 
-def header_passages(text: Column) -> Column:
-    """The lines that speak of a licence, each as a passage; a line over 60 terms is cut into pieces of 30 around its triggers' places."""
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(TRIGGER))
+def passages_of(text: Column, special: Column) -> Column:
+    """Each passage's terms: the lines with a trigger, and the windows, of which a licence file's all count."""
+    lines = F.transform(F.filter(F.split(text, "\n"), lambda line: line.rlike(TRIGGER)), terms)
 
-    def pieces(line: Column) -> Column:
-        words = F.split(line, r"\s+")
-        starts = F.sequence(F.lit(1), F.size(words), F.lit(15))
-        cut = F.filter(F.transform(starts, lambda s: F.array_join(F.slice(words, s, F.lit(30)), " ")), lambda p: p.rlike(TRIGGER))
-        return F.when(F.size(words) <= 60, F.array(line)).otherwise(cut)
+    def windows(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(STEP))
+        cut = F.transform(starts, lambda s: F.slice(words, s, F.lit(WINDOW)))
+        return F.filter(cut, lambda w: special | F.exists(w, lambda t: t.rlike(TRIGGER)) | F.array_join(w, " ").contains("public domain"))
 
-    return F.flatten(F.transform(lines, pieces))
+    return F.filter(F.concat(lines, F.element_at(F.transform(F.array(terms(text)), windows), 1)), lambda w: F.size(w) > 0)
 
 
 def directory(path: Column) -> Column:
@@ -73,9 +118,9 @@ def scan_licences(files: DataFrame, path: str = "path", is_licence_file: Column
         keyed.where(F.col("special") | F.col("t").rlike(TRIGGER))
         .groupBy("p", "special", "t")
         .agg(F.count("*").alias("times"))
-        .select("p", "special", F.xxhash64("t").alias("th"), F.posexplode(F.when(F.col("special") & F.col("p").rlike(FILE_NAME), F.array("t")).otherwise(header_passages(F.col("t")))).alias("no", "passage"))
+        .select("p", "special", F.xxhash64("t").alias("th"), F.posexplode(passages_of(F.col("t"), F.col("special"))).alias("no", "passage"))
     )
-    counted = passages.select("p", "special", "th", "no", F.explode(terms(F.col("passage"))).alias("term")).groupBy("p", "special", "th", "no", "term").agg(F.count("*").alias("tf"))
+    counted = passages.select("p", "special", "th", "no", F.explode("passage").alias("term")).groupBy("p", "special", "th", "no", "term").agg(F.count("*").alias("tf"))
 
     rows = [(name, i, text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
     template = spark.createDataFrame(rows, "name string, variant int, text string").select("name", "variant", F.explode(terms(F.col("text"))).alias("term")).groupBy("name", "variant", "term").agg(F.count("*").alias("tf"))
@@ -97,11 +142,11 @@ def scan_licences(files: DataFrame, path: str = "path", is_licence_file: Column
     dirs = keyed.select(directory(F.col("p")).alias("d")).distinct()
     parts = F.split("d", "/")
     chain = dirs.select("d", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir")))).alias("a")).select("d", "a.depth", "a.dir")
-    nearest = chain.join(licensed, "dir").groupBy("d").agg(F.max(F.struct("depth", "__dir_name", "__dir_cosine", "__dir_path")).alias("x")).select("d", "x.__dir_name", "x.__dir_cosine", "x.__dir_path")
+    nearest = chain.join(licensed, "dir").groupBy("d").agg(F.max(F.struct("depth", "__dir_name", "__dir_cosine", "__dir_path")).alias("x")).select(F.xxhash64("d").alias("__j"), F.col("d").alias("__d"), "x.__dir_name", "x.__dir_cosine", "x.__dir_path")
 
     left = files.withColumn("__p", named).withColumn("__s", special).withColumn("__th", F.xxhash64(text_of())).withColumn("__d", directory(named))
     mine = own.select(F.col("p").alias("__p"), F.col("special").alias("__s"), F.col("th").alias("__th"), F.col("name").alias("__name"), F.col("cosine").alias("__cosine"))
-    joined = left.join(mine, ["__p", "__s", "__th"], "left").join(nearest.withColumnRenamed("d", "__d"), "__d", "left")
+    joined = left.join(mine, ["__p", "__s", "__th"], "left").withColumn("__j", F.xxhash64("__d")).join(nearest, ["__j", "__d"], "left")  # another key than the grouping's, so that a directory of many files can be split
     return joined.select(
         *(F.col(c) for c in files.columns),
         F.coalesce("__name", "__dir_name").alias("licence"),
