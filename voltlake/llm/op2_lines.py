@@ -122,11 +122,13 @@ def removed_chunks(keyed: DataFrame, cut: Callable[[Column, Callable[[Column, Co
     return texts.withColumn("j", join_key("h")).join(firsts, ["j", "bytes"]).where(place != F.col("kept")).groupBy("k1", "k2").agg(F.collect_set("no").alias("removed"))
 
 
-def dedupe_lines(docs: DataFrame, window: int = 3, divisor: int = 4, prefix: str = "", passages: bool = False) -> DataFrame:
+def dedupe_lines(docs: DataFrame, window: int = 3, divisor: int = 4, prefix: str = "", passages: bool = False, leave_copies: float | None = None) -> DataFrame:
     """``docs`` with ``text`` less its repeated chunks, and n_lines, n_removed_lines, n_removed_chunks, each with the prefix.
 
     Input columns with the name of one of these are replaced. With ``passages``, all
     repeated passages of two lines and more go, and pairs of lines count as chunks.
+    Documents that would lose at least the share ``leave_copies`` of their characters
+    stay whole: they are copies, which dedup of documents judges by their full text.
     """
 
     def cut(text: Column, body: Callable[[Column, Column], Column]) -> Column:
@@ -147,6 +149,8 @@ def dedupe_lines(docs: DataFrame, window: int = 3, divisor: int = 4, prefix: str
     joined = keyed.join(lost, ["__k1", "__k2"], "left").withColumn("__kept", F.when(F.col("__removed").isNotNull(), cut(text_of(), rest)))
     n_lines = F.size(F.split(text_of(), "\n", -1)).cast("long")
     gone = F.col("__removed").isNotNull()
+    if leave_copies is not None:
+        gone = gone & (F.length("__kept.text") > F.length(text_of()) * (1 - leave_copies))
     out = joined.select(
         *(F.when(gone, F.col("__kept.text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
         n_lines.alias(added[0]),
