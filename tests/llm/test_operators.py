@@ -578,8 +578,9 @@ def removal_truth(rows, length):
 
 @pytest.mark.parametrize("max_group", [10_000, 3])
 def test_suffix_dedup(docs, empty, max_group):
-    got = suf.suffix_dedup(docs, max_group=max_group).drop("removed")
-    want = removal_truth([(d, t.encode()) for d, t in plain(docs)], 200)
+    more = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([(-(2**63) + 1, "x" * 150 + "y" * 100), (900, "q" + "x" * 150 + "y" * 100)], "doc_id long, text string"))
+    got = suf.suffix_dedup(more, max_group=max_group).drop("removed")
+    want = removal_truth([(d, t.encode()) for d, t in plain(more)], 200)
     assert collected(got) == want and sum(r[2] for r in want) > 2000
     if max_group > 3:
         assert suf.suffix_dedup(empty).count() == 0
@@ -588,7 +589,7 @@ def test_suffix_dedup(docs, empty, max_group):
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.lists(st.binary(max_size=6), max_size=8), max_size=7))
 def test_loser_tree_merges_front_coded_runs(runs):
-    blobs = [suf.pack([(s, b"L", 1, 2, i, 1) for i, s in enumerate(r)]) for r in runs]
+    blobs = [suf.pack([(s, b"L", 1, 2, i) for i, s in enumerate(r)]) for r in runs]
     merged = list(suf.merge([suf.unpack(b) for b in blobs]))
     assert [m[0] for m in merged] == sorted(s for r in runs for s in r)
     last = b""
@@ -597,6 +598,21 @@ def test_loser_tree_merges_front_coded_runs(runs):
         last = s
 
 
+def test_hot_strings_are_spread_and_whole(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, " ".join([*(word() for _ in range(rng.randint(0, 30))), passage[rng.randint(0, 40) :], *(word() for _ in range(rng.randint(0, 30)))])) for i in range(120)]
+    want = removal_truth([(d, t.encode()) for d, t in rows], 200)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    flush = suf.FLUSH
+    try:
+        for suf.FLUSH in (flush, 40_000):
+            assert collected(suf.suffix_dedup(d, max_group=10).drop("removed")) == want
+    finally:
+        suf.FLUSH = flush
+
+
 def test_anchors_cover_every_window_and_ignore_place():
     rng = random.Random(3)
     data = bytes(rng.choice(b"abcd ") for _ in range(5000))

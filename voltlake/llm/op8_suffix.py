@@ -7,24 +7,25 @@ anchors are sorted.
 
 1. Anchors of every document carry the hash of their window and of their whole
    context: the bytes that any string through the anchor can hold. Counts by hash
-   are pre-aggregated, and joins with them can split a hot hash. Anchors whose
-   context occurs twice are covered whole; equal contexts are thereby collapsed
-   before any text is exchanged.
-2. Where an anchor's window occurs with several contexts, one suffix for each
-   distinct context is sent: every task writes front-coded sorted runs for each
-   bucket of window hashes.
+   are pre-aggregated, and joins with them can split a hot hash. Only anchors whose
+   window occurs twice go on.
+2. Of each distinct context the suffixes of its first and its last place are sent:
+   every task writes front-coded sorted runs for each bucket of window hashes.
 3. A bucket's runs are combined by a loser tree that keeps, for each contender,
    its common prefix with the last winner. A longer known prefix decides without
    reading a byte, and equal ones are compared from there on only. The merge's
    own prefix lengths then delimit the groups of suffixes that share an anchor;
    adding the common bytes to the left, an anchor is covered as far as a partner
    shares at least ``length`` bytes through it.
-4. Groups of more than ``max_group`` distinct contexts don't go to one task:
-   their windows are counted by hash with partial aggregates, and the counts are
-   joined back. That gives the same bytes, and no group is cut.
+4. A window with more than ``max_group`` distinct contexts would make one task's
+   bucket hot. Of those contexts every string of ``length`` bytes is sorted as a
+   suffix of its own, in buckets of the string's hash, so that the group is spread
+   over all tasks; a task writes each distinct string once and reports its further
+   places at once. Runs and loser trees are the same, equal neighbours are covered.
 
-Equality of whole contexts is decided on 128 bits of hash, that of the sorted
-suffixes on bytes. Documents are shuffled once; both joins use that exchange.
+So all repeats are decided on bytes in the sort. Only where a context has more than
+two places, those between its first and last are taken for equal to both by 128 bits
+of hash. Documents are shuffled once; both joins use that exchange.
 
 Edge cases: null text counts as empty; documents shorter than ``length`` lose
 nothing and match nothing; rows equal in id and text are two documents, so they
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import NULL_ID, join_key, materialise, row_keys, text_of
+from voltlake.llm.common import join_key, materialise, row_keys, text_of
 from voltlake.llm.op7_jaccard import _mix, _signed
 
 ANCHOR, SEGMENT, FLUSH = 64, 1 << 20, 48 << 20
@@ -94,7 +95,7 @@ def common(a: bytes, b: bytes, i: int = 0) -> int:
 
 
 def pack(entries: list[tuple]) -> bytes:
-    """A run: entries (suffix, left bytes reversed, k1, k2, pos, times), sorted and front-coded."""
+    """A run: entries (suffix, left bytes reversed, k1, k2, pos), sorted and front-coded."""
     import zstandard
 
     entries.sort(key=lambda e: e[0])
@@ -104,24 +105,24 @@ def pack(entries: list[tuple]) -> bytes:
         shared.append(k)
         rest.append(e[0][k:])
         last = e[0]
-    head = np.array([shared, [len(r) for r in rest], [len(e[1]) for e in entries], [e[4] for e in entries], [min(e[5], 2) for e in entries]], np.int32)
+    head = np.array([shared, [len(r) for r in rest], [len(e[1]) for e in entries], [e[4] for e in entries]], np.int32)
     keys = np.array([[e[2] for e in entries], [e[3] for e in entries]], np.int64)
     return zstandard.ZstdCompressor(3).compress(struct.pack("<I", len(entries)) + head.tobytes() + keys.tobytes() + b"".join(rest) + b"".join(e[1] for e in entries))
 
 
 def unpack(blob: bytes) -> Iterator[tuple[bytes, int, tuple]]:
-    """(suffix, its common prefix with the one before, (left bytes, k1, k2, pos, times)) of a run, in order."""
+    """(suffix, its common prefix with the one before, (left bytes, k1, k2, pos)) of a run, in order."""
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(blob)
     n = struct.unpack_from("<I", data)[0]
-    head = np.frombuffer(data, np.int32, 5 * n, 4).reshape(5, n).tolist()
-    keys = np.frombuffer(data, np.int64, 2 * n, 4 + 20 * n).reshape(2, n).tolist()
-    at = 4 + 36 * n
+    head = np.frombuffer(data, np.int32, 4 * n, 4).reshape(4, n).tolist()
+    keys = np.frombuffer(data, np.int64, 2 * n, 4 + 16 * n).reshape(2, n).tolist()
+    at = 4 + 32 * n
     left_at, last = at + sum(head[1]), b""
-    for shared, size, left, pos, times, k1, k2 in zip(*head, *keys, strict=True):
+    for shared, size, left, pos, k1, k2 in zip(*head, *keys, strict=True):
         last = last[:shared] + data[at : at + size]
-        yield last, shared, (data[left_at : left_at + left], k1, k2, pos, times)
+        yield last, shared, (data[left_at : left_at + left], k1, k2, pos)
         at += size
         left_at += left
 
@@ -219,7 +220,7 @@ def covered(group: list[tuple[int, tuple]], length: int) -> Iterator[tuple[int,
             far = np.where(ok, np.maximum(far, level), far)
         left, right = best.tolist(), far.tolist()
     for (_, e), back, ahead in zip(group, left, right, strict=True):
-        if ahead and e[4] < 2:
+        if ahead:
             yield e[1], e[2], e[3] - back, e[3] + ahead
 
 
@@ -265,9 +266,9 @@ def _runs(length: int, buckets: int):
                 k1, k2 = batch.column("k1")[k].as_py(), batch.column("k2")[k].as_py()
                 data = batch.column("text")[k].as_buffer().to_pybytes()
                 wanted = batch.column("wanted")[k].values
-                for pos, h, times in zip(wanted.field("pos").to_pylist(), wanted.field("h").to_pylist(), wanted.field("n_c").to_pylist(), strict=True):
+                for pos, h in zip(wanted.field("pos").to_pylist(), wanted.field("h").to_pylist(), strict=True):
                     back = data[max(0, pos - length + ANCHOR) : pos]
-                    held.setdefault(h % buckets, []).append((data[pos : pos + length], back[::-1], k1, k2, pos, times))
+                    held.setdefault(h % buckets, []).append((data[pos : pos + length], back[::-1], k1, k2, pos))
                     size += 2 * length + 200
                 if size > FLUSH:
                     yield from flush()
@@ -277,15 +278,32 @@ def _runs(length: int, buckets: int):
     return run
 
 
-def _combine(length: int):
+def by_anchor(merged: Iterator[tuple[bytes, int, tuple]], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(k1, k2, from, to) of what is covered, by groups of suffixes that share an anchor."""
+    group: list[tuple[int, tuple]] = []
+    for _, shared, payload in merged:
+        if shared < ANCHOR:
+            yield from covered(group, length)
+            group = []
+        group.append((shared, payload))
+    yield from covered(group, length)
+
+
+def by_equality(merged: Iterator[tuple[bytes, int, tuple]], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(k1, k2, from, to) of strings that equal a neighbour."""
+    before, told = None, False
+    for _, shared, (_, k1, k2, pos) in merged:
+        equal = before is not None and shared >= length
+        if equal and not told:
+            yield before
+        before, told = (k1, k2, pos, pos + length), equal
+        if equal:
+            yield before
+
+
+def _combine(length: int, decide):
     def groups(runs: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
-        group: list[tuple[int, tuple]] = []
-        for _, shared, payload in merge([unpack(r) for r in runs]):
-            if shared < ANCHOR:
-                yield from covered(group, length)
-                group = []
-            group.append((shared, payload))
-        yield from covered(group, length)
+        return decide(merge([unpack(r) for r in runs]), length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, runs = None, []
@@ -310,21 +328,47 @@ def _combine(length: int):
     return run
 
 
-def _windows(length: int):
+def _strings(length: int, buckets: int):
+    """Runs of the strings through the wanted anchors, each once a block of work; the further places of a string are cuts (k1, k2, a, b)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_intdigest
+        from xxhash import xxh3_64_intdigest
+
+        held: dict[bytes, tuple[int, int, int]] = {}
+        told: set[bytes] = set()
+        cuts: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            dealt: dict[int, list] = {}
+            for string, (k1, k2, at) in held.items():
+                dealt.setdefault(xxh3_64_intdigest(string) % buckets, []).append((string, b"", k1, k2, at))
+            rows = [(bucket, pack(dealt[bucket]), None, None, None, None) for bucket in sorted(dealt)]
+            rows += [(None, None, k1, k2, at, at + length) for k1, k2, at in cuts]
+            for x in (held, told, cuts):
+                x.clear()
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            for k in range(0, len(rows), 10_000):
+                part = rows[k : k + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], kind) for i, kind in enumerate(kinds)], names=["bucket", "run", "k1", "k2", "a", "b"])
 
         for batch in batches:
             for k in range(batch.num_rows):
+                k1, k2 = batch.column("k1")[k].as_py(), batch.column("k2")[k].as_py()
                 data = batch.column("text")[k].as_buffer().to_pybytes()
-                wanted = batch.column("wanted")[k].values
-                starts: dict[int, int] = {}
-                for pos, times in zip(wanted.field("pos").to_pylist(), wanted.field("n_c").to_pylist(), strict=True):
-                    for s in range(max(0, pos - length + ANCHOR), min(pos, len(data) - length) + 1):
-                        starts[s] = max(times, starts.get(s, 0))
-                digests = [xxh3_128_intdigest(data[s : s + length]) for s in starts]
-                cols = [pa.array([_signed(d >> 64) for d in digests], pa.int64()), pa.array([_signed(d & (2**64 - 1)) for d in digests], pa.int64()), pa.repeat(batch.column("k1")[k], len(starts)), pa.repeat(batch.column("k2")[k], len(starts)), pa.array(list(starts), pa.int64()), pa.array(list(starts.values()), pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["w1", "w2", "k1", "k2", "s", "n"])
+                starts: set[int] = set()
+                for pos in batch.column("wanted")[k].values.field("pos").to_pylist():
+                    starts.update(range(max(0, pos - length + ANCHOR), min(pos, len(data) - length) + 1))
+                for at in sorted(starts):
+                    string = data[at : at + length]
+                    first = held.setdefault(string, (k1, k2, at))
+                    if first != (k1, k2, at):
+                        cuts.append((k1, k2, at))
+                        if string not in told:
+                            told.add(string)
+                            cuts.append(first)
+                if (len(held) + len(cuts)) * (length + 200) > FLUSH:
+                    yield from flush()
+        yield from flush()
 
     return run
 
@@ -360,38 +404,43 @@ def _cut(length: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, max_group: int = 10_000, per_task: int = 60_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, max_group: int = 2_000, per_task: int = 60_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans, for every row of ``docs``."""
     if length < 2 * ANCHOR:
         raise ValueError(f"length must be at least {2 * ANCHOR}")
     first, second = row_keys()
-    keyed = docs.select(first.alias("k1"), second.alias("k2"), text_of().alias("text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), first.alias("k1"), second.alias("k2"), text_of().alias("text"))
     found = keyed.mapInArrow(_find(length), "k1 long, k2 long, pos long, h long, c long")
     shared = found.groupBy("h").agg(F.count("*").alias("n_h")).where("n_h > 1").select(join_key("h").alias("j"))
     suspects = materialise(found.withColumn("j", join_key("h")).join(shared, "j", "left_semi").drop("j"))
     place = F.struct("k1", "k2", "pos")
-    contexts = materialise(suspects.groupBy("h", "c").agg(F.count("*").alias("n_c"), F.min(place).alias("first")))
+    contexts = materialise(suspects.groupBy("h", "c").agg(F.count("*").alias("n_c"), F.min(place).alias("first"), F.max(place).alias("last")))
     many = contexts.groupBy("h").agg(F.count("*").alias("contexts")).select(join_key("h").alias("j"), "contexts")
-    firsts = contexts.withColumn("j", join_key("h")).join(many, "j").select("first.k1", "first.k2", "first.pos", "h", "n_c", "contexts").where("contexts > 1")
+    told = contexts.withColumn("j", join_key("h")).join(many, "j").where("contexts > 1 OR n_c > 1")
+    ends = told.select("h", "contexts", F.explode(F.array_distinct(F.array("first", "last"))).alias("at")).select("at.k1", "at.k2", "at.pos", "h", "contexts")
     sorted_, large = F.col("contexts") <= max_group, F.col("contexts") > max_group
-    n_sorted, n_large = firsts.agg(F.count_if(sorted_), F.count_if(large)).first()
+    n_sorted, n_large = ends.agg(F.count_if(sorted_), F.count_if(large)).first()
 
     def with_wanted(which):
-        wanted = firsts.where(which).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "h", "n_c")).alias("wanted"))
+        wanted = ends.where(which).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "h")).alias("wanted"))
         return keyed.join(wanted.hint("merge"), ["k1", "k2"])
 
-    twice = contexts.where("n_c > 1").select("h", "c")
-    whole = suspects.join(twice, ["h", "c"], "left_semi").select("k1", "k2", (F.col("pos") - (length - ANCHOR)).alias("a"), (F.col("pos") + length).alias("b"))
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_sorted // per_task))
+    def combined(runs: DataFrame, partitions: int, decide) -> DataFrame:
+        return runs.select("bucket", "run").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_combine(length, decide), "k1 long, k2 long, a long, b long")
+
+    often = contexts.where("n_c > 2 OR first = last AND n_c > 1").select("h", "c")  # rows that repeat a document share its places
+    cuts = suspects.join(often, ["h", "c"], "left_semi").select("k1", "k2", (F.col("pos") - (length - ANCHOR)).alias("a"), (F.col("pos") + length).alias("b"))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(least, -(-n_sorted // per_task))
     runs = with_wanted(sorted_).mapInArrow(_runs(length, 4 * partitions), "bucket long, run binary")
-    cuts = whole.unionByName(runs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_combine(length), "k1 long, k2 long, a long, b long"))
+    cuts = cuts.unionByName(combined(runs, partitions, by_anchor))
     if n_large:
-        windows = with_wanted(large).mapInArrow(_windows(length), "w1 long, w2 long, k1 long, k2 long, s long, n long")
-        again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select(join_key("w1").alias("j"), "w2")
-        cuts = cuts.unionByName(windows.withColumn("j", join_key("w1")).join(again, ["j", "w2"], "left_semi").select("k1", "k2", F.col("s").alias("a"), (F.col("s") + length).alias("b")))
+        partitions = max(least, -(-n_large * (length - ANCHOR) // (4 * per_task)))
+        strings = materialise(with_wanted(large).mapInArrow(_strings(length, 4 * partitions), "bucket long, run binary, k1 long, k2 long, a long, b long"))
+        cuts = cuts.unionByName(strings.where("bucket IS NULL").select("k1", "k2", "a", "b")).unionByName(combined(strings.where("bucket IS NOT NULL"), partitions, by_equality))
     per_doc = cuts.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
     return (
         keyed.join(per_doc.hint("merge"), ["k1", "k2"], "left")
-        .select(F.when(F.col("k1") != NULL_ID, F.col("k1")).alias("doc_id"), "text", "cuts")
+        .select("doc_id", "text", "cuts")
         .mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, end: long>>")
     )
