@@ -423,6 +423,28 @@ def test_label_model_finds_accuracies_and_correlations():
     assert (guess == y).mean() > 0.9
 
 
+def test_label_model_posteriors_match_bayes():
+    rng = np.random.default_rng(6)
+    prior, n = 0.15, 40_000
+    hit, false = np.array([0.6, 0.5, 0.4, 0.55, 0.35]), np.array([0.02, 0.03, 0.01, 0.02, 0.05])
+    y = rng.random(n) < prior
+    votes = (rng.random((n, 5)) < np.where(y[:, None], hit, false)).astype(int)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    got = tox.fit_label_model(patterns, counts)["posterior"]
+    off = 0.0
+    for p, c in zip(patterns, counts, strict=True):
+        like = [q * np.prod(np.where(p == 1, r, 1 - r)) for q, r in ((prior, hit), (1 - prior, false))]
+        off += c / n * abs(got[tuple(int(x) for x in p)] - like[0] / sum(like))
+    assert off < 0.02
+
+
+def test_lexicon_voters_share_no_cluster():
+    first = tox.clusters({0: 10, 1: 9, 2: 10, 3: 4}, {(0, 1): 9, (0, 2): 3, (2, 3): 4})
+    assert first == {0: 0, 1: 0, 2: 2, 3: 3}
+    voters = tox.dealt({0: 50.0, 1: 40.0, 2: 45.0, 3: 1.0}, first, 20.0)
+    assert voters[:2] == [[0, 1], [2]] and voters[tox.SURE] == [3] and sum(map(len, voters)) == 4
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(8)
     words = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 8))) for _ in range(300)]

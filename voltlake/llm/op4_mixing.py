@@ -140,7 +140,7 @@ def rate_of(u: np.ndarray, most: float = math.inf) -> Column:
     return F.greatest(F.lit(0.0), moved if math.isinf(most) else F.least(F.lit(float(most)), moved))
 
 
-def fit_rates(scored: DataFrame, targets: dict[str, float], total: float | None = None, ridge: float = 1e-3, most: float = math.inf, rounds: int = 60, tolerance: float = 1e-7, slack: float = 1e-3) -> dict:
+def fit_rates(scored: DataFrame, targets: dict[str, float], total: float | None = None, ridge: float = 1e-3, most: float = math.inf, rounds: int = 60, tolerance: float = 1e-6, slack: float = 1e-3) -> dict:
     """``u`` of the rates (see ``rate_of``) for ``scored`` (n_tokens, p_<domain>); shares of domains that can't be reached are left out.
 
     ``reached`` and ``wanted`` are tokens by domain; ``unmet`` names domains that miss
