@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltlake.operators.keys import ids
+
 
 def gradient_removed(samples: DataFrame, first: int, spacing: int, n_volumes: int, before: int = 4, after: int = 4, w_before: float = 0.5, w_after: float = 0.5, excluded: tuple[int, ...] = ()) -> DataFrame:
     """Less a template of neighbouring volumes, after linear detrending of each volume.
@@ -17,20 +19,22 @@ def gradient_removed(samples: DataFrame, first: int, spacing: int, n_volumes: in
     at = F.col("sample_index") - first
     placed = samples.withColumn("tr", F.when((at >= 0) & (at < spacing * n_volumes), F.floor(at / spacing))).withColumn("phase", F.pmod(at, F.lit(spacing)))
     inside = placed.where("tr IS NOT NULL")
-    line = inside.groupBy("channel_index", "tr").agg(F.regr_slope("value", "phase").alias("slope"), F.regr_intercept("value", "phase").alias("level"))
-    flat = inside.join(line, ["channel_index", "tr"]).withColumn("x", F.col("value") - F.coalesce("level", F.lit(0.0)) - F.coalesce("slope", F.lit(0.0)) * F.col("phase"))
+    named = ids(samples)
+    line = inside.groupBy(*named, "channel_index", "tr").agg(F.regr_slope("value", "phase").alias("slope"), F.regr_intercept("value", "phase").alias("level"))
+    flat = inside.join(line, [*named, "channel_index", "tr"]).withColumn("x", F.col("value") - F.coalesce("level", F.lit(0.0)) - F.coalesce("slope", F.lit(0.0)) * F.col("phase"))
     donor = F.when(~F.col("tr").isin(*excluded), F.col("x")) if excluded else F.col("x")
-    w = Window.partitionBy("channel_index", "phase").orderBy("tr")
+    w = Window.partitionBy(*named, "channel_index", "phase").orderBy("tr")
     a, b = F.avg(donor).over(w.rowsBetween(-before, -1)), F.avg(donor).over(w.rowsBetween(1, after))
     template = F.when(a.isNull() & b.isNull(), 0.0).when(a.isNull(), b).when(b.isNull(), a).otherwise(w_before * a + w_after * b)
-    cleaned = flat.select("channel_index", "sample_index", (F.col("x") - template).alias("value"))
-    return cleaned.unionByName(placed.where("tr IS NULL").select("channel_index", "sample_index", "value"))
+    cleaned = flat.select(*named, "channel_index", "sample_index", (F.col("x") - template).alias("value"))
+    return cleaned.unionByName(placed.where("tr IS NULL").select(*named, "channel_index", "sample_index", "value"))
 
 
 def template_regressed(trials: DataFrame) -> DataFrame:
     """Each event less its projection on the unit average of its channel."""
-    mean = trials.groupBy("category", "channel_index", "rel").agg(F.avg("value").alias("m"))
-    size = mean.groupBy("category", "channel_index").agg(F.sum(F.col("m") ** 2).alias("e"))
-    joined = trials.join(mean, ["category", "channel_index", "rel"]).join(size, ["category", "channel_index"])
-    scale = F.sum(F.col("value") * F.col("m")).over(Window.partitionBy("category", "trial", "channel_index")) / F.when(F.col("e") > 1e-18, F.col("e"))
-    return joined.withColumn("scale", F.coalesce(scale, F.lit(0.0))).select("category", "trial", "channel_index", "rel", (F.col("value") - F.col("scale") * F.col("m")).alias("value"), "scale")
+    named = [*ids(trials), "category", "channel_index"]
+    mean = trials.groupBy(*named, "rel").agg(F.avg("value").alias("m"))
+    size = mean.groupBy(*named).agg(F.sum(F.col("m") ** 2).alias("e"))
+    joined = trials.join(mean, [*named, "rel"]).join(size, named)
+    scale = F.sum(F.col("value") * F.col("m")).over(Window.partitionBy(*named, "trial")) / F.when(F.col("e") > 1e-18, F.col("e"))
+    return joined.withColumn("scale", F.coalesce(scale, F.lit(0.0))).select(*named, "trial", "rel", (F.col("value") - F.col("scale") * F.col("m")).alias("value"), "scale")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltlake.operators.keys import ids
 from voltlake.operators.stats import median_upper
 from voltlake.operators.topk import find_peaks, threshold_runs
 
 
 def trigger_spacing(events: DataFrame, tolerance: float, *keys: str) -> DataFrame:
     """Intervals between sorted triggers: least, most, upper median, distinct count, and whether all are within the tolerance of the median."""
+    keys = (*ids(events), *keys)
     w = Window.partitionBy(*keys).orderBy("begin_s", "event_id")
     gaps = events.withColumn("d", F.col("begin_s") - F.lag("begin_s").over(w)).where("d IS NOT NULL")
     found = gaps.groupBy(*keys).agg(F.min("d").alias("least"), F.max("d").alias("most"), median_upper(F.col("d")).alias("median"), F.countDistinct("d").alias("n_distinct"))
@@ -19,15 +21,15 @@ def trigger_spacing(events: DataFrame, tolerance: float, *keys: str) -> DataFram
 
 def ocular_drive(samples: DataFrame, candidates: tuple[int, ...]) -> DataFrame:
     """The candidate channels' value of largest magnitude at each sample."""
-    return samples.where(F.col("channel_index").isin(*candidates)).groupBy("sample_index").agg(F.max_by("value", F.struct(F.abs("value"), -F.col("channel_index"))).alias("value"))
+    return samples.where(F.col("channel_index").isin(*candidates)).groupBy(*ids(samples), "sample_index").agg(F.max_by("value", F.struct(F.abs("value"), -F.col("channel_index"))).alias("value"))
 
 
 def ocular_events(samples: DataFrame, candidates: tuple[int, ...], rate: float, threshold: float = 150.0, polarity: str = "both", min_s: float = 0.05, max_s: float = 0.5, cap: float | None = None, rise_s: float | None = 0.1, gap_s: float = 0.25) -> DataFrame:
     """Blinks or movements: runs over the threshold with duration, peak and rise limits; close ones merge and keep the earlier peak."""
     drive = ocular_drive(samples, candidates)
     over = {"positive": F.col("value") >= threshold, "negative": F.col("value") <= -threshold}.get(polarity, F.abs("value") >= threshold)
-    one = F.lit(1).alias("recording")
-    runs = threshold_runs(drive.select(one, "*"), over, "recording")
+    named = ids(drive)
+    runs = threshold_runs(drive, over, *named)
     length = F.col("end_sample") - F.col("start_sample") + 1
     runs = runs.where(length.between(int(min_s * rate + 0.5), int(max_s * rate + 0.5)))
     if cap is not None:
@@ -35,17 +37,18 @@ def ocular_events(samples: DataFrame, candidates: tuple[int, ...], rate: float,
     peaks = _peaks(drive, runs)
     if rise_s is not None:
         peaks = peaks.where(F.col("peak_sample") - F.col("start_sample") <= rise_s * rate)
-    w = Window.partitionBy("recording").orderBy("start_sample")
+    w = Window.partitionBy(*named).orderBy("start_sample")  # events of a recording
     end = F.max("end_sample").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = peaks.withColumn("fresh", F.when(end.isNull() | (F.col("start_sample") - end > gap_s * rate), 1).otherwise(0)).withColumn("island", F.sum("fresh").over(w))
-    return marked.groupBy("island").agg(F.min("start_sample").alias("start_sample"), F.max("end_sample").alias("end_sample"), F.min_by("peak_sample", "start_sample").alias("peak_sample"), F.min_by("peak", "start_sample").alias("peak")).drop("island")
+    return marked.groupBy(*named, "island").agg(F.min("start_sample").alias("start_sample"), F.max("end_sample").alias("end_sample"), F.min_by("peak_sample", "start_sample").alias("peak_sample"), F.min_by("peak", "start_sample").alias("peak")).drop("island")
 
 
 def _peaks(drive: DataFrame, runs: DataFrame, bucket: int = 512) -> DataFrame:
     """Sample of the largest magnitude in each run, by a bucketed equi-join."""
     spread = runs.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_sample") / bucket), F.floor(F.col("end_sample") / bucket))))
-    hit = drive.withColumn("__b", F.floor(F.col("sample_index") / bucket)).join(spread, "__b").where(F.col("sample_index").between(F.col("start_sample"), F.col("end_sample")))
-    return hit.groupBy("recording", "start_sample", "end_sample", "peak").agg(F.max_by("sample_index", F.struct(F.abs("value"), -F.col("sample_index"))).alias("peak_sample"))
+    named = ids(drive, runs)
+    hit = drive.withColumn("__b", F.floor(F.col("sample_index") / bucket)).join(spread, [*named, "__b"]).where(F.col("sample_index").between(F.col("start_sample"), F.col("end_sample")))
+    return hit.groupBy(*named, "start_sample", "end_sample", "peak").agg(F.max_by("sample_index", F.struct(F.abs("value"), -F.col("sample_index"))).alias("peak_sample"))
 
 
 def locked_events(events: DataFrame, shift_s: float, duration_s: float) -> DataFrame:
@@ -57,16 +60,16 @@ def field_power_peaks(samples: DataFrame, sigmas: float, spacing: int) -> DataFr
     """Peaks of the global field power."""
     from voltlake.operators.windows import gfp
 
-    power = gfp(samples).select(F.lit(1).alias("recording"), "sample_index", F.col("gfp").alias("value"))
-    return find_peaks(power, sigmas, spacing, "recording").select("start", "score")
+    power = gfp(samples).withColumnRenamed("gfp", "value")
+    return find_peaks(power, sigmas, spacing, *ids(samples))
 
 
 def topography_scores(samples: DataFrame, template: DataFrame) -> DataFrame:
     """Spatial correlation of every sample's map with a template (channel_index, weight), by moments."""
     from voltlake.operators.stats import pearson
 
-    joined = samples.join(F.broadcast(template), "channel_index")  # a row a sensor
-    return joined.groupBy("sample_index").agg(pearson(F.col("value"), F.col("weight")).alias("r"), F.stddev_pop("value").alias("gfp"), F.count("*").alias("n")).where("n >= 3")
+    joined = samples.join(template, [*ids(samples, template), "channel_index"])  # a row a sensor: the planner broadcasts it
+    return joined.groupBy(*ids(samples), "sample_index").agg(pearson(F.col("value"), F.col("weight")).alias("r"), F.stddev_pop("value").alias("gfp"), F.count("*").alias("n")).where("n >= 3")
 
 
 def topography_detect(samples: DataFrame, template: DataFrame, least: float, gap: int) -> DataFrame:
@@ -74,7 +77,7 @@ def topography_detect(samples: DataFrame, template: DataFrame, least: float, gap
     from voltlake.operators.topk import merge_nearby
 
     hits = topography_scores(samples, template).where(F.col("r") >= least)
-    return merge_nearby(hits.select(F.lit(1).alias("recording"), F.col("sample_index").alias("start"), F.col("r").alias("score")), gap, "recording").select("start", "score")
+    return merge_nearby(hits.select(*ids(hits), F.col("sample_index").alias("start"), F.col("r").alias("score")), gap, *ids(hits))
 
 
 def score_summary(matches: DataFrame, least: float) -> DataFrame:
@@ -83,5 +86,5 @@ def score_summary(matches: DataFrame, least: float) -> DataFrame:
 
 def template_channels(averages: DataFrame) -> DataFrame:
     """Channels of an event average by falling peak, then channel."""
-    peak = averages.groupBy("channel_index").agg(F.max(F.abs("value")).alias("peak"), F.sqrt(F.avg(F.col("value") ** 2)).alias("rms"))
-    return peak.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("peak"), "channel_index")))  # a row a sensor
+    peak = averages.groupBy(*ids(averages), "channel_index").agg(F.max(F.abs("value")).alias("peak"), F.sqrt(F.avg(F.col("value") ** 2)).alias("rms"))
+    return peak.withColumn("rank", F.row_number().over(Window.partitionBy(*ids(averages)).orderBy(F.desc("peak"), "channel_index")))  # a row a sensor

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.operators.joins import event_samples
+from voltlake.operators.keys import ids
 from voltlake.operators.stats import pearson
 
 
@@ -18,19 +19,19 @@ def epoch(events: DataFrame, samples: DataFrame, rate: float, pre: int, post: in
     The order of epochs and the rule for edges are this engine's own choice.
     """
     shifted = events.withColumn("begin_s", F.col("begin_s") + ((pre + post) // 2 - pre) / rate)
-    numbered = shifted.withColumn("trial", F.row_number().over(Window.partitionBy("code").orderBy("begin_s", "event_id")) - 1)
-    return event_samples(numbered, samples, rate, pre + post, n_samples).select(F.col("code").alias("category"), "trial", "channel_index", "rel", "value")
+    numbered = shifted.withColumn("trial", F.row_number().over(Window.partitionBy(*ids(events), "code").orderBy("begin_s", "event_id")) - 1)
+    return event_samples(numbered, samples, rate, pre + post, n_samples).select(*ids(samples), F.col("code").alias("category"), "trial", "channel_index", "rel", "value")
 
 
 def baseline_corrected(trials: DataFrame, pre: int, *keys: str) -> DataFrame:
     """Less the mean of the first ``pre`` samples."""
-    keys = keys or tuple(c for c in ("file_id", "category", "trial", "channel_index") if c in trials.columns)
+    keys = keys or tuple(c for c in ("recording_id", "file_id", "category", "trial", "channel_index") if c in trials.columns)
     mean = F.avg(F.when(F.col("rel") < pre, F.col("value"))).over(Window.partitionBy(*keys))
     return trials.withColumn("value", F.col("value") - F.coalesce(mean, F.lit(0.0)))
 
 
 def average_trials(trials: DataFrame) -> DataFrame:
-    keys = [c for c in ("file_id", "category", "channel_index", "rel") if c in trials.columns]
+    keys = [c for c in ("recording_id", "file_id", "category", "channel_index", "rel") if c in trials.columns]
     return trials.groupBy(*keys).agg(F.avg("value").alias("value"), F.count("*").alias("n_trials"))
 
 
@@ -64,27 +65,28 @@ def residual_noise_curve(averages: DataFrame) -> DataFrame:
 
 
 def snr_metrics(trials: DataFrame, pre: int) -> DataFrame:
-    """A row a category: trial count, its root, plus-minus noise and SNR, baseline noise and SNR, GFP ratio, split-half reliability."""
-    n = trials.groupBy("category").agg((F.max("trial") + 1).cast("long").alias("n"), (F.max("rel") + 1).alias("samples"))
+    """A row a recording and category: trial count, its root, plus-minus noise and SNR, baseline noise and SNR, GFP ratio, split-half reliability."""
+    named = [*ids(trials), "category"]
     even = F.col("trial") % 2 == 0
-    points = trials.groupBy("category", "channel_index", "rel").agg(
-        F.avg("value").alias("avg"), F.avg(F.when(even, F.col("value")).otherwise(-F.col("value"))).alias("res"), F.avg(F.when(even, F.col("value"))).alias("a"), F.avg(F.when(~even, F.col("value"))).alias("b")
+    points = trials.groupBy(*named, "channel_index", "rel").agg(
+        F.max("trial").alias("last"), F.avg("value").alias("avg"), F.avg(F.when(even, F.col("value")).otherwise(-F.col("value"))).alias("res"), F.avg(F.when(even, F.col("value"))).alias("a"), F.avg(F.when(~even, F.col("value"))).alias("b")
     )
     base, resp = F.col("rel") < pre, F.col("rel") >= pre
-    over_all = points.groupBy("category").agg(
+    over_all = points.groupBy(*named).agg(
+        (F.max("last") + 1).cast("long").alias("n"),
+        (F.max("rel") + 1).alias("samples"),
         F.sqrt(F.avg(F.col("avg") ** 2)).alias("signal"),
         F.sqrt(F.avg(F.col("res") ** 2)).alias("noise"),
         F.sqrt(F.avg(F.when(base, F.col("avg") ** 2))).alias("baseline"),
         F.max(F.when(resp, F.abs("avg"))).alias("peak"),
         pearson(F.col("a"), F.col("b")).alias("r"),
     )
-    field = points.groupBy("category", "rel").agg(F.sqrt(F.avg(F.col("avg") ** 2)).alias("s"), F.sqrt(F.avg(F.col("res") ** 2)).alias("n")).groupBy("category").agg(F.sum("s").alias("gs"), F.sum("n").alias("gn"))
+    field = points.groupBy(*named, "rel").agg(F.sqrt(F.avg(F.col("avg") ** 2)).alias("s"), F.sqrt(F.avg(F.col("res") ** 2)).alias("n")).groupBy(*named).agg(F.sum("s").alias("gs"), F.sum("n").alias("gn"))
     two, four, has_base = F.col("n") >= 2, F.col("n") >= 4, (F.lit(pre) > 1) & (F.lit(pre) < F.col("samples"))
     return (
-        n.join(over_all, "category")
-        .join(field, "category")
+        over_all.join(field, named)
         .select(
-            "category",
+            *named,
             F.col("n").alias("trial_count"),
             F.sqrt("n").alias("root_n"),
             F.when(two, F.col("noise")).alias("plus_minus_noise"),
@@ -103,8 +105,9 @@ def measurement_error(trials: DataFrame, pre: int, draws: int = 200, seed: int =
     Draws come from a generator seeded by (seed, category, channel), and trials are
     in order, so reruns and lost executors give the same value.
     """
-    means = trials.where(F.col("rel") >= pre).groupBy("category", "channel_index", "trial").agg(F.avg("value").alias("m"))
-    packed = means.groupBy("category", "channel_index").agg(F.array_sort(F.collect_list(F.struct("trial", "m"))).alias("t")).where(F.size("t") >= 4)
+    named = ids(trials)
+    means = trials.where(F.col("rel") >= pre).groupBy(*named, "category", "channel_index", "trial").agg(F.avg("value").alias("m"))
+    packed = means.groupBy(*named, "category", "channel_index").agg(F.array_sort(F.collect_list(F.struct("trial", "m"))).alias("t")).where(F.size("t") >= 4)
 
     def draw(batches):
         import zlib
@@ -118,10 +121,10 @@ def measurement_error(trials: DataFrame, pre: int, draws: int = 200, seed: int =
                 x = m.values.to_numpy(zero_copy_only=False)
                 rng = np.random.default_rng([seed, zlib.crc32(str(category).encode()), channel])
                 sd.append(float(np.std([x[rng.integers(0, len(x), len(x))].mean() for _ in range(draws)])))
-            yield pa.RecordBatch.from_arrays([batch.column("category"), pa.array(sd)], names=["category", "sd"])
+            yield pa.RecordBatch.from_arrays([batch.column("recording_id"), batch.column("category"), pa.array(sd)], names=["recording_id", "category", "sd"])
 
-    one_each = packed.select("category", "channel_index", F.transform("t", lambda t: t["m"]).alias("m"))
-    return one_each.mapInArrow(draw, "category string, sd double").groupBy("category").agg(F.avg("sd").alias("sme"))
+    one_each = packed.select((F.col("recording_id").cast("string") if named else F.lit("")).alias("recording_id"), "category", "channel_index", F.transform("t", lambda t: t["m"]).alias("m"))
+    return one_each.mapInArrow(draw, "recording_id string, category string, sd double").groupBy(*named, "category").agg(F.avg("sd").alias("sme"))
 
 
 def category_summary(trials: DataFrame) -> DataFrame:
@@ -137,27 +140,30 @@ def rejection_totals(steps: DataFrame) -> DataFrame:
 def linear_baseline_average(trials: DataFrame, width: int, rate: float) -> DataFrame:
     """Event average after removing, from each event, the line through the means of its first and last edge."""
     edge = max(1, min(int(width * 0.1), int(rate * 0.1), width // 4))
-    w = Window.partitionBy("category", "trial", "channel_index")
+    named = ids(trials)
+    w = Window.partitionBy(*named, "category", "trial", "channel_index")
     first, last = F.avg(F.when(F.col("rel") < edge, F.col("value"))).over(w), F.avg(F.when(F.col("rel") >= width - edge, F.col("value"))).over(w)
     left, right = (edge - 1) / 2, width - 1 - (edge - 1) / 2
     line = first + (last - first) * (F.col("rel") - left) / (right - left)
-    return trials.withColumn("value", F.col("value") - line).groupBy("category", "channel_index", "rel").agg(F.avg("value").alias("value"))
+    return trials.withColumn("value", F.col("value") - line).groupBy(*named, "category", "channel_index", "rel").agg(F.avg("value").alias("value"))
 
 
 def reduction_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
     """Peak and rms before and after, and the reduction 1 - after / before within 0 and 1; null if before is at most 1e-6."""
-    both = before.select("channel_index", "rel", F.col("value").alias("b")).join(after.select("channel_index", "rel", F.col("value").alias("a")), ["channel_index", "rel"])
-    r = both.agg(F.max(F.abs("b")).alias("peak_before"), F.max(F.abs("a")).alias("peak_after"), F.sqrt(F.avg(F.col("b") ** 2)).alias("rms_before"), F.sqrt(F.avg(F.col("a") ** 2)).alias("rms_after"))
+    named = ids(before, after)
+    both = before.select(*named, "channel_index", "rel", F.col("value").alias("b")).join(after.select(*named, "channel_index", "rel", F.col("value").alias("a")), [*named, "channel_index", "rel"])
+    r = both.groupBy(*named).agg(F.max(F.abs("b")).alias("peak_before"), F.max(F.abs("a")).alias("peak_after"), F.sqrt(F.avg(F.col("b") ** 2)).alias("rms_before"), F.sqrt(F.avg(F.col("a") ** 2)).alias("rms_after"))
     cut = lambda x: F.when(F.col(f"{x}_before") > 1e-6, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col(f"{x}_after") / F.col(f"{x}_before")))).alias(f"{x}_reduction")
     return r.select("*", cut("peak"), cut("rms"))
 
 
 def centre_topography(average: DataFrame, width: int) -> DataFrame:
-    return average.where(F.col("rel") == width // 2).select("category", "channel_index", "value")
+    return average.where(F.col("rel") == width // 2).select(*ids(average), "category", "channel_index", "value")
 
 
 def snr_for_averaged(average: DataFrame, pre: int) -> DataFrame:
     """Measures that an averaged category allows: its trial count, root and baseline noise and SNR."""
     base, resp = F.col("rel") < pre, F.col("rel") >= pre
-    m = average.groupBy("category").agg(F.max("n_trials").cast("long").alias("trial_count"), F.sqrt(F.avg(F.when(base, F.col("value") ** 2))).alias("baseline_noise"), F.max(F.when(resp, F.abs("value"))).alias("peak"))
-    return m.select("category", "trial_count", F.sqrt("trial_count").alias("root_n"), "baseline_noise", F.when(F.col("baseline_noise") > 1e-12, F.col("peak") / F.col("baseline_noise")).alias("baseline_snr"))
+    named = [*ids(average), "category"]
+    m = average.groupBy(*named).agg(F.max("n_trials").cast("long").alias("trial_count"), F.sqrt(F.avg(F.when(base, F.col("value") ** 2))).alias("baseline_noise"), F.max(F.when(resp, F.abs("value"))).alias("peak"))
+    return m.select(*named, "trial_count", F.sqrt("trial_count").alias("root_n"), "baseline_noise", F.when(F.col("baseline_noise") > 1e-12, F.col("peak") / F.col("baseline_noise")).alias("baseline_snr"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voltlake.functions.scoring import finite, grade, impedance_score, score_lower_bound, score_two_sided_ratio, score_upper_ratio
 from voltlake.operators.joins import artifact_overlap
+from voltlake.operators.keys import ids
 from voltlake.operators.stats import clipping_fraction, excess_kurtosis, percentile
 from voltlake.operators.windows import block_mean_drift, first_difference
 
@@ -18,9 +19,15 @@ CHANNEL = {"impedance": 1.4, "finite": (0.995, 0.90, 1.4), "amplitude": (2.5, 6,
 WEAK = 0.78
 
 
-def tumbling_segments(n_samples: int, length: int) -> Column:
+def tumbling_segments(n_samples: Column, length: int) -> Column:
     """Segments of ``length`` samples, the last one shorter, as an array of structs."""
-    return F.transform(F.sequence(F.lit(0), F.lit(max(0, (n_samples - 1) // length))), lambda k: F.struct(k.alias("segment_id"), (k * length).cast("long").alias("start_sample"), F.least((k + 1) * length - 1, F.lit(n_samples - 1)).cast("long").alias("end_sample")))
+    last = F.greatest(F.lit(0), F.floor((n_samples - 1) / length)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("segment_id"), (k * length).cast("long").alias("start_sample"), F.least((k + 1) * length - 1, n_samples - 1).cast("long").alias("end_sample")))
+
+
+def with_key(rows: DataFrame, per_recording: DataFrame, named: list[str]) -> DataFrame:
+    """Rows with the columns of their recording's row; without recordings, of the only row. The planner broadcasts it if it is small."""
+    return rows.join(per_recording, named) if named else rows.crossJoin(F.broadcast(per_recording))
 
 
 def segment_stride(n: int, rate: float) -> int:
@@ -46,19 +53,19 @@ def segment_health(samples: DataFrame, segment_length: int, n_samples: int, n_ch
     Plan: one aggregation by (segment, sample) for the field power, one by segment
     for amplitudes, both from the same samples, and one row of recording baselines.
     """
-    step = stride or segment_stride(n_samples, rate)
+    step, named = stride or segment_stride(n_samples, rate), ids(samples)
     seg = F.floor(F.col("sample_index") / segment_length).cast("int").alias("segment_id")
     x = F.when(finite(F.col("value")), F.col("value"))
-    rows = first_difference(samples.where(F.col("sample_index") % step == 0), carry=False).select(seg, "sample_index", "channel_index", x.alias("x"), "diff", F.lag("channel_index").over(Window.partitionBy("channel_index", F.floor(F.col("sample_index") / segment_length)).orderBy("sample_index")).isNull().alias("opens"))
+    rows = first_difference(samples.where(F.col("sample_index") % step == 0), carry=False).select(*named, seg, "sample_index", "channel_index", x.alias("x"), "diff", F.lag("channel_index").over(Window.partitionBy(*named, "channel_index", F.floor(F.col("sample_index") / segment_length)).orderBy("sample_index")).isNull().alias("opens"))
     rows = rows.withColumn("inner", F.when(~F.col("opens"), F.col("diff")))
 
-    power = rows.groupBy("segment_id", "sample_index").agg(F.sqrt(F.avg(F.col("x") ** 2)).alias("gfp"))
-    base_x = rows.agg(F.greatest(percentile(F.abs("x"), 0.95), F.lit(1e-9)).alias("b95"), F.greatest(percentile(F.abs("x"), 0.99), F.lit(1e-9)).alias("b99"), F.greatest(F.sqrt(F.avg(F.col("diff") ** 2)) / F.greatest(F.sqrt(F.avg(F.col("x") ** 2)), F.lit(1e-9)), F.lit(1e-9)).alias("b_ratio"))
-    base_g = power.agg(*(F.greatest(percentile(F.col("gfp"), p), F.lit(1e-9)).alias(n) for p, n in ((0.5, "g50"), (0.95, "g95"), (0.99, "g99"))))
-    base = F.broadcast(base_x.crossJoin(base_g))  # one row
+    power = rows.groupBy(*named, "segment_id", "sample_index").agg(F.sqrt(F.avg(F.col("x") ** 2)).alias("gfp"))
+    base_x = rows.groupBy(*named).agg(F.greatest(percentile(F.abs("x"), 0.95), F.lit(1e-9)).alias("b95"), F.greatest(percentile(F.abs("x"), 0.99), F.lit(1e-9)).alias("b99"), F.greatest(F.sqrt(F.avg(F.col("diff") ** 2)) / F.greatest(F.sqrt(F.avg(F.col("x") ** 2)), F.lit(1e-9)), F.lit(1e-9)).alias("b_ratio"))
+    base_g = power.groupBy(*named).agg(*(F.greatest(percentile(F.col("gfp"), p), F.lit(1e-9)).alias(n) for p, n in ((0.5, "g50"), (0.95, "g95"), (0.99, "g99"))))
+    base = with_key(base_x, base_g, named)  # a row a recording
 
     flat = F.greatest(F.col("b95") * 1e-4, F.lit(1e-7))
-    by_segment = rows.crossJoin(base.select("b95")).groupBy("segment_id").agg(
+    by_segment = with_key(rows, base.select(*named, "b95"), named).groupBy(*named, "segment_id").agg(
         F.avg(F.col("x").isNotNull().cast("double")).alias("finite"),
         F.countDistinct("sample_index").alias("points"),
         F.coalesce(F.sqrt(F.avg(F.col("x") ** 2)), F.lit(0.0)).alias("rms"),
@@ -68,16 +75,20 @@ def segment_health(samples: DataFrame, segment_length: int, n_samples: int, n_ch
         F.coalesce(F.sqrt(F.avg(F.col("inner") ** 2)), F.lit(0.0)).alias("d_rms"),
         F.coalesce(F.avg((F.abs("inner") <= flat).cast("double")), F.lit(1.0)).alias("flat"),
     )
-    by_power = power.groupBy("segment_id").agg(percentile(F.col("gfp"), 0.95).alias("gfp_p95"), F.max("gfp").alias("gfp_max"))
-    clip = clipping_fraction(rows.where("x IS NOT NULL"), "x", "segment_id")
+    by_power = power.groupBy(*named, "segment_id").agg(percentile(F.col("gfp"), 0.95).alias("gfp_p95"), F.max("gfp").alias("gfp_max"))
+    clip = clipping_fraction(rows.where("x IS NOT NULL"), "x", *named, "segment_id")
 
-    bounds = samples.sparkSession.range(1).select(F.explode(tumbling_segments(n_samples, segment_length)).alias("s")).select("s.*")
+    last = samples.groupBy(*named).agg(F.least(F.max("sample_index") + 1, F.lit(n_samples)).alias("n"))
+    bounds = last.select(*named, F.explode(tumbling_segments(F.col("n"), segment_length)).alias("s")).select(*named, "s.*")
     third = F.greatest(F.floor((F.col("end_sample") - F.col("start_sample") + 1) / 3), F.lit(1))
-    edges = rows.join(F.broadcast(bounds), "segment_id").withColumn("first", F.when(F.col("sample_index") <= F.col("start_sample") + third, F.col("x"))).withColumn("last", F.when(F.col("sample_index") >= F.col("end_sample") - third, F.col("x")))
-    drift = edges.groupBy("segment_id", "channel_index").agg((F.avg("last") - F.avg("first")).alias("d")).groupBy("segment_id").agg(F.coalesce(F.sqrt(F.avg(F.col("d") ** 2)), F.lit(0.0)).alias("drift_rms"))
+    start = (F.col("segment_id") * segment_length).cast("long")
+    ended = with_key(rows, last, named).withColumn("start_sample", start).withColumn("end_sample", F.least(start + segment_length, "n") - 1)
+    edges = ended.withColumn("first", F.when(F.col("sample_index") <= F.col("start_sample") + third, F.col("x"))).withColumn("last", F.when(F.col("sample_index") >= F.col("end_sample") - third, F.col("x")))
+    drift = edges.groupBy(*named, "segment_id", "channel_index").agg((F.avg("last") - F.avg("first")).alias("d")).groupBy(*named, "segment_id").agg(F.coalesce(F.sqrt(F.avg(F.col("d") ** 2)), F.lit(0.0)).alias("drift_rms"))
     covered = artifact_overlap(bounds, intervals) if intervals is not None else bounds.withColumn("overlap_samples", F.lit(0).cast("long")).withColumn("n_intervals", F.lit(0).cast("long"))
 
-    joined = covered.join(by_segment, "segment_id").join(by_power, "segment_id").join(clip, "segment_id").join(drift, "segment_id").crossJoin(base)
+    by = [*named, "segment_id"]
+    joined = with_key(covered.join(by_segment, by).join(by_power, by).join(clip, by).join(drift, by), base, named)
     n = F.col("end_sample") - F.col("start_sample") + 1
     marked = F.col("overlap_samples") / n
     s = SEGMENT
@@ -97,40 +108,42 @@ def segment_health(samples: DataFrame, segment_length: int, n_samples: int, n_ch
     ]
     good, percent, weakest = weighted(scores)
     return joined.select(
-        "segment_id", "start_sample", "end_sample", "points", "finite", "rms", "p95", "top", "gfp_p95", "gfp_max", "d_rms", "flat", "clipping", "drift_rms", "overlap_samples", "n_intervals", good.alias("score"), percent.alias("percent"), grade(good).alias("grade"), weakest.alias("weakest")
+        *by, "start_sample", "end_sample", "points", "finite", "rms", "p95", "top", "gfp_p95", "gfp_max", "d_rms", "flat", "clipping", "drift_rms", "overlap_samples", "n_intervals", good.alias("score"), percent.alias("percent"), grade(good).alias("grade"), weakest.alias("weakest")
     )
 
 
 def line_power(samples: DataFrame, rate: float, frequency: float = 60.0) -> DataFrame:
     """2 (C^2 + S^2) / (n E) of a sinusoid, by channel; 0 up to 20 samples or if the rate is at most 2.2 times the frequency."""
     phase = 2 * math.pi * frequency / rate * F.col("sample_index")
-    sums = samples.groupBy("channel_index").agg(F.sum(F.col("value") * F.cos(phase)).alias("c"), F.sum(F.col("value") * F.sin(phase)).alias("s"), F.sum(F.col("value") ** 2).alias("e"), F.count("*").alias("n"))
+    named = [*ids(samples), "channel_index"]
+    sums = samples.groupBy(*named).agg(F.sum(F.col("value") * F.cos(phase)).alias("c"), F.sum(F.col("value") * F.sin(phase)).alias("s"), F.sum(F.col("value") ** 2).alias("e"), F.count("*").alias("n"))
     ok = (F.col("n") > 20) & F.lit(rate > 2.2 * frequency) & (F.col("e") > 1e-12)
-    return sums.select("channel_index", F.when(ok, 2 * (F.col("c") ** 2 + F.col("s") ** 2) / (F.col("n") * F.col("e"))).otherwise(0.0).alias("line"))
+    return sums.select(*named, F.when(ok, 2 * (F.col("c") ** 2 + F.col("s") ** 2) / (F.col("n") * F.col("e"))).otherwise(0.0).alias("line"))
 
 
 def channel_health(samples: DataFrame, rate: float, impedance: DataFrame | None = None, stride: int = 1) -> DataFrame:
-    """One row a channel: features, score, percent, grade, weakest metrics. Baselines are medians across channels."""
+    """One row a channel: features, score, percent, grade, weakest metrics. Baselines are medians across a recording's channels."""
+    named, by = ids(samples), [*ids(samples), "channel_index"]
     kept = samples.where(F.col("sample_index") % stride == 0).withColumn("sample_index", F.floor(F.col("sample_index") / stride))
     eff = rate / stride
     x = F.when(finite(F.col("value")), F.col("value"))
     rows = first_difference(kept, carry=True).withColumn("x", x)
-    amount = rows.groupBy("channel_index").agg(
+    amount = rows.groupBy(*by).agg(
         F.avg(F.col("x").isNotNull().cast("double")).alias("finite"), F.coalesce(F.sqrt(F.avg(F.col("x") ** 2)), F.lit(0.0)).alias("rms"), percentile(F.abs("x"), 0.95).alias("p95"), percentile(F.abs("x"), 0.99).alias("p99"), F.coalesce(F.max(F.abs("x")), F.lit(0.0)).alias("top"), F.coalesce(F.sqrt(F.avg(F.col("diff") ** 2)), F.lit(0.0)).alias("d_rms"), F.coalesce(excess_kurtosis(F.col("x")), F.lit(0.0)).alias("kurtosis")
     )
-    flat = rows.join(amount.select("channel_index", F.greatest(F.col("p95") * 1e-4, F.lit(1e-7)).alias("limit")), "channel_index").groupBy("channel_index").agg(F.coalesce(F.avg((F.abs("diff") <= F.col("limit")).cast("double")), F.lit(1.0)).alias("flat"))
-    clip = clipping_fraction(rows.where("x IS NOT NULL"), "x", "channel_index")
+    flat = rows.join(amount.select(*by, F.greatest(F.col("p95") * 1e-4, F.lit(1e-7)).alias("limit")), by).groupBy(*by).agg(F.coalesce(F.avg((F.abs("diff") <= F.col("limit")).cast("double")), F.lit(1.0)).alias("flat"))
+    clip = clipping_fraction(rows.where("x IS NOT NULL"), "x", *by)
     drift = block_mean_drift(kept, max(8, int(2 * eff + 0.5)))
-    each = amount.join(flat, "channel_index").join(clip, "channel_index").join(drift, "channel_index").join(line_power(kept, eff), "channel_index")
+    each = amount.join(flat, by).join(clip, by).join(drift, by).join(line_power(kept, eff), by)
     each = each.withColumn("d_ratio", F.col("d_rms") / F.greatest("rms", F.lit(1e-9))).withColumn("drift_ratio", F.col("drift") / F.greatest("rms", F.lit(1e-9)))
 
     def typical(name: str, floor: float, fallback: float | None = None) -> Column:
         middle = F.percentile(F.when(F.col(name) > 0, F.col(name)), 0.5)
         return F.greatest(F.coalesce(middle, F.lit(fallback if fallback is not None else 0.0)), F.lit(floor)).alias(f"b_{name}")
 
-    base = each.agg(typical("p95", 1e-9), typical("p99", 1e-9), typical("d_ratio", 1e-9), typical("drift_ratio", 1e-9, 0.02), typical("line", 0.0))
-    each = each.crossJoin(F.broadcast(base))
-    each = each.join(impedance.select("channel_index", "impedance_kohm"), "channel_index", "left") if impedance is not None else each.withColumn("impedance_kohm", F.lit(None).cast("double"))
+    base = each.groupBy(*named).agg(typical("p95", 1e-9), typical("p99", 1e-9), typical("d_ratio", 1e-9), typical("drift_ratio", 1e-9, 0.02), typical("line", 0.0))
+    each = with_key(each, base, named)
+    each = each.join(impedance.select(*ids(samples, impedance), "channel_index", "impedance_kohm"), [*ids(samples, impedance), "channel_index"], "left") if impedance is not None else each.withColumn("impedance_kohm", F.lit(None).cast("double"))
     c = CHANNEL
     upper = lambda value, key: score_upper_ratio(value, *c[key][:2])
     scores = [
@@ -146,17 +159,18 @@ def channel_health(samples: DataFrame, rate: float, impedance: DataFrame | None
         ("60 Hz Line", F.when((F.col("line") > 0) & (F.col("b_line") > 0), upper(F.col("line") / F.when(F.col("b_line") > 0, F.col("b_line")), "line")), c["line"][2]),
     ]
     good, percent, weakest = weighted(scores)
-    return each.select("channel_index", "finite", "rms", "p95", "p99", "top", "d_rms", "kurtosis", "flat", "clipping", "drift", "line", good.alias("score"), percent.alias("percent"), grade(good).alias("grade"), weakest.alias("weakest"))
+    return each.select(*by, "finite", "rms", "p95", "p99", "top", "d_rms", "kurtosis", "flat", "clipping", "drift", "line", good.alias("score"), percent.alias("percent"), grade(good).alias("grade"), weakest.alias("weakest"))
 
 
 def neighbour_agreement(samples: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Largest |r| of each channel with its neighbours."""
     from voltlake.operators.stats import pearson
 
-    mine = samples.select("channel_index", "sample_index", F.col("value").alias("x")).join(F.broadcast(neighbours.select("channel_index", "neighbour")), "channel_index")
-    other = samples.select(F.col("channel_index").alias("neighbour"), "sample_index", F.col("value").alias("y"))
-    r = mine.join(other, ["neighbour", "sample_index"]).groupBy("channel_index", "neighbour").agg(pearson(F.col("x"), F.col("y")).alias("r"))
-    return r.groupBy("channel_index").agg(F.max(F.abs("r")).alias("agreement"))
+    named = ids(samples)
+    mine = samples.select(*named, "channel_index", "sample_index", F.col("value").alias("x")).join(F.broadcast(neighbours.select("channel_index", "neighbour")), "channel_index")
+    other = samples.select(*named, F.col("channel_index").alias("neighbour"), "sample_index", F.col("value").alias("y"))
+    r = mine.join(other, [*named, "neighbour", "sample_index"]).groupBy(*named, "channel_index", "neighbour").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    return r.groupBy(*named, "channel_index").agg(F.max(F.abs("r")).alias("agreement"))
 
 
 def neighbour_prediction(samples: DataFrame, neighbours: DataFrame, window: int) -> DataFrame:
@@ -166,29 +180,31 @@ def neighbour_prediction(samples: DataFrame, neighbours: DataFrame, window: int)
     w = F.lit(1.0) / F.greatest(F.sqrt("d2"), F.lit(1e-6))
     total = F.sum(w).over(Window.partitionBy("channel_index"))
     weights = neighbours.select("channel_index", F.col("neighbour").alias("source"), (w / total).alias("weight"))
-    other = samples.select(F.col("channel_index").alias("source"), "sample_index", F.col("value").alias("y"))
-    blend = other.join(F.broadcast(weights), "source").groupBy("channel_index", "sample_index").agg(F.sum(F.col("weight") * F.col("y")).alias("y"))
-    each = samples.join(blend, ["channel_index", "sample_index"]).groupBy("channel_index", F.floor(F.col("sample_index") / window).alias("w")).agg(pearson(F.col("value"), F.col("y")).alias("r"), F.count("*").alias("n"))
-    return each.where(F.col("n") == window).groupBy("channel_index").agg(F.percentile(F.greatest("r", F.lit(0.0)), 0.5).alias("prediction")).withColumn("bad", F.col("prediction") < 0.485)
+    by = [*ids(samples), "channel_index"]
+    other = samples.select(*ids(samples), F.col("channel_index").alias("source"), "sample_index", F.col("value").alias("y"))
+    blend = other.join(F.broadcast(weights), "source").groupBy(*by, "sample_index").agg(F.sum(F.col("weight") * F.col("y")).alias("y"))
+    each = samples.join(blend, [*by, "sample_index"]).groupBy(*by, F.floor(F.col("sample_index") / window).alias("w")).agg(pearson(F.col("value"), F.col("y")).alias("r"), F.count("*").alias("n"))
+    return each.where(F.col("n") == window).groupBy(*by).agg(F.percentile(F.greatest("r", F.lit(0.0)), 0.5).alias("prediction")).withColumn("bad", F.col("prediction") < 0.485)
 
 
 def merged_metrics(metrics: DataFrame, new: DataFrame) -> DataFrame:
     """Metrics (channel_index, name, score, weight) with those of the same name replaced, and the score recomputed by channel."""
-    kept = metrics.join(new.select("channel_index", "name"), ["channel_index", "name"], "left_anti").unionByName(new)
+    by = [*ids(metrics, new), "channel_index"]
+    kept = metrics.join(new.select(*by, "name"), [*by, "name"], "left_anti").unionByName(new)
     good = F.sum(F.col("score") * F.col("weight")) / F.sum("weight")
-    return kept.groupBy("channel_index").agg(good.alias("score"), F.round(good * 100).cast("int").alias("percent"), grade(good).alias("grade"))
+    return kept.groupBy(*by).agg(good.alias("score"), F.round(good * 100).cast("int").alias("percent"), grade(good).alias("grade"))
 
 
 def grade_counts(health: DataFrame) -> DataFrame:
-    return health.groupBy("grade").agg(F.count("*").alias("n"))
+    return health.groupBy(*ids(health), "grade").agg(F.count("*").alias("n"))
 
 
 def interpolated_health(health: DataFrame, weights: DataFrame) -> DataFrame:
     """Mean score of the channels that contribute to an interpolated one."""
-    return weights.where("weight != 0").join(health.select("channel_index", "score"), "channel_index").groupBy("target").agg(F.avg("score").alias("score"))
+    return weights.where("weight != 0").join(health.select(*ids(health), "channel_index", "score"), "channel_index").groupBy(*ids(health), "target").agg(F.avg("score").alias("score"))
 
 
 def segment_summary(decisions: DataFrame) -> DataFrame:
     """Counts and samples of all, kept and rejected segments, and the rejected ones by grade."""
     n = F.col("end_sample") - F.col("start_sample") + 1
-    return decisions.agg(F.count("*").alias("segments"), F.count_if("kept").alias("kept"), F.sum(n).alias("samples"), F.coalesce(F.sum(F.when(F.col("kept"), n)), F.lit(0)).alias("kept_samples"), F.count_if(~F.col("kept") & (F.col("grade") == "poor")).alias("poor"), F.coalesce(F.sum("overlap_samples"), F.lit(0)).alias("overlap_samples"))
+    return decisions.groupBy(*ids(decisions)).agg(F.count("*").alias("segments"), F.count_if("kept").alias("kept"), F.sum(n).alias("samples"), F.coalesce(F.sum(F.when(F.col("kept"), n)), F.lit(0)).alias("kept_samples"), F.count_if(~F.col("kept") & (F.col("grade") == "poor")).alias("poor"), F.coalesce(F.sum("overlap_samples"), F.lit(0)).alias("overlap_samples"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltlake.operators.keys import ids
+
 
 def interval_overlaps(segments: DataFrame, intervals: DataFrame, bucket: int = 1_024) -> DataFrame:
     """Pairs of overlapping inclusive ranges [start_sample, end_sample], each once.
@@ -17,36 +19,57 @@ def interval_overlaps(segments: DataFrame, intervals: DataFrame, bucket: int = 1
         return df.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.greatest(start, end) / bucket))))
 
     right = bucketed(intervals.withColumnRenamed("start_sample", "a_start").withColumnRenamed("end_sample", "a_end"), "a_start", "a_end")
-    pairs = bucketed(segments, "start_sample", "end_sample").join(right, "__b")
+    pairs = bucketed(segments, "start_sample", "end_sample").join(right, [*ids(segments, intervals), "__b"])
     hit = (F.col("a_start") <= F.col("end_sample")) & (F.col("a_end") >= F.col("start_sample")) & (F.col("__b") == F.floor(F.greatest("a_start", "start_sample") / bucket))
     return pairs.where(hit).drop("__b").withColumn("overlap", F.least("a_end", "end_sample") - F.greatest("a_start", "start_sample") + 1)
 
 
 def artifact_overlap(segments: DataFrame, intervals: DataFrame, key: str = "segment_id", bucket: int = 1_024) -> DataFrame:
     """Overlapping samples (intervals add up, at most the segment's length) and interval count of every segment."""
-    summed = interval_overlaps(segments.select(key, "start_sample", "end_sample"), intervals, bucket).groupBy(key).agg(F.sum("overlap").alias("s"), F.count("*").alias("c"))
+    named = ids(segments)
+    own = segments.select(*named, key, "start_sample", "end_sample")
+    ranges = intervals.select(*ids(segments, intervals), "start_sample", "end_sample")
+    summed = interval_overlaps(own, ranges, bucket).groupBy(*named, key).agg(F.sum("overlap").alias("s"), F.count("*").alias("c"))
     length = F.col("end_sample") - F.col("start_sample") + 1
-    return segments.join(summed, key, "left").select(*segments.columns, F.least(F.coalesce("s", F.lit(0)), length).cast("long").alias("overlap_samples"), F.coalesce("c", F.lit(0)).cast("long").alias("n_intervals"))
+    return segments.join(summed, [*named, key], "left").select(*segments.columns, F.least(F.coalesce("s", F.lit(0)), length).cast("long").alias("overlap_samples"), F.coalesce("c", F.lit(0)).cast("long").alias("n_intervals"))
 
 
 def containing_epoch(segments: DataFrame, epochs: DataFrame, bucket: float = 1e6) -> DataFrame:
     """The first epoch with begin <= midpoint < end, by (begin, epoch_index), for each segment (begin_us, end_us)."""
     mid = segments.withColumn("mid", (F.col("begin_us") + F.col("end_us")) / 2).withColumn("__b", F.floor(F.col("mid") / bucket))
-    spread = epochs.select(F.col("begin_us").alias("e_begin"), F.col("end_us").alias("e_end"), "epoch_index").withColumn("__b", F.explode(F.sequence(F.floor(F.col("e_begin") / bucket), F.floor(F.col("e_end") / bucket))))
-    found = mid.join(spread, "__b").where("mid >= e_begin AND mid < e_end").groupBy("segment_id").agg(F.min(F.struct("e_begin", "epoch_index")).alias("first"))
-    return segments.join(found, "segment_id", "left").select(*segments.columns, F.col("first.epoch_index").alias("epoch_index"))
+    named, both = ids(segments), ids(segments, epochs)
+    spread = epochs.select(*both, F.col("begin_us").alias("e_begin"), F.col("end_us").alias("e_end"), "epoch_index").withColumn("__b", F.explode(F.sequence(F.floor(F.col("e_begin") / bucket), F.floor(F.col("e_end") / bucket))))
+    found = mid.join(spread, [*both, "__b"]).where("mid >= e_begin AND mid < e_end").groupBy(*named, "segment_id").agg(F.min(F.struct("e_begin", "epoch_index")).alias("first"))
+    return segments.join(found, [*named, "segment_id"], "left").select(*segments.columns, F.col("first.epoch_index").alias("epoch_index"))
 
 
-def event_windows(events: DataFrame, rate: float, width: int, n_samples: int) -> DataFrame:
-    """A row for each sample of each event's half-open window; windows that leave the recording are dropped."""
+def placed_windows(events: DataFrame, rate: float, width: int, n_samples: int) -> DataFrame:
+    """Events with the start of their half-open window; windows that leave the recording are dropped."""
     start = F.round(F.col("begin_s") * rate).cast("long") - F.lit(width // 2)
-    placed = events.withColumn("start_sample", start).where((F.col("start_sample") >= 0) & (F.col("start_sample") + width <= n_samples))
+    return events.withColumn("start_sample", start).where((F.col("start_sample") >= 0) & (F.col("start_sample") + width <= n_samples))
+
+
+def event_windows(events: DataFrame, rate: float, width: int, n_samples: int) -> DataFrame:
+    """A row for each sample of each event's window."""
+    placed = placed_windows(events, rate, width, n_samples)
     return placed.withColumn("rel", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn("sample_index", F.col("start_sample") + F.col("rel"))
 
 
+def sample_blocks(samples: DataFrame, size: int) -> DataFrame:
+    """A row a channel and block of ``size`` samples: the block's number and its (sample_index, value), so that joins move blocks."""
+    keys = [c for c in samples.columns if c not in ("sample_index", "value")]
+    return samples.groupBy(*keys, F.floor(F.col("sample_index") / size).alias("block")).agg(F.collect_list(F.struct("sample_index", "value")).alias("held"))
+
+
 def event_samples(events: DataFrame, samples: DataFrame, rate: float, width: int, n_samples: int) -> DataFrame:
-    """Windows joined with samples on the sample index."""
-    return event_windows(events, rate, width, n_samples).join(samples, "sample_index")
+    """Samples of each event's window: windows join blocks of samples (a window meets few), and its samples are picked there."""
+    size = max(64, width)
+    placed = placed_windows(events, rate, width, n_samples)
+    first, last = F.floor(F.col("start_sample") / size), F.floor((F.col("start_sample") + width - 1) / size)
+    met = placed.withColumn("block", F.explode(F.sequence(first, last))).join(sample_blocks(samples, size), [*ids(events, samples), "block"])
+    inside = F.filter("held", lambda x: (x["sample_index"] >= F.col("start_sample")) & (x["sample_index"] < F.col("start_sample") + width))
+    opened = met.withColumn("__x", F.explode(inside)).select("*", "__x.sample_index", "__x.value").drop("__x", "held", "block")
+    return opened.withColumn("rel", (F.col("sample_index") - F.col("start_sample")).cast("int"))
 
 
 def nearest(layout: DataFrame, k: int) -> DataFrame:
@@ -113,7 +136,7 @@ def roi_means(samples: DataFrame, members: DataFrame) -> DataFrame:
     from voltlake.functions.scoring import finite
 
     x = F.when(finite(F.col("value")), F.col("value"))
-    return samples.join(F.broadcast(members), "channel_index").groupBy("node", "sample_index").agg(F.coalesce(F.avg(x), F.lit(0.0)).alias("value"))
+    return samples.join(F.broadcast(members), "channel_index").groupBy(*ids(samples), "node", "sample_index").agg(F.coalesce(F.avg(x), F.lit(0.0)).alias("value"))
 
 
 def compatibility(files: DataFrame, reference: DataFrame) -> DataFrame:
@@ -125,4 +148,4 @@ def compatibility(files: DataFrame, reference: DataFrame) -> DataFrame:
 
 def weighted_sources(samples: DataFrame, weights: DataFrame) -> DataFrame:
     """target samples as weighted sums of source channels; weights (target, channel_index, weight) are a sensor table."""
-    return samples.join(F.broadcast(weights), "channel_index").groupBy("target", "sample_index").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+    return samples.join(F.broadcast(weights), "channel_index").groupBy(*ids(samples), "target", "sample_index").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))

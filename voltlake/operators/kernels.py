@@ -8,33 +8,16 @@ recording; recordings are spread over tasks.
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the package to Python workers, once a context: they import kernels from it."""
-    context = spark.sparkContext
-    if getattr(context, "_voltlake_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp()) / "voltlake.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in root.rglob("*.py"):
-            z.write(f, f"voltlake/{f.relative_to(root)}")
-    context.addPyFile(str(target))
-    context._voltlake_shipped = True
-
-
 def recorded(traces: DataFrame) -> DataFrame:
     return traces if "recording_id" in traces.columns else traces.withColumn("recording_id", F.lit("0"))
 
@@ -54,13 +37,13 @@ def map_traces(traces: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) ->
     return traces.select(*keys, F.transform("values", lambda v: v.cast("double")).alias("values")).mapInArrow(run, f"{ddl}, values array<double>")
 
 
-def by_recording(traces: DataFrame, kernel: Callable[[np.ndarray, list[int]], pd.DataFrame], schema: str) -> DataFrame:
-    """Rows the kernel makes of a recording's matrix (channels x samples, in channel order) and channel indices."""
+def by_recording(traces: DataFrame, kernel: Callable[..., pd.DataFrame], schema: str, named: bool = False) -> DataFrame:
+    """Rows the kernel makes of a recording's matrix (channels x samples, in channel order), channel indices and, if ``named``, id."""
     names = [part.strip().split()[0] for part in schema.split(",")]
 
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("channel_index")
-        out = kernel(np.stack([np.asarray(v, float) for v in pdf["values"]]), pdf["channel_index"].tolist())
+        out = kernel(np.stack([np.asarray(v, float) for v in pdf["values"]]), pdf["channel_index"].tolist(), *key[: int(named)])
         out.insert(0, "recording_id", key[0])
         return out[["recording_id", *names]]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltlake.operators.keys import ids
+
 
 def signal_from_vectors(vectors: DataFrame, index: str = "vec_id", values: str = "embedding") -> DataFrame:
     """LONG samples: one sample a row of vectors, one channel a vector element."""
@@ -18,13 +20,13 @@ def events_from_table(events: DataFrame) -> DataFrame:
 
 
 def to_traces(samples: DataFrame, *keys: str) -> DataFrame:
-    keys = keys or ("channel_index",)
+    keys = keys or (*ids(samples), "channel_index")
     packed = samples.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sample_index", "value"))).alias("s"))
     return packed.select(*keys, F.transform("s", lambda x: x["value"]).alias("values"))
 
 
 def to_samples(traces: DataFrame, *keys: str) -> DataFrame:
-    keys = keys or ("channel_index",)
+    keys = keys or (*ids(traces), "channel_index")
     return traces.select(*keys, F.posexplode("values").alias("sample_index", "value")).withColumn("sample_index", F.col("sample_index").cast("long"))
 
 
@@ -35,15 +37,16 @@ def decimate(samples: DataFrame, factor: int) -> DataFrame:
 
 def block_average(samples: DataFrame, factor: int) -> DataFrame:
     """Mean of each block, a short last one included."""
-    return samples.groupBy("channel_index", F.floor(F.col("sample_index") / factor).alias("sample_index")).agg(F.avg("value").alias("value"))
+    return samples.groupBy(*ids(samples), "channel_index", F.floor(F.col("sample_index") / factor).alias("sample_index")).agg(F.avg("value").alias("value"))
 
 
 def linear_upsample(samples: DataFrame, factor: int, n: int) -> DataFrame:
     """Linear interpolation between block centres, clamped at the ends."""
-    last = samples.groupBy("channel_index").agg(F.max("sample_index").alias("last"))
+    named = ids(samples)
+    last = samples.groupBy(*named, "channel_index").agg(F.max("sample_index").alias("last"))
     grid = last.withColumn("sample_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     pos = F.greatest(F.lit(0.0), F.least(F.col("last").cast("double"), (F.col("sample_index") - (factor - 1) / 2) / factor))
     grid = grid.withColumn("pos", pos).withColumn("low", F.floor("pos")).withColumn("high", F.least(F.floor("pos") + 1, F.col("last")))
-    a = samples.select("channel_index", F.col("sample_index").alias("low"), F.col("value").alias("v0"))
-    b = samples.select("channel_index", F.col("sample_index").alias("high"), F.col("value").alias("v1"))
-    return grid.join(a, ["channel_index", "low"]).join(b, ["channel_index", "high"]).select("channel_index", "sample_index", (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("pos") - F.col("low"))).alias("value"))
+    a = samples.select(*named, "channel_index", F.col("sample_index").alias("low"), F.col("value").alias("v0"))
+    b = samples.select(*named, "channel_index", F.col("sample_index").alias("high"), F.col("value").alias("v1"))
+    return grid.join(a, [*named, "channel_index", "low"]).join(b, [*named, "channel_index", "high"]).select(*named, "channel_index", "sample_index", (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("pos") - F.col("low"))).alias("value"))

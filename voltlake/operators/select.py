@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltlake.operators.keys import ids
+
 
 def valid_channels(requested: DataFrame, channels: DataFrame) -> DataFrame:
     """Requested indices that exist with the length of channel 0, each once, in order."""
@@ -14,7 +16,7 @@ def valid_channels(requested: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 def channels_of_length(samples: DataFrame, n: int) -> DataFrame:
-    return samples.groupBy("channel_index").agg(F.count("*").alias("n")).where(F.col("n") == n).select("channel_index")
+    return samples.groupBy(*ids(samples), "channel_index").agg(F.count("*").alias("n")).where(F.col("n") == n).select(*ids(samples), "channel_index")
 
 
 def included_channels(channels: DataFrame, excluded: DataFrame, fall_back: bool) -> DataFrame:

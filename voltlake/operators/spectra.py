@@ -7,30 +7,46 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.functions import dsp
-from voltlake.operators.kernels import by_recording
+from voltlake.operators.kernels import by_recording, recorded
+from voltlake.operators.keys import ids
 from voltlake.schema import BANDS
 
 FLOOR = 1e-12
 
 
-def pooled_spectra(traces: DataFrame, segments: list[tuple[int, int]], rate: float) -> DataFrame:
-    """A row a channel and bin: power pooled over the windows of the kept segments [start, end)."""
-    length = dsp.power_of_two_length(rate, max((b - a for a, b in segments), default=16))
+Segments = list[tuple[int, int]] | dict[str, list[tuple[int, int]]]
+
+
+def segments_of(segments: Segments, recording: str | None) -> list[tuple[int, int]]:
+    """The segments of a recording: one list for all, or a list by recording."""
+    return segments.get(recording, []) if isinstance(segments, dict) else segments
+
+
+def longest(segments: Segments) -> int:
+    every = [s for part in segments.values() for s in part] if isinstance(segments, dict) else segments
+    return max((b - a for a, b in every), default=16)
+
+
+def pooled_spectra(traces: DataFrame, segments: Segments, rate: float) -> DataFrame:
+    """A row a recording, channel and bin: power pooled over the windows of the kept segments [start, end)."""
+    length, named = dsp.power_of_two_length(rate, longest(segments)), ids(traces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c, v in zip(batch.column("channel_index").to_pylist(), batch.column("values"), strict=True):
+            for key, c, v in zip(batch.column("recording_id").to_pylist(), batch.column("channel_index").to_pylist(), batch.column("values"), strict=True):
                 x = np.array(v.values.to_numpy(zero_copy_only=False), float)
-                parts = [dsp.window_spectra(x[a:b], rate, length)[1] for a, b in segments]
+                parts = [dsp.window_spectra(x[a:b], rate, length)[1] for a, b in segments_of(segments, key)]
                 all_ = np.concatenate(parts) if parts else np.zeros((0, length // 2))
                 power = (np.abs(all_) ** 2).mean(0) if len(all_) else np.zeros(length // 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(power), c), pa.int32()), pa.array(np.arange(len(power)), pa.int32()), pa.array(np.arange(len(power)) * rate / length), pa.array(power), pa.array(np.full(len(power), len(all_)), pa.int64())], names=["channel_index", "bin", "hz", "power", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(power), pa.string()), pa.array(np.full(len(power), c), pa.int32()), pa.array(np.arange(len(power)), pa.int32()), pa.array(np.arange(len(power)) * rate / length), pa.array(power), pa.array(np.full(len(power), len(all_)), pa.int64())], names=["recording_id", "channel_index", "bin", "hz", "power", "windows"])
 
-    return traces.select("channel_index", "values").mapInArrow(run, "channel_index int, bin int, hz double, power double, windows long")
+    shipped = recorded(traces).select(F.col("recording_id").cast("string").alias("recording_id"), "channel_index", "values")
+    found = shipped.mapInArrow(run, "recording_id string, channel_index int, bin int, hz double, power double, windows long")
+    return found if named else found.drop("recording_id")
 
 
 def band_table(spark) -> DataFrame:
@@ -40,21 +56,24 @@ def band_table(spark) -> DataFrame:
 def band_powers(spectra: DataFrame) -> DataFrame:
     """Absolute power (sum of bins, both edges included), share of all bands, and log10, by channel and band."""
     bands = F.broadcast(band_table(spectra.sparkSession))  # five rows
-    each = spectra.crossJoin(bands).groupBy("channel_index", "band_no", "band").agg(F.sum(F.when(F.col("hz").between(F.col("low"), F.col("high")), F.col("power")).otherwise(0.0)).alias("absolute"))
-    total = each.groupBy("channel_index").agg(F.sum("absolute").alias("total"))
-    return each.join(total, "channel_index").select("channel_index", "band_no", "band", "absolute", F.when(F.col("total") > 0, F.col("absolute") / F.col("total")).otherwise(0.0).alias("relative"), F.log10(F.greatest("absolute", F.lit(FLOOR))).alias("log10_power"))
+    named = ids(spectra)
+    each = spectra.crossJoin(bands).groupBy(*named, "channel_index", "band_no", "band").agg(F.sum(F.when(F.col("hz").between(F.col("low"), F.col("high")), F.col("power")).otherwise(0.0)).alias("absolute"))
+    total = each.groupBy(*named, "channel_index").agg(F.sum("absolute").alias("total"))
+    return each.join(total, [*named, "channel_index"]).select(*named, "channel_index", "band_no", "band", "absolute", F.when(F.col("total") > 0, F.col("absolute") / F.col("total")).otherwise(0.0).alias("relative"), F.log10(F.greatest("absolute", F.lit(FLOOR))).alias("log10_power"))
 
 
 def band_summary(powers: DataFrame) -> DataFrame:
-    return powers.groupBy("band").agg(F.avg("absolute").alias("absolute"), F.avg("relative").alias("relative"))
+    return powers.groupBy(*ids(powers), "band").agg(F.avg("absolute").alias("absolute"), F.avg("relative").alias("relative"))
 
 
 def spectral_outliers(spectra: DataFrame, high: float = 1.8935, low: float = -5.0) -> DataFrame:
-    """z of log10 mean power from 1 to 100 Hz across channels (more than two), and whether it is out of bounds."""
-    each = spectra.where("hz BETWEEN 1 AND 100").groupBy("channel_index").agg(F.log10(F.greatest(F.avg("power"), F.lit(FLOOR))).alias("v"))
-    stats = each.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"), F.count("*").alias("n"))
+    """z of log10 mean power from 1 to 100 Hz across a recording's channels (more than two), and whether it is out of bounds."""
+    named = ids(spectra)
+    each = spectra.where("hz BETWEEN 1 AND 100").groupBy(*named, "channel_index").agg(F.log10(F.greatest(F.avg("power"), F.lit(FLOOR))).alias("v"))
+    w = Window.partitionBy(*named)  # a recording's channels
+    each = each.select("*", F.avg("v").over(w).alias("m"), F.stddev_pop("v").over(w).alias("sd"), F.count("*").over(w).alias("n"))
     z = F.when((F.col("n") > 2) & (F.col("sd") > 1e-12), (F.col("v") - F.col("m")) / F.when(F.col("sd") > 1e-12, F.col("sd"))).otherwise(0.0)
-    return each.crossJoin(F.broadcast(stats)).select("channel_index", "v", z.alias("z")).withColumn("bad", (F.col("z") > high) | (F.col("z") < low))
+    return each.select(*named, "channel_index", "v", z.alias("z")).withColumn("bad", (F.col("z") > high) | (F.col("z") < low))
 
 
 def advanced_spectral(spectra: DataFrame, line: float = 60.0) -> DataFrame:
@@ -63,32 +82,34 @@ def advanced_spectral(spectra: DataFrame, line: float = 60.0) -> DataFrame:
     near = F.abs(hz / line - F.round(hz / line)) * line <= 2
     use = hz.between(2, 40) & ~(near & (hz > line / 2))
     step = F.max(F.when(F.col("bin") == 1, hz))
-    first = spectra.groupBy("channel_index").agg(
+    named = ids(spectra)
+    first = spectra.groupBy(*named, "channel_index").agg(
         F.regr_slope(F.when(use, F.log10(p)), F.when(use, F.log10(hz))).alias("slope"),
         F.count_if(use).alias("bins"),
         (F.sum(F.when((hz > 20) & (hz <= 40), p)) / F.greatest(F.sum(F.when(hz.between(2, 20), p)), F.lit(FLOOR))).alias("emg_ratio"),
         F.round(F.lit(line) / step).alias("line_bin"),
     )
     d = F.abs(F.col("bin") - F.col("line_bin"))
-    snr = spectra.join(first.select("channel_index", "line_bin"), "channel_index").groupBy("channel_index").agg((F.max(F.when(d <= 1, F.col("power"))) / F.greatest(F.percentile(F.when(d.between(2, 6), F.col("power")), 0.5), F.lit(FLOOR))).alias("line_snr"))
-    return first.join(snr, "channel_index").select("channel_index", F.when(F.col("bins") >= 8, F.col("slope")).alias("slope"), "emg_ratio", "line_snr")
+    snr = spectra.join(first.select(*named, "channel_index", "line_bin"), [*named, "channel_index"]).groupBy(*named, "channel_index").agg((F.max(F.when(d <= 1, F.col("power"))) / F.greatest(F.percentile(F.when(d.between(2, 6), F.col("power")), 0.5), F.lit(FLOOR))).alias("line_snr"))
+    return first.join(snr, [*named, "channel_index"]).select(*named, "channel_index", F.when(F.col("bins") >= 8, F.col("slope")).alias("slope"), "emg_ratio", "line_snr")
 
 
-def connectivity(traces: DataFrame, segments: list[tuple[int, int]], rate: float, nodes: dict[str, list[int]] | None = None) -> DataFrame:
+def connectivity(traces: DataFrame, segments: Segments, rate: float, nodes: dict[str, list[int]] | None = None) -> DataFrame:
     """Coherence, imaginary coherence, PLV, wPLI and amplitude correlation of node pairs by band.
 
     Sums are pooled over bins and windows before the ratio. Products of all pairs
     are made as matrix products within the recording's task, so they aren't
     shuffled.
     """
-    length = dsp.power_of_two_length(rate, max((b - a for a, b in segments), default=16))
+    length = dsp.power_of_two_length(rate, longest(segments))
 
-    def run(x: np.ndarray, channels: list[int]) -> pd.DataFrame:
+    def run(x: np.ndarray, channels: list[int], key: str) -> pd.DataFrame:
+        mine = segments_of(segments, key)
         at = {c: i for i, c in enumerate(channels)}
         named = nodes or {str(c): [c] for c in channels}
         keys = list(named)
         signals = np.stack([np.nan_to_num(np.nanmean(np.where(np.isfinite(x[[at[c] for c in named[k] if c in at]]), x[[at[c] for c in named[k] if c in at]], np.nan), 0)) for k in keys])
-        spectra = np.stack([np.concatenate([dsp.window_spectra(s[a:b], rate, length)[1] for a, b in segments]) for s in signals])
+        spectra = np.stack([np.concatenate([dsp.window_spectra(s[a:b], rate, length)[1] for a, b in mine] or [np.zeros((0, length // 2), complex)]) for s in signals])
         hz = np.arange(length // 2) * rate / length
         left, right = np.triu_indices(len(keys), 1)
         rows = []
@@ -116,16 +137,17 @@ def connectivity(traces: DataFrame, segments: list[tuple[int, int]], rate: float
                 rows.append(pd.DataFrame({"node_a": [keys[i] for i in left], "node_b": [keys[j] for j in right], "band": band, "metric": metric, "value": m[left, right]}))
         return pd.concat(rows)
 
-    return by_recording(traces, run, "node_a string, node_b string, band string, metric string, value double")
+    return by_recording(traces, run, "node_a string, node_b string, band string, metric string, value double", named=True)
 
 
 def result_rows(powers: DataFrame, pairs: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
-    """The nine-column long table: row_type, scope, channel_index (from 1), channel_name, node_a, node_b, band, metric, value."""
-    named = powers.join(names, "channel_index", "left") if names is not None else powers.withColumn("channel_name", F.concat(F.lit("Ch "), F.col("channel_index") + 1))
+    """The long table of nine columns, after the recording where there is one: row_type, scope, channel_index (from 1), channel_name, node_a, node_b, band, metric, value."""
+    key = ids(powers) if pairs is None else ids(powers, pairs)
+    named = powers.join(names, [*ids(powers, names), "channel_index"], "left") if names is not None else powers.withColumn("channel_name", F.concat(F.lit("Ch "), F.col("channel_index") + 1))
     none = F.lit(None).cast("string")
-    channel = named.select(F.lit("spectral").alias("row_type"), F.lit("channel").alias("scope"), (F.col("channel_index") + 1).alias("channel_index"), "channel_name", none.alias("node_a"), none.alias("node_b"), "band", F.expr("stack(3, 'absolute', absolute, 'relative', relative, 'log10', log10_power) AS (metric, value)"))
-    summary = band_summary(powers).select(F.lit("spectral").alias("row_type"), F.lit("summary").alias("scope"), F.lit(None).cast("int").alias("channel_index"), none.alias("channel_name"), none.alias("node_a"), none.alias("node_b"), "band", F.expr("stack(2, 'absolute', absolute, 'relative', relative) AS (metric, value)"))
+    channel = named.select(*key, F.lit("spectral").alias("row_type"), F.lit("channel").alias("scope"), (F.col("channel_index") + 1).alias("channel_index"), "channel_name", none.alias("node_a"), none.alias("node_b"), "band", F.expr("stack(3, 'absolute', absolute, 'relative', relative, 'log10', log10_power) AS (metric, value)"))
+    summary = band_summary(powers).select(*key, F.lit("spectral").alias("row_type"), F.lit("summary").alias("scope"), F.lit(None).cast("int").alias("channel_index"), none.alias("channel_name"), none.alias("node_a"), none.alias("node_b"), "band", F.expr("stack(2, 'absolute', absolute, 'relative', relative) AS (metric, value)"))
     out = channel.unionByName(summary)
     if pairs is not None:
-        out = out.unionByName(pairs.select(F.lit("connectivity").alias("row_type"), F.lit("pair").alias("scope"), F.lit(None).cast("int").alias("channel_index"), none.alias("channel_name"), "node_a", "node_b", "band", "metric", "value"))
+        out = out.unionByName(pairs.select(*key, F.lit("connectivity").alias("row_type"), F.lit("pair").alias("scope"), F.lit(None).cast("int").alias("channel_index"), none.alias("channel_name"), "node_a", "node_b", "band", "metric", "value"))
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.functions.scoring import finite
+from voltlake.operators.keys import ids
 
 
 def percentile(x: Column, p: float) -> Column:
@@ -71,24 +72,29 @@ def clipping_fraction(df: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def covariance(samples: DataFrame, n_channels: int, ddof: int = 1) -> DataFrame:
-    """Channel covariance (i <= j). Each task adds up one Gram matrix, so what is shuffled is n_channels^2 numbers a task.
+    """Channel covariance (i <= j) of each recording. Each task adds up one Gram matrix a recording, so what is shuffled is n_channels^2 numbers of each.
 
     Samples that lack a channel are left out.
     """
-    size = n_channels
+    size, named = n_channels, ids(samples)
 
     def gram(batches):
         import numpy as np
         import pyarrow as pa
 
-        total, sums, n = np.zeros((size, size)), np.zeros(size), 0
+        sums: dict = {}
         for batch in batches:
             x = np.array(batch.column("row").to_pylist(), float).reshape(-1, size)
-            total, sums, n = total + x.T @ x, sums + x.sum(0), n + len(x)
+            which = np.array(batch.column("recording_id").to_pylist(), object)
+            for key in dict.fromkeys(which.tolist()):
+                part = x[which == key]
+                total, linear, n = sums.get(key, (0.0, 0.0, 0))
+                sums[key] = (total + part.T @ part, linear + part.sum(0), n + len(part))
         i, j = np.triu_indices(size)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j]), pa.array(sums[i]), pa.array(sums[j]), pa.array(np.full(len(i), n))], names=["i", "j", "xy", "x", "y", "n"])
+        for key, (total, linear, n) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(i), pa.string()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j]), pa.array(linear[i]), pa.array(linear[j]), pa.array(np.full(len(i), n))], names=["recording_id", "i", "j", "xy", "x", "y", "n"])
 
-    rows = samples.groupBy("sample_index").agg(F.sort_array(F.collect_list(F.struct("channel_index", "value"))).alias("c")).where(F.size("c") == size).select(F.transform("c", lambda c: c["value"]).alias("row"))
-    parts = rows.mapInArrow(gram, "i int, j int, xy double, x double, y double, n long")
-    return parts.groupBy("i", "j").agg(((F.sum("xy") - F.sum("x") * F.sum("y") / F.sum("n")) / (F.sum("n") - ddof)).alias("cov"))
+    packed = samples.groupBy(*named, "sample_index").agg(F.sort_array(F.collect_list(F.struct("channel_index", "value"))).alias("c")).where(F.size("c") == size)
+    rows = packed.select((F.col("recording_id").cast("string") if named else F.lit("")).alias("recording_id"), F.transform("c", lambda c: c["value"]).alias("row"))
+    parts = rows.mapInArrow(gram, "recording_id string, i int, j int, xy double, x double, y double, n long")
+    return parts.groupBy(*named, "i", "j").agg(((F.sum("xy") - F.sum("x") * F.sum("y") / F.sum("n")) / (F.sum("n") - ddof)).alias("cov"))

@@ -65,11 +65,16 @@ def clustered_peaks(peaks: DataFrame, spacing: int, *keys: str) -> DataFrame:
     return _open(folded, list(keys))
 
 
+def _with(rows: DataFrame, stats: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows with the statistics of their key; of the one row of statistics without keys."""
+    return rows.join(stats, list(keys)) if keys else rows.crossJoin(F.broadcast(stats))
+
+
 def find_peaks(samples: DataFrame, sigmas: float, spacing: int, *keys: str) -> DataFrame:
     """Local maxima above mean + sigmas * deviation of the middle half of the values, then tallest-first suppression."""
     bounds = samples.groupBy(*keys).agg(F.percentile("value", 0.25).alias("q1"), F.percentile("value", 0.75).alias("q3"))
-    middle = samples.join(bounds, list(keys)).where("value BETWEEN q1 AND q3").groupBy(*keys).agg((F.avg("value") + sigmas * F.stddev_pop("value")).alias("limit"))
-    high = local_peaks(samples, *keys).join(middle, list(keys)).where("value > limit")
+    middle = _with(samples, bounds, keys).where("value BETWEEN q1 AND q3").groupBy(*keys).agg((F.avg("value") + sigmas * F.stddev_pop("value")).alias("limit"))
+    high = _with(local_peaks(samples, *keys), middle, keys).where("value > limit")
     return strongest_non_overlapping(high.select(*keys, F.col("sample_index").alias("start"), F.col("value").alias("score")), spacing, *keys)
 
 

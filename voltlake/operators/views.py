@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltlake.operators.keys import ids
+
 
 def mirror_partners(layout: DataFrame, limit: float = 0.18) -> DataFrame:
     """The sensor nearest to (-x, y), if closer than the limit. A layout has some hundreds of rows and is held in one."""
@@ -24,21 +26,22 @@ def unpositioned(channels: DataFrame, layout: DataFrame) -> DataFrame:
 
 def topomap(values: DataFrame, layout: DataFrame, size: int) -> DataFrame:
     """Inverse-distance (power 3) map on a size x size grid over the unit circle; a sensor's own value within half a cell."""
-    sensors = values.join(layout, "channel_index").agg(F.collect_list(F.struct("x", "y", "value")).alias("all"))
+    sensors = values.join(layout, "channel_index").groupBy(*ids(values)).agg(F.collect_list(F.struct("x", "y", "value")).alias("all"))
     step = 2.0 / (size - 1)
-    grid = sensors.select("all", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("k")).withColumn("gx", F.pmod("k", F.lit(size)) * step - 1).withColumn("gy", F.floor(F.col("k") / size) * step - 1)
+    grid = sensors.select(*ids(values), "all", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("k")).withColumn("gx", F.pmod("k", F.lit(size)) * step - 1).withColumn("gy", F.floor(F.col("k") / size) * step - 1)
     d2 = lambda s: (s["x"] - F.col("gx")) ** 2 + (s["y"] - F.col("gy")) ** 2
     exact = F.filter("all", lambda s: d2(s) < 0.5 * step * step)
     weight = lambda s: F.lit(1.0) / F.pow(F.greatest(d2(s), F.lit(1e-12)), F.lit(1.5))
     sums = F.aggregate("all", F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("v")), lambda a, s: F.struct((a["w"] + weight(s)).alias("w"), (a["v"] + weight(s) * s["value"]).alias("v")))
-    return grid.where("gx * gx + gy * gy <= 1.0000001").select("k", F.when(F.size(exact) > 0, F.get(exact, 0)["value"]).otherwise(sums["v"] / sums["w"]).alias("value"))
+    return grid.where("gx * gx + gy * gy <= 1.0000001").select(*ids(values), "k", F.when(F.size(exact) > 0, F.get(exact, 0)["value"]).otherwise(sums["v"] / sums["w"]).alias("value"))
 
 
 def trace_bins(samples: DataFrame, n_bins: int, n_samples: int) -> DataFrame:
     """Mean of each pixel bin, values clamped to robust limits (p2, p98 around p50)."""
-    limits = samples.groupBy("channel_index").agg(F.percentile("value", 0.02).alias("low"), F.percentile("value", 0.5).alias("mid"), F.percentile("value", 0.98).alias("high"))
-    clamped = samples.join(limits, "channel_index").withColumn("v", F.greatest("low", F.least("high", "value")))
-    return clamped.groupBy("channel_index", F.floor(F.col("sample_index") * n_bins / n_samples).alias("bin")).agg(F.avg("v").alias("value"))
+    named = [*ids(samples), "channel_index"]
+    limits = samples.groupBy(*named).agg(F.percentile("value", 0.02).alias("low"), F.percentile("value", 0.5).alias("mid"), F.percentile("value", 0.98).alias("high"))
+    clamped = samples.join(limits, named).withColumn("v", F.greatest("low", F.least("high", "value")))
+    return clamped.groupBy(*named, F.floor(F.col("sample_index") * n_bins / n_samples).alias("bin")).agg(F.avg("v").alias("value"))
 
 
 def event_lanes(events: DataFrame, lanes: int, source: str = "source_file") -> DataFrame:

@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from voltlake.functions import scoring as sc
 from voltlake.operators import layout, select, sets, stats, windows
-from voltlake.plans.registry import CHANNELS, SERIES, SIGNAL, TRACK, query, r, series, signal, table, track
+from voltlake.operators.keys import ids
+from voltlake.plans.registry import CHANNELS, SERIES, SIGNAL, TRACK, out, query, r, series, signal, table, track
 
 
-@query(f"WITH {SIGNAL} SELECT ch::BIGINT AS channel_index, round(quantile_cont(abs(v), 0.95), 6) + 0.0 AS p95, round(sqrt(avg(v*v)), 6) + 0.0 AS rms, round(var_pop(v), 6) + 0.0 AS var_pop, round(var_samp(v), 6) + 0.0 AS var_samp, round(sum(v*v), 5) + 0.0 AS energy, round(kurtosis_pop(v), 5) + 0.0 AS kurtosis FROM s GROUP BY ch")
+@query(f"WITH {SIGNAL} SELECT ch::BIGINT AS channel_index, round(quantile_cont(abs(v), 0.95), 6) + 0.0 AS p95, round(sqrt(avg(v*v)), 6) + 0.0 AS rms, round(var_pop(v), 6) + 0.0 AS var_pop, round(var_samp(v), 6) + 0.0 AS var_samp, round(sum(v*v), 5) + 0.0 AS energy, round(kurtosis_pop(v), 5) + 0.0 AS kurtosis FROM s GROUP BY ch", two=True)
 def channel_statistics(spark, d):
-    v = F.col("value")
-    return signal(spark, d).groupBy(F.col("channel_index").cast("long").alias("channel_index")).agg(r(stats.percentile(F.abs(v), 0.95)).alias("p95"), r(stats.rms(v)).alias("rms"), r(stats.variance_population(v)).alias("var_pop"), r(stats.variance_sample(v)).alias("var_samp"), r(stats.energy(v), 5).alias("energy"), r(stats.excess_kurtosis(v), 5).alias("kurtosis"))
+    v, s = F.col("value"), signal(spark, d)
+    return s.groupBy(*ids(s), F.col("channel_index").cast("long").alias("channel_index")).agg(r(stats.percentile(F.abs(v), 0.95)).alias("p95"), r(stats.rms(v)).alias("rms"), r(stats.variance_population(v)).alias("var_pop"), r(stats.variance_sample(v)).alias("var_samp"), r(stats.energy(v), 5).alias("energy"), r(stats.excess_kurtosis(v), 5).alias("kurtosis"))
 
 
-@query(f"WITH {SERIES} SELECT ch AS channel_index, round(greatest(quantile_cont(v, 0.5), 1e-9), 6) AS interpolated, round(list_sort(list(v))[count(*) // 2 + 1], 6) AS upper, round(quantile_cont(v, 0.5), 6) AS middles FROM r GROUP BY ch")
+@query(f"WITH {SERIES} SELECT ch AS channel_index, round(greatest(quantile_cont(v, 0.5), 1e-9), 6) AS interpolated, round(list_sort(list(v))[count(*) // 2 + 1], 6) AS upper, round(quantile_cont(v, 0.5), 6) AS middles FROM r GROUP BY ch", two=True)
 def median_rules(spark, d):
-    v = F.col("value")
-    return series(spark, d).groupBy("channel_index").agg(r(stats.median_interpolated(v)).alias("interpolated"), r(stats.median_upper(v)).alias("upper"), r(stats.median_middles(v)).alias("middles"))
+    v, s = F.col("value"), series(spark, d)
+    return s.groupBy(*ids(s), "channel_index").agg(r(stats.median_interpolated(v)).alias("interpolated"), r(stats.median_upper(v)).alias("upper"), r(stats.median_middles(v)).alias("middles"))
 
 
 @query("SELECT l_shipmode_channel AS channel_index, v AS value, n FROM (SELECT l_linenumber AS l_shipmode_channel, l_quantity AS v, count(*) AS n, row_number() OVER (PARTITION BY l_linenumber ORDER BY count(*) DESC, l_quantity) AS k FROM lineitem GROUP BY 1, 2) WHERE k = 1")
@@ -40,9 +41,9 @@ def clipping(spark, d):
     return stats.clipping_fraction(li, "value", "channel_index").withColumn("clipping", r("clipping"))
 
 
-@query(f"WITH {SIGNAL} SELECT a.ch::BIGINT AS i, b.ch::BIGINT AS j, round(covar_samp(a.v, b.v), 6) + 0.0 AS cov FROM s a JOIN s b ON a.i = b.i AND a.ch <= b.ch GROUP BY ALL")
+@query(f"WITH {SIGNAL} SELECT a.ch::BIGINT AS i, b.ch::BIGINT AS j, round(covar_samp(a.v, b.v), 6) + 0.0 AS cov FROM s a JOIN s b ON a.i = b.i AND a.ch <= b.ch GROUP BY ALL", two=True)
 def covariance_matrix(spark, d):
-    return stats.covariance(signal(spark, d), CHANNELS).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r("cov").alias("cov"))
+    return out(stats.covariance(signal(spark, d), CHANNELS), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r("cov").alias("cov"))
 
 
 @query("WITH m AS (SELECT o_orderkey AS volume, o_totalprice / 1e5 AS p FROM orders), x AS (SELECT volume, abs(p - lag(p) OVER (ORDER BY volume)) AS d FROM m) SELECT volume, round(coalesce(d * 0.3 * pi() / 180 * 50 + d * 0.7, 0), 6) AS fd FROM x")
@@ -61,57 +62,58 @@ def motion_censoring(spark, d):
     return fd.agg(F.count_if(F.col("fd") > 1).alias("n_above"), r(F.avg((F.col("fd") > 1).cast("double"))).alias("fraction"), r(F.max("fd")).alias("top"))
 
 
-@query(f"WITH {SERIES}, d AS (SELECT ch, v - lag(v) OVER (PARTITION BY ch ORDER BY i) AS x FROM r) SELECT ch AS channel_index, round(sqrt(avg(x*x)), 6) AS carried, round(sqrt(avg(x*x)), 6) AS reset, count(x) AS n FROM d GROUP BY ch")
+@query(f"WITH {SERIES}, d AS (SELECT ch, v - lag(v) OVER (PARTITION BY ch ORDER BY i) AS x FROM r) SELECT ch AS channel_index, round(sqrt(avg(x*x)), 6) AS carried, round(sqrt(avg(x*x)), 6) AS reset, count(x) AS n FROM d GROUP BY ch", two=True)
 def first_differences(spark, d):
     s = series(spark, d)
-    each = lambda carry, name: windows.first_difference(s, carry).groupBy("channel_index").agg(r(F.sqrt(F.avg(F.col("diff") ** 2))).alias(name), F.count("diff").alias(f"n_{name}"))
-    return each(True, "carried").join(each(False, "reset"), "channel_index").select("channel_index", "carried", "reset", F.col("n_reset").alias("n"))
+    by = [*ids(s), "channel_index"]
+    each = lambda carry, name: windows.first_difference(s, carry).groupBy(*by).agg(r(F.sqrt(F.avg(F.col("diff") ** 2))).alias(name), F.count("diff").alias(f"n_{name}"))
+    return out(each(True, "carried").join(each(False, "reset"), by), "channel_index", "carried", "reset", F.col("n_reset").alias("n"))
 
 
-@query(f"WITH {SERIES} SELECT ch AS channel_index, i AS sample_index, round(avg(v) OVER (PARTITION BY ch ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS smooth FROM r")
+@query(f"WITH {SERIES} SELECT ch AS channel_index, i AS sample_index, round(avg(v) OVER (PARTITION BY ch ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS smooth FROM r", two=True)
 def moving_average(spark, d):
-    return windows.centred_moving_average(series(spark, d), 7).select("channel_index", "sample_index", r("smooth").alias("smooth"))
+    return out(windows.centred_moving_average(series(spark, d), 7), "channel_index", "sample_index", r("smooth").alias("smooth"))
 
 
-@query(f"WITH {SERIES} SELECT ch AS channel_index, i AS sample_index, round(v - avg(v) OVER (PARTITION BY ch ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) + 0.0 AS value FROM r")
+@query(f"WITH {SERIES} SELECT ch AS channel_index, i AS sample_index, round(v - avg(v) OVER (PARTITION BY ch ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) + 0.0 AS value FROM r", two=True)
 def baseline_removed(spark, d):
-    return windows.baseline_removed(series(spark, d), 10.0).select("channel_index", "sample_index", r("value").alias("value"))
+    return out(windows.baseline_removed(series(spark, d), 10.0), "channel_index", "sample_index", r("value").alias("value"))
 
 
-@query(f"WITH {SERIES}, x AS (SELECT *, lead(v) OVER w AS b, lag(v) OVER w AS a FROM r WINDOW w AS (PARTITION BY ch ORDER BY i)) SELECT ch AS channel_index, i AS sample_index, round(CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN a IS NULL THEN b - v WHEN b IS NULL THEN v - a ELSE (b - a) / 2 END, 6) + 0.0 AS d FROM x")
+@query(f"WITH {SERIES}, x AS (SELECT *, lead(v) OVER w AS b, lag(v) OVER w AS a FROM r WINDOW w AS (PARTITION BY ch ORDER BY i)) SELECT ch AS channel_index, i AS sample_index, round(CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN a IS NULL THEN b - v WHEN b IS NULL THEN v - a ELSE (b - a) / 2 END, 6) + 0.0 AS d FROM x", two=True)
 def central_derivative(spark, d):
-    return windows.derivative(series(spark, d)).select("channel_index", "sample_index", r("d").alias("d"))
+    return out(windows.derivative(series(spark, d)), "channel_index", "sample_index", r("d").alias("d"))
 
 
-@query(f"WITH {SERIES} SELECT ch AS channel_index, i AS sample_index, round(CASE WHEN count(*) OVER (PARTITION BY ch) <= 5 THEN v ELSE avg(v) OVER (PARTITION BY ch ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END, 6) AS value FROM r")
+@query(f"WITH {SERIES} SELECT ch AS channel_index, i AS sample_index, round(CASE WHEN count(*) OVER (PARTITION BY ch) <= 5 THEN v ELSE avg(v) OVER (PARTITION BY ch ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END, 6) AS value FROM r", two=True)
 def box_car(spark, d):
-    return windows.box_car(series(spark, d), 5).select("channel_index", "sample_index", r("value").alias("value"))
+    return out(windows.box_car(series(spark, d), 5), "channel_index", "sample_index", r("value").alias("value"))
 
 
-@query(f"WITH {SERIES} SELECT ch AS channel_index, i AS sample_index, round((v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w > 0 THEN stddev_pop(v) OVER w ELSE 1 END, 5) + 0.0 AS z FROM r WINDOW w AS (PARTITION BY ch ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)")
+@query(f"WITH {SERIES} SELECT ch AS channel_index, i AS sample_index, round((v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w > 0 THEN stddev_pop(v) OVER w ELSE 1 END, 5) + 0.0 AS z FROM r WINDOW w AS (PARTITION BY ch ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)", two=True)
 def sliding_z(spark, d):
-    return windows.sliding_z(series(spark, d), 9).select("channel_index", "sample_index", r("z", 5).alias("z"))
+    return out(windows.sliding_z(series(spark, d), 9), "channel_index", "sample_index", r("z", 5).alias("z"))
 
 
-@query(f"WITH {SERIES} SELECT ch AS channel_index, i AS sample_index, round(v / sqrt(greatest(avg(v*v) OVER (PARTITION BY ch ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 1e-20)), 6) AS value FROM r")
+@query(f"WITH {SERIES} SELECT ch AS channel_index, i AS sample_index, round(v / sqrt(greatest(avg(v*v) OVER (PARTITION BY ch ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 1e-20)), 6) AS value FROM r", two=True)
 def sliding_rms(spark, d):
-    return windows.sliding_rms_normalised(series(spark, d), 9).select("channel_index", "sample_index", r("value").alias("value"))
+    return out(windows.sliding_rms_normalised(series(spark, d), 9), "channel_index", "sample_index", r("value").alias("value"))
 
 
-@query(f"WITH {SERIES}, b AS (SELECT ch, i // 10 AS b, avg(v) AS m, count(*) AS n FROM r GROUP BY 1, 2 HAVING count(*) >= 8) SELECT ch AS channel_index, round(CASE WHEN count(*) >= 2 THEN stddev_pop(m) ELSE 0 END, 6) AS drift FROM b GROUP BY ch")
+@query(f"WITH {SERIES}, b AS (SELECT ch, i // 10 AS b, avg(v) AS m, count(*) AS n FROM r GROUP BY 1, 2 HAVING count(*) >= 8) SELECT ch AS channel_index, round(CASE WHEN count(*) >= 2 THEN stddev_pop(m) ELSE 0 END, 6) AS drift FROM b GROUP BY ch", two=True)
 def block_drift(spark, d):
-    return windows.block_mean_drift(series(spark, d), 10).select("channel_index", r("drift").alias("drift"))
+    return out(windows.block_mean_drift(series(spark, d), 10), "channel_index", r("drift").alias("drift"))
 
 
-@query(f"WITH {SIGNAL} SELECT i AS sample_index, round(sqrt(avg(v*v)), 6) AS rms, round(stddev_pop(v), 6) AS deviation FROM s GROUP BY i")
+@query(f"WITH {SIGNAL} SELECT i AS sample_index, round(sqrt(avg(v*v)), 6) AS rms, round(stddev_pop(v), 6) AS deviation FROM s GROUP BY i", two=True)
 def global_field_power(spark, d):
     s = signal(spark, d)
-    return windows.gfp(s).select("sample_index", r("gfp").alias("rms")).join(windows.gfp(s, "deviation").select("sample_index", r("gfp").alias("deviation")), "sample_index")
+    return out(windows.gfp(s), "sample_index", r("gfp").alias("rms")).join(out(windows.gfp(s, "deviation"), "sample_index", r("gfp").alias("deviation")), [*ids(s), "sample_index"])
 
 
-@query(f"WITH {SIGNAL} SELECT i AS sample_index, ch::BIGINT AS channel_index, round(v - avg(v) FILTER (ch NOT IN (3, 5)) OVER (PARTITION BY i), 6) + 0.0 AS value FROM s")
+@query(f"WITH {SIGNAL} SELECT i AS sample_index, ch::BIGINT AS channel_index, round(v - avg(v) FILTER (ch NOT IN (3, 5)) OVER (PARTITION BY i), 6) + 0.0 AS value FROM s", two=True)
 def average_reference(spark, d):
-    return windows.average_reference(signal(spark, d), (3, 5)).select("sample_index", F.col("channel_index").cast("long").alias("channel_index"), r("value").alias("value"))
+    return out(windows.average_reference(signal(spark, d), (3, 5)), "sample_index", F.col("channel_index").cast("long").alias("channel_index"), r("value").alias("value"))
 
 
 @query("WITH b AS (SELECT o_custkey AS recording_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS block_index, floor(o_totalprice / 1000)::BIGINT + 1 AS n FROM orders) SELECT recording_id, block_index::BIGINT AS block_index, (sum(n) OVER w - n)::BIGINT AS start_sample, (sum(n) OVER w - 1)::BIGINT AS end_sample FROM b WINDOW w AS (PARTITION BY recording_id ORDER BY block_index)")
@@ -121,28 +123,28 @@ def block_offsets(spark, d):
     return windows.block_offsets(b).select("recording_id", "block_index", "start_sample", "end_sample")
 
 
-@query(f"WITH {SIGNAL} SELECT ch::BIGINT AS channel_index, (i // 4)::BIGINT AS sample_index, round(avg(v), 6) + 0.0 AS value FROM s GROUP BY 1, 2")
+@query(f"WITH {SIGNAL} SELECT ch::BIGINT AS channel_index, (i // 4)::BIGINT AS sample_index, round(avg(v), 6) + 0.0 AS value FROM s GROUP BY 1, 2", two=True)
 def block_averaged(spark, d):
-    return layout.block_average(signal(spark, d), 4).select(F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
+    return out(layout.block_average(signal(spark, d), 4), F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
 
 
-@query(f"WITH {SIGNAL} SELECT ch::BIGINT AS channel_index, (i // 5)::BIGINT AS sample_index, round(v, 6) + 0.0 AS value FROM s WHERE i % 5 = 0")
+@query(f"WITH {SIGNAL} SELECT ch::BIGINT AS channel_index, (i // 5)::BIGINT AS sample_index, round(v, 6) + 0.0 AS value FROM s WHERE i % 5 = 0", two=True)
 def decimated(spark, d):
-    return layout.decimate(signal(spark, d), 5).select(F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
+    return out(layout.decimate(signal(spark, d), 5), F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
 
 
 @query(f"""WITH {SIGNAL}, b AS (SELECT ch, i // 4 AS k, avg(v) AS v FROM s GROUP BY 1, 2), g AS (SELECT ch, max(k) AS last, unnest(range((SELECT max(vec_id) + 1 FROM embeddings))) AS i FROM b GROUP BY ch),
 p AS (SELECT *, greatest(0.0, least(last::DOUBLE, (i - 1.5) / 4)) AS pos FROM g)
-SELECT p.ch::BIGINT AS channel_index, p.i::BIGINT AS sample_index, round(a.v + (c.v - a.v) * (pos - floor(pos)), 6) + 0.0 AS value FROM p JOIN b a ON a.ch = p.ch AND a.k = floor(pos) JOIN b c ON c.ch = p.ch AND c.k = least(floor(pos) + 1, last)""")
+SELECT p.ch::BIGINT AS channel_index, p.i::BIGINT AS sample_index, round(a.v + (c.v - a.v) * (pos - floor(pos)), 6) + 0.0 AS value FROM p JOIN b a ON a.ch = p.ch AND a.k = floor(pos) JOIN b c ON c.ch = p.ch AND c.k = least(floor(pos) + 1, last)""", two=True)
 def linear_upsampled(spark, d):
     from voltlake.plans.registry import n_samples
 
-    return layout.linear_upsample(layout.block_average(signal(spark, d), 4), 4, n_samples(spark, d)).select(F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
+    return out(layout.linear_upsample(layout.block_average(signal(spark, d), 4), 4, n_samples(spark, d)), F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
 
 
-@query(f"WITH {SIGNAL} SELECT ch::BIGINT AS channel_index, i AS sample_index, round(v, 6) + 0.0 AS value FROM s")
+@query(f"WITH {SIGNAL} SELECT ch::BIGINT AS channel_index, i AS sample_index, round(v, 6) + 0.0 AS value FROM s", two=True)
 def layout_round_trip(spark, d):
-    return layout.to_samples(layout.to_traces(signal(spark, d))).select(F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
+    return out(layout.to_samples(layout.to_traces(signal(spark, d))), F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
 
 
 _UP = "CASE WHEN {x} <= {g} THEN 1.0 WHEN {x} >= {h} THEN 0.0 ELSE 1.0 - ({x} - {g}) / ({h} - {g}) END"
@@ -187,12 +189,12 @@ def split_events(spark, d):
     return select.split_events(track(spark, d), 1000.0, 200000.0).select("event_id", "code", r("begin_s").alias("begin_s"))
 
 
-@query(f"WITH {SIGNAL} SELECT 0 AS part, ch::BIGINT AS channel_index, count(*) AS n, max(i)::BIGINT AS last FROM s WHERE i < 100 GROUP BY ch UNION ALL SELECT 1, ch::BIGINT, count(*), max(i - 100)::BIGINT FROM s WHERE i >= 100 GROUP BY ch")
+@query(f"WITH {SIGNAL} SELECT 0 AS part, ch::BIGINT AS channel_index, count(*) AS n, max(i)::BIGINT AS last FROM s WHERE i < 100 GROUP BY ch UNION ALL SELECT 1, ch::BIGINT, count(*), max(i - 100)::BIGINT FROM s WHERE i >= 100 GROUP BY ch", two=True)
 def split_samples(spark, d):
     from voltlake.plans.registry import n_samples
 
     parts = select.split_samples(signal(spark, d), 100, n_samples(spark, d))
-    each = [p.groupBy(F.col("channel_index").cast("long").alias("channel_index")).agg(F.count("*").alias("n"), F.max("sample_index").cast("long").alias("last")).withColumn("part", F.lit(k)) for k, p in enumerate(parts)]
+    each = [p.groupBy(*ids(p), F.col("channel_index").cast("long").alias("channel_index")).agg(F.count("*").alias("n"), F.max("sample_index").cast("long").alias("last")).withColumn("part", F.lit(k)) for k, p in enumerate(parts)]
     return each[0].unionByName(each[1])
 
 
@@ -262,21 +264,24 @@ def band_presets(spark, d):
     return spark.createDataFrame(list(BANDS), "name string, low double, high double")
 
 
-@query(f"WITH {SERIES}, x AS (SELECT ch, i, v, v > 200 AS up, i - row_number() OVER (PARTITION BY ch, v > 200 ORDER BY i) AS g FROM r) SELECT ch AS channel_index, min(i)::BIGINT AS start_sample, max(i)::BIGINT AS end_sample, round(max(abs(v)), 6) AS peak FROM x WHERE up GROUP BY ch, g")
+@query(f"WITH {SERIES}, x AS (SELECT ch, i, v, v > 200 AS up, i - row_number() OVER (PARTITION BY ch, v > 200 ORDER BY i) AS g FROM r) SELECT ch AS channel_index, min(i)::BIGINT AS start_sample, max(i)::BIGINT AS end_sample, round(max(abs(v)), 6) AS peak FROM x WHERE up GROUP BY ch, g", two=True)
 def threshold_runs(spark, d):
     from voltlake.operators.topk import threshold_runs as runs
 
-    return runs(series(spark, d), F.col("value") > 200, "channel_index").select("channel_index", "start_sample", "end_sample", r("peak").alias("peak"))
+    s = series(spark, d)
+    return out(runs(s, F.col("value") > 200, *ids(s), "channel_index"), "channel_index", "start_sample", "end_sample", r("peak").alias("peak"))
 
 
 @query(f"""WITH {SERIES}, x AS (SELECT ch, i, v, i - row_number() OVER (PARTITION BY ch, v > 200 ORDER BY i) AS g FROM r WHERE true), y AS (SELECT ch, min(i) AS a, max(i) AS b, max(abs(v)) AS p FROM (SELECT ch, i, v, i - row_number() OVER (PARTITION BY ch ORDER BY i) AS g FROM r WHERE v > 200) GROUP BY ch, g),
 m AS (SELECT *, CASE WHEN max(b) OVER w IS NULL OR a - max(b) OVER w > 3 THEN 1 ELSE 0 END AS f FROM y WINDOW w AS (PARTITION BY ch ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), n AS (SELECT *, sum(f) OVER (PARTITION BY ch ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m)
-SELECT ch AS channel_index, min(a)::BIGINT AS start_sample, max(b)::BIGINT AS end_sample, round(max(p), 6) AS peak FROM n GROUP BY ch, k""")
+SELECT ch AS channel_index, min(a)::BIGINT AS start_sample, max(b)::BIGINT AS end_sample, round(max(p), 6) AS peak FROM n GROUP BY ch, k""", two=True)
 def merged_ranges(spark, d):
     from voltlake.operators.topk import merge_ranges
     from voltlake.operators.topk import threshold_runs as runs
 
-    return merge_ranges(runs(series(spark, d), F.col("value") > 200, "channel_index"), 3, "channel_index").select("channel_index", "start_sample", "end_sample", r("peak").alias("peak"))
+    s = series(spark, d)
+    by = [*ids(s), "channel_index"]
+    return out(merge_ranges(runs(s, F.col("value") > 200, *by), 3, *by), "channel_index", "start_sample", "end_sample", r("peak").alias("peak"))
 
 
 @query(f"WITH {TRACK}, g AS (SELECT code, t - lag(t) OVER (PARTITION BY code ORDER BY t, event_id) AS d FROM e) SELECT code, round(min(d), 6) AS least, round(max(d), 6) AS most, round(list_sort(list(d) FILTER (d IS NOT NULL))[count(d) // 2 + 1], 6) AS median, count(DISTINCT d) AS n_distinct, max(abs(d - m)) <= 0.001 AS even FROM (SELECT *, list_sort(list(d) FILTER (d IS NOT NULL) OVER (PARTITION BY code))[count(d) OVER (PARTITION BY code) // 2 + 1] AS m FROM g) GROUP BY code")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from voltlake.operators import kernels, spectra
 from voltlake.operators.layout import to_samples, to_traces
-from voltlake.plans.registry import CHANNELS, RATE, SIGNAL, circle, n_samples, query, r, signal
+from voltlake.plans.registry import CHANNELS, RATE, SIGNAL, circle, n_samples, out, query, r, signal
 from voltlake.plans.script import Pipeline
 
 
 def traces(spark, d):
-    kernels.ship(spark)
-    return to_traces(signal(spark, d)).withColumn("recording_id", F.lit("embeddings"))
+    t = to_traces(signal(spark, d))
+    return t if "recording_id" in t.columns else t.withColumn("recording_id", F.lit("embeddings"))
 
 
 def segments(spark, d) -> list[tuple[int, int]]:
@@ -24,34 +24,34 @@ _SPECTRA = f"""{SIGNAL}, wins AS (SELECT unnest(range(0, (SELECT max(vec_id) + 1
 f AS (SELECT ch, a, bin, sum(v * cos(2 * pi() * bin * k / 256)) AS re, sum(v * sin(2 * pi() * bin * k / 256)) AS im FROM y, b GROUP BY ALL), p AS (SELECT ch, bin, bin * 250.0 / 256 AS hz, avg(re * re + im * im) AS p FROM f GROUP BY ALL)"""
 
 
-@query(f"WITH {_SPECTRA} SELECT ch::BIGINT AS channel_index, bin::BIGINT AS bin, round(p, 5) AS power FROM p")
+@query(f"WITH {_SPECTRA} SELECT ch::BIGINT AS channel_index, bin::BIGINT AS bin, round(p, 5) AS power FROM p", two=True)
 def power_spectrum(spark, d):
-    return spectra.pooled_spectra(traces(spark, d), segments(spark, d), RATE).select(F.col("channel_index").cast("long").alias("channel_index"), F.col("bin").cast("long").alias("bin"), r("power", 5).alias("power"))
+    return out(spectra.pooled_spectra(traces(spark, d), segments(spark, d), RATE), F.col("channel_index").cast("long").alias("channel_index"), F.col("bin").cast("long").alias("bin"), r("power", 5).alias("power"))
 
 
-@query(f"WITH {_SPECTRA}, bands AS (SELECT unnest(['Delta', 'Theta', 'Alpha', 'Beta', 'Low Gamma']) AS band, unnest([1.0, 4.0, 8.0, 13.0, 30.0]) AS lo, unnest([4.0, 8.0, 13.0, 30.0, 45.0]) AS hi), a AS (SELECT ch, band, sum(CASE WHEN hz BETWEEN lo AND hi THEN p ELSE 0 END) AS v FROM p, bands GROUP BY ALL) SELECT ch::BIGINT AS channel_index, band, round(v, 5) AS absolute, round(v / sum(v) OVER (PARTITION BY ch), 6) AS relative, round(log10(greatest(v, 1e-12)), 6) + 0.0 AS log10_power FROM a")
+@query(f"WITH {_SPECTRA}, bands AS (SELECT unnest(['Delta', 'Theta', 'Alpha', 'Beta', 'Low Gamma']) AS band, unnest([1.0, 4.0, 8.0, 13.0, 30.0]) AS lo, unnest([4.0, 8.0, 13.0, 30.0, 45.0]) AS hi), a AS (SELECT ch, band, sum(CASE WHEN hz BETWEEN lo AND hi THEN p ELSE 0 END) AS v FROM p, bands GROUP BY ALL) SELECT ch::BIGINT AS channel_index, band, round(v, 5) AS absolute, round(v / sum(v) OVER (PARTITION BY ch), 6) AS relative, round(log10(greatest(v, 1e-12)), 6) + 0.0 AS log10_power FROM a", two=True)
 def band_powers(spark, d):
     b = spectra.band_powers(spectra.pooled_spectra(traces(spark, d), segments(spark, d), RATE))
-    return b.select(F.col("channel_index").cast("long").alias("channel_index"), "band", r("absolute", 5).alias("absolute"), r("relative").alias("relative"), r("log10_power").alias("log10_power"))
+    return out(b, F.col("channel_index").cast("long").alias("channel_index"), "band", r("absolute", 5).alias("absolute"), r("relative").alias("relative"), r("log10_power").alias("log10_power"))
 
 
-@query(f"WITH {_SPECTRA}, v AS (SELECT ch, log10(greatest(avg(p), 1e-12)) AS v FROM p WHERE hz BETWEEN 1 AND 100 GROUP BY ch) SELECT ch::BIGINT AS channel_index, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 5) + 0.0 AS z FROM v")
+@query(f"WITH {_SPECTRA}, v AS (SELECT ch, log10(greatest(avg(p), 1e-12)) AS v FROM p WHERE hz BETWEEN 1 AND 100 GROUP BY ch) SELECT ch::BIGINT AS channel_index, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 5) + 0.0 AS z FROM v", two=True)
 def spectral_outliers(spark, d):
-    return spectra.spectral_outliers(spectra.pooled_spectra(traces(spark, d), segments(spark, d), RATE)).select(F.col("channel_index").cast("long").alias("channel_index"), r("z", 5).alias("z"))
+    return out(spectra.spectral_outliers(spectra.pooled_spectra(traces(spark, d), segments(spark, d), RATE)), F.col("channel_index").cast("long").alias("channel_index"), r("z", 5).alias("z"))
 
 
-@query(f"WITH {_SPECTRA} SELECT ch::BIGINT AS channel_index, round(regr_slope(log10(greatest(p, 1e-12)), log10(hz)) FILTER (hz BETWEEN 2 AND 40), 5) + 0.0 AS slope, round(sum(p) FILTER (hz > 20 AND hz <= 40) / sum(p) FILTER (hz BETWEEN 2 AND 20), 5) AS emg_ratio FROM p GROUP BY ch")
+@query(f"WITH {_SPECTRA} SELECT ch::BIGINT AS channel_index, round(regr_slope(log10(greatest(p, 1e-12)), log10(hz)) FILTER (hz BETWEEN 2 AND 40), 5) + 0.0 AS slope, round(sum(p) FILTER (hz > 20 AND hz <= 40) / sum(p) FILTER (hz BETWEEN 2 AND 20), 5) AS emg_ratio FROM p GROUP BY ch", two=True)
 def advanced_spectral(spark, d):
-    return spectra.advanced_spectral(spectra.pooled_spectra(traces(spark, d), segments(spark, d), RATE)).select(F.col("channel_index").cast("long").alias("channel_index"), r("slope", 5).alias("slope"), r("emg_ratio", 5).alias("emg_ratio"))
+    return out(spectra.advanced_spectral(spectra.pooled_spectra(traces(spark, d), segments(spark, d), RATE)), F.col("channel_index").cast("long").alias("channel_index"), r("slope", 5).alias("slope"), r("emg_ratio", 5).alias("emg_ratio"))
 
 
 _PAIR = "c AS (SELECT a.ch AS x, b.ch AS y, sum(a.re * b.re + a.im * b.im) AS cr, sum(a.im * b.re - a.re * b.im) AS ci, sum(a.re * a.re + a.im * a.im) AS px, sum(b.re * b.re + b.im * b.im) AS py, sum(abs(a.im * b.re - a.re * b.im)) AS ai FROM f a JOIN f b ON a.a = b.a AND a.bin = b.bin AND a.ch < b.ch WHERE a.bin * 250.0 / 256 BETWEEN 8 AND 13 GROUP BY ALL)"
 
 
-@query(f"WITH {_SPECTRA}, {_PAIR} SELECT x::VARCHAR AS node_a, y::VARCHAR AS node_b, unnest(['coherence', 'imaginary_coherence', 'wpli']) AS metric, round(unnest([(cr * cr + ci * ci) / (px * py), abs(ci) / sqrt(px * py), abs(ci) / ai]), 5) AS value FROM c")
+@query(f"WITH {_SPECTRA}, {_PAIR} SELECT x::VARCHAR AS node_a, y::VARCHAR AS node_b, unnest(['coherence', 'imaginary_coherence', 'wpli']) AS metric, round(unnest([(cr * cr + ci * ci) / (px * py), abs(ci) / sqrt(px * py), abs(ci) / ai]), 5) AS value FROM c", two=True)
 def connectivity(spark, d):
     c = spectra.connectivity(traces(spark, d), segments(spark, d), RATE).where("band = 'Alpha' AND metric IN ('coherence', 'imaginary_coherence', 'wpli')")
-    return c.select("node_a", "node_b", "metric", r("value", 5).alias("value"))
+    return out(c, "node_a", "node_b", "metric", r("value", 5).alias("value"))
 
 
 @query()
@@ -116,5 +116,4 @@ def replayed_script(spark, d):
 def resting_analysis(spark, d):
     from voltlake.plans.resting import resting_analysis as analyse
 
-    kernels.ship(spark)
     return analyse(signal(spark, d), RATE, n_samples(spark, d), CHANNELS, 0.5)["rows"]

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltlake.operators import correct, detect, epochs, health, joins, topk, views
-from voltlake.plans.registry import CHANNELS, RATE, SERIES, SIGNAL, TRACK, circle, n_samples, query, r, series, signal, table, track
+from voltlake.operators.keys import ids
+from voltlake.plans.registry import CHANNELS, RATE, SERIES, SIGNAL, TRACK, both, circle, n_samples, out, query, r, series, signal, table, track
 
 _RANGES = "seg AS (SELECT user_id AS segment_id, floor(min(t))::BIGINT AS a, floor(min(t))::BIGINT + 5000 AS b FROM e GROUP BY 1), art AS (SELECT event_id AS id, floor(t)::BIGINT AS a, floor(t)::BIGINT + floor(value)::BIGINT AS b FROM e WHERE code = 'error')"
 
@@ -47,7 +48,8 @@ _TRIALS = f"{SIGNAL}, {_TRIG}, {_WIN}, x AS (SELECT code AS category, trial, ch,
 
 def triggers(spark, d):
     t = F.col("begin_s") - F.floor(F.col("begin_s") / 2) * 2
-    return track(spark, d).select("event_id", "code", t.alias("begin_s"))
+    e = track(spark, d).select("event_id", "code", t.alias("begin_s"))
+    return both(e, e)
 
 
 def trials(spark, d):
@@ -56,33 +58,32 @@ def trials(spark, d):
     return epochs.epoch(found, signal(spark, d), RATE, 5, 5, n)
 
 
-@query(f"WITH {_TRIALS} SELECT category, ch::BIGINT AS channel_index, rel::BIGINT AS rel, round(avg(v), 6) + 0.0 AS value, count(*) AS n_trials FROM x GROUP BY ALL")
+@query(f"WITH {_TRIALS} SELECT category, ch::BIGINT AS channel_index, rel::BIGINT AS rel, round(avg(v), 6) + 0.0 AS value, count(*) AS n_trials FROM x GROUP BY ALL", two=True)
 def event_average(spark, d):
-    return epochs.average_trials(trials(spark, d)).select("category", F.col("channel_index").cast("long").alias("channel_index"), F.col("rel").cast("long").alias("rel"), r("value").alias("value"), "n_trials")
+    return out(epochs.average_trials(trials(spark, d)), "category", F.col("channel_index").cast("long").alias("channel_index"), F.col("rel").cast("long").alias("rel"), r("value").alias("value"), "n_trials")
 
 
-@query(f"WITH {_TRIALS}, c AS (SELECT category, ch, rel, v - avg(v) FILTER (rel < 5) OVER (PARTITION BY category, trial, ch) AS v FROM x) SELECT category, ch::BIGINT AS channel_index, rel::BIGINT AS rel, round(avg(v), 6) + 0.0 AS value FROM c GROUP BY ALL")
+@query(f"WITH {_TRIALS}, c AS (SELECT category, ch, rel, v - avg(v) FILTER (rel < 5) OVER (PARTITION BY category, trial, ch) AS v FROM x) SELECT category, ch::BIGINT AS channel_index, rel::BIGINT AS rel, round(avg(v), 6) + 0.0 AS value FROM c GROUP BY ALL", two=True)
 def baseline_corrected_average(spark, d):
-    return epochs.average_trials(epochs.baseline_corrected(trials(spark, d), 5)).select("category", F.col("channel_index").cast("long").alias("channel_index"), F.col("rel").cast("long").alias("rel"), r("value").alias("value"))
+    return out(epochs.average_trials(epochs.baseline_corrected(trials(spark, d), 5)), "category", F.col("channel_index").cast("long").alias("channel_index"), F.col("rel").cast("long").alias("rel"), r("value").alias("value"))
 
 
 @query(f"""WITH {_TRIALS}, tn AS (SELECT category, max(trial) + 1 AS nt FROM x GROUP BY 1), p AS (SELECT category, ch, rel, avg(v) AS m, avg(CASE WHEN trial % 2 = 0 THEN v ELSE -v END) AS q, avg(v) FILTER (trial % 2 = 0) AS a, avg(v) FILTER (trial % 2 = 1) AS b FROM x GROUP BY ALL),
 o AS (SELECT category, sqrt(avg(m*m)) AS sig, sqrt(avg(q*q)) AS noise, sqrt(avg(m*m) FILTER (rel < 5)) AS base, max(abs(m)) FILTER (rel >= 5) AS peak, corr(a, b) AS r FROM p GROUP BY 1), f AS (SELECT category, sum(s) AS gs, sum(k) AS gk FROM (SELECT category, rel, sqrt(avg(m*m)) AS s, sqrt(avg(q*q)) AS k FROM p GROUP BY ALL) GROUP BY 1)
-SELECT category, nt::BIGINT AS trial_count, round(sqrt(nt), 6) AS root_n, round(noise, 6) AS plus_minus_noise, round(sig / noise, 5) AS plus_minus_snr, round(gs / gk, 5) AS gfp_snr, round(base, 6) AS baseline_noise, round(peak / base, 5) AS baseline_snr, round(2 * r / (1 + r), 5) + 0.0 AS split_half FROM tn JOIN o USING (category) JOIN f USING (category)""")
+SELECT category, nt::BIGINT AS trial_count, round(sqrt(nt), 6) AS root_n, round(noise, 6) AS plus_minus_noise, round(sig / noise, 5) AS plus_minus_snr, round(gs / gk, 5) AS gfp_snr, round(base, 6) AS baseline_noise, round(peak / base, 5) AS baseline_snr, round(2 * r / (1 + r), 5) + 0.0 AS split_half FROM tn JOIN o USING (category) JOIN f USING (category)""", two=True)
 def snr_metrics(spark, d):
     m = epochs.snr_metrics(trials(spark, d), 5)
-    return m.select("category", "trial_count", *(r(c, k).alias(c) for c, k in (("root_n", 6), ("plus_minus_noise", 6), ("plus_minus_snr", 5), ("gfp_snr", 5), ("baseline_noise", 6), ("baseline_snr", 5), ("split_half", 5))))
+    return out(m, "category", "trial_count", *(r(c, k).alias(c) for c, k in (("root_n", 6), ("plus_minus_noise", 6), ("plus_minus_snr", 5), ("gfp_snr", 5), ("baseline_noise", 6), ("baseline_snr", 5), ("split_half", 5))))
 
 
-@query(f"""WITH {_TRIALS}, c AS (SELECT *, avg(v) FILTER (rel < 1) OVER k AS a, avg(v) FILTER (rel >= 9) OVER k AS b FROM x WINDOW k AS (PARTITION BY category, trial, ch)) SELECT category, ch::BIGINT AS channel_index, rel::BIGINT AS rel, round(avg(v - (a + (b - a) * rel / 9)), 6) + 0.0 AS value FROM c GROUP BY ALL""")
+@query(f"""WITH {_TRIALS}, c AS (SELECT *, avg(v) FILTER (rel < 1) OVER k AS a, avg(v) FILTER (rel >= 9) OVER k AS b FROM x WINDOW k AS (PARTITION BY category, trial, ch)) SELECT category, ch::BIGINT AS channel_index, rel::BIGINT AS rel, round(avg(v - (a + (b - a) * rel / 9)), 6) + 0.0 AS value FROM c GROUP BY ALL""", two=True)
 def preview_average(spark, d):
-    return epochs.linear_baseline_average(trials(spark, d), 10, RATE).select("category", F.col("channel_index").cast("long").alias("channel_index"), F.col("rel").cast("long").alias("rel"), r("value").alias("value"))
+    return out(epochs.linear_baseline_average(trials(spark, d), 10, RATE), "category", F.col("channel_index").cast("long").alias("channel_index"), F.col("rel").cast("long").alias("rel"), r("value").alias("value"))
 
 
-@query(f"WITH {_TRIALS}, m AS (SELECT category, ch, rel, avg(v) AS m FROM x GROUP BY ALL), e2 AS (SELECT category, ch, sum(m*m) AS e FROM m GROUP BY ALL), k AS (SELECT category, trial, ch, sum(v*m) / any_value(e2.e) AS k FROM x JOIN m USING (category, ch, rel) JOIN e2 USING (category, ch) GROUP BY ALL) SELECT category, ch::BIGINT AS channel_index, trial::BIGINT AS trial, round(k, 5) + 0.0 AS scale FROM k")
+@query(f"WITH {_TRIALS}, m AS (SELECT category, ch, rel, avg(v) AS m FROM x GROUP BY ALL), e2 AS (SELECT category, ch, sum(m*m) AS e FROM m GROUP BY ALL), k AS (SELECT category, trial, ch, sum(v*m) / any_value(e2.e) AS k FROM x JOIN m USING (category, ch, rel) JOIN e2 USING (category, ch) GROUP BY ALL) SELECT category, ch::BIGINT AS channel_index, trial::BIGINT AS trial, round(k, 5) + 0.0 AS scale FROM k", two=True)
 def template_regression(spark, d):
-    out = correct.template_regressed(trials(spark, d))
-    return out.where("rel = 0").select("category", F.col("channel_index").cast("long").alias("channel_index"), F.col("trial").cast("long").alias("trial"), r("scale", 5).alias("scale"))
+    return out(correct.template_regressed(trials(spark, d)).where("rel = 0"), "category", F.col("channel_index").cast("long").alias("channel_index"), F.col("trial").cast("long").alias("trial"), r("scale", 5).alias("scale"))
 
 
 _AVERAGES = "a AS (SELECT l_returnflag AS file, l_linenumber AS ch, CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END AS rel, avg(l_quantity) AS v, count(*) AS n FROM lineitem GROUP BY ALL)"
@@ -154,10 +155,10 @@ def fuzzy_categories(spark, d):
     return joins.fuzzy_clusters(table(spark, d, "part").select(F.col("p_type").alias("name")).distinct().withColumn("order_no", F.row_number().over(w))).select("name", "norm", "cluster")
 
 
-@query(f"WITH {SIGNAL} SELECT (ch // 8)::BIGINT AS node, i AS sample_index, round(avg(v), 6) + 0.0 AS value FROM s GROUP BY ALL")
+@query(f"WITH {SIGNAL} SELECT (ch // 8)::BIGINT AS node, i AS sample_index, round(avg(v), 6) + 0.0 AS value FROM s GROUP BY ALL", two=True)
 def roi_means(spark, d):
     members = spark.range(CHANNELS).select(F.col("id").cast("int").alias("channel_index"), F.floor(F.col("id") / 8).alias("node"))
-    return joins.roi_means(signal(spark, d), members).select("node", "sample_index", r("value").alias("value"))
+    return out(joins.roi_means(signal(spark, d), members), "node", "sample_index", r("value").alias("value"))
 
 
 @query("WITH f AS (SELECT l_returnflag AS f, count(DISTINCT l_linenumber) AS c, count(*)::DOUBLE AS r FROM lineitem GROUP BY 1), k AS (SELECT c, r FROM f ORDER BY f LIMIT 1) SELECT f.f AS file_id, concat_ws(',', CASE WHEN f.c <> k.c THEN 'channelCount' END, CASE WHEN abs(f.r - k.r) > 1e-4 THEN 'samplingRate' END) AS flags FROM f, k")
@@ -167,15 +168,16 @@ def file_compatibility(spark, d):
     return joins.compatibility(f, first).select("file_id", F.array_join("flags", ",").alias("flags"))
 
 
-@query(f"WITH {SIGNAL} SELECT i AS sample_index, round(sum(v * (ch + 1) / 2080.0), 6) + 0.0 AS value FROM s GROUP BY i")
+@query(f"WITH {SIGNAL} SELECT i AS sample_index, round(sum(v * (ch + 1) / 2080.0), 6) + 0.0 AS value FROM s GROUP BY i", two=True)
 def weighted_sources(spark, d):
     weights = spark.range(CHANNELS).select(F.lit(64).alias("target"), F.col("id").cast("int").alias("channel_index"), ((F.col("id") + 1) / F.lit(2080.0)).alias("weight"))
-    return joins.weighted_sources(signal(spark, d), weights).select("sample_index", r("value").alias("value"))
+    return out(joins.weighted_sources(signal(spark, d), weights), "sample_index", r("value").alias("value"))
 
 
-@query(f"WITH {SERIES}, x AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM r WINDOW w AS (PARTITION BY ch ORDER BY i)) SELECT ch AS channel_index, i AS sample_index FROM x WHERE v >= a AND v > b")
+@query(f"WITH {SERIES}, x AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM r WINDOW w AS (PARTITION BY ch ORDER BY i)) SELECT ch AS channel_index, i AS sample_index FROM x WHERE v >= a AND v > b", two=True)
 def local_peaks(spark, d):
-    return topk.local_peaks(series(spark, d), "channel_index").select("channel_index", "sample_index")
+    s = series(spark, d)
+    return out(topk.local_peaks(s, *ids(s), "channel_index"), "channel_index", "sample_index")
 
 
 def _greedy(f):
@@ -210,9 +212,10 @@ def k_smallest(spark, d):
     return topk.k_smallest(rows, "distance", 3, "volume", tie="tie").select("volume", "candidate", F.col("nth").cast("long").alias("nth"))
 
 
-@query(f"WITH {SERIES}, k AS (SELECT *, count(*) OVER (PARTITION BY ch) AS n FROM r) SELECT ch AS channel_index, i AS sample_index FROM k WHERE n <= 20 OR floor(i * 20 / n) <> floor((i - 1) * 20 / n)")
+@query(f"WITH {SERIES}, k AS (SELECT *, count(*) OVER (PARTITION BY ch) AS n FROM r) SELECT ch AS channel_index, i AS sample_index FROM k WHERE n <= 20 OR floor(i * 20 / n) <> floor((i - 1) * 20 / n)", two=True)
 def evenly_spaced_windows(spark, d):
-    return topk.evenly_spaced(series(spark, d), "sample_index", 20, "channel_index").select("channel_index", "sample_index")
+    s = series(spark, d)
+    return out(topk.evenly_spaced(s, "sample_index", 20, *ids(s), "channel_index"), "channel_index", "sample_index")
 
 
 @query("SELECT DISTINCT p_type AS name, row_number() OVER (ORDER BY p_type) AS place FROM (SELECT DISTINCT p_type FROM part)")
@@ -231,7 +234,7 @@ def locked_events(spark, d):
     return detect.locked_events(track(spark, d), -2500.5, 100000.0).select("event_id", r("begin_s").alias("begin_s"))
 
 
-@query(f"WITH {SIGNAL} SELECT i AS sample_index, arg_max(v, struct_pack(a := abs(v), c := -ch)) AS value FROM s WHERE ch IN (1, 2, 3) GROUP BY i")
+@query(f"WITH {SIGNAL} SELECT i AS sample_index, arg_max(v, struct_pack(a := abs(v), c := -ch)) AS value FROM s WHERE ch IN (1, 2, 3) GROUP BY i", two=True)
 def ocular_drive(spark, d):
     return detect.ocular_drive(signal(spark, d), (1, 2, 3))
 
@@ -246,28 +249,28 @@ def field_power_peaks(spark, d):
     return detect.field_power_peaks(signal(spark, d), 1.0, 10)
 
 
-@query(f"WITH {SIGNAL}, t AS (SELECT ch, v AS w FROM s WHERE i = 0) SELECT i AS sample_index, round(corr(v, w), 5) + 0.0 AS r FROM s JOIN t USING (ch) GROUP BY i")
+@query(f"WITH {SIGNAL}, t AS (SELECT ch, v AS w FROM s WHERE i = 0) SELECT i AS sample_index, round(corr(v, w), 5) + 0.0 AS r FROM s JOIN t USING (ch) GROUP BY i", two=True)
 def topography_scores(spark, d):
     s = signal(spark, d)
-    return detect.topography_scores(s, s.where("sample_index = 0").select("channel_index", F.col("value").alias("weight"))).select("sample_index", r("r", 5).alias("r"))
+    return out(detect.topography_scores(s, s.where("sample_index = 0").select(*ids(s), "channel_index", F.col("value").alias("weight"))), "sample_index", r("r", 5).alias("r"))
 
 
 @query()
 def topography_detect(spark, d):
     s = signal(spark, d)
-    return detect.topography_detect(s, s.where("sample_index = 0").select("channel_index", F.col("value").alias("weight")), 0.2, 5)
+    return detect.topography_detect(s, s.where("sample_index = 0").select(*ids(s), "channel_index", F.col("value").alias("weight")), 0.2, 5)
 
 
-@query(f"WITH {SIGNAL}, p AS (SELECT ch, max(abs(v)) AS p FROM s GROUP BY ch) SELECT ch::BIGINT AS channel_index, round(p, 6) AS peak, row_number() OVER (ORDER BY p DESC, ch) AS rank FROM p")
+@query(f"WITH {SIGNAL}, p AS (SELECT ch, max(abs(v)) AS p FROM s GROUP BY ch) SELECT ch::BIGINT AS channel_index, round(p, 6) AS peak, row_number() OVER (ORDER BY p DESC, ch) AS rank FROM p", two=True)
 def ranked_channels(spark, d):
-    return detect.template_channels(signal(spark, d)).select(F.col("channel_index").cast("long").alias("channel_index"), r("peak").alias("peak"), F.col("rank").cast("long").alias("rank"))
+    return out(detect.template_channels(signal(spark, d)), F.col("channel_index").cast("long").alias("channel_index"), r("peak").alias("peak"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {SIGNAL}, n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), k AS (SELECT ch, i, v, i // 25 AS tr, i % 25 AS ph FROM s, n WHERE i < n // 25 * 25), f AS (SELECT ch, tr, regr_slope(v, ph) AS m, regr_intercept(v, ph) AS c FROM k GROUP BY ALL), z AS (SELECT k.*, v - c - m * ph AS x FROM k JOIN f USING (ch, tr)),
 w AS (SELECT *, avg(x) OVER (PARTITION BY ch, ph ORDER BY tr ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS a, avg(x) OVER (PARTITION BY ch, ph ORDER BY tr ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS b FROM z)
-SELECT ch::BIGINT AS channel_index, i AS sample_index, round(x - CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE 0.5 * a + 0.5 * b END, 6) + 0.0 AS value FROM w UNION ALL SELECT ch::BIGINT, i, round(v, 6) + 0.0 FROM s, n WHERE i >= n // 25 * 25""")
+SELECT ch::BIGINT AS channel_index, i AS sample_index, round(x - CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE 0.5 * a + 0.5 * b END, 6) + 0.0 AS value FROM w UNION ALL SELECT ch::BIGINT, i, round(v, 6) + 0.0 FROM s, n WHERE i >= n // 25 * 25""", two=True)
 def gradient_removal(spark, d):
-    return correct.gradient_removed(signal(spark, d), 0, 25, n_samples(spark, d) // 25).select(F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
+    return out(correct.gradient_removed(signal(spark, d), 0, 25, n_samples(spark, d) // 25), F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
 
 
 _UP = "CASE WHEN {x} <= {g} THEN 1.0 WHEN {x} >= {h} THEN 0.0 ELSE 1.0 - ({x} - {g}) / ({h} - {g}) END"
@@ -293,10 +296,10 @@ q AS (SELECT *, (s1*1.2 + s2*0.6 + s3*1.5 + s4*1.2 + s5 + s6 + s7*1.1 + s8 + coa
 SELECT seg::BIGINT AS segment_id, a::BIGINT AS start_sample, z::BIGINT AS end_sample, round(rms, 6) AS rms, round(p95, 6) AS p95, round(gp, 6) AS gfp_p95, round(gm, 6) AS gfp_max, round(drift, 6) AS drift_rms, round(score, 6) AS score, round(score * 100)::BIGINT AS percent, CASE WHEN score >= 0.78 THEN 'good' WHEN score >= 0.5 THEN 'watch' ELSE 'poor' END AS grade FROM q"""
 
 
-@query(SEGMENT_HEALTH_SQL)
+@query(SEGMENT_HEALTH_SQL, two=True)
 def segment_health(spark, d):
     h = health.segment_health(signal(spark, d), 63, n_samples(spark, d), CHANNELS, RATE, stride=1)
-    return h.select(F.col("segment_id").cast("long").alias("segment_id"), "start_sample", "end_sample", *(r(c).alias(c) for c in ("rms", "p95", "gfp_p95", "gfp_max", "drift_rms", "score")), F.col("percent").cast("long").alias("percent"), "grade")
+    return out(h, F.col("segment_id").cast("long").alias("segment_id"), "start_sample", "end_sample", *(r(c).alias(c) for c in ("rms", "p95", "gfp_p95", "gfp_max", "drift_rms", "score")), F.col("percent").cast("long").alias("percent"), "grade")
 
 
 @query()
@@ -313,10 +316,10 @@ def _c(x, key):
 fl AS (SELECT ch, avg(CASE WHEN abs(d) <= greatest(p95 * 1e-4, 1e-7) THEN 1.0 ELSE 0.0 END) FILTER (d IS NOT NULL) AS flat FROM x JOIN f USING (ch) GROUP BY ch), bl AS (SELECT ch, CASE WHEN count(*) >= 2 THEN stddev_pop(m) ELSE 0 END AS drift FROM (SELECT ch, i // 500 AS b, avg(v) AS m, count(*) AS n FROM s GROUP BY ALL HAVING count(*) >= 8) GROUP BY ch),
 e AS (SELECT *, dr / greatest(rms, 1e-9) AS dq, drift / greatest(rms, 1e-9) AS fq FROM f JOIN fl USING (ch) JOIN bl USING (ch)), b AS (SELECT greatest(quantile_cont(p95, 0.5), 1e-9) AS b95, greatest(quantile_cont(p99, 0.5), 1e-9) AS b99, greatest(quantile_cont(dq, 0.5), 1e-9) AS bd, greatest(coalesce(quantile_cont(fq, 0.5) FILTER (fq > 0), 0.02), 1e-9) AS bf, coalesce(quantile_cont(line, 0.5) FILTER (line > 0), 0) AS bline FROM e),
 t AS (SELECT ch, rms, p95, top, line, 1.0 AS s2, {_UP.format(x='greatest(p95 / b95, b95 / p95)', g='2.5', h='6.0')} AS s3, {_c('top / b99', 'burst')} AS s4, {_c('flat', 'flat')} AS s5, 1.0 AS s6, {_c('dq / bd', 'fast')} AS s7, {_c('fq / bf', 'drift')} AS s8, {_c('greatest(k, 0)', 'kurtosis')} AS s9, {_c('line / bline', 'line')} AS s10 FROM e, b),
-q AS (SELECT *, (s2*1.4 + s3*1.4 + s4 + s5*1.3 + s6*1.1 + s7 + s8*0.8 + s9 + s10*0.8) / 9.8 AS score FROM t) SELECT ch::BIGINT AS channel_index, round(rms, 6) AS rms, round(p95, 6) AS p95, round(top, 6) AS top, round(line, 6) AS line, round(score, 6) AS score, round(score * 100)::BIGINT AS percent, CASE WHEN score >= 0.78 THEN 'good' WHEN score >= 0.5 THEN 'watch' ELSE 'poor' END AS grade FROM q""")
+q AS (SELECT *, (s2*1.4 + s3*1.4 + s4 + s5*1.3 + s6*1.1 + s7 + s8*0.8 + s9 + s10*0.8) / 9.8 AS score FROM t) SELECT ch::BIGINT AS channel_index, round(rms, 6) AS rms, round(p95, 6) AS p95, round(top, 6) AS top, round(line, 6) AS line, round(score, 6) AS score, round(score * 100)::BIGINT AS percent, CASE WHEN score >= 0.78 THEN 'good' WHEN score >= 0.5 THEN 'watch' ELSE 'poor' END AS grade FROM q""", two=True)
 def channel_health(spark, d):
     h = health.channel_health(signal(spark, d), RATE)
-    return h.select(F.col("channel_index").cast("long").alias("channel_index"), *(r(c).alias(c) for c in ("rms", "p95", "top", "line", "score")), F.col("percent").cast("long").alias("percent"), "grade")
+    return out(h, F.col("channel_index").cast("long").alias("channel_index"), *(r(c).alias(c) for c in ("rms", "p95", "top", "line", "score")), F.col("percent").cast("long").alias("percent"), "grade")
 
 
 @query()
@@ -362,9 +365,9 @@ def topographic_map(spark, d):
     return views.topomap(signal(spark, d).where("sample_index = 10"), sensors(spark), 24)
 
 
-@query(f"WITH {SIGNAL}, n AS (SELECT max(i) + 1 AS n FROM s), q AS (SELECT ch, quantile_cont(v, 0.02) AS a, quantile_cont(v, 0.98) AS b FROM s GROUP BY ch) SELECT ch::BIGINT AS channel_index, floor(i * 50 / n)::BIGINT AS bin, round(avg(greatest(a, least(b, v))), 6) + 0.0 AS value FROM s JOIN q USING (ch), n GROUP BY ALL")
+@query(f"WITH {SIGNAL}, n AS (SELECT max(i) + 1 AS n FROM s), q AS (SELECT ch, quantile_cont(v, 0.02) AS a, quantile_cont(v, 0.98) AS b FROM s GROUP BY ch) SELECT ch::BIGINT AS channel_index, floor(i * 50 / n)::BIGINT AS bin, round(avg(greatest(a, least(b, v))), 6) + 0.0 AS value FROM s JOIN q USING (ch), n GROUP BY ALL", two=True)
 def trace_bins(spark, d):
-    return views.trace_bins(signal(spark, d), 50, n_samples(spark, d)).select(F.col("channel_index").cast("long").alias("channel_index"), "bin", r("value").alias("value"))
+    return out(views.trace_bins(signal(spark, d), 50, n_samples(spark, d)), F.col("channel_index").cast("long").alias("channel_index"), "bin", r("value").alias("value"))
 
 
 @query(f"WITH {TRACK} SELECT event_id, (dense_rank() OVER (ORDER BY user_id) - 1)::BIGINT AS source_index, ((dense_rank() OVER (ORDER BY user_id) - 1) % 4)::BIGINT AS lane FROM e")
@@ -383,22 +386,22 @@ def measurement_error(spark, d):
 
 
 
-@query(f"WITH {_TRIALS}, a AS (SELECT category, ch, rel, avg(v) AS v FROM x GROUP BY ALL), n AS (SELECT category, count(DISTINCT trial) AS k FROM x GROUP BY 1) SELECT category, any_value(k) AS trial_count, round(sqrt(any_value(k)), 6) AS root_n, round(sqrt(avg(v*v) FILTER (rel < 5)), 6) AS baseline_noise, round(max(abs(v)) FILTER (rel >= 5) / sqrt(avg(v*v) FILTER (rel < 5)), 5) AS baseline_snr FROM a JOIN n USING (category) GROUP BY category".replace("n AS (SELECT category, count", "nn AS (SELECT category, count").replace("JOIN n USING", "JOIN nn USING"))
+@query(f"WITH {_TRIALS}, a AS (SELECT category, ch, rel, avg(v) AS v FROM x GROUP BY ALL), n AS (SELECT category, count(DISTINCT trial) AS k FROM x GROUP BY 1) SELECT category, any_value(k) AS trial_count, round(sqrt(any_value(k)), 6) AS root_n, round(sqrt(avg(v*v) FILTER (rel < 5)), 6) AS baseline_noise, round(max(abs(v)) FILTER (rel >= 5) / sqrt(avg(v*v) FILTER (rel < 5)), 5) AS baseline_snr FROM a JOIN n USING (category) GROUP BY category".replace("n AS (SELECT category, count", "nn AS (SELECT category, count").replace("JOIN n USING", "JOIN nn USING"), two=True)
 def averaged_snr(spark, d):
     m = epochs.snr_for_averaged(epochs.average_trials(trials(spark, d)), 5)
-    return m.select("category", "trial_count", r("root_n").alias("root_n"), r("baseline_noise").alias("baseline_noise"), r("baseline_snr", 5).alias("baseline_snr"))
+    return out(m, "category", "trial_count", r("root_n").alias("root_n"), r("baseline_noise").alias("baseline_noise"), r("baseline_snr", 5).alias("baseline_snr"))
 
 
-@query(f"WITH {SIGNAL}, p AS (SELECT max(abs(v)) AS pb, max(abs(v * 0.25)) AS pa, sqrt(avg(v*v)) AS rb, sqrt(avg(v*v*0.0625)) AS ra FROM s) SELECT round(pb, 6) AS peak_before, round(pa, 6) AS peak_after, round(rb, 6) AS rms_before, round(ra, 6) AS rms_after, round(1 - pa / pb, 6) AS peak_reduction, round(1 - ra / rb, 6) AS rms_reduction FROM p")
+@query(f"WITH {SIGNAL}, p AS (SELECT max(abs(v)) AS pb, max(abs(v * 0.25)) AS pa, sqrt(avg(v*v)) AS rb, sqrt(avg(v*v*0.0625)) AS ra FROM s) SELECT round(pb, 6) AS peak_before, round(pa, 6) AS peak_after, round(rb, 6) AS rms_before, round(ra, 6) AS rms_after, round(1 - pa / pb, 6) AS peak_reduction, round(1 - ra / rb, 6) AS rms_reduction FROM p", two=True)
 def reduction_metrics(spark, d):
     before = signal(spark, d).withColumnRenamed("sample_index", "rel")
     m = epochs.reduction_metrics(before, before.withColumn("value", F.col("value") * 0.25))
-    return m.select(*(r(c).alias(c) for c in m.columns))
+    return out(m, *(r(c).alias(c) for c in m.columns if c != "recording_id"))
 
 
-@query(f"WITH {_TRIALS} SELECT category, ch::BIGINT AS channel_index, round(avg(v), 6) + 0.0 AS value FROM x WHERE rel = 5 GROUP BY ALL")
+@query(f"WITH {_TRIALS} SELECT category, ch::BIGINT AS channel_index, round(avg(v), 6) + 0.0 AS value FROM x WHERE rel = 5 GROUP BY ALL", two=True)
 def centre_topography(spark, d):
-    return epochs.centre_topography(epochs.average_trials(trials(spark, d)), 10).select("category", F.col("channel_index").cast("long").alias("channel_index"), r("value").alias("value"))
+    return out(epochs.centre_topography(epochs.average_trials(trials(spark, d)), 10), "category", F.col("channel_index").cast("long").alias("channel_index"), r("value").alias("value"))
 
 
 @query("WITH h AS (SELECT l_linenumber AS ch, avg(l_discount) * 10 AS s FROM lineitem GROUP BY 1) SELECT 99 AS target, round(avg(s), 6) AS score FROM h WHERE ch <= 3")
