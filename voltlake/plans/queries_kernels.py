@@ -40,29 +40,35 @@ def spectral_outliers(spark, d):
     return out(spectra.spectral_outliers(spectra.pooled_spectra(traces(spark, d), segments(spark, d), RATE)), F.col("channel_index").cast("long").alias("channel_index"), r("z", 5).alias("z"))
 
 
-@query(f"WITH {_SPECTRA} SELECT ch::BIGINT AS channel_index, round(regr_slope(log10(greatest(p, 1e-12)), log10(hz)) FILTER (hz BETWEEN 2 AND 40), 5) + 0.0 AS slope, round(sum(p) FILTER (hz > 20 AND hz <= 40) / sum(p) FILTER (hz BETWEEN 2 AND 20), 5) AS emg_ratio FROM p GROUP BY ch", two=True)
+@query(f"WITH {_SPECTRA} SELECT ch::BIGINT AS channel_index, round(regr_slope(log10(greatest(p, 1e-12)), log10(hz)) FILTER (hz BETWEEN 2 AND 40), 5) + 0.0 AS slope, round(sum(p) FILTER (hz > 20 AND hz <= 40) / sum(p) FILTER (hz BETWEEN 2 AND 20), 5) AS emg_ratio, round(max(p) FILTER (abs(bin - 61) <= 1) / quantile_cont(p, 0.5) FILTER (abs(bin - 61) BETWEEN 2 AND 6), 5) AS line_snr FROM p GROUP BY ch", two=True)
 def advanced_spectral(spark, d):
-    return out(spectra.advanced_spectral(spectra.pooled_spectra(traces(spark, d), segments(spark, d), RATE)), F.col("channel_index").cast("long").alias("channel_index"), r("slope", 5).alias("slope"), r("emg_ratio", 5).alias("emg_ratio"))
+    return out(spectra.advanced_spectral(spectra.pooled_spectra(traces(spark, d), segments(spark, d), RATE)), F.col("channel_index").cast("long").alias("channel_index"), r("slope", 5).alias("slope"), r("emg_ratio", 5).alias("emg_ratio"), r("line_snr", 5).alias("line_snr"))
 
 
-_PAIR = "c AS (SELECT a.ch AS x, b.ch AS y, sum(a.re * b.re + a.im * b.im) AS cr, sum(a.im * b.re - a.re * b.im) AS ci, sum(a.re * a.re + a.im * a.im) AS px, sum(b.re * b.re + b.im * b.im) AS py, sum(abs(a.im * b.re - a.re * b.im)) AS ai FROM f a JOIN f b ON a.a = b.a AND a.bin = b.bin AND a.ch < b.ch WHERE a.bin * 250.0 / 256 BETWEEN 8 AND 13 GROUP BY ALL)"
+_BANDS = "bands AS (SELECT unnest(['Delta', 'Theta', 'Alpha', 'Beta', 'Low Gamma']) AS band, unnest([1.0, 4.0, 8.0, 13.0, 30.0]) AS lo, unnest([4.0, 8.0, 13.0, 30.0, 45.0]) AS hi)"
+_PAIRS = f"""{_BANDS}, fb AS (SELECT band, ch, a, bin, re, im, sqrt(re * re + im * im) AS z FROM f JOIN bands ON bin * 250.0 / 256 BETWEEN lo AND hi), c AS (SELECT x.band, x.ch AS p, y.ch AS q, sum(x.re * y.re + x.im * y.im) AS cr, sum(x.im * y.re - x.re * y.im) AS ci, sum(x.z * x.z) AS px, sum(y.z * y.z) AS py, sum(abs(x.im * y.re - x.re * y.im)) AS ai,
+sum((x.re * y.re + x.im * y.im) / (x.z * y.z)) AS lr, sum((x.im * y.re - x.re * y.im) / (x.z * y.z)) AS li, count(*) AS n FROM fb x JOIN fb y ON x.band = y.band AND x.a = y.a AND x.bin = y.bin AND x.ch < y.ch GROUP BY ALL), am AS (SELECT band, ch, a, avg(z) AS z FROM fb GROUP BY ALL), ac AS (SELECT x.band, x.ch AS p, y.ch AS q, corr(x.z, y.z) AS aec FROM am x JOIN am y ON x.band = y.band AND x.a = y.a AND x.ch < y.ch GROUP BY ALL),
+pr AS (SELECT p::VARCHAR AS node_a, q::VARCHAR AS node_b, band, unnest(['coherence', 'imaginary_coherence', 'plv', 'wpli', 'aec']) AS metric, unnest([(cr * cr + ci * ci) / (px * py), abs(ci) / sqrt(px * py), sqrt(lr * lr + li * li) / n, abs(ci) / ai, aec]) AS value FROM c JOIN ac USING (band, p, q))"""
 
 
-@query(f"WITH {_SPECTRA}, {_PAIR} SELECT x::VARCHAR AS node_a, y::VARCHAR AS node_b, unnest(['coherence', 'imaginary_coherence', 'wpli']) AS metric, round(unnest([(cr * cr + ci * ci) / (px * py), abs(ci) / sqrt(px * py), abs(ci) / ai]), 5) AS value FROM c", two=True)
+@query(f"WITH {_SPECTRA}, {_PAIRS} SELECT node_a, node_b, metric, round(value, 5) + 0.0 AS value FROM pr WHERE band = 'Alpha'", two=True)
 def connectivity(spark, d):
-    c = spectra.connectivity(traces(spark, d), segments(spark, d), RATE).where("band = 'Alpha' AND metric IN ('coherence', 'imaginary_coherence', 'wpli')")
+    c = spectra.connectivity(traces(spark, d), segments(spark, d), RATE).where("band = 'Alpha'")
     return out(c, "node_a", "node_b", "metric", r("value", 5).alias("value"))
 
 
-@query()
+@query(f"WITH {_SPECTRA}, {_PAIRS} SELECT node_a, node_b, band, metric, round(value, 5) + 0.0 AS value FROM pr")
 def connectivity_all(spark, d):
-    return spectra.connectivity(traces(spark, d), segments(spark, d), RATE)
+    return out(spectra.connectivity(traces(spark, d), segments(spark, d), RATE), "node_a", "node_b", "band", "metric", r("value", 5).alias("value"))
 
 
-@query()
+@query(f"""WITH {_SPECTRA}, {_PAIRS}, aa AS (SELECT ch, band, sum(CASE WHEN hz BETWEEN lo AND hi THEN p ELSE 0 END) AS v FROM p, bands GROUP BY ALL), pw AS (SELECT ch, band, v, v / sum(v) OVER (PARTITION BY ch) AS rel FROM aa)
+SELECT 'spectral' AS row_type, 'channel' AS scope, (ch + 1)::INT AS channel_index, 'Ch ' || (ch + 1) AS channel_name, NULL::VARCHAR AS node_a, NULL::VARCHAR AS node_b, band, unnest(['absolute', 'relative', 'log10']) AS metric, round(unnest([v, rel, log10(greatest(v, 1e-12))]), 5) + 0.0 AS value FROM pw
+UNION ALL SELECT 'spectral', 'summary', NULL, NULL, NULL, NULL, band, unnest(['absolute', 'relative']), round(unnest([avg(v), avg(rel)]), 5) FROM pw GROUP BY band UNION ALL SELECT 'connectivity', 'pair', NULL, NULL, node_a, node_b, band, metric, round(value, 5) + 0.0 FROM pr""")
 def resting_result_rows(spark, d):
     t = traces(spark, d)
-    return spectra.result_rows(spectra.band_powers(spectra.pooled_spectra(t, segments(spark, d), RATE)), spectra.connectivity(t, segments(spark, d), RATE))
+    rows = spectra.result_rows(spectra.band_powers(spectra.pooled_spectra(t, segments(spark, d), RATE)), spectra.connectivity(t, segments(spark, d), RATE))
+    return out(rows, "row_type", "scope", "channel_index", "channel_name", "node_a", "node_b", "band", "metric", r("value", 5).alias("value"))
 
 
 def _q(name, f):

@@ -149,7 +149,8 @@ def mapped_categories(spark, d):
     return joins.mapped_category(rows, mapping).groupBy("file_id", "category", "canonical").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT p_type AS name, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS norm FROM part), d AS (SELECT norm, row_number() OVER (ORDER BY min(name)) AS k FROM n GROUP BY norm),
+f AS (SELECT k, norm, norm AS cluster, [norm] AS heads FROM d WHERE k = 1 UNION ALL SELECT d.k, d.norm, coalesce(list_filter(heads, lambda z: levenshtein(z, d.norm) <= 1)[1], d.norm), CASE WHEN len(list_filter(heads, lambda z: levenshtein(z, d.norm) <= 1)) > 0 THEN heads ELSE list_append(heads, d.norm) END FROM f JOIN d ON d.k = f.k + 1) SELECT name, norm, cluster FROM n JOIN f USING (norm)""")
 def fuzzy_categories(spark, d):
     w = Window.orderBy("name")
     return joins.fuzzy_clusters(table(spark, d, "part").select(F.col("p_type").alias("name")).distinct().withColumn("order_no", F.row_number().over(w))).select("name", "norm", "cluster")
@@ -195,15 +196,25 @@ f AS (SELECT ch, k, i AS ki, v AS kv, NULL::BIGINT AS oi, NULL::DOUBLE AS ov FRO
 SELECT ch AS channel_index, oi AS start, ov AS score FROM f WHERE oi IS NOT NULL UNION ALL SELECT ch, ki, kv FROM (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY k DESC) AS z FROM f) WHERE z = 1""")(merge_nearby_starts)
 strongest_peaks = _greedy(lambda p: topk.strongest_non_overlapping(p, 5, "channel_index"))
 strongest_peaks.__name__ = "strongest_peaks"
-query()(strongest_peaks)
+#: Best first, one at a time: a list of what is kept, in recursion over the rank.
+_STRONGEST = "o AS (SELECT ch, i, v, row_number() OVER (PARTITION BY ch ORDER BY v DESC, i) AS k FROM p), f AS (SELECT ch, k, [i] AS kept FROM o WHERE k = 1 UNION ALL SELECT o.ch, o.k, CASE WHEN len(list_filter(kept, lambda z: abs(z - o.i) < {spacing})) > 0 THEN kept ELSE list_append(kept, o.i) END FROM f JOIN o ON o.ch = f.ch AND o.k = f.k + 1), z AS (SELECT ch, unnest(arg_max(kept, k)) AS i FROM f GROUP BY ch)"
+_PEAKS = "x AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM r WINDOW w AS (PARTITION BY ch ORDER BY i)), p AS (SELECT ch, i, v FROM x WHERE v >= a AND v > b)"
+query(f"WITH RECURSIVE {SERIES}, {_PEAKS}, {_STRONGEST.format(spacing=5)} SELECT ch AS channel_index, i AS start, v AS score FROM z JOIN o USING (ch, i)")(strongest_peaks)
 clustered_peaks = _greedy(lambda p: topk.clustered_peaks(p, 6, "channel_index"))
 clustered_peaks.__name__ = "clustered_peaks"
-query()(clustered_peaks)
+query(f"""WITH RECURSIVE {SERIES}, {_PEAKS}, o AS (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY i) AS k FROM p),
+f AS (SELECT ch, k, i AS fi, i AS ki, v AS kv, NULL::BIGINT AS oi, NULL::DOUBLE AS ov FROM o WHERE k = 1 UNION ALL SELECT o.ch, o.k, CASE WHEN o.i - fi >= 6 THEN o.i ELSE fi END, CASE WHEN o.i - fi >= 6 OR o.v > kv THEN o.i ELSE ki END, CASE WHEN o.i - fi >= 6 OR o.v > kv THEN o.v ELSE kv END, CASE WHEN o.i - fi >= 6 THEN ki END, CASE WHEN o.i - fi >= 6 THEN kv END FROM f JOIN o ON o.ch = f.ch AND o.k = f.k + 1)
+SELECT ch AS channel_index, oi AS start, ov AS score FROM f WHERE oi IS NOT NULL UNION ALL SELECT ch, arg_max(ki, k), arg_max(kv, k) FROM f GROUP BY ch""")(clustered_peaks)
 
 
-@query()
+#: Local maxima over mean and deviation of the middle half.
+_HIGH = "q AS (SELECT ch, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM r GROUP BY ch), m AS (SELECT r.ch, avg(v) + {sigmas} * stddev_pop(v) AS lim FROM r JOIN q USING (ch) WHERE v BETWEEN q1 AND q3 GROUP BY r.ch), x AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM r WINDOW w AS (PARTITION BY ch ORDER BY i)), p AS (SELECT x.ch, i, v FROM x JOIN m USING (ch) WHERE v >= a AND v > b AND v > lim)"
+
+
+@query(f"WITH RECURSIVE {SERIES}, {_HIGH.format(sigmas='1.0')}, {_STRONGEST.format(spacing=5)} SELECT ch AS channel_index, i AS start, v AS score FROM z JOIN o USING (ch, i)", two=True)
 def spaced_peaks(spark, d):
-    return topk.find_peaks(series(spark, d), 1.0, 5, "channel_index")
+    s = series(spark, d)
+    return out(topk.find_peaks(s, 1.0, 5, *ids(s), "channel_index"), "channel_index", "start", "score")
 
 
 @query("SELECT l_orderkey AS volume, l_partkey AS candidate, k::BIGINT AS nth FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_suppkey) AS k FROM lineitem) WHERE k <= 3")
@@ -239,14 +250,16 @@ def ocular_drive(spark, d):
     return detect.ocular_drive(signal(spark, d), (1, 2, 3))
 
 
-@query()
+@query(f"""WITH {SIGNAL}, dr AS (SELECT i, arg_max(v, struct_pack(a := abs(v), c := -ch)) AS v FROM s WHERE ch IN (0, 1, 2, 3) GROUP BY i), h AS (SELECT i, v, i - row_number() OVER (ORDER BY i) AS g FROM dr WHERE abs(v) >= 0.2),
+u AS (SELECT min(i) AS a, max(i) AS b, arg_max(i, struct_pack(m := abs(v), c := -i)) AS p, max(abs(v)) AS m FROM h GROUP BY g HAVING count(*) BETWEEN 1 AND 125), k AS (SELECT *, CASE WHEN max(b) OVER w IS NULL OR a - max(b) OVER w > 2 THEN 1 ELSE 0 END AS fresh FROM u WINDOW w AS (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), l AS (SELECT *, sum(fresh) OVER (ORDER BY a) AS isle FROM k)
+SELECT min(a)::BIGINT AS start_sample, max(b)::BIGINT AS end_sample, arg_min(p, a)::BIGINT AS peak_sample, round(arg_min(m, a), 6) AS peak FROM l GROUP BY isle""", two=True)
 def ocular_events(spark, d):
-    return detect.ocular_events(signal(spark, d), (0, 1, 2, 3), RATE, threshold=0.2, min_s=0.004, rise_s=None, gap_s=0.008)
+    return out(detect.ocular_events(signal(spark, d), (0, 1, 2, 3), RATE, threshold=0.2, min_s=0.004, rise_s=None, gap_s=0.008), "start_sample", "end_sample", "peak_sample", r("peak").alias("peak"))
 
 
-@query()
+@query(f"WITH RECURSIVE {SIGNAL}, r AS (SELECT 0 AS ch, i, sqrt(avg(v * v)) AS v FROM s GROUP BY i), {_HIGH.format(sigmas='0.5')}, {_STRONGEST.format(spacing=10)} SELECT i AS start, round(v, 6) AS score FROM z JOIN o USING (ch, i)", two=True)
 def field_power_peaks(spark, d):
-    return detect.field_power_peaks(signal(spark, d), 1.0, 10)
+    return out(detect.field_power_peaks(signal(spark, d), 0.5, 10), "start", r("score").alias("score"))
 
 
 @query(f"WITH {SIGNAL}, t AS (SELECT ch, v AS w FROM s WHERE i = 0) SELECT i AS sample_index, round(corr(v, w), 5) + 0.0 AS r FROM s JOIN t USING (ch) GROUP BY i", two=True)
@@ -255,10 +268,16 @@ def topography_scores(spark, d):
     return out(detect.topography_scores(s, s.where("sample_index = 0").select(*ids(s), "channel_index", F.col("value").alias("weight"))), "sample_index", r("r", 5).alias("r"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIGNAL}, t AS (SELECT ch, v AS w FROM s WHERE i = 0), c AS (SELECT i, corr(v, w) AS v FROM s JOIN t USING (ch) GROUP BY i), p AS (SELECT i, v, row_number() OVER (ORDER BY i) AS k FROM c WHERE v >= 0.2),
+f AS (SELECT k, i AS ki, v AS kv, NULL::BIGINT AS oi, NULL::DOUBLE AS ov FROM p WHERE k = 1 UNION ALL SELECT p.k, CASE WHEN p.i - ki > 5 OR p.v > kv THEN p.i ELSE ki END, CASE WHEN p.i - ki > 5 OR p.v > kv THEN p.v ELSE kv END, CASE WHEN p.i - ki > 5 THEN ki END, CASE WHEN p.i - ki > 5 THEN kv END FROM f JOIN p ON p.k = f.k + 1)
+SELECT oi AS start, round(ov, 5) AS score FROM f WHERE oi IS NOT NULL UNION ALL SELECT arg_max(ki, k), round(arg_max(kv, k), 5) FROM f""", two=True)
 def topography_detect(spark, d):
     s = signal(spark, d)
-    return detect.topography_detect(s, s.where("sample_index = 0").select(*ids(s), "channel_index", F.col("value").alias("weight")), 0.2, 5)
+    return _rounded(detect.topography_detect(s, s.where("sample_index = 0").select(*ids(s), "channel_index", F.col("value").alias("weight")), 0.2, 5))
+
+
+def _rounded(picks):
+    return out(picks, "start", r("score", 5).alias("score"))
 
 
 @query(f"WITH {SIGNAL}, p AS (SELECT ch, max(abs(v)) AS p FROM s GROUP BY ch) SELECT ch::BIGINT AS channel_index, round(p, 6) AS peak, row_number() OVER (ORDER BY p DESC, ch) AS rank FROM p", two=True)
@@ -302,37 +321,59 @@ def segment_health(spark, d):
     return out(h, F.col("segment_id").cast("long").alias("segment_id"), "start_sample", "end_sample", *(r(c).alias(c) for c in ("rms", "p95", "gfp_p95", "gfp_max", "drift_rms", "score")), F.col("percent").cast("long").alias("percent"), "grade")
 
 
-@query()
+_MARKED = "ar AS (SELECT unnest([30, 100]) AS aa, unnest([90, 101]) AS az), ov AS (SELECT seg, coalesce(sum(least(az, z) - greatest(aa, a) + 1) FILTER (aa IS NOT NULL), 0)::BIGINT AS os, count(aa) AS ni, least(1.0, coalesce(sum(least(az, z) - greatest(aa, a) + 1) FILTER (aa IS NOT NULL), 0) / (any_value(z) - any_value(a) + 1)) AS mk FROM f LEFT JOIN ar ON aa <= z AND az >= a GROUP BY seg),"
+_MARKED_SQL = (
+    SEGMENT_HEALTH_SQL.replace("t AS (SELECT seg, a, z,", _MARKED + "\nt AS (SELECT seg, a, z, os, ni,")
+    .replace("1.0 AS s10 FROM f JOIN h USING (seg)", f"CASE WHEN ni > 0 THEN least({_u('mk', 'artifacts')}, 0.15) ELSE {_u('mk', 'artifacts')} END AS s10 FROM f JOIN ov USING (seg) JOIN h USING (seg)")
+    .replace("SELECT seg::BIGINT AS segment_id, a::BIGINT", "SELECT seg::BIGINT AS segment_id, os AS overlap_samples, ni AS n_intervals, a::BIGINT")
+)
+
+
+@query(_MARKED_SQL, two=True)
 def segment_health_with_artifacts(spark, d):
     art = spark.createDataFrame([(0, 30, 90), (1, 100, 101)], "artifact_id int, start_sample long, end_sample long")
-    return health.segment_health(signal(spark, d), 63, n_samples(spark, d), CHANNELS, RATE, art, stride=1)
+    h = health.segment_health(signal(spark, d), 63, n_samples(spark, d), CHANNELS, RATE, art, stride=1)
+    return out(h, F.col("segment_id").cast("long").alias("segment_id"), "overlap_samples", "n_intervals", "start_sample", "end_sample", *(r(c).alias(c) for c in ("rms", "p95", "gfp_p95", "gfp_max", "drift_rms", "score")), F.col("percent").cast("long").alias("percent"), "grade")
 
 
 def _c(x, key):
     return _u(x, key, health.CHANNEL)
 
 
-@query(f"""WITH {SIGNAL}, x AS (SELECT *, v - lag(v) OVER (PARTITION BY ch ORDER BY i) AS d FROM s), f AS (SELECT ch, sqrt(avg(v*v)) AS rms, quantile_cont(abs(v), 0.95) AS p95, quantile_cont(abs(v), 0.99) AS p99, max(abs(v)) AS top, sqrt(avg(d*d)) AS dr, kurtosis_pop(v) AS k, 2 * (sum(v * cos(2 * pi() * 60 / 250 * i)) ** 2 + sum(v * sin(2 * pi() * 60 / 250 * i)) ** 2) / (count(*) * sum(v*v)) AS line, count(*) AS n FROM x GROUP BY ch),
+CHANNEL_HEALTH_SQL = f"""WITH {SIGNAL}, x AS (SELECT *, v - lag(v) OVER (PARTITION BY ch ORDER BY i) AS d FROM s), f AS (SELECT ch, sqrt(avg(v*v)) AS rms, quantile_cont(abs(v), 0.95) AS p95, quantile_cont(abs(v), 0.99) AS p99, max(abs(v)) AS top, sqrt(avg(d*d)) AS dr, kurtosis_pop(v) AS k, 2 * (sum(v * cos(2 * pi() * 60 / 250 * i)) ** 2 + sum(v * sin(2 * pi() * 60 / 250 * i)) ** 2) / (count(*) * sum(v*v)) AS line, count(*) AS n FROM x GROUP BY ch),
 fl AS (SELECT ch, avg(CASE WHEN abs(d) <= greatest(p95 * 1e-4, 1e-7) THEN 1.0 ELSE 0.0 END) FILTER (d IS NOT NULL) AS flat FROM x JOIN f USING (ch) GROUP BY ch), bl AS (SELECT ch, CASE WHEN count(*) >= 2 THEN stddev_pop(m) ELSE 0 END AS drift FROM (SELECT ch, i // 500 AS b, avg(v) AS m, count(*) AS n FROM s GROUP BY ALL HAVING count(*) >= 8) GROUP BY ch),
 e AS (SELECT *, dr / greatest(rms, 1e-9) AS dq, drift / greatest(rms, 1e-9) AS fq FROM f JOIN fl USING (ch) JOIN bl USING (ch)), b AS (SELECT greatest(quantile_cont(p95, 0.5), 1e-9) AS b95, greatest(quantile_cont(p99, 0.5), 1e-9) AS b99, greatest(quantile_cont(dq, 0.5), 1e-9) AS bd, greatest(coalesce(quantile_cont(fq, 0.5) FILTER (fq > 0), 0.02), 1e-9) AS bf, coalesce(quantile_cont(line, 0.5) FILTER (line > 0), 0) AS bline FROM e),
 t AS (SELECT ch, rms, p95, top, line, 1.0 AS s2, {_UP.format(x='greatest(p95 / b95, b95 / p95)', g='2.5', h='6.0')} AS s3, {_c('top / b99', 'burst')} AS s4, {_c('flat', 'flat')} AS s5, 1.0 AS s6, {_c('dq / bd', 'fast')} AS s7, {_c('fq / bf', 'drift')} AS s8, {_c('greatest(k, 0)', 'kurtosis')} AS s9, {_c('line / bline', 'line')} AS s10 FROM e, b),
-q AS (SELECT *, (s2*1.4 + s3*1.4 + s4 + s5*1.3 + s6*1.1 + s7 + s8*0.8 + s9 + s10*0.8) / 9.8 AS score FROM t) SELECT ch::BIGINT AS channel_index, round(rms, 6) AS rms, round(p95, 6) AS p95, round(top, 6) AS top, round(line, 6) AS line, round(score, 6) AS score, round(score * 100)::BIGINT AS percent, CASE WHEN score >= 0.78 THEN 'good' WHEN score >= 0.5 THEN 'watch' ELSE 'poor' END AS grade FROM q""", two=True)
+q AS (SELECT *, (s2*1.4 + s3*1.4 + s4 + s5*1.3 + s6*1.1 + s7 + s8*0.8 + s9 + s10*0.8) / 9.8 AS score FROM t) SELECT ch::BIGINT AS channel_index, round(rms, 6) AS rms, round(p95, 6) AS p95, round(top, 6) AS top, round(line, 6) AS line, round(score, 6) AS score, round(score * 100)::BIGINT AS percent, CASE WHEN score >= 0.78 THEN 'good' WHEN score >= 0.5 THEN 'watch' ELSE 'poor' END AS grade FROM q"""
+
+
+@query(CHANNEL_HEALTH_SQL, two=True)
 def channel_health(spark, d):
-    h = health.channel_health(signal(spark, d), RATE)
-    return out(h, F.col("channel_index").cast("long").alias("channel_index"), *(r(c).alias(c) for c in ("rms", "p95", "top", "line", "score")), F.col("percent").cast("long").alias("percent"), "grade")
+    return _channel_table(health.channel_health(signal(spark, d), RATE))
 
 
-@query()
+def _channel_table(h, digits=6):
+    return out(h, F.col("channel_index").cast("long").alias("channel_index"), *(r(c).alias(c) for c in ("rms", "p95", "top", "line")), r("score", digits).alias("score"), F.col("percent").cast("long").alias("percent"), "grade")
+
+
+_Z = "(ch * 1.5 + 5)"
+_IMPEDANCE_SQL = CHANNEL_HEALTH_SQL.replace("1.0 AS s2,", f"CASE WHEN {_Z} < 40 THEN 1.0 WHEN {_Z} < 60 THEN 1 - ({_Z} - 40) / 20 * 0.22 WHEN {_Z} < 70 THEN 0.78 - ({_Z} - 60) / 10 * 0.28 ELSE greatest(0, 0.49 - ({_Z} - 70) / 50 * 0.49) END AS s1, 1.0 AS s2,").replace("(s2*1.4 +", "(s1*1.4 + s2*1.4 +").replace("/ 9.8 AS score", "/ 11.2 AS score").replace("round(score, 6) AS score", "round(score, 5) AS score")
+
+
+@query(_IMPEDANCE_SQL, two=True)
 def channel_health_with_impedance(spark, d):
     z = spark.range(CHANNELS).select(F.col("id").cast("int").alias("channel_index"), (F.col("id") * 1.5 + 5).alias("impedance_kohm"))
-    return health.channel_health(signal(spark, d), RATE, z)
+    return _channel_table(health.channel_health(signal(spark, d), RATE, z), 5)
 
 
-@query()
+@query(f"""WITH {SIGNAL}, {_CIRCLE}, pr AS (SELECT a.ch, b.ch AS o, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM l a JOIN l b ON a.ch <> b.ch), nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY d2, o) AS k FROM pr) WHERE k <= 6), ag AS (SELECT ch, max(abs(r)) AS agreement FROM (SELECT nn.ch, o, corr(x.v, y.v) AS r FROM nn JOIN s x ON x.ch = nn.ch JOIN s y ON y.ch = nn.o AND y.i = x.i GROUP BY ALL) GROUP BY ch),
+wt AS (SELECT ch, o, (1 / greatest(sqrt(d2), 1e-6)) / sum(1 / greatest(sqrt(d2), 1e-6)) OVER (PARTITION BY ch) AS w FROM nn), bl AS (SELECT wt.ch, s.i, sum(w * v) AS y FROM wt JOIN s ON s.ch = wt.o GROUP BY ALL), pw AS (SELECT s.ch, s.i // 100 AS win, corr(v, y) AS r, count(*) AS n FROM s JOIN bl ON bl.ch = s.ch AND bl.i = s.i GROUP BY ALL), pd AS (SELECT ch, quantile_cont(greatest(r, 0), 0.5) AS prediction FROM pw WHERE n = 100 GROUP BY ch)
+SELECT ch::BIGINT AS channel_index, round(agreement, 5) AS agreement, round(prediction, 5) + 0.0 AS prediction, prediction < 0.485 AS bad FROM ag JOIN pd USING (ch)""", two=True)
 def neighbour_agreement(spark, d):
     s = signal(spark, d)
     near = joins.nearest(sensors(spark), 6)
-    return health.neighbour_agreement(s, near).join(health.neighbour_prediction(s, near, 100), "channel_index")
+    joined = health.neighbour_agreement(s, near).join(health.neighbour_prediction(s, near, 100), [*ids(s), "channel_index"])
+    return out(joined, F.col("channel_index").cast("long").alias("channel_index"), r("agreement", 5).alias("agreement"), r("prediction", 5).alias("prediction"), "bad")
 
 
 @query("SELECT grade, count(*) AS n FROM (SELECT CASE WHEN value / 350 >= 0.78 THEN 'good' WHEN value / 350 >= 0.5 THEN 'watch' ELSE 'poor' END AS grade FROM events) GROUP BY grade")
@@ -360,9 +401,10 @@ def unpositioned_channels(spark, d):
     return views.unpositioned(spark.range(70).select(F.col("id").alias("channel_index")), sensors(spark).withColumn("channel_index", F.col("channel_index").cast("long")))
 
 
-@query()
+@query(f"""WITH {SIGNAL}, {_CIRCLE}, q AS (SELECT x, y, v FROM s JOIN l USING (ch) WHERE i = 10), g AS (SELECT k, (k % 24) * (2.0 / 23) - 1 AS gx, (k // 24) * (2.0 / 23) - 1 AS gy FROM (SELECT unnest(range(576)) AS k)), j AS (SELECT k, v, (x - gx) ** 2 + (y - gy) ** 2 AS d2 FROM g, q WHERE gx * gx + gy * gy <= 1.0000001)
+SELECT k::BIGINT AS k, round(coalesce(max(v) FILTER (d2 < 0.5 * (2.0 / 23) ** 2), sum(v / greatest(d2, 1e-12) ** 1.5) / sum(1 / greatest(d2, 1e-12) ** 1.5)), 5) + 0.0 AS value FROM j GROUP BY k""", two=True)
 def topographic_map(spark, d):
-    return views.topomap(signal(spark, d).where("sample_index = 10"), sensors(spark), 24)
+    return out(views.topomap(signal(spark, d).where("sample_index = 10"), sensors(spark), 24), F.col("k").cast("long").alias("k"), r("value", 5).alias("value"))
 
 
 @query(f"WITH {SIGNAL}, n AS (SELECT max(i) + 1 AS n FROM s), q AS (SELECT ch, quantile_cont(v, 0.02) AS a, quantile_cont(v, 0.98) AS b FROM s GROUP BY ch) SELECT ch::BIGINT AS channel_index, floor(i * 50 / n)::BIGINT AS bin, round(avg(greatest(a, least(b, v))), 6) + 0.0 AS value FROM s JOIN q USING (ch), n GROUP BY ALL", two=True)
