@@ -194,11 +194,15 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(path: str, stride: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(path)
+        counter, done = TokenCounter(path), set()
         for batch in batches:
             for text in batch.column("text"):
                 text = text.as_py()
-                key, plain = _key(text), counter.plain(text)
+                key = _key(text)
+                if key in done:
+                    continue
+                done.add(key)
+                plain = counter.plain(text)
                 chunks = range(0, max(1, len(text) - overlap), stride)
                 for first in range(0, len(chunks), 64):
                     part = chunks[first : first + 64]
@@ -251,7 +255,7 @@ def splice(summaries: DataFrame) -> DataFrame:
     return joined.select("key", F.when(F.col("wanted") == F.coalesce("joints", F.lit(0)), F.col("total") + F.coalesce("gain", F.lit(0))).alias("n_tokens"))
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, huge_chars: int = 16_384, chunk_chars: int = 8_192, overlap_chars: int = 1_024) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, huge_chars: int = 16_384, chunk_chars: int = 8_192, overlap_chars: int = 256) -> DataFrame:
     """doc_id, n_bytes, n_tokens for every row of ``docs`` (doc_id, text).
 
     What is shuffled are huge documents' chunks, each once, and their summaries; a
@@ -265,9 +269,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, huge_chars: int = 16_384,
 
     huge = base.where(F.length("text") > huge_chars)
     pieces = huge.select("text").mapInArrow(_cut(tokenizer_path, chunk_chars, overlap_chars), "key string, plain boolean, chunk long, piece string, ends boolean")
-    once = pieces.groupBy("key", "chunk").agg(F.first("plain").alias("plain"), F.first("piece").alias("piece"), F.first("ends").alias("ends"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    summaries = materialise(once.repartition(tasks, "key", "chunk").mapInArrow(_summarise(tokenizer_path, chunk_chars, overlap_chars), f"key string, chunk long, ends boolean, total long, left_at {OFFSETS}, right_at {OFFSETS}"))
+    once = pieces.repartition(tasks, "key", "chunk").dropDuplicates(["key", "chunk"])  # a task has sent each text once
+    summaries = materialise(once.mapInArrow(_summarise(tokenizer_path, chunk_chars, overlap_chars), f"key string, chunk long, ends boolean, total long, left_at {OFFSETS}, right_at {OFFSETS}"))
     spliced = materialise(splice(summaries))
     named = huge.mapInArrow(_name, "doc_id long, n_bytes long, key string")
     whole = named.join(spliced.where("n_tokens IS NOT NULL"), "key").select("doc_id", "n_bytes", "n_tokens")
