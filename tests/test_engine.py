@@ -175,6 +175,125 @@ def test_streams_equal_batches(spark, tmp_path):
             assert 8 <= got.count() <= 17
 
 
+def test_causal_streams_equal_one_pass(spark, tmp_path):
+    from voltlake.functions import dsp
+    from voltlake.streaming import live
+
+    rng = np.random.default_rng(2)
+    t = pd.date_range("2024-01-01", periods=300, freq="10ms")
+    parts = [pd.DataFrame({"recording_id": r, "ts": t, "channel_index": c, "value": rng.standard_normal(300), "reference": rng.standard_normal(300)}) for r in ("a", "b") for c in (0, 1)]
+    for k in range(3):
+        cut = pd.concat([p.iloc[k * 100 : (k + 1) * 100] for p in parts])
+        spark.createDataFrame(cut).coalesce(1).write.parquet(str(tmp_path / "s" / f"{k}"))
+    schema = spark.read.parquet(str(tmp_path / "s" / "0")).schema
+    sections = [dsp.biquad("low", 10, 100, 0.7), dsp.biquad("high", 1, 100, 0.7)]
+    for name, f in (("causal", lambda s: live.causal_filter(s.drop("reference"), sections)), ("adaptive", lambda s: live.adaptive_cancelling(s, 4, 0.01))):
+        stream = f(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s" / "*")))
+        stream.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination(180)
+        got = spark.sql(f"SELECT * FROM {name}").toPandas()
+        assert len(got) == 1200
+        for p in parts:
+            mine = got[(got.recording_id == p.recording_id.iloc[0]) & (got.channel_index == p.channel_index.iloc[0])].sort_values("t")["value"].to_numpy()
+            if name == "causal":
+                want = p["value"].to_numpy()
+                for b, a in sections:
+                    want = dsp._recursive(b, a, want)
+            else:
+                want = p["value"].to_numpy() - dsp.lms(p["reference"].to_numpy(), p["value"].to_numpy(), 4, 0.01)
+            assert np.allclose(mine, want)
+
+
+def test_sql_functions(spark):
+    from voltlake.functions import dsp, udfs
+
+    assert "band_pass" in udfs.register(spark)
+    x = np.sin(np.arange(400) / 3) + 2
+    spark.createDataFrame([(0, x.tolist()), (1, None)], "channel_index int, values array<double>").createOrReplaceTempView("udf_traces")
+    got = {r.channel_index: r.y for r in spark.sql("SELECT channel_index, band_pass(values, 250.0, 1.0, 40.0) AS y FROM udf_traces").collect()}
+    assert np.allclose(got[0], dsp.band_pass(x, 250.0, high=1.0, low=40.0)) and got[1] is None
+    assert spark.sql("SELECT wavelet_reduced(values) AS y, r_wave_samples(values, 250.0) AS b FROM udf_traces").count() == 2
+
+
+def test_package_round_trip_with_companions(spark, tmp_path):
+    from voltlake.sinks import writers
+    from voltlake.sources import readers
+
+    rng = np.random.default_rng(3)
+    x, pns = rng.standard_normal((3, 40)).astype("f4").astype(float), rng.standard_normal((2, 40)).astype("f4").astype(float)
+    gains = lambda kind: f"<calibration><beginTime>0</beginTime><type>{kind}</type><channels><ch n='1'>2.0</ch></channels></calibration>"
+    sensors = "".join(f"<sensor><name>E{k}</name><number>{k}</number><type>{int(k == 3)}</type><x>{k}</x><y>0</y></sensor>" for k in (1, 2, 3))
+    source = {"info.xml": b"<fileInfo><recordTime>2020-05-01T10:00:00.000000+00:00</recordTime><note>kept</note></fileInfo>", "info1.xml": f"<dataInfo><generalInformation><fileDataType><EEG><sensorLayoutName>net</sensorLayoutName></EEG></fileDataType></generalInformation><calibrations>{gains('GCAL')}{gains('ICAL')}</calibrations></dataInfo>".encode(), "sensorLayout.xml": f"<sensorLayout><sensors>{sensors}</sensors></sensorLayout>".encode(), "subject.xml": b"<patient/>", "montage1.xml": b"<m/>", "signal1.bin": b"old"}
+    files = formats.write_package(x, 100, [{"category": "c", "start_sample": 0, "end_sample": 19}, {"category": "d", "start_sample": 20, "end_sample": 39}], pns=pns, pns_names=["ECG"], source=source)
+    eeg, other = formats.package(files), formats.package(files, "pns")
+    assert (eeg["data"] == x).all() and (other["data"] == pns).all() and other["names"] == ["ECG", "PNS 2"] and len(eeg["segments"]) == 2
+    assert b"GCAL" not in files["info1.xml"] and eeg["impedance"][0] == 2.0 and files["info.xml"] == source["info.xml"] and files["subject.xml"] == b"<patient/>" and "montage1.xml" in files
+    assert "sensorLayout.xml" in files and "sensorLayout.xml" not in formats.write_package(x[:2], 100, source=source)
+    with pytest.raises(formats.FormatError):
+        formats.write_package(x, 100, pns=pns[:, :5])
+
+    writers.write_package(str(tmp_path / "in" / "one.mff"), x, 100, events=[{"code": "s", "begin_s": 0.02, "duration_s": 0.1}], pns=pns, pns_names=["ECG", "Resp"], source=source)
+    found = readers.read_traces(spark, str(tmp_path / "in"), "pns")
+    assert rows(found, "channel_index", "channel_name") == [(0, "ECG"), (1, "Resp")]
+    assert [r.duration_s for r in readers.read_events(spark, str(tmp_path / "in")).collect()] == [0.1]
+    again = writers.package_files(readers.read_traces(spark, str(tmp_path / "in")), 100.0, pns=found, events=readers.read_events(spark, str(tmp_path / "in")), source=readers.recording_files(spark, str(tmp_path / "in")))
+    assert writers.write_files(again, str(tmp_path / "out")).count() >= 7
+    back = readers.read_traces(spark, str(tmp_path / "out"), "pns").orderBy("channel_index").collect()
+    assert (np.array([r["values"] for r in back]) == pns).all() and [r.channel_name for r in back] == ["ECG", "Resp"]
+    (tmp_path / "in" / "one.mff" / "subject.xml").write_bytes(b"<broken")
+    assert readers.read_package_values(spark, str(tmp_path / "in")).where("error IS NOT NULL").count() == 1
+
+
+def test_snapshots_and_models(spark, tmp_path):
+    import json
+
+    from voltlake.operators import layout, views
+    from voltlake.plans.script import Pipeline
+    from voltlake.sinks import writers
+
+    rng = np.random.default_rng(4)
+    s = long(spark, rng.standard_normal((3, 500)))
+    h = health.channel_health(s, 250.0)
+    labels, flags = spark.createDataFrame([(0, "bad")], "channel_index int, label string"), spark.createDataFrame([(k, k == 1, False) for k in range(3)], "channel_index int, is_bad boolean, is_hidden boolean")
+    got = {r.channel_index: r for r in writers.channel_training_rows(h, labels, flags).collect()}
+    assert got[0].human_label == "bad" and got[1].flags.is_bad and got[2].human_label is None and set(got[0].features) == {"finite", "rms", "p95", "p99", "top", "d_rms", "kurtosis", "flat", "clipping", "drift", "line"}
+    assert got[0].health.score == {r.channel_index: r.score for r in h.collect()}[0]
+    seg = health.segment_health(s, 100, 500, 3, 250.0)
+    decided = select.segment_decisions(seg.withColumn("overlap_fraction", F.lit(0.0)), ("good",), 0.1)
+    kept = writers.segment_training_rows(seg, decided).collect()
+    assert len(kept) == 5 and all(r.human_label is None and r.kept is not None and "gfp_p95" in r.features for r in kept)
+    parts = spark.createDataFrame([("r", 1, 0.4, "Eye", 0.9, [1.0], [2.0]), ("r", 0, 0.6, "Brain", 0.5, [3.0], [4.0])], "recording_id string, component int, contribution double, label string, score double, mixing array<double>, unmixing array<double>")
+    saved = json.loads(writers.saved_components(parts, "ica", "picard").first().json)
+    assert [c["label"] for c in saved["components"]] == ["Brain", "Eye"] and saved["method"] == "picard"
+    avg = spark.createDataFrame([("c", 0, 1, 2.0), ("c", 0, 0, 1.0)], "category string, channel_index int, rel int, value double")
+    assert json.loads(writers.saved_template(avg, "blink", 250).first().json)["channels"] == [{"channel_index": 0, "waveform": [1.0, 2.0]}]
+    from datetime import datetime
+
+    files = writers.combined_package(rng.standard_normal((2, 30)), 100, [{"category": "a", "start_sample": 0, "end_sample": 29, "contributing": 3}], Pipeline().add("combine").steps, [(datetime(2024, 1, 2), "made")], {"a": [1.0]})
+    assert formats.package(files)["is_averaged"] and b"made" in files["process.log"] and json.loads(files["noise.json"]) == {"a": [1.0]} and b"combine" in files["script.xml"]
+    g = layout.unit_geometry(spark.createDataFrame([(0, 3.0, 0.0, 4.0), (1, 0.0, 0.0, 0.0)], "channel_index int, x double, y double, z double"))
+    assert rows(g, "channel_index", "x", "z") == [(0, 0.6, 0.8)]
+    assert rows(views.shown(h, 2, "channel_index"), "channel_index") == [(0,), (1,)]
+    with pytest.raises(ValueError, match="markBad"):
+        Pipeline().add("markBad", channels="1").run(spark.createDataFrame([], "channel_index int, values array<double>"), 250.0)
+
+
+def test_two_recordings_stay_apart(spark):
+    from voltlake.operators import spectra
+    from voltlake.operators.layout import to_traces
+
+    rng = np.random.default_rng(5)
+    one, other = long(spark, rng.standard_normal((3, 512))), long(spark, 5 * rng.standard_normal((3, 512)))
+    both = one.withColumn("recording_id", F.lit("a")).unionByName(other.withColumn("recording_id", F.lit("b")))
+    for f in (lambda s: windows.gfp(s), lambda s: windows.average_reference(s), lambda s: spectra.band_powers(spectra.pooled_spectra(to_traces(s), [(0, 512)], 128.0)), lambda s: health.channel_health(s, 128.0), lambda s: health.segment_health(s, 128, 512, 3, 128.0), lambda s: stats.covariance(s, 3)):
+        together = f(both)
+        for name, alone in (("a", one), ("b", other)):
+            want = f(alone)
+            got = together.where(F.col("recording_id") == name).select(*want.columns)
+            for x, y in zip(sorted(map(tuple, got.collect()), key=str), sorted(map(tuple, want.collect()), key=str), strict=True):
+                assert [v for v in x if isinstance(v, str)] == [v for v in y if isinstance(v, str)]
+                assert np.allclose([v for v in x if isinstance(v, (int, float))], [v for v in y if isinstance(v, (int, float))])
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 

@@ -460,8 +460,8 @@ def package(files: dict[str, bytes], role: str = "eeg") -> dict:
     for b in binaries:
         number = re.search(r"(\d+)", b)
         info = files.get(f"info{number[1] if number else 1}.xml", b"")
-        found = flattened(info) if info else {}
-        kinds[b] = next((k.split(".")[-2] if k.endswith("sensorLayoutName") else v for k, v in found.items() if ".fileDataType." in k or k.endswith("fileDataType")), "EEG")
+        kind = next(_plain(info).iter("fileDataType"), None) if info else None
+        kinds[b] = "EEG" if kind is None else kind[0].tag if len(kind) else (kind.text or "EEG").strip()
     eeg = [b for b in binaries if kinds[b].upper() == "EEG"] or binaries
     pns = [b for b in binaries if "pns" in kinds[b].lower()]
     chosen = (pns if role == "pns" else eeg)[:1]
@@ -490,15 +490,44 @@ def package(files: dict[str, bytes], role: str = "eeg") -> dict:
     return {"data": x, "rate": rate, "names": names, "events": events, "impedance": impedance, "start": start, "segments": epochs["segments"] if epochs else [], "is_averaged": bool(epochs and epochs["is_averaged"]), "block_sizes": sizes, "timing": timing_correction(values)}
 
 
-def write_package(x: np.ndarray, rate: float, segments: list[dict] | None = None, events: list[dict] | None = None, start: datetime | None = None, averaged: bool = False) -> dict[str, bytes]:
-    """Files of a package: one block for continuous data, one for each segment (by start) otherwise."""
+def without_gain_calibration(raw: bytes) -> bytes:
+    """A signal's info file less its GCAL tables (written samples are calibrated); others, like ICAL, stay."""
+    return re.sub(rb"(?s)<calibration\b.*?</calibration>", lambda m: b"" if re.search(rb"(?i)<type>\s*GCAL\s*</type>", m[0]) else m[0], raw)
+
+
+#: Files of a source package that go on unchanged.
+COMPANIONS = re.compile(r"(?i)^(info|subject|montage\w*|coordinates|dipoleSet)\.xml$")
+
+
+def kept_companions(source: dict[str, bytes], n_channels: int) -> dict[str, bytes]:
+    """What a written package keeps of its source: info, subject, montage and coordinates; the layout if its sensors (types 0 and 1) are as many as the channels; the signal's info less gains."""
+    kept = {name: raw for name, raw in source.items() if COMPANIONS.match(name)}
+    layout = source.get("sensorLayout.xml")
+    if layout and sum(s["type"] in (0, 1) for s in layout_sensors(layout)) == n_channels:
+        kept["sensorLayout.xml"] = layout
+    if "info1.xml" in source:
+        kept["info1.xml"] = without_gain_calibration(source["info1.xml"])
+    return kept
+
+
+def write_package(x: np.ndarray, rate: float, segments: list[dict] | None = None, events: list[dict] | None = None, start: datetime | None = None, averaged: bool = False, pns: np.ndarray | None = None, pns_names: list[str] | None = None, source: dict[str, bytes] | None = None) -> dict[str, bytes]:
+    """Files of a package: one block for continuous data, one for each segment (by start) otherwise.
+
+    Peripheral channels (``pns``, as many samples) become a second signal cut in the
+    same blocks. Files of a ``source`` package are kept as ``kept_companions`` says.
+    """
+    if start is None and source and "info.xml" in source:
+        start = parse_time(next((v for k, v in flattened(source["info.xml"]).items() if k.endswith("recordTime")), ""))
     start = start or datetime(2000, 1, 1, tzinfo=timezone.utc)
     ordered = sorted(segments or [], key=lambda s: s["start_sample"])
     for s in ordered:
         if not 0 <= s["start_sample"] <= s["end_sample"] < x.shape[1]:
             raise FormatError("a segment lies outside the recording")
-    blocks = [x[:, s["start_sample"] : s["end_sample"] + 1] for s in ordered] or [x]
-    us = lambda n: round(n * 1e6 / rate)
+    if pns is not None and pns.shape[1] != x.shape[1]:
+        raise FormatError("both signals must have as many samples")
+    cut = lambda signal: [signal[:, s["start_sample"] : s["end_sample"] + 1] for s in ordered] or [signal]
+    blocks = cut(x)
+    us = lambda n, per_s=rate: round(n * 1e6 / per_s)
     cursor, epochs, cats = 0, [], {}
     for k, b in enumerate(blocks):
         end = cursor + b.shape[1]
@@ -509,7 +538,7 @@ def write_package(x: np.ndarray, rate: float, segments: list[dict] | None = None
             cats.setdefault(s["category"], []).append(f"<seg><beginTime>{us(cursor)}</beginTime><endTime>{us(end)}</endTime><evtBegin>{us(cursor + s.get('stimulus_offset', 0))}</evtBegin>{count}</seg>")
         cursor = end
     esc = lambda t: str(t).replace("&", "&amp;").replace("<", "&lt;")
-    listed = "".join(f"<event><beginTime>{format_time(start + timedelta(seconds=e['begin_s']))}</beginTime><duration>0</duration><code>{esc(e['code'])}</code></event>" for e in events or [])
+    listed = "".join(f"<event><beginTime>{format_time(start + timedelta(seconds=e['begin_s']))}</beginTime><duration>{us(e.get('duration_s') or 0, 1)}</duration><code>{esc(e['code'])}</code></event>" for e in events or [])
     files = {
         "signal1.bin": write_blocks(blocks, rate),
         "info.xml": f"<fileInfo><recordTime>{format_time(start)}</recordTime></fileInfo>".encode(),
@@ -517,6 +546,12 @@ def write_package(x: np.ndarray, rate: float, segments: list[dict] | None = None
         "epochs.xml": f"<epochs>{''.join(epochs)}</epochs>".encode(),
         "Events_export.xml": f"<eventTrack>{listed}</eventTrack>".encode(),
     }
+    files |= kept_companions(source or {}, len(x))
+    if pns is not None and len(pns):
+        named = [*(pns_names or []), *(f"PNS {k + 1}" for k in range(len(pns_names or []), len(pns)))][: len(pns)]
+        files["signal2.bin"] = write_blocks(cut(pns), rate)
+        files["info2.xml"] = without_gain_calibration((source or {}).get("info2.xml") or b"<dataInfo><generalInformation><fileDataType><PNSData><sensorLayoutName/></PNSData></fileDataType></generalInformation></dataInfo>")
+        files["pnsSet.xml"] = f"<PNSSet><sensors>{''.join(f'<sensor><number>{k}</number><name>{esc(v)}</name></sensor>' for k, v in enumerate(named))}</sensors></PNSSet>".encode()
     if ordered:
         files["categories.xml"] = f"<categories>{''.join(f'<cat><name>{esc(c)}</name><segments>{chr(10).join(v)}</segments></cat>' for c, v in cats.items())}</categories>".encode()
     return files
@@ -557,14 +592,16 @@ def channel_sets(raw: bytes) -> list[dict]:
     return [{"set_id": str(s["id"]), "name": s["name"], "channels": [int(c) for c in s["channels"]], "net": s.get("net")} for s in (found["sets"] if isinstance(found, dict) else found)]
 
 
-def read_recording(files: dict[str, bytes], name: str) -> dict:
-    """Dispatch on the lower-case extension of ``name``; ``files`` holds it and its companions."""
+def read_recording(files: dict[str, bytes], name: str, role: str = "eeg") -> dict:
+    """Dispatch on the lower-case extension of ``name``; ``files`` holds it and its companions. Only packages have other roles than eeg (pns)."""
     ext = name.rsplit(".", 1)[-1].lower()
     other = lambda *exts: next((files[f] for f in sorted(files) if f.rsplit(".", 1)[-1].lower() in exts), None)
     if ext in UNSUPPORTED:
         raise FormatError(f"files of type {ext} aren't supported")
     if ext == "mff":
-        return package(files)
+        return package(files, role)
+    if role != "eeg":
+        raise FormatError("the recording has no such signal")
     if ext in ("vhdr", "vmrk", "eeg"):
         header, data, marks = other("vhdr"), other("eeg", "dat"), other("vmrk")
         if header is None or data is None:

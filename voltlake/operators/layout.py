@@ -50,3 +50,10 @@ def linear_upsample(samples: DataFrame, factor: int, n: int) -> DataFrame:
     a = samples.select(*named, "channel_index", F.col("sample_index").alias("low"), F.col("value").alias("v0"))
     b = samples.select(*named, "channel_index", F.col("sample_index").alias("high"), F.col("value").alias("v1"))
     return grid.join(a, [*named, "channel_index", "low"]).join(b, [*named, "channel_index", "high"]).select(*named, "channel_index", "sample_index", (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("pos") - F.col("low"))).alias("value"))
+
+
+def unit_geometry(sensors: DataFrame) -> DataFrame:
+    """3-D positions on the unit sphere (channel_index, x, y, z); sensors at the origin or without a finite position have none."""
+    size = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
+    placed = sensors.withColumn("__r", size).where((F.col("__r") > 1e-9) & ~F.isnan("__r"))
+    return placed.select(*ids(sensors), "channel_index", *((F.col(c) / F.col("__r")).alias(c) for c in ("x", "y", "z")))

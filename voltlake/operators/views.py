@@ -56,3 +56,8 @@ def dense_markers(events: DataFrame, low: float, high: float, pixels: int, most:
     n = shown.agg(F.count("*").alias("n"))
     nth = F.row_number().over(Window.partitionBy("source_index", "pixel").orderBy("begin_s", "event_id"))
     return shown.withColumn("nth", nth).crossJoin(F.broadcast(n)).where((F.col("n") <= most) | (F.col("nth") == 1)).drop("n", "nth")
+
+
+def shown(rows: DataFrame, cap: int, *order: str) -> DataFrame:
+    """The first rows that a table view lists (a display feature: pairs and channels 80, decisions 120), in order."""
+    return rows.orderBy(*order).limit(cap)

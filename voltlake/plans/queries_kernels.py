@@ -71,12 +71,17 @@ def resting_result_rows(spark, d):
     return out(rows, "row_type", "scope", "channel_index", "channel_name", "node_a", "node_b", "band", "metric", r("value", 5).alias("value"))
 
 
-def _q(name, f):
+def _q(name, f, sql=None, two=False):
     def run(spark, d):
         return f(spark, d)
 
     run.__name__ = name
-    query()(run)
+    query(sql, two)(run)
+
+
+def _samples(t):
+    """Samples of traces, rounded for comparison."""
+    return out(to_samples(t), F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value", 5).alias("value"))
 
 
 _q("filtered_signal", lambda s, d: to_samples(kernels.filtered(traces(s, d), RATE, high=1.0, low=40.0, notch=60.0), "recording_id", "channel_index"))
@@ -91,7 +96,14 @@ for _method in ("periodic", "spatial", "refined"):
 for _method in ("waveform", "trajectory", "wavelet"):
     _q(f"template_{_method}", lambda s, d, m=_method: kernels.template_events(traces(s, d), 100, 32, 0.2, m))
 _TIMES = [0.2 * k for k in range(1, 9)]
-for _method in ("template", "obs", "ssp"):
+_q(
+    "cleaned_by_template",
+    lambda s, d: _samples(kernels.artifact_cleaned(traces(s, d), [{"method": "template", "times": _TIMES, "width": 40}], RATE)),
+    f"""WITH {SIGNAL}, n AS (SELECT max(i) + 1 AS n FROM s), st AS (SELECT k, k * 50 - 20 AS a FROM (SELECT unnest(range(1, 9)) AS k), n WHERE k * 50 + 20 <= n), w AS (SELECT ch, k, i, i - a AS rel, v FROM s JOIN st ON i >= a AND i < a + 40), e AS (SELECT *, v - (first_value(v) OVER z + (last_value(v) OVER z - first_value(v) OVER z) * rel / 39.0) AS x FROM w WINDOW z AS (PARTITION BY ch, k ORDER BY rel ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+t AS (SELECT ch, rel, avg(x) AS t FROM e GROUP BY ALL), g AS (SELECT ch, sum(t * t) AS g FROM t GROUP BY ch), p AS (SELECT ch, k, sum(x * t) AS p FROM e JOIN t USING (ch, rel) GROUP BY ALL), c AS (SELECT e.ch, e.i, p / g * t AS c FROM e JOIN t USING (ch, rel) JOIN g USING (ch) JOIN p USING (ch, k)) SELECT s.ch::BIGINT AS channel_index, s.i AS sample_index, round(v - coalesce(c, 0), 5) + 0.0 AS value FROM s LEFT JOIN c ON c.ch = s.ch AND c.i = s.i""",
+    True,
+)
+for _method in ("obs", "ssp"):
     _q(f"cleaned_by_{_method}", lambda s, d, m=_method: to_samples(kernels.artifact_cleaned(traces(s, d), [{"method": m, "times": _TIMES, "width": 40}], RATE), "recording_id", "channel_index"))
 _q("obs_variance", lambda s, d: kernels.obs_variance(traces(s, d), _TIMES, RATE, 40))
 for _scheme in ("neighbour", "farm", "moosmann"):

@@ -356,13 +356,13 @@ def _channel_table(h, digits=6):
     return out(h, F.col("channel_index").cast("long").alias("channel_index"), *(r(c).alias(c) for c in ("rms", "p95", "top", "line")), r("score", digits).alias("score"), F.col("percent").cast("long").alias("percent"), "grade")
 
 
-_Z = "(ch * 1.5 + 5)"
+_Z = "(5 + sqrt(ch) * 7.3)"
 _IMPEDANCE_SQL = CHANNEL_HEALTH_SQL.replace("1.0 AS s2,", f"CASE WHEN {_Z} < 40 THEN 1.0 WHEN {_Z} < 60 THEN 1 - ({_Z} - 40) / 20 * 0.22 WHEN {_Z} < 70 THEN 0.78 - ({_Z} - 60) / 10 * 0.28 ELSE greatest(0, 0.49 - ({_Z} - 70) / 50 * 0.49) END AS s1, 1.0 AS s2,").replace("(s2*1.4 +", "(s1*1.4 + s2*1.4 +").replace("/ 9.8 AS score", "/ 11.2 AS score").replace("round(score, 6) AS score", "round(score, 5) AS score")
 
 
 @query(_IMPEDANCE_SQL, two=True)
 def channel_health_with_impedance(spark, d):
-    z = spark.range(CHANNELS).select(F.col("id").cast("int").alias("channel_index"), (F.col("id") * 1.5 + 5).alias("impedance_kohm"))
+    z = spark.range(CHANNELS).select(F.col("id").cast("int").alias("channel_index"), (F.lit(5.0) + F.sqrt("id") * 7.3).alias("impedance_kohm"))
     return _channel_table(health.channel_health(signal(spark, d), RATE, z), 5)
 
 

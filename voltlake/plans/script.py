@@ -25,7 +25,7 @@ def number(p: dict[str, str], key: str) -> float | None:
     return float(p[key]) if p.get(key, "").strip() else None
 
 
-#: The vocabulary of scripts. Those without a transform here are recorded and passed over.
+#: The vocabulary of scripts. Those without a transform here can be recorded, but not replayed.
 VOCABULARY = frozenset(("filter", "reference", "mriGradientCorrection", "waveletReduce", "artifactClean", "icaClean", "bcgDetection", "ecgDetection", "interpolateChannels", "markBad", "segment", "baseline", "average", "combine", "split"))
 
 
@@ -81,7 +81,7 @@ def _artifact(traces, rate, p):
 
 @dataclass
 class Pipeline:
-    """Steps as (op, parameters, replayable). Steps that can't be replayed are kept in the script and skipped."""
+    """Steps as (op, parameters, replayable). Steps marked as not replayable are kept in the script and skipped; a replayable one without a transform here is an error."""
 
     steps: list[dict] = field(default_factory=list)
 
@@ -91,8 +91,11 @@ class Pipeline:
 
     def run(self, traces: DataFrame, rate: float) -> DataFrame:
         for s in self.steps:
-            if s["replayable"] and s["op"] in OPS:
-                traces = OPS[s["op"]](traces, rate, s["parameters"])
+            if not s["replayable"]:
+                continue
+            if s["op"] not in OPS:
+                raise ValueError(f"step {s['seq'] + 1}: {s['op']} can't be replayed on traces")
+            traces = OPS[s["op"]](traces, rate, s["parameters"])
         return traces
 
     def to_xml(self) -> bytes:

@@ -25,21 +25,21 @@ def recording_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.when(inside != "", inside).otherwise(stem).alias("recording_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content")
 
 
-def _load(pdf: pd.DataFrame) -> dict:
+def _load(pdf: pd.DataFrame, role: str = "eeg") -> dict:
     files = dict(zip(pdf["file"], (bytes(c) for c in pdf["content"]), strict=True))
     identity = pdf["recording_id"].iloc[0]
     known = ("vhdr", "edf", "lay", "avr", "mul", *formats.UNSUPPORTED)
     name = identity if identity.endswith(".mff") else next((f for f in sorted(files) if f.rsplit(".", 1)[-1].lower() in known), sorted(files)[0])
-    return formats.read_recording(files, name)
+    return formats.read_recording(files, name, role)
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """A row a channel; a recording that can't be read gives one row with its error."""
+def read_traces(spark: SparkSession, path: str, role: str = "eeg") -> DataFrame:
+    """A row a channel of the signal of a role (eeg, or pns: peripheral channels of packages); a recording that can't be read gives one row with its error."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         identity = pdf["recording_id"].iloc[0]
         try:
-            rec = _load(pdf)
+            rec = _load(pdf, role)
         except (formats.FormatError, ValueError, KeyError, TypeError, IndexError) as e:
             return pd.DataFrame([(identity, None, None, None, None, None, str(e) or type(e).__name__)], columns=[c.split()[0] for c in TRACES.split(", ")])
         z = rec.get("impedance") or [None] * len(rec["data"])
@@ -61,17 +61,20 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_package_values(spark: SparkSession, path: str) -> DataFrame:
-    """(recording_id, file, path, value) of every XML file."""
-
-    @F.udf("map<string,string>", useArrow=True)
-    def flat(raw):
-        try:
-            return formats.flattened(bytes(raw))
-        except Exception:  # noqa: BLE001 - a damaged file has no values
-            return {}
+    """(recording_id, file, path, value, error) of every XML file; a damaged file gives one row with its error."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples():
+                try:
+                    rows += [(row.recording_id, row.file, k, v, None) for k, v in formats.flattened(bytes(row.content)).items()]
+                except (SyntaxError, ValueError, LookupError) as e:  # a parse error is a SyntaxError
+                    rows.append((row.recording_id, row.file, None, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["recording_id", "file", "path", "value", "error"])
 
     files = recording_files(spark, path).where(F.lower("file").endswith(".xml"))
-    return files.select("recording_id", "file", F.explode(flat("content")).alias("path", "value"))
+    return files.mapInPandas(run, "recording_id string, file string, path string, value string, error string")
 
 
 def read_motion(spark: SparkSession, path: str) -> DataFrame:
