@@ -5,64 +5,96 @@ from __future__ import annotations
 import numpy as np
 
 from voltlake.functions.dsp import band_pass, symmetric_eigen
-from voltlake.functions.wavelets import a_trous
 
 ALGORITHMS = ("simple", "pan_tompkins", "hamilton", "wfdb", "wavelet", "christov")
 
 
+#: Windows in seconds, and for each algorithm the shares of the threshold and the least values of starting level and floor.
+BASELINE, HIGH_PASS, SMOOTHING, SPACING, REFINEMENT = 0.60, 0.20, 0.035, 0.080, 0.080
+LEVELS = {"pan_tompkins": (0.45, 0.90, 0.25, 0.55), "hamilton": (0.55, 1.00, 0.30, 0.65), "wfdb": (0.50, 0.95, 0.28, 0.60), "wavelet": (0.48, 0.90, 0.25, 0.55), "christov": (0.52, 0.95, 0.30, 0.60)}
+
+
+def samples_of(seconds: float, rate: float, least: int = 1) -> int:
+    return max(int(seconds * rate + 0.5), least)
+
+
 def moving_average(x: np.ndarray, width: int) -> np.ndarray:
-    """Centred mean, shorter at the ends."""
+    """Mean of the finite values within width // 2 to both sides, shorter at the ends; 0 where there are none."""
+    if width <= 1:
+        return np.array(x, float)
     r = max(1, width // 2)
-    c = np.concatenate([[0.0], np.cumsum(x)])
+    ok = np.isfinite(x)
+    total, count = (np.concatenate([[0.0], np.cumsum(v)]) for v in (np.where(ok, x, 0.0), ok))
     n = np.arange(len(x))
     low, high = np.maximum(n - r, 0), np.minimum(n + r + 1, len(x))
-    return (c[high] - c[low]) / (high - low)
+    held = count[high] - count[low]
+    return np.where(held > 0, (total[high] - total[low]) / np.maximum(held, 1), 0.0)
 
 
 def derivative(x: np.ndarray) -> np.ndarray:
-    return np.gradient(x) if len(x) > 1 else np.zeros(len(x))
+    return np.gradient(x) if len(x) > 1 else np.array(x, float)
 
 
-def robust_z(x: np.ndarray) -> np.ndarray:
-    """Centred on the median; the scale is the largest of 1.4826 MAD, a third of p95 - median, a tenth of the rms, 1e-6."""
-    x = np.nan_to_num(x)
-    if not len(x):
-        return x
-    c = np.median(x)
-    return (x - c) / max(1.4826 * np.median(np.abs(x - c)), (np.percentile(x, 95) - c) / 3, 0.1 * np.sqrt(np.mean(x * x)), 1e-6)
+def robust_level(x: np.ndarray) -> tuple[float, float] | None:
+    """Median, and the largest of 1.4826 MAD, a third of p95 - median, a tenth of the rms about the median, 1e-6; from at most about 20,000 samples, None for fewer than 8."""
+    x = x[:: max(len(x) // 20_000, 1)]
+    x = x[np.isfinite(x)]
+    if len(x) < 8:
+        return None
+    c = float(np.median(x))
+    return c, float(max(1.4826 * np.median(np.abs(x - c)), (np.percentile(x, 95) - c) / 3, 0.1 * np.sqrt(np.mean((x - c) ** 2)), 1e-6))
 
 
-def envelope(x: np.ndarray, rate: float, algorithm: str) -> np.ndarray:
-    """A non-negative trace that is high on QRS complexes."""
-    x = np.nan_to_num(np.asarray(x, float))
-    x = x - moving_average(x, int(0.6 * rate))
-    if algorithm == "simple":
-        return np.abs(x)
-    if algorithm == "wavelet":
-        _, details = a_trous(x, 5)
-        centre = [rate / 2 ** (k + 2) for k in range(5)]
-        use = [d for d, f in zip(details, centre, strict=True) if 4 <= f <= 30] or details[1:3]
-        return moving_average(sum(d * d for d in use), int(0.08 * rate))
-    high = min(15.0, 0.45 * rate)
-    y = band_pass(x, rate, 5.0 if high > 6 else None, high, slope=12)
-    d = derivative(y) * rate
+def without_baseline(x: np.ndarray, rate: float) -> np.ndarray:
+    x = np.asarray(x, float)
+    slow = moving_average(x, 2 * max(int(BASELINE * rate / 2 + 0.5), 1))
+    return np.where(np.isfinite(x), x - slow, 0.0)
+
+
+def envelope(y: np.ndarray, rate: float, algorithm: str) -> np.ndarray:
+    """A non-negative trace of a filtered lead that is high on QRS complexes."""
+    mean = lambda x, seconds, least=3: moving_average(x, samples_of(seconds, rate, least))
+    d = derivative(y)
     if algorithm == "pan_tompkins":
-        return moving_average(d * d, int(0.15 * rate))
+        return mean(d * d, 0.150)
     if algorithm == "hamilton":
-        return moving_average(np.abs(d), int(0.08 * rate))
+        short = mean(np.abs(d), 0.080)
+        return np.maximum(short - 0.5 * mean(short, 1.0, 2 * samples_of(0.080, rate, 3)), 0)
     if algorithm == "wfdb":
-        step = np.sqrt(1.0 + (d / max(1e-9, np.std(d))) ** 2)
-        return moving_average(step - 1.0, int(0.13 * rate))
-    return moving_average(np.abs(d), int(0.04 * rate)) + moving_average(np.abs(d), int(0.35 * rate)) * 0.3
+        scale = (robust_level(d) or (0.0, 1.0))[1]
+        return mean(np.sqrt(1 + (d / max(scale, 1e-6)) ** 2) - 1, 0.130) + np.sqrt(np.maximum(mean(d * d, 0.050), 0))
+    if algorithm == "wavelet":
+        steps = [y, *(mean(y, seconds, least) for seconds, least in ((0.025, 1), (0.050, 3), (0.100, 5), (0.200, 9)))]
+        energy = sum(share * (fine - coarse) ** 2 for share, fine, coarse in zip((1.0, 0.85, 0.60, 0.35), steps, steps[1:], strict=False))
+        return mean(np.sqrt(energy), 0.080)
+    short = mean(np.abs(d) + 0.45 * np.abs(derivative(d)), 0.040)
+    return np.maximum(short - 0.35 * mean(short, 0.280, 7), 0)
+
+
+def lead_scores(x: np.ndarray, rate: float, algorithm: str, polarity: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Robust z of a lead's envelope (0 and more), and the waveform that beats are placed on."""
+    y = without_baseline(x, rate)
+    if algorithm != "simple":
+        y = moving_average(y - moving_average(y, samples_of(HIGH_PASS, rate, 3)), samples_of(SMOOTHING, rate))
+    e = y if algorithm == "simple" else envelope(y, rate, algorithm)
+    level = robust_level(e)
+    if level is None:
+        return None
+    z = (e - level[0]) / level[1]
+    return (np.maximum(z, 0) if algorithm != "simple" else turned(z, polarity)), y
+
 
+def turned(x: np.ndarray, polarity: str) -> np.ndarray:
+    return {"positive": np.maximum(x, 0), "negative": np.maximum(-x, 0)}.get(polarity, np.abs(x))
 
-def peaks_of(z: np.ndarray, spacing: int) -> np.ndarray:
-    """Local maxima, the highest within a spacing from the cluster's first peak."""
+
+def clustered(z: np.ndarray, spacing: int) -> np.ndarray:
+    """Local maxima, of each cluster the highest; a cluster spans the spacing from its first."""
     at = np.flatnonzero((z[1:-1] >= z[:-2]) & (z[1:-1] > z[2:])) + 1
     kept: list[int] = []
-    first = -(10**9)
+    first = None
     for p in at.tolist():
-        if p - first >= spacing:
+        if first is None or p - first > spacing:
             kept.append(p)
             first = p
         elif z[p] > z[kept[-1]]:
@@ -70,40 +102,48 @@ def peaks_of(z: np.ndarray, spacing: int) -> np.ndarray:
     return np.array(kept, int)
 
 
-def adaptive_picks(z: np.ndarray, candidates: np.ndarray, refractory: int) -> list[int]:
-    """Running signal and noise levels (1/8 of the new peak, 7/8 of the old level); a pick is above a quarter of the way from noise to signal."""
-    if not len(candidates):
+def adaptive_picks(z: np.ndarray, peaks: np.ndarray, level: float, floor: float) -> list[int]:
+    """Peaks above a quarter of the way from the noise to the signal level, which both follow the peaks by an eighth."""
+    if not len(peaks):
         return []
-    signal = float(np.percentile(z[candidates], 75))
-    noise = min(float(np.percentile(z[candidates], 10)), 0.25 * signal)
+    signal, noise = max(level, float(np.percentile(z[peaks], 85))), max(0.0, float(np.percentile(z[peaks], 20)))
+    limit = max(floor, min(level, noise + 0.25 * (signal - noise)))
     picks: list[int] = []
-    for p in candidates.tolist():
+    for p in peaks.tolist():
         v = float(z[p])
-        if v > noise + 0.25 * (signal - noise) and (not picks or p - picks[-1] >= refractory):
+        if v >= limit:
             picks.append(p)
             signal = 0.125 * v + 0.875 * signal
         else:
             noise = 0.125 * v + 0.875 * noise
+        limit = max(floor, noise + 0.25 * (signal - noise))
     return picks
 
 
-def r_waves(channels: np.ndarray, rate: float, algorithm: str = "pan_tompkins", threshold: float | None = None, min_rr: float = 0.3) -> list[tuple[int, float]]:
-    """(sample, score) of each beat; channels x samples, the largest z of the channels counts."""
-    if channels.size == 0 or rate <= 0 or channels.shape[1] < 8:
+def r_waves(channels: np.ndarray, rate: float, algorithm: str = "pan_tompkins", threshold: float = 2.0, min_rr: float = 0.3, polarity: str = "either") -> list[tuple[int, float]]:
+    """(sample, score) of each beat; channels x samples, the largest score of the channels counts.
+
+    'simple' takes local maxima above the threshold, the others adaptive levels that
+    start from it. Beats move to the largest excursion near them; of beats closer than
+    ``min_rr`` seconds the better stays.
+    """
+    if channels.size == 0 or rate <= 0 or channels.shape[1] < 3:
         return []
-    z = np.max([robust_z(envelope(c, rate, algorithm)) for c in channels], 0)
-    spacing = max(1, int(min_rr * rate))
-    candidates = peaks_of(z, max(1, int(0.2 * rate)))
-    picks = adaptive_picks(z, candidates[z[candidates] > 0.5], spacing) if threshold is None else [int(p) for p in candidates if z[p] >= threshold]
-    half, lead = int(0.08 * rate), np.abs(channels - np.nanmedian(channels, 1, keepdims=True)).max(0)
-    refined = []
-    for p in picks:
-        low = max(0, p - half)
-        refined.append((low + int(np.argmax(lead[low : p + half + 1])), float(z[p])))
+    leads = [x for x in (lead_scores(c, rate, algorithm, polarity) for c in channels) if x is not None]
+    if not leads:
+        return []
+    z = np.maximum(np.max([s for s, _ in leads], 0), 0)
+    if algorithm == "simple":
+        picks = (np.flatnonzero((z[1:-1] >= threshold) & (z[1:-1] >= z[:-2]) & (z[1:-1] > z[2:])) + 1).tolist()
+    else:
+        share, least, low_share, low_least = LEVELS[algorithm]
+        picks = adaptive_picks(z, clustered(z, samples_of(SPACING, rate)), max(threshold * share, least), max(threshold * low_share, low_least))
+    half, lead = samples_of(REFINEMENT, rate), np.max([turned(y, polarity) for _, y in leads], 0)
+    placed = [(max(0, p - half) + int(np.argmax(lead[max(0, p - half) : p + half + 1])), float(z[p])) for p in picks]
     out: list[tuple[int, float]] = []
-    for p, s in sorted(refined, key=lambda x: (-x[1], x[0])):
-        if all(abs(p - q) >= spacing for q, _ in out):
-            out.append((p, s))
+    for p, score in sorted(placed, key=lambda x: -x[1]):
+        if all(abs(p - q) >= min_rr * rate for q, _ in out):
+            out.append((p, score))
     return sorted(out)
 
 

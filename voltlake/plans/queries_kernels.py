@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from voltlake.functions import cardiac
 from voltlake.operators import kernels, spectra
 from voltlake.operators.layout import to_samples, to_traces
 from voltlake.plans.registry import CHANNELS, RATE, SIGNAL, circle, n_samples, out, query, r, signal
@@ -89,8 +90,54 @@ _q("line_noise_reduced", lambda s, d: to_samples(kernels.line_reduced(traces(s,
 _q("wavelet_reduced", lambda s, d: to_samples(kernels.wavelet_reduced(traces(s, d)), "recording_id", "channel_index"))
 _q("wavelet_goodness", lambda s, d: kernels.wavelet_goodness(traces(s, d)))
 _q("wavelet_ranges", lambda s, d: kernels.wavelet_ranges(traces(s, d), RATE))
-for _algorithm in ("simple", "pan_tompkins", "hamilton", "wfdb", "wavelet", "christov"):
-    _q(f"r_waves_{_algorithm}", lambda s, d, a=_algorithm: kernels.r_wave_events(traces(s, d), RATE, a))
+
+
+def _ma(x: str, radius: int) -> str:
+    return f"avg({x}) OVER (PARTITION BY ch ORDER BY i ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING)"
+
+
+def _slope(x: str) -> str:
+    w = "OVER (PARTITION BY ch ORDER BY i)"
+    return f"CASE WHEN lag({x}) {w} IS NULL THEN lead({x}) {w} - {x} WHEN lead({x}) {w} IS NULL THEN {x} - lag({x}) {w} ELSE (lead({x}) {w} - lag({x}) {w}) / 2 END"
+
+
+def _robust(table: str, x: str) -> str:
+    """Centre and scale of a column by channel."""
+    return f"(SELECT ch, any_value(c) AS c, greatest(1.4826 * quantile_cont(abs({x} - c), 0.5), (quantile_cont({x}, 0.95) - any_value(c)) / 3, 0.1 * sqrt(avg(({x} - c) ** 2)), 1e-6) AS z FROM (SELECT *, quantile_cont({x}, 0.5) OVER (PARTITION BY ch) AS c FROM {table}) GROUP BY ch)"
+
+
+#: Steps from the slope d of the filtered lead f to its envelope e, at 250 Hz (radii in samples).
+_ENVELOPES = {
+    "pan_tompkins": f"ev AS (SELECT ch, i, {_ma('d * d', 19)} AS e FROM dd)",
+    "hamilton": f"e1 AS (SELECT ch, i, {_ma('abs(d)', 10)} AS x FROM dd), ev AS (SELECT ch, i, greatest(x - 0.5 * {_ma('x', 125)}, 0) AS e FROM e1)",
+    "wfdb": f"rs AS {_robust('dd', 'd')}, e1 AS (SELECT ch, i, d, sqrt(1 + (d / z) ** 2) - 1 AS x FROM dd JOIN rs USING (ch)), ev AS (SELECT ch, i, {_ma('x', 16)} + sqrt(greatest({_ma('d * d', 6)}, 0)) AS e FROM e1)",
+    "wavelet": f"e1 AS (SELECT ch, i, f, {_ma('f', 3)} AS a, {_ma('f', 6)} AS b, {_ma('f', 12)} AS c, {_ma('f', 25)} AS g FROM dd), e2 AS (SELECT ch, i, sqrt((f - a) ** 2 + 0.85 * (a - b) ** 2 + 0.6 * (b - c) ** 2 + 0.35 * (c - g) ** 2) AS x FROM e1), ev AS (SELECT ch, i, {_ma('x', 10)} AS e FROM e2)",
+    "christov": f"e1 AS (SELECT ch, i, abs(d) + 0.45 * abs({_slope('d')}) AS x FROM dd), e2 AS (SELECT ch, i, {_ma('x', 5)} AS x FROM e1), ev AS (SELECT ch, i, greatest(x - 0.35 * {_ma('x', 35)}, 0) AS e FROM e2)",
+}
+
+
+def _r_wave_sql(algorithm: str, threshold: float = 2.0) -> str:
+    base = f"WITH RECURSIVE {SIGNAL}, bs AS (SELECT ch, i, v - {_ma('v', 75)} AS f FROM s)"
+    if algorithm == "simple":
+        base += f", ev AS (SELECT ch, i, f AS e FROM bs), wv AS (SELECT * FROM bs), rb AS {_robust('ev', 'e')}, ag AS (SELECT i, max(abs((e - c) / z)) AS v FROM ev JOIN rb USING (ch) GROUP BY i)"
+    else:
+        base += f", hp AS (SELECT ch, i, f - {_ma('f', 25)} AS f FROM bs), wv AS (SELECT ch, i, {_ma('f', 4)} AS f FROM hp), dd AS (SELECT ch, i, f, {_slope('f')} AS d FROM wv), {_ENVELOPES[algorithm]}, rb AS {_robust('ev', 'e')}, ag AS (SELECT i, greatest(max((e - c) / z), 0) AS v FROM ev JOIN rb USING (ch) GROUP BY i)"
+    base += ", lo AS (SELECT i, v, row_number() OVER (ORDER BY i) AS k FROM (SELECT *, lag(v) OVER (ORDER BY i) AS a, lead(v) OVER (ORDER BY i) AS b FROM ag) WHERE v >= a AND v > b)"
+    if algorithm == "simple":
+        base += f", pk AS (SELECT i, v FROM lo WHERE v >= {threshold})"
+    else:
+        share, least, low_share, low_least = cardiac.LEVELS[algorithm]
+        level, floor = max(threshold * share, least), max(threshold * low_share, low_least)
+        base += f""", cl AS (SELECT k, i AS fi, i AS ki, v AS kv, NULL::BIGINT AS oi, NULL::DOUBLE AS ov FROM lo WHERE k = 1 UNION ALL SELECT lo.k, CASE WHEN lo.i - fi > 20 THEN lo.i ELSE fi END, CASE WHEN lo.i - fi > 20 OR lo.v > kv THEN lo.i ELSE ki END, CASE WHEN lo.i - fi > 20 OR lo.v > kv THEN lo.v ELSE kv END, CASE WHEN lo.i - fi > 20 THEN ki END, CASE WHEN lo.i - fi > 20 THEN kv END FROM cl JOIN lo ON lo.k = cl.k + 1),
+cp AS (SELECT i, v, row_number() OVER (ORDER BY i) AS k FROM (SELECT oi AS i, ov AS v FROM cl WHERE oi IS NOT NULL UNION ALL SELECT arg_max(ki, k), arg_max(kv, k) FROM cl)), lv AS (SELECT greatest({level}, quantile_cont(v, 0.85)) AS sg, greatest(0, quantile_cont(v, 0.2)) AS ns FROM cp),
+ad AS (SELECT 0::BIGINT AS k, 0::BIGINT AS i, 0.0::DOUBLE AS v, false AS hit, sg, ns, greatest({floor}, least({level}, ns + 0.25 * (sg - ns))) AS lim FROM lv UNION ALL SELECT k, i, v, hit, sg, ns, greatest({floor}, ns + 0.25 * (sg - ns)) FROM (SELECT cp.k, cp.i, cp.v, cp.v >= lim AS hit, CASE WHEN cp.v >= lim THEN 0.125 * cp.v + 0.875 * sg ELSE sg END AS sg, CASE WHEN cp.v >= lim THEN ns ELSE 0.125 * cp.v + 0.875 * ns END AS ns FROM ad JOIN cp ON cp.k = ad.k + 1)), pk AS (SELECT i, v FROM ad WHERE hit)"""
+    return base + """, ld AS (SELECT i, max(abs(f)) AS m FROM wv GROUP BY i), rf AS (SELECT pk.i AS p, any_value(v) AS v, arg_max(ld.i, struct_pack(m := m, n := -ld.i)) AS i FROM pk JOIN ld ON ld.i BETWEEN pk.i - 20 AND pk.i + 20 GROUP BY pk.i),
+o AS (SELECT 0 AS ch, i, v, row_number() OVER (ORDER BY v DESC, p) AS k FROM rf), f AS (SELECT k, [i] AS kept, [v] AS vals FROM o WHERE k = 1 UNION ALL SELECT o.k, CASE WHEN len(list_filter(kept, lambda z: abs(z - o.i) < 75)) > 0 THEN kept ELSE list_append(kept, o.i) END, CASE WHEN len(list_filter(kept, lambda z: abs(z - o.i) < 75)) > 0 THEN vals ELSE list_append(vals, o.v) END FROM f JOIN o ON o.k = f.k + 1)
+SELECT unnest(kept) AS sample_index, round(unnest(vals), 5) AS score FROM (SELECT arg_max(kept, k) AS kept, arg_max(vals, k) AS vals FROM f)"""
+
+
+for _algorithm in cardiac.ALGORITHMS:
+    _q(f"r_waves_{_algorithm}", lambda s, d, a=_algorithm: out(kernels.r_wave_events(traces(s, d), RATE, a), "sample_index", r("score", 5).alias("score")), _r_wave_sql(_algorithm), True)
 for _method in ("periodic", "spatial", "refined"):
     _q(f"bcg_{_method}", lambda s, d, m=_method: kernels.bcg_events(traces(s, d), RATE, m))
 for _method in ("waveform", "trajectory", "wavelet"):
