@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from voltlake.functions import cardiac
+from voltlake.functions import cardiac, dsp
 from voltlake.operators import kernels, spectra
 from voltlake.operators.layout import to_samples, to_traces
 from voltlake.plans.registry import CHANNELS, RATE, SIGNAL, circle, n_samples, out, query, r, signal
@@ -85,8 +87,45 @@ def _samples(t):
     return out(to_samples(t), F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value", 5).alias("value"))
 
 
-_q("filtered_signal", lambda s, d: to_samples(kernels.filtered(traces(s, d), RATE, high=1.0, low=40.0, notch=60.0), "recording_id", "channel_index"))
-_q("line_noise_reduced", lambda s, d: to_samples(kernels.line_reduced(traces(s, d), RATE), "recording_id", "channel_index"))
+_N = "(SELECT max(vec_id) + 1 FROM embeddings)"
+
+
+def _zero_phase(sections: list, lead: float) -> str:
+    """Views y0 (channels as a list, by sample) to y<number of sections>: each section forward and backward over the reflected signal."""
+    pad = f"least({max(math.ceil(3 * RATE / lead), 24)}, {_N} - 1)"
+    views = [f"y0 AS (SELECT i, list(v ORDER BY ch) AS v FROM s GROUP BY i), g AS (SELECT unnest(range(0, {_N} + 2 * {pad})) AS j)"]
+    for k, (b, a) in enumerate(sections):
+        (b0, b1, b2), (_, a1, a2) = ((f"({float(x)!r}::DOUBLE)" for x in c) for c in (b, a))
+        views.append(f"x{k} AS (SELECT j, v FROM g JOIN y{k} ON i = CASE WHEN j < {pad} THEN {pad} - j WHEN j >= {pad} + {_N} THEN 2 * ({_N} - 1) - (j - {pad}) ELSE j - {pad} END)")
+        for name, source, value, first, step in ((f"f{k}", f"x{k}", "v", "0", "+ 1"), (f"b{k}", f"f{k}", "y", f"(SELECT max(j) FROM f{k})", "- 1")):
+            keep = "(SELECT j, y AS v FROM {0})".format(source) if value == "y" else source
+            state = lambda y: f"list_transform(range(1, 65), lambda c: {b1} * v[c] - {a1} * {y}[c] + s2[c]) AS s1, list_transform(range(1, 65), lambda c: {b2} * v[c] - {a2} * {y}[c]) AS s2"  # noqa: E731, B023
+            views.append(
+                f"{name} AS (SELECT j, y, {state('y')} FROM (SELECT j, v, list_transform(range(1, 65), lambda c: {b0} * v[c]) AS y, list_transform(range(1, 65), lambda c: 0.0::DOUBLE) AS s2 FROM {keep} WHERE j = {first}) UNION ALL SELECT j, y, {state('y')} FROM (SELECT e.j, e.v, p.s2, list_transform(range(1, 65), lambda c: {b0} * e.v[c] + p.s1[c]) AS y FROM {name} p JOIN {keep} e ON e.j = p.j {step}))"
+            )
+        views.append(f"y{k + 1} AS (SELECT j - {pad} AS i, y AS v FROM b{k} WHERE j >= {pad} AND j < {pad} + {_N})")
+    return ", ".join(views)
+
+
+_BAND = dsp.butterworth("high", 1.0, RATE, 24) + dsp.butterworth("low", 40.0, RATE, 24)
+_FLAT = "SELECT unnest(range(64))::BIGINT AS channel_index, i AS sample_index, round(unnest({v}), 5) + 0.0 AS value FROM {t}"
+_q("filtered_signal", lambda s, d: _samples(kernels.filtered(traces(s, d), RATE, high=1.0, low=40.0, notch=60.0)), f"WITH RECURSIVE {SIGNAL}, {_zero_phase([*_BAND, dsp.biquad('notch', 60.0, RATE, dsp.NOTCH_Q)], 1.0)} {_FLAT.format(v='v', t='y5')}", True)
+
+
+def _line_sql(strength: float = 1.0) -> str:
+    """Sinusoids at 60 and 120 Hz, one after the other, fitted in windows of 4 s that overlap by half."""
+    stages, last = [f"n AS (SELECT least({_N}, 1000) AS n, {_N} AS len), st AS (SELECT DISTINCT a FROM (SELECT unnest(range(0, len - n + 1, greatest(1, n // 2))) AS a FROM n UNION ALL SELECT len - n FROM n))"], "s"
+    for k in (1, 2):
+        stages.append(
+            f"w{k} AS (SELECT ch, a, i, v - avg(v) OVER (PARTITION BY ch, a) AS y, sin(2 * pi() * {60 * k} / 250 * i) AS sn, cos(2 * pi() * {60 * k} / 250 * i) AS cs, 0.500001 - 0.5 * cos(2 * pi() * (i - a) / (n - 1)) AS tp FROM {last}, st, n WHERE i >= a AND i < a + n), "
+            f"m{k} AS (SELECT ch, a, sum(sn * sn) AS ss, sum(sn * cs) AS sc, sum(cs * cs) AS cc, sum(sn * y) AS sy, sum(cs * y) AS cy, sum(y * y) AS yy FROM w{k} GROUP BY ALL), c{k} AS (SELECT ch, a, (sy * cc - cy * sc) / (ss * cc - sc * sc) AS p, (cy * ss - sy * sc) / (ss * cc - sc * sc) AS q, ss, sc, cc, yy FROM m{k}), "
+            f"t{k} AS (SELECT ch, i, sum(CASE WHEN p * p * ss + 2 * p * q * sc + q * q * cc >= {max(2e-4, 2e-3 / strength)} * yy THEN (p * sn + q * cs) * tp ELSE 0 END) / greatest(sum(tp), 1e-6) AS f FROM w{k} JOIN c{k} USING (ch, a) GROUP BY ALL), l{k} AS (SELECT ch, i, v - {strength} * f AS v FROM {last} JOIN t{k} USING (ch, i))"
+        )
+        last = f"l{k}"
+    return f"WITH {SIGNAL}, {', '.join(stages)} SELECT ch::BIGINT AS channel_index, i AS sample_index, round(v, 5) + 0.0 AS value FROM {last}"
+
+
+_q("line_noise_reduced", lambda s, d: _samples(kernels.line_reduced(traces(s, d), RATE)), _line_sql(), True)
 _q("wavelet_reduced", lambda s, d: to_samples(kernels.wavelet_reduced(traces(s, d)), "recording_id", "channel_index"))
 _q("wavelet_goodness", lambda s, d: kernels.wavelet_goodness(traces(s, d)))
 _q("wavelet_ranges", lambda s, d: kernels.wavelet_ranges(traces(s, d), RATE))
@@ -138,7 +177,15 @@ SELECT unnest(kept) AS sample_index, round(unnest(vals), 5) AS score FROM (SELEC
 
 for _algorithm in cardiac.ALGORITHMS:
     _q(f"r_waves_{_algorithm}", lambda s, d, a=_algorithm: out(kernels.r_wave_events(traces(s, d), RATE, a), "sample_index", r("score", 5).alias("score")), _r_wave_sql(_algorithm), True)
-for _method in ("periodic", "spatial", "refined"):
+_PULSE = dsp.butterworth("high", 40 / 60, RATE, 12) + dsp.butterworth("low", 3.0, RATE, 12)
+_q(
+    "bcg_periodic",
+    lambda s, d: out(kernels.bcg_events(traces(s, d), RATE, "periodic"), "sample_index"),
+    f"""WITH RECURSIVE {SIGNAL}, {_zero_phase(_PULSE, 40 / 60)}, r AS (SELECT i, sqrt(list_avg(list_transform(v, lambda x: x * x))) AS v FROM y2), q AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM r), m AS (SELECT avg(v) + 2.5 * stddev_pop(v) AS lim FROM r, q WHERE v BETWEEN q1 AND q3), p AS (SELECT i, v FROM (SELECT *, lag(v) OVER (ORDER BY i) AS a, lead(v) OVER (ORDER BY i) AS b FROM r), m WHERE v >= a AND v > b AND v > lim),
+o AS (SELECT i, v, row_number() OVER (ORDER BY v DESC, i) AS k FROM p), h AS (SELECT k, [i] AS kept FROM o WHERE k = 1 UNION ALL SELECT o.k, CASE WHEN len(list_filter(kept, lambda z: abs(z - o.i) < 50)) > 0 THEN kept ELSE list_append(kept, o.i) END FROM h JOIN o ON o.k = h.k + 1) SELECT unnest(arg_max(kept, k)) AS sample_index FROM h""",
+    True,
+)
+for _method in ("spatial", "refined"):
     _q(f"bcg_{_method}", lambda s, d, m=_method: kernels.bcg_events(traces(s, d), RATE, m))
 for _method in ("waveform", "trajectory", "wavelet"):
     _q(f"template_{_method}", lambda s, d, m=_method: kernels.template_events(traces(s, d), 100, 32, 0.2, m))
@@ -171,10 +218,10 @@ def interpolated_channels(spark, d):
     return kernels.interpolated_channels(signal(spark, d), geometry, [3, 10])
 
 
-@query()
+@query(f"WITH RECURSIVE {SIGNAL}, {_zero_phase(_BAND, 1.0)}, z AS (SELECT i, list_transform(v, lambda x: x - (list_sum(v) - v[4]) / 63) AS v FROM y4) {_FLAT.format(v='v', t='z')}", two=True)
 def replayed_script(spark, d):
     steps = Pipeline().add("filter", highPassHz=1, lowPassHz=40).add("segment", replayable=False).add("reference", bad="3")
-    return to_samples(Pipeline.from_xml(steps.to_xml()).run(traces(spark, d), RATE), "recording_id", "channel_index")
+    return _samples(Pipeline.from_xml(steps.to_xml()).run(traces(spark, d), RATE))
 
 
 @query()
