@@ -128,7 +128,27 @@ def _line_sql(strength: float = 1.0) -> str:
 _q("line_noise_reduced", lambda s, d: _samples(kernels.line_reduced(traces(s, d), RATE)), _line_sql(), True)
 _q("wavelet_reduced", lambda s, d: to_samples(kernels.wavelet_reduced(traces(s, d)), "recording_id", "channel_index"))
 _q("wavelet_goodness", lambda s, d: kernels.wavelet_goodness(traces(s, d)))
-_q("wavelet_ranges", lambda s, d: kernels.wavelet_ranges(traces(s, d), RATE))
+
+
+def _detail_sql(levels: int = 5) -> str:
+    """View dt: each channel's detail energy e by sample, of the dilated 1-4-6-4-1 smoothing with clamped edges."""
+    at = lambda k, step: f"v{k}[greatest(1, least(len(v{k}), j + ({step})))]"
+    views = ["h0 AS (SELECT ch, list(v ORDER BY i) AS v0 FROM s GROUP BY ch)"]
+    for k in range(levels):
+        d = 2**k
+        views.append(f"h{k + 1} AS (SELECT *, list_transform(range(1, len(v{k}) + 1), lambda j: ({at(k, -2 * d)} + 4 * {at(k, -d)} + 6 * v{k}[j] + 4 * {at(k, d)} + {at(k, 2 * d)}) / 16) AS v{k + 1} FROM h{k})")
+    energy = " + ".join(f"(v{k}[j] - v{k + 1}[j]) ** 2" for k in range(levels))
+    views.append(f"dt AS (SELECT ch, unnest(range(len(v0))) AS i, unnest(list_transform(range(1, len(v0) + 1), lambda j: sqrt({energy}))) AS e FROM h{levels})")
+    return ", ".join(views)
+
+
+_q(
+    "wavelet_ranges",
+    lambda s, d: out(kernels.wavelet_ranges(traces(s, d), RATE, sensitivity=0.9, least_s=0.008), "start_sample", "end_sample", r("peak").alias("peak")),
+    f"""WITH {SIGNAL}, {_detail_sql()}, q AS (SELECT ch, greatest(quantile_cont(e, 0.95), 1e-12) AS q FROM dt GROUP BY ch), dr AS (SELECT i, max(e / q) AS d FROM dt JOIN q USING (ch) GROUP BY i), h AS (SELECT i, d, i - row_number() OVER (ORDER BY i) AS g FROM dr WHERE d >= 1.4), u AS (SELECT min(i) AS a, max(i) AS b, max(d) AS p FROM h GROUP BY g HAVING count(*) >= 2),
+m AS (SELECT *, CASE WHEN max(b) OVER w IS NULL OR a - max(b) OVER w > 25 THEN 1 ELSE 0 END AS f FROM u WINDOW w AS (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), k AS (SELECT *, sum(f) OVER (ORDER BY a) AS isle FROM m) SELECT min(a)::BIGINT AS start_sample, max(b)::BIGINT AS end_sample, round(max(p), 6) AS peak FROM k GROUP BY isle ORDER BY peak DESC LIMIT 50""",
+    True,
+)
 
 
 def _ma(x: str, radius: int) -> str:

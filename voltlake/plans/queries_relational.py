@@ -25,11 +25,17 @@ def artifact_overlap(spark, d):
     return joins.artifact_overlap(*ranges(spark, d)).select("segment_id", "overlap_samples", "n_intervals")
 
 
-@query(f"WITH {TRACK}, {_RANGES} SELECT segment_id FROM seg WHERE NOT EXISTS (SELECT 1 FROM art WHERE art.a <= seg.b AND art.b >= seg.a)")
+_SHORT = "seg AS (SELECT event_id AS segment_id, floor(t)::BIGINT AS a, floor(t)::BIGINT + 40 AS b FROM e WHERE code = 'click'), art AS (SELECT floor(t)::BIGINT AS a, floor(t)::BIGINT + floor(value / 10)::BIGINT AS b FROM e WHERE code = 'error')"
+
+
+@query(f"WITH {TRACK}, {_SHORT} SELECT segment_id FROM seg WHERE NOT EXISTS (SELECT 1 FROM art WHERE art.a <= seg.b AND art.b >= seg.a)")
 def epochs_without_artifacts(spark, d):
     from voltlake.operators.select import without_artifacts
 
-    return without_artifacts(*ranges(spark, d)).select("segment_id")
+    e, start = track(spark, d), F.floor("begin_s")
+    seg = e.where("code = 'click'").select(F.col("event_id").alias("segment_id"), start.alias("start_sample"), (start + 40).alias("end_sample"))
+    art = e.where("code = 'error'").select(start.alias("start_sample"), (start + F.floor(F.col("value") / 10)).alias("end_sample"))
+    return without_artifacts(seg, art).select("segment_id")
 
 
 @query("WITH ep AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k, (o_orderkey * 1000)::BIGINT AS a, (o_orderkey * 1000 + 1500)::BIGINT AS b FROM orders), sg AS (SELECT l_orderkey AS id, min(l_orderkey) * 1000 + 900 AS m FROM lineitem GROUP BY 1) SELECT id AS segment_id, (SELECT min(struct_pack(a := ep.a, k := ep.k)).k FROM ep WHERE m >= ep.a AND m < ep.b)::BIGINT AS epoch_index FROM sg")
