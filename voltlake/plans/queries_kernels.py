@@ -232,10 +232,23 @@ _q("ica_components", lambda s, d: kernels.ica_fitted(traces(s, d), RATE, _positi
 _q("ica_cleaned", lambda s, d: to_samples(kernels.ica_cleaned(traces(s, d), RATE, _positions()), "recording_id", "channel_index"))
 
 
-@query()
+_DOME = [(k, x, y, max(0.0, 1 - x * x - y * y) ** 0.5) for k, x, y in circle(CHANNELS)]
+_GOOD = [g for g in _DOME if g[0] not in (3, 10)]
+
+
+def _weight_rows() -> str:
+    """The spline weights (a sensor table, computed once) as SQL values."""
+    rows = []
+    for target in (3, 10):
+        w = dsp.spline_weights(np.array([g[1:] for g in _GOOD]), np.array(_DOME[target][1:]))
+        rows += [f"({target}, {g[0]}, {float(v)!r}::DOUBLE)" for g, v in zip(_GOOD, w, strict=True)]
+    return ", ".join(rows)
+
+
+@query(f"WITH {SIGNAL}, wt AS (SELECT * FROM (VALUES {_weight_rows()}) t(target, ch, w)) SELECT target::BIGINT AS channel_index, i AS sample_index, round(sum(w * v), 6) + 0.0 AS value FROM s JOIN wt USING (ch) GROUP BY ALL", two=True)
 def interpolated_channels(spark, d):
-    geometry = [(k, x, y, max(0.0, 1 - x * x - y * y) ** 0.5) for k, x, y in circle(CHANNELS)]
-    return kernels.interpolated_channels(signal(spark, d), geometry, [3, 10])
+    found = kernels.interpolated_channels(signal(spark, d), _DOME, [3, 10])
+    return out(found, F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value").alias("value"))
 
 
 @query(f"WITH RECURSIVE {SIGNAL}, {_zero_phase(_BAND, 1.0)}, z AS (SELECT i, list_transform(v, lambda x: x - (list_sum(v) - v[4]) / 63) AS v FROM y4) {_FLAT.format(v='v', t='z')}", two=True)
