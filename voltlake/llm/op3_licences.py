@@ -2,8 +2,8 @@
 
 A text is compared in passages: each line that speaks of a licence, a copyright or
 an SPDX tag, and windows of ``WINDOW`` terms, ``STEP`` apart, that run over line
-breaks and comment marks. Of a licence file all windows count, of other files those
-that hold such a word; so a header block of several short lines and a licence text
+breaks and comment marks. Of a file named as a licence file all windows count, of
+other files those that hold such a word; so a header block of several short lines and a licence text
 of any length are compared piece by piece. Templates are notices and, of whole
 licence texts, their distinctive passages. Inverse document frequencies are counted
 over all passages and the templates. Passages become sparse term rows that are
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import text_of
+from voltlake.llm.common import materialise, text_of
 
 #: Notices by which licences are stated and passages of their public texts, by SPDX identifier.
 TEMPLATES = {
@@ -92,7 +92,7 @@ def terms(text: Column) -> Column:
 
 
 def passages_of(text: Column, special: Column) -> Column:
-    """Each passage's terms: the lines with a trigger, and the windows, of which a licence file's all count."""
+    """Each passage's terms: the lines with a trigger, and the windows with one; in files named as licence files all windows."""
     lines = F.transform(F.filter(F.split(text, "\n"), lambda line: line.rlike(TRIGGER)), terms)
 
     def windows(words: Column) -> Column:
@@ -114,11 +114,11 @@ def scan_licences(files: DataFrame, path: str = "path", is_licence_file: Column
     named = F.coalesce(F.col(path), F.lit(""))
     special = F.coalesce(is_licence_file if is_licence_file is not None else named.rlike(FILE_NAME), F.lit(False))
     keyed = files.select(named.alias("p"), special.alias("special"), text_of().alias("t"))
-    passages = (
+    passages = materialise(
         keyed.where(F.col("special") | F.col("t").rlike(TRIGGER))
         .groupBy("p", "special", "t")
         .agg(F.count("*").alias("times"))
-        .select("p", "special", F.xxhash64("t").alias("th"), F.posexplode(passages_of(F.col("t"), F.col("special"))).alias("no", "passage"))
+        .select("p", "special", F.xxhash64("t").alias("th"), F.posexplode(passages_of(F.col("t"), F.col("special") & F.col("p").rlike(FILE_NAME))).alias("no", "passage"))
     )
     counted = passages.select("p", "special", "th", "no", F.explode("passage").alias("term")).groupBy("p", "special", "th", "no", "term").agg(F.count("*").alias("tf"))
 
@@ -136,7 +136,7 @@ def scan_licences(files: DataFrame, path: str = "path", is_licence_file: Column
     models = models.join(model_len, ["name", "variant"])  # a fixed list: a few hundred rows
     dots = vectors.join(F.broadcast(models), "term").groupBy("p", "special", "th", "no", "name", "variant").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.max("vlen").alias("vlen"))
     cosines = dots.join(lengths, ["p", "special", "th", "no"]).select("p", "special", "th", "name", F.round(F.col("dot") / (F.col("len") * F.col("vlen")), 9).alias("cosine")).where(F.col("cosine") >= threshold)
-    own = cosines.groupBy("p", "special", "th").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "name")).alias("best")).select("p", "special", "th", F.col("best.name").alias("name"), (-F.col("best.c")).alias("cosine"))
+    own = materialise(cosines.groupBy("p", "special", "th").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "name")).alias("best")).select("p", "special", "th", F.col("best.name").alias("name"), (-F.col("best.c")).alias("cosine")))
 
     licensed = own.where("special").groupBy(directory(F.col("p")).alias("dir")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "p", "name")).alias("x")).select("dir", F.col("x.name").alias("__dir_name"), (-F.col("x.c")).alias("__dir_cosine"), F.col("x.p").alias("__dir_path"))
     dirs = keyed.select(directory(F.col("p")).alias("d")).distinct()

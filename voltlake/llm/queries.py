@@ -53,7 +53,7 @@ FROM ranked GROUP BY doc_id
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files source/lang/doc_id.txt; one that ends in a line of licence is its directory's licence file."""
     docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt"))))
-    notice = F.regexp_extract("text", r"([^\n]*)\s*$", 1).rlike(TRIGGER)
+    notice = F.substring_index(F.rtrim("text", F.lit(" \r\n\t")), "\n", -1).rlike(TRIGGER)
     found = scan_licences(docs, "path", notice)
     return found.select("doc_id", "path", "licence", F.round("cosine", 6).alias("cosine"), "origin", "licence_path")
 
