@@ -294,6 +294,30 @@ def test_two_recordings_stay_apart(spark):
                 assert np.allclose([v for v in x if isinstance(v, (int, float))], [v for v in y if isinstance(v, (int, float))])
 
 
+def test_spread_percentiles_are_exact(spark):
+    rng = np.random.default_rng(8)
+    data = [(k, float(v)) for k in range(3) for v in np.concatenate([np.exp(rng.standard_normal(400 * k + 7) * 3), np.zeros(k), [5.0] * 20 * k])]
+    got = stats.spread_percentiles(spark.createDataFrame(data + [(1, None)], "k int, v double"), "v", {"a": 0.0, "b": 0.37, "c": 0.99, "d": 1.0}, "k", per_octave=4)
+    for r in got.collect():
+        assert r[1:] == pytest.approx(np.percentile([v for k, v in data if k == r.k], [0, 37, 99, 100]))
+    assert stats.spread_percentiles(spark.createDataFrame([(v,) for _, v in data], "v double"), "v", {"m": 0.5}).first().m == pytest.approx(np.median([v for _, v in data]))
+
+
+def test_islands_change_no_pick(spark):
+    rng = np.random.default_rng(9)
+    picks = [(k, int(a), float(rng.random())) for k in range(3) for a in sorted(rng.choice(400, 90, replace=False))]
+    df = spark.createDataFrame(picks, "k int, start long, score double")
+    got = rows(topk.strongest_non_overlapping(df, 7, "k"), "k", "start")
+    want = []
+    for k in range(3):
+        kept: list[int] = []
+        for _, a, _ in sorted((p for p in picks if p[0] == k), key=lambda p: (-p[2], p[1])):
+            if all(abs(a - q) >= 7 for q in kept):
+                kept.append(a)
+        want += [(k, a) for a in kept]
+    assert got == sorted(want)
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 

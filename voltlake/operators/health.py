@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voltlake.functions.scoring import finite, grade, impedance_score, score_lower_bound, score_two_sided_ratio, score_upper_ratio
 from voltlake.operators.joins import artifact_overlap
 from voltlake.operators.keys import ids
-from voltlake.operators.stats import clipping_fraction, excess_kurtosis, percentile
+from voltlake.operators.stats import clipping_fraction, excess_kurtosis, percentile, spread_percentiles
 from voltlake.operators.windows import block_mean_drift, first_difference
 
 #: Fixed values: (green, red) thresholds and weights of the scores.
@@ -60,9 +60,11 @@ def segment_health(samples: DataFrame, segment_length: int, n_samples: int, n_ch
     rows = rows.withColumn("inner", F.when(~F.col("opens"), F.col("diff")))
 
     power = rows.groupBy(*named, "segment_id", "sample_index").agg(F.sqrt(F.avg(F.col("x") ** 2)).alias("gfp"))
-    base_x = rows.groupBy(*named).agg(F.greatest(percentile(F.abs("x"), 0.95), F.lit(1e-9)).alias("b95"), F.greatest(percentile(F.abs("x"), 0.99), F.lit(1e-9)).alias("b99"), F.greatest(F.sqrt(F.avg(F.col("diff") ** 2)) / F.greatest(F.sqrt(F.avg(F.col("x") ** 2)), F.lit(1e-9)), F.lit(1e-9)).alias("b_ratio"))
-    base_g = power.groupBy(*named).agg(*(F.greatest(percentile(F.col("gfp"), p), F.lit(1e-9)).alias(n) for p, n in ((0.5, "g50"), (0.95, "g95"), (0.99, "g99"))))
-    base = with_key(base_x, base_g, named)  # a row a recording
+    at_least = lambda df: df.select(*named, *(F.greatest(c, F.lit(1e-9)).alias(c) for c in df.columns if c not in named))
+    high_x = at_least(spread_percentiles(rows.withColumn("size", F.abs("x")), "size", {"b95": 0.95, "b99": 0.99}, *named))
+    ratio = rows.groupBy(*named).agg(F.greatest(F.sqrt(F.avg(F.col("diff") ** 2)) / F.greatest(F.sqrt(F.avg(F.col("x") ** 2)), F.lit(1e-9)), F.lit(1e-9)).alias("b_ratio"))
+    high_g = at_least(spread_percentiles(power, "gfp", {"g50": 0.5, "g95": 0.95, "g99": 0.99}, *named))
+    base = with_key(with_key(ratio, high_x, named), high_g, named)  # a row a recording
 
     flat = F.greatest(F.col("b95") * 1e-4, F.lit(1e-7))
     by_segment = with_key(rows, base.select(*named, "b95"), named).groupBy(*named, "segment_id").agg(

@@ -14,6 +14,32 @@ def percentile(x: Column, p: float) -> Column:
     return F.coalesce(F.percentile(x, p), F.lit(0.0))
 
 
+def spread_percentiles(rows: DataFrame, value: str, shares: dict[str, float], *keys: str, per_octave: int = 64) -> DataFrame:
+    """Exact percentiles of non-negative values by key, as columns named in ``shares``; 0 without values.
+
+    ``percentile`` keeps all distinct values of a key in one task. Here values are
+    counted by bucket (a fraction of an octave, with partial aggregates), and only the
+    buckets that hold a wanted rank are sorted: a key of any size is spread.
+    """
+    bucket = F.when(F.col(value) > 0, F.floor(F.log2(value) * per_octave)).otherwise(-(1 << 40))
+    held = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"), bucket.alias("__b"))
+    counts = held.groupBy(*keys, "__b").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select(*keys, "__b", (upto - F.col("n")).alias("before"), upto.alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("total"))
+    target = [F.lit(p) * (F.col("total") - 1) for p in shares.values()]
+    ranks = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(high).alias("high"), (F.ceil(t) if high else F.floor(t)).alias("rank"), (t - F.floor(t)).alias("part")) for i, t in enumerate(target) for high in (False, True)))
+    wanted = placed.select(*keys, "__b", "before", F.explode(F.filter(ranks, lambda x: (x["rank"] >= F.col("before")) & (x["rank"] < F.col("upto")))).alias("r"))
+    chosen = wanted.select(*keys, "__b").distinct()
+    listed = held.join(chosen, [*keys, "__b"], "left_semi").groupBy(*keys, "__b").agg(F.sort_array(F.collect_list("__v")).alias("values"))
+    found = wanted.join(listed, [*keys, "__b"]).select(*keys, "r.*", F.get("values", (F.col("r.rank") - F.col("before")).cast("int")).alias("x"))
+    columns = []
+    for i, name in enumerate(shares):
+        low, high = (F.max(F.when((F.col("i") == i) & (F.col("high") == h), F.col("x"))) for h in (False, True))
+        part = F.max(F.when(F.col("i") == i, F.col("part")))
+        columns.append(F.coalesce(low + (high - low) * part, F.lit(0.0)).alias(name))
+    return found.groupBy(*keys).agg(*columns)
+
+
 def rms(x: Column) -> Column:
     return F.coalesce(F.sqrt(F.avg(x * x)), F.lit(0.0))
 

@@ -1,4 +1,4 @@
-"""Greedy merges, suppression and top-k. Order-dependent steps are folds over a sorted array."""
+"""Greedy merges, suppression and top-k. Order-dependent steps are folds over the sorted array of an island of candidates."""
 
 from __future__ import annotations
 
@@ -12,8 +12,13 @@ def _items() -> Column:
     return F.array_sort(F.collect_list(F.struct(F.col("start").cast("bigint").alias("start"), (-F.col("score")).alias("neg"))))
 
 
-def _open(folded: DataFrame, keys: list[str]) -> DataFrame:
-    return folded.select(*keys, F.explode("kept").alias("__one")).select(*keys, "__one.start", "__one.score")
+def _folded(candidates: DataFrame, gap: int, keys: tuple[str, ...], items: Column, empty: Column, step) -> DataFrame:
+    """start, score of what a fold keeps of each island: candidates further than ``gap`` from the one before can't touch it, so folds are as short as islands."""
+    w = Window.partitionBy(*keys).orderBy("start")
+    fresh = F.coalesce((F.col("start") - F.lag("start").over(w) > gap).cast("int"), F.lit(1))
+    apart = candidates.withColumn("__fresh", fresh).withColumn("__island", F.sum("__fresh").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    folded = apart.groupBy(*keys, "__island").agg(items.alias("all")).select(*keys, F.explode(F.aggregate("all", empty, step)).alias("__one"))
+    return folded.select(*keys, "__one.start", "__one.score")
 
 
 def merge_nearby(candidates: DataFrame, gap: int, *keys: str) -> DataFrame:
@@ -29,8 +34,7 @@ def merge_nearby(candidates: DataFrame, gap: int, *keys: str) -> DataFrame:
             .otherwise(acc)
         )
 
-    folded = candidates.groupBy(*keys).agg(_items().alias("all")).select(*keys, F.aggregate("all", F.array().cast(ITEM), step).alias("kept"))
-    return _open(folded, list(keys))
+    return _folded(candidates, gap, keys, _items(), F.array().cast(ITEM), step)
 
 
 def strongest_non_overlapping(candidates: DataFrame, spacing: int, *keys: str) -> DataFrame:
@@ -41,8 +45,7 @@ def strongest_non_overlapping(candidates: DataFrame, spacing: int, *keys: str) -
         return F.when(clash, acc).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), (-x["neg"]).alias("score")))))
 
     by_score = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("start").cast("bigint").alias("start"))))
-    folded = candidates.groupBy(*keys).agg(by_score.alias("all")).select(*keys, F.aggregate("all", F.array().cast(ITEM), step).alias("kept"))
-    return _open(folded, list(keys))
+    return _folded(candidates, spacing - 1, keys, by_score, F.array().cast(ITEM), step)
 
 
 def local_peaks(samples: DataFrame, *keys: str, value: str = "value") -> DataFrame:
@@ -61,8 +64,7 @@ def clustered_peaks(peaks: DataFrame, spacing: int, *keys: str) -> DataFrame:
         better = F.struct(last["first"].alias("first"), x["start"].alias("start"), score.alias("score"))
         return F.when(F.size(acc) == 0, F.array(fresh)).when(x["start"] - last["first"] >= spacing, F.concat(acc, F.array(fresh))).when(score > last["score"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(better))).otherwise(acc)
 
-    folded = peaks.groupBy(*keys).agg(_items().alias("all")).select(*keys, F.aggregate("all", F.array().cast(acc_type), step).alias("kept"))
-    return _open(folded, list(keys))
+    return _folded(peaks, spacing - 1, keys, _items(), F.array().cast(acc_type), step)
 
 
 def _with(rows: DataFrame, stats: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -38,10 +38,9 @@ def epochs_without_artifacts(spark, d):
     return without_artifacts(seg, art).select("segment_id")
 
 
-@query("WITH ep AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k, (o_orderkey * 1000)::BIGINT AS a, (o_orderkey * 1000 + 1500)::BIGINT AS b FROM orders), sg AS (SELECT l_orderkey AS id, min(l_orderkey) * 1000 + 900 AS m FROM lineitem GROUP BY 1) SELECT id AS segment_id, (SELECT min(struct_pack(a := ep.a, k := ep.k)).k FROM ep WHERE m >= ep.a AND m < ep.b)::BIGINT AS epoch_index FROM sg")
+@query("WITH ep AS (SELECT o_orderkey AS k, (o_orderkey * 1000)::BIGINT AS a, (o_orderkey * 1000 + 1500)::BIGINT AS b FROM orders), sg AS (SELECT l_orderkey AS id, min(l_orderkey) * 1000 + 900 AS m FROM lineitem GROUP BY 1) SELECT id AS segment_id, (SELECT min(struct_pack(a := ep.a, k := ep.k)).k FROM ep WHERE m >= ep.a AND m < ep.b)::BIGINT AS epoch_index FROM sg")
 def segment_epochs(spark, d):
-    k = F.row_number().over(Window.orderBy("o_orderkey")) - 1
-    ep = table(spark, d, "orders").select(k.cast("long").alias("epoch_index"), (F.col("o_orderkey") * 1000).alias("begin_us"), (F.col("o_orderkey") * 1000 + 1500).alias("end_us"))
+    ep = table(spark, d, "orders").select(F.col("o_orderkey").alias("epoch_index"), (F.col("o_orderkey") * 1000).alias("begin_us"), (F.col("o_orderkey") * 1000 + 1500).alias("end_us"))
     sg = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("segment_id")).distinct().select("segment_id", (F.col("segment_id") * 1000 + 800).alias("begin_us"), (F.col("segment_id") * 1000 + 1000).alias("end_us"))
     return joins.containing_epoch(sg, ep, 1e5).select("segment_id", "epoch_index")
 
