@@ -127,7 +127,6 @@ def _line_sql(strength: float = 1.0) -> str:
 
 _q("line_noise_reduced", lambda s, d: _samples(kernels.line_reduced(traces(s, d), RATE)), _line_sql(), True)
 _q("wavelet_reduced", lambda s, d: to_samples(kernels.wavelet_reduced(traces(s, d)), "recording_id", "channel_index"))
-_q("wavelet_goodness", lambda s, d: kernels.wavelet_goodness(traces(s, d)))
 
 
 def _detail_sql(levels: int = 5) -> str:
@@ -149,6 +148,13 @@ _q(
 m AS (SELECT *, CASE WHEN max(b) OVER w IS NULL OR a - max(b) OVER w > 25 THEN 1 ELSE 0 END AS f FROM u WINDOW w AS (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), k AS (SELECT *, sum(f) OVER (ORDER BY a) AS isle FROM m) SELECT min(a)::BIGINT AS start_sample, max(b)::BIGINT AS end_sample, round(max(p), 6) AS peak FROM k GROUP BY isle ORDER BY peak DESC LIMIT 50""",
     True,
 )
+_q(
+    "wavelet_goodness",
+    lambda s, d: out(kernels.wavelet_goodness(traces(s, d)), F.col("channel_index").cast("long").alias("channel_index"), r("score", 5).alias("score")),
+    f"""WITH {SIGNAL}, {_detail_sql()}, f AS (SELECT ch, avg(e * e) AS a, quantile_cont(e, 0.99) AS b FROM dt GROUP BY ch), k AS (SELECT f.ch, a, b, c FROM f JOIN (SELECT ch, max(abs(v)) AS c FROM s GROUP BY ch) USING (ch)), m AS (SELECT greatest(quantile_cont(a, 0.5), 1e-9) AS ma, greatest(quantile_cont(b, 0.5), 1e-9) AS mb, greatest(quantile_cont(c, 0.5), 1e-9) AS mc FROM k)
+SELECT ch::BIGINT AS channel_index, round(0.46 * greatest(0, least(1, 1 - (a / ma - 2) / 6)) + 0.30 * greatest(0, least(1, 1 - (b / mb - 2) / 6)) + 0.24 * greatest(0, least(1, 1 - (c / mc - 2.5) / 6.5)), 5) AS score FROM k, m""",
+    True,
+)
 
 
 def _ma(x: str, radius: int) -> str:
@@ -207,7 +213,17 @@ o AS (SELECT i, v, row_number() OVER (ORDER BY v DESC, i) AS k FROM p), h AS (SE
 )
 for _method in ("spatial", "refined"):
     _q(f"bcg_{_method}", lambda s, d, m=_method: kernels.bcg_events(traces(s, d), RATE, m))
-for _method in ("waveform", "trajectory", "wavelet"):
+_q(
+    "template_waveform",
+    lambda s, d: out(kernels.template_events(traces(s, d), 100, 32, 0.2, "waveform"), "sample_index", r("score", 5).alias("score")),
+    f"""WITH RECURSIVE {SIGNAL}, tp AS (SELECT ch, i - 100 AS w, v AS t FROM s WHERE i >= 100 AND i < 132), te AS (SELECT ch, sum(t * t) AS e, avg(t) AS m, sqrt(avg(t * t)) AS r FROM tp GROUP BY ch), best AS (SELECT arg_max(ch, struct_pack(e := e, c := -ch)) AS ch FROM te), un AS (SELECT w, (t - avg(t) OVER ()) AS t FROM tp JOIN best USING (ch)), one AS (SELECT i, v - avg(v) OVER () AS v FROM s JOIN best USING (ch)),
+st AS (SELECT unnest(range(0, {_N} - 31)) AS a), pj AS (SELECT a, abs(sum(v * t)) AS p FROM st JOIN one ON i >= a AND i < a + 32 JOIN un ON w = i - a GROUP BY a), lm AS (SELECT avg(p) + 1.25 * stddev_pop(p) AS lim FROM pj), lo AS (SELECT a, p, row_number() OVER (ORDER BY p DESC, a) AS k FROM (SELECT *, lag(p) OVER (ORDER BY a) AS b, lead(p) OVER (ORDER BY a) AS c FROM pj), lm WHERE p >= b AND p > c AND p >= lim),
+gr AS (SELECT k, [a] AS kept FROM lo WHERE k = 1 UNION ALL SELECT lo.k, CASE WHEN len(list_filter(kept, lambda z: abs(z - lo.a) < 10)) > 0 THEN kept ELSE list_append(kept, lo.a) END FROM gr JOIN lo ON lo.k = gr.k + 1), ks AS (SELECT arg_max(kept, k) AS kept FROM gr), cs AS (SELECT unnest(CASE WHEN len(kept) >= 12 THEN kept ELSE range(0, {_N} - 31, 8) END) AS a FROM ks), fine AS (SELECT DISTINCT greatest(0, least({_N} - 32, a + d)) AS a FROM cs, (SELECT unnest(range(-4, 5)) AS d)),
+rr AS (SELECT a, s.ch, corr(v, t) AS r FROM fine JOIN s ON i >= a AND i < a + 32 JOIN tp ON tp.ch = s.ch AND w = i - a GROUP BY ALL), sc AS (SELECT a, sum(rr.r * te.r) / (SELECT sum(r) FROM te) AS v FROM rr JOIN te USING (ch) GROUP BY a), p AS (SELECT a AS i, v, row_number() OVER (ORDER BY a) AS k FROM sc WHERE v >= 0.2),
+f AS (SELECT k, i AS ki, v AS kv, NULL::BIGINT AS oi, NULL::DOUBLE AS ov FROM p WHERE k = 1 UNION ALL SELECT p.k, CASE WHEN p.i - ki > 16 OR p.v > kv THEN p.i ELSE ki END, CASE WHEN p.i - ki > 16 OR p.v > kv THEN p.v ELSE kv END, CASE WHEN p.i - ki > 16 THEN ki END, CASE WHEN p.i - ki > 16 THEN kv END FROM f JOIN p ON p.k = f.k + 1) SELECT oi + 16 AS sample_index, round(ov, 5) AS score FROM f WHERE oi IS NOT NULL UNION ALL SELECT arg_max(ki, k) + 16, round(arg_max(kv, k), 5) FROM f""",
+    True,
+)
+for _method in ("trajectory", "wavelet"):
     _q(f"template_{_method}", lambda s, d, m=_method: kernels.template_events(traces(s, d), 100, 32, 0.2, m))
 _TIMES = [0.2 * k for k in range(1, 9)]
 _q(
