@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from voltlake.functions.dsp import hamming, symmetric_eigen, welch
+from voltlake.functions.dsp import hamming, hann, solve, symmetric_eigen
 
-LABELS = ("Brain", "Muscle", "Eye", "Heart", "Line", "Channel", "Other")
+LABELS = ("Brain", "Muscle", "Eye", "Heart", "Line Noise", "Channel Noise", "Other")
 
 
 def _orthogonal(w: np.ndarray) -> np.ndarray:
@@ -96,29 +96,101 @@ def clean(x: np.ndarray, model: dict, components: list[int], block: int = 32_768
     return out
 
 
-def label(source: np.ndarray, weights: np.ndarray, positions: np.ndarray, rate: float, line: float = 60.0) -> tuple[str, float]:
-    """Heuristic class of a component and its score; Other under 0.48."""
-    length = 1 << max(4, int(2 * rate).bit_length() - 1)
-    freqs, power, n = welch(source, rate, min(length, len(source) // 2 * 2), 0.5)
-    total = max(float(power[(freqs >= 1)].sum()), 1e-300) if n else 1.0
-    part = lambda a, b: float(power[(freqs >= a) & (freqs < b)].sum()) / total if n else 0.0
-    s = (source - source.mean()) / max(1e-12, source.std())
-    kurtosis = float((s**4).mean() - 3)
-    share = np.abs(weights) / max(1e-12, np.abs(weights).sum())
-    front = float(share[positions[:, 1] > 0.5].sum()) if len(positions) else 0.0
-    focal = float(share.max())
-    lags = np.arange(int(0.4 * rate), min(int(1.5 * rate), len(s) - 1))
-    beat = max((float(s[:-k] @ s[k:] / len(s)) for k in lags[:: max(1, len(lags) // 60)]), default=0.0)
+def _part(x: float) -> float:
+    return float(min(max(x, 0.0), 1.0))
+
+
+def map_traits(weights: np.ndarray, positions: np.ndarray) -> dict[str, float]:
+    """Where a component's map is strong: focality (its five largest sensors against the rest), contrasts of regions, and dipolarity (variance that a quadratic surface over the sensors explains)."""
+    centred = np.nan_to_num(np.asarray(weights, float))
+    centred = centred - centred.mean() if len(centred) else centred
+    top = np.abs(centred).max(initial=0)
+    w = centred / top if top > 1e-12 else np.zeros(len(centred))
+    size = np.abs(w)
+    ranked = np.sort(size)[::-1]
+    focality = _part((ranked[:5].mean() / max(ranked[5:].mean(), 1e-9) - 2.4) / 4.0) if len(w) > 6 else 0.0
+    traits = dict.fromkeys(("anterior", "posterior", "lateral", "edge", "dipolarity"), 0.0) | {"focality": focality, "smoothness": 1 - focality}
+    n = min(len(w), len(positions))
+    if not n:
+        return traits
+    x, y = positions[:n, 0], positions[:n, 1]
+    size, r = size[:n], np.hypot(x, y)
+    mean = {k: float(size[m].mean()) if m.any() else 0.0 for k, m in (("front", y > 0.32), ("back", y < -0.20), ("side", np.abs(x) > 0.55), ("rim", r > 0.72), ("middle", r < 0.45))}
+    overall = max(float(np.abs(w).mean()), 1e-9)
+    traits |= {
+        "anterior": _part((mean["front"] - mean["back"]) / (1.8 * overall) + 0.35),
+        "posterior": _part((mean["back"] - mean["front"]) / (1.8 * overall) + 0.35),
+        "lateral": _part((mean["side"] - mean["middle"]) / (1.7 * overall) + 0.25),
+        "edge": _part((mean["rim"] - mean["middle"]) / (1.6 * overall) + 0.25),
+        "smoothness": _part(1 - focality + 0.25 * min(mean["middle"] / max(mean["rim"], 1e-9), 1)),
+    }
+    spread = ((w[:n] - w[:n].mean()) ** 2).sum()
+    surface = np.stack([np.ones(n), x, y, x * x, y * y, x * y], 1)
+    if n >= 12 and spread > 1e-12 and (c := solve(surface.T @ surface, surface.T @ w[:n])) is not None:
+        traits["dipolarity"] = _part(1 - ((w[:n] - surface @ c) ** 2).sum() / spread)
+    return traits
+
+
+def spectrum_traits(x: np.ndarray, rate: float) -> dict[str, float]:
+    """Shares of slow and fast power, alpha and mains peaks over their surroundings, and how the spectrum falls, from at most 40 windows of 256 samples."""
+    none = dict.fromkeys(("low", "high", "alpha", "decay", "line"), 0.0)
+    length = 256
+    if len(x) < length or rate <= 0:
+        return none
+    span = len(x) - length
+    count = max(1, min(40, span // (length // 2) + 1))
+    starts = np.arange(count) * (span // (count - 1) if count > 1 else 0)
+    power = (np.abs(np.fft.rfft(x[starts[:, None] + np.arange(length)] * hann(length, True), axis=1)[:, : length // 2]) ** 2).mean(0)
+    total, step, nyquist = float(power[1:].sum()), rate / length, rate / 2
+    if total <= 1e-12:
+        return none
+    place = lambda f: int(f / step + 0.5)
+    band = lambda a, b: float(power[max(place(a), 1) : min(place(b), len(power) - 1) + 1].sum())
+    alpha, beside = band(8, 12) / max(1, 4 / step), (band(5, 7) + band(13, 16)) / max(1, 5 / step)
+    out = none | {"low": _part(band(0.5, 3) / total), "high": _part(band(20, min(nyquist, 90)) / total), "alpha": _part((alpha / max(beside, 1e-12) - 1.1) / 1.4)}
+    bins = np.arange(max(place(2), 1), min(place(min(40, nyquist)), len(power) - 1) + 1)
+    if len(bins) > 1:
+        slope = np.polyfit(np.log(bins * step), np.log(np.maximum(power[bins], 1e-20)), 1)[0]
+        around = {f: band(f - 6, f - 3) + band(f + 3, f + 6) for f in (50.0, 60.0) if f + 2 < nyquist}
+        out |= {"decay": _part((-slope - 0.3) / 1.6), "line": max((_part((band(f - 1.5, f + 1.5) / v - 1.5) / 4) for f, v in around.items() if v > 1e-12), default=0.0)}
+    return out
+
+
+def time_traits(source: np.ndarray, rate: float) -> dict[str, float]:
+    """Slowness (few sign changes), spikiness (kurtosis), rhythm (autocorrelation at 0.45 to 1.35 s) and the traits of the spectrum."""
+    x = np.asarray(source, float)
+    x = x[np.isfinite(x)]
+    out = dict.fromkeys(("slow", "spiky", "rhythm"), 0.0)
+    if len(x) <= 4:
+        return out | spectrum_traits(x[:0], rate)
+    x = x - x.mean()
+    some = x[:: max(len(x) // 10_000, 1)]
+    changes = float(np.mean((some[1:] >= 0) != (some[:-1] >= 0))) if len(some) > 1 else 0.0
+    out |= {"slow": _part((0.22 - changes) / 0.22), "spiky": _part((float(np.mean((x / max(x.std(), 1e-6)) ** 4)) - 3) / 12)}
+    if rate > 0 and len(x) > int(rate):
+        skip = max(len(x) // 8_000, 1)
+        y, per_s = x[::skip], rate / skip
+        lags = range(max(int(0.45 * per_s + 0.5), 1), min(int(1.35 * per_s + 0.5), len(y) // 2) + 1)
+        energy = float(y @ y)
+        if energy > 0 and len(lags) > 1:
+            out["rhythm"] = _part((max(0.0, *(float(y[k:] @ y[:-k]) for k in lags)) / energy - 0.08) / 0.35)
+    return out | spectrum_traits(x, rate)
+
+
+def label(source: np.ndarray, weights: np.ndarray, positions: np.ndarray, rate: float) -> tuple[str, float]:
+    """Class of a component and its score by fixed weights of its traits; Other under 0.48."""
+    m, t = map_traits(weights, positions), time_traits(source, rate)
+    rim = max(m["lateral"], m["edge"])
     scores = {
-        "Eye": 0.55 * min(1, front / 0.5) + 0.45 * part(0, 5),
-        "Muscle": min(1.0, part(20, rate / 2) / 0.6),
-        "Heart": 0.6 * max(0.0, min(1.0, beat / 0.5)) + 0.4 * min(1.0, max(0.0, kurtosis) / 8),
-        "Line": min(1.0, part(line - 2, line + 2) / 0.5),
-        "Channel": max(0.0, min(1.0, (focal - 0.25) / 0.5)),
-        "Brain": 0.6 * min(1.0, part(7, 13) / 0.35) + 0.4 * (1 - min(1.0, focal / 0.5)),
+        "Eye": 0.46 * max(m["anterior"], m["posterior"]) + 0.30 * t["low"] + 0.14 * m["smoothness"] + 0.10 * t["slow"],
+        "Muscle": 0.50 * t["high"] + 0.34 * rim + 0.16 * t["spiky"] if t["high"] > 0.5 and rim > 0.5 else 0.18 * min(t["high"], rim),
+        "Heart": 0.62 * t["rhythm"] + 0.20 * t["spiky"] + 0.18 * m["smoothness"] if t["rhythm"] > 0.32 else 0.14 * t["rhythm"],
+        "Line Noise": 0.80 * t["line"] + 0.20 * m["focality"] if t["line"] > 0.5 else 0.10 * t["line"],
+        "Channel Noise": 0.78 * m["focality"] + 0.12 * t["spiky"] + 0.10 * (1 - m["dipolarity"]) if m["focality"] > 0.68 else 0.16 * m["focality"],
+        "Brain": 0.34 * m["dipolarity"] + 0.24 * t["decay"] + 0.20 * t["alpha"] + 0.12 * m["smoothness"] + 0.10 * (1 - max(m["focality"], t["spiky"])),
     }
-    name = max(scores, key=lambda k: (scores[k], k))
-    return (name, scores[name]) if scores[name] >= 0.48 else ("Other", scores[name])
+    name = max(scores, key=scores.__getitem__)
+    return (name, _part(scores[name])) if scores[name] >= 0.48 else ("Other", scores[name])
 
 
 def features(source: np.ndarray, weights: np.ndarray, positions: np.ndarray, rate: float) -> dict[str, np.ndarray]:

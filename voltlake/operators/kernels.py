@@ -160,7 +160,7 @@ def ica_fitted(traces: DataFrame, rate: float, positions: np.ndarray, method: st
     return by_recording(traces, run, "component int, contribution double, label string, score double, mixing array<double>, unmixing array<double>")
 
 
-def ica_cleaned(traces: DataFrame, rate: float, positions: np.ndarray, reject: tuple[str, ...] = ("Eye", "Heart", "Muscle", "Line"), method: str = "picard") -> DataFrame:
+def ica_cleaned(traces: DataFrame, rate: float, positions: np.ndarray, reject: tuple[str, ...] = ("Eye", "Heart", "Muscle", "Line Noise"), method: str = "picard") -> DataFrame:
     from voltlake.functions import ica
 
     def run(x: np.ndarray) -> np.ndarray:
