@@ -94,6 +94,36 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+#: Brute force: the n-gram sets of all distinct texts meet on each n-gram; classes grow by the links until they stay.
+OP7_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, string_split_regex(trim(lower(coalesce(text, '')), E' \n\t\r'), '\s+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN w = [''] THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS grams FROM t),
+sets AS (SELECT grams, len(grams) AS n, min(doc_id) AS rep, count(*) AS copies FROM g WHERE len(grams) > 0 GROUP BY grams),
+one AS (SELECT rep, n, unnest(grams) AS gram FROM sets),
+met AS (SELECT a.rep AS u, b.rep AS v, count(*) AS c FROM one a JOIN one b ON a.gram = b.gram AND a.rep <> b.rep GROUP BY ALL),
+link AS (SELECT u, v FROM met JOIN sets x ON x.rep = u JOIN sets y ON y.rep = v WHERE c * 1.8 >= 0.8 * (x.n + y.n) - 1e-9),
+reach AS (SELECT u, v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON l.u = r.v),
+class AS (SELECT rep, least(rep, coalesce(min(v), rep)) AS class_id FROM sets LEFT JOIN reach ON u = rep GROUP BY rep),
+linked AS (SELECT u AS rep, count(*) AS texts, sum(copies) AS docs FROM link JOIN sets ON sets.rep = link.v GROUP BY u)
+SELECT g.doc_id, coalesce(class.class_id, g.doc_id) AS class_id, coalesce(copies - 1 + coalesce(docs, 0), 0)::BIGINT AS n_links, coalesce(texts, 0)::BIGINT AS n_linked_texts
+FROM g LEFT JOIN sets USING (grams) LEFT JOIN class USING (rep) LEFT JOIN linked USING (rep)
+"""
+
+#: Brute force: every string of 200 bytes of every document, by its hash.
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT id, doc_id, b, octet_length(b) AS n FROM d),
+w AS (SELECT id, s, md5(hex(b[s + 1 : s + 200])) AS h FROM (SELECT id, b, unnest(range(n - 199)) AS s FROM n WHERE n >= 200)),
+r AS (SELECT id, s, s + 200 AS e FROM (SELECT id, s, count(*) OVER (PARTITION BY h) AS k FROM w) WHERE k > 1),
+f AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM r),
+g AS (SELECT id, s, e, sum(fresh) OVER (PARTITION BY id ORDER BY s) AS k FROM f),
+x AS (SELECT id, k, min(s) AS a, max(e) AS z FROM g GROUP BY id, k),
+c AS (SELECT id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM x GROUP BY id)
+SELECT doc_id, n AS n_bytes, coalesce(list_sum(z) - list_sum(a), 0)::BIGINT AS n_removed, coalesce(len(a), 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN a IS NULL THEN b ELSE list_reduce(list_transform(range(len(a) + 1), lambda i: b[CASE WHEN i = 0 THEN 1 ELSE z[i] + 1 END : CASE WHEN i = len(a) THEN n ELSE a[i + 1] END]), lambda p, q: p || q) END) AS kept_sha256
+FROM n LEFT JOIN c USING (id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_line_dedup": op2_line_dedup,
@@ -109,4 +139,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
+    "op7_jaccard_join": OP7_SQL,
+    "op8_suffix_dedup": OP8_SQL,
 }
