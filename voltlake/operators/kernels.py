@@ -96,6 +96,38 @@ def bcg_events(traces: DataFrame, rate: float, method: str = "periodic") -> Data
     return by_recording(traces, run, "sample_index long")
 
 
+def cardiac_trace(traces: DataFrame, rate: float, kind: str = "power") -> DataFrame:
+    """One trace a recording that follows the heart: rms-weighted power of the cardiac band, or the first spatial component ('virtual')."""
+    from voltlake.functions.cardiac import cardiac_power, virtual_ecg
+
+    def run(x: np.ndarray, _: list[int]) -> pd.DataFrame:
+        y = cardiac_power(x, rate) if kind == "power" else virtual_ecg(x)
+        return pd.DataFrame({"sample_index": np.arange(len(y)), "value": y})
+
+    return by_recording(traces, run, "sample_index long, value double")
+
+
+def reduction_candidates(traces: DataFrame, half: int, top: int) -> DataFrame:
+    """Where an artifact estimate is largest: channel, sample and rms around it, the strongest ``top`` of a recording."""
+    from voltlake.functions.templates import reduction_candidates as find
+
+    return by_recording(traces, lambda x, c: pd.DataFrame([(c[k], p, v) for k, p, v in find(x, half, top)], columns=["channel_index", "sample_index", "rms"]), "channel_index int, sample_index long, rms double")
+
+
+def cleaning_preview(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Variance retained, correlation, rms of what was removed and reduction of the peak, by recording; both recordings' traces meet by channel."""
+    from voltlake.functions.templates import cleaning_preview as compare
+
+    both = recorded(before).select("recording_id", "channel_index", F.col("values").alias("x")).join(recorded(after).select("recording_id", "channel_index", F.col("values").alias("y")), ["recording_id", "channel_index"])
+
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (np.stack([np.asarray(v, float) for v in pdf.sort_values("channel_index")[c]]) for c in ("x", "y"))
+        found = compare(x, y)
+        return pd.DataFrame([(key[0], *(found[k] for k in ("variance_retained", "r", "removed_rms", "peak_reduction")))], columns=["recording_id", "variance_retained", "r", "removed_rms", "peak_reduction"])
+
+    return both.groupBy("recording_id").applyInPandas(run, "recording_id string, variance_retained double, r double, removed_rms double, peak_reduction double")
+
+
 def template_events(traces: DataFrame, start: int, width: int, threshold: float, method: str = "waveform") -> DataFrame:
     """Matches of an exemplar window: waveform, trajectory or wavelet."""
     from voltlake.functions import templates as t

@@ -291,3 +291,39 @@ def trigger_spacing(spark, d):
     out = spacing(track(spark, d), 0.001, "code")
     return out.select("code", r("least").alias("least"), r("most").alias("most"), r("median").alias("median"), "n_distinct", "even")
 
+
+@query(f"WITH {SERIES} SELECT ch AS channel_index FROM r GROUP BY ch HAVING count(*) = (SELECT count(*) FROM r WHERE ch = 1)", two=True)
+def channels_of_length(spark, d):
+    s = series(spark, d)
+    n = s.where("channel_index = 1").agg(F.countDistinct("sample_index")).first()[0]
+    return out(select.channels_of_length(s, n), "channel_index")
+
+
+@query("SELECT p_partkey, (p_partkey % 8) > 5 OR ((p_partkey % 8) = 5 AND (p_partkey % 6) >= 2) AS recent FROM part")
+def versions(spark, d):
+    version = F.concat_ws(".", F.col("p_partkey") % 8, F.col("p_partkey") % 6, F.lit("4 (r28)"))
+    return table(spark, d, "part").select("p_partkey", sc.version_at_least(version, 5, 2).alias("recent"))
+
+
+@query("WITH a AS (SELECT p_partkey, p_partkey % 13 * 1.0 AS r, p_partkey % 180 * 1.0 AS t, p_partkey % 360 * 1.0 AS p FROM part) SELECT p_partkey, round(r * sin(radians(t)) * cos(radians(p)), 6) + 0.0 AS x, round(r * sin(radians(t)) * sin(radians(p)), 6) + 0.0 AS y, round(r * cos(radians(t)), 6) + 0.0 AS z FROM a")
+def spherical_positions(spark, d):
+    k = F.col("p_partkey")
+    found = table(spark, d, "part").select("p_partkey", *sc.spherical_to_cartesian(k % 13, k % 180, k % 360))
+    return found.select("p_partkey", *(r(c).alias(c) for c in ("x", "y", "z")))
+
+
+@query("WITH a AS (SELECT p_partkey AS k, p_partkey % 13 * 1.0 AS x, p_partkey % 7 - 3.0 AS y, p_partkey % 5 * 1.0 AS z FROM part), b AS (SELECT *, sqrt(x * x + y * y + z * z) AS q FROM a) SELECT k AS channel_index, round(x / q, 6) + 0.0 AS x, round(y / q, 6) + 0.0 AS y, round(z / q, 6) + 0.0 AS z FROM b WHERE q > 0")
+def unit_geometry(spark, d):
+    k = F.col("p_partkey")
+    found = layout.unit_geometry(table(spark, d, "part").select(k.alias("channel_index"), (k % 13).cast("double").alias("x"), (k % 7 - 3).cast("double").alias("y"), (k % 5).cast("double").alias("z")))
+    return found.select("channel_index", *(r(c).alias(c) for c in ("x", "y", "z")))
+
+
+@query("WITH c AS (SELECT DISTINCT p_size AS k, 'E' || p_size || CASE WHEN p_size % 2 = 0 THEN '-REF' ELSE '' END AS n FROM part) SELECT k::BIGINT AS channel_index, n AS channel_name, CASE WHEN k <= 40 THEN k * 0.5 END AS x FROM c")
+def matched_coordinates(spark, d):
+    from voltlake.operators.joins import matched_coordinates as match
+
+    k = F.col("p_size")
+    names = table(spark, d, "part").select(k.alias("channel_index"), F.concat(F.lit("E"), k, F.when(k % 2 == 0, "-REF").otherwise("")).alias("channel_name")).distinct()
+    sensors = spark.range(1, 41).select((F.col("id") + 100).alias("sensor_index"), F.concat(F.lit("e "), "id").alias("label"), (F.col("id") * 0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return match(names, sensors).select(F.col("channel_index").cast("long").alias("channel_index"), "channel_name", "x")

@@ -211,6 +211,29 @@ _q(
 o AS (SELECT i, v, row_number() OVER (ORDER BY v DESC, i) AS k FROM p), h AS (SELECT k, [i] AS kept FROM o WHERE k = 1 UNION ALL SELECT o.k, CASE WHEN len(list_filter(kept, lambda z: abs(z - o.i) < 50)) > 0 THEN kept ELSE list_append(kept, o.i) END FROM h JOIN o ON o.k = h.k + 1) SELECT unnest(arg_max(kept, k)) AS sample_index FROM h""",
     True,
 )
+_CARDIAC = dsp.butterworth("high", 0.7, RATE, 12) + dsp.butterworth("low", 10.0, RATE, 12)
+_q(
+    "cardiac_power",
+    lambda s, d: out(kernels.cardiac_trace(traces(s, d), RATE), "sample_index", r("value").alias("value")),
+    f"WITH RECURSIVE {SIGNAL}, {_zero_phase(_CARDIAC, 0.7)}, z AS (SELECT i, unnest(range(64)) AS ch, unnest(v) AS v FROM y2), w AS (SELECT ch, sqrt(avg(v * v)) AS w FROM z GROUP BY ch) SELECT i AS sample_index, round(sum(w * abs(v)) / (SELECT sum(w) FROM w), 6) AS value FROM z JOIN w USING (ch) GROUP BY i",
+    True,
+)
+_q(
+    "reduction_candidates",
+    lambda s, d: out(kernels.reduction_candidates(traces(s, d), 12, 20), F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("rms").alias("rms")),
+    f"WITH {SIGNAL}, p AS (SELECT ch, arg_max(i, struct_pack(m := abs(v), n := -i)) AS p FROM s GROUP BY ch) SELECT ch::BIGINT AS channel_index, any_value(p) AS sample_index, round(sqrt(avg(v * v)), 6) AS rms FROM s JOIN p USING (ch) WHERE i BETWEEN p - 12 AND p + 12 GROUP BY ch ORDER BY sqrt(avg(v * v)) DESC, ch LIMIT 20",
+    True,
+)
+
+
+@query(f"WITH {SIGNAL}, p AS (SELECT v AS x, v * 0.6 + 0.01 * (i % 5) AS y FROM s) SELECT round(var_pop(y) / var_pop(x), 6) AS variance_retained, round(corr(x, y), 6) AS r, round(sqrt(avg((x - y) ** 2)), 6) AS removed_rms, round(1 - max(abs(y)) / max(abs(x)), 6) AS peak_reduction FROM p", two=True)
+def cleaning_preview(spark, d):
+    before = signal(spark, d)
+    after = before.withColumn("value", F.col("value") * 0.6 + 0.01 * (F.col("sample_index") % 5))
+    m = kernels.cleaning_preview(to_traces(before), to_traces(after))
+    return out(m, *(r(c).alias(c) for c in ("variance_retained", "r", "removed_rms", "peak_reduction")))
+
+
 for _method in ("spatial", "refined"):
     _q(f"bcg_{_method}", lambda s, d, m=_method: kernels.bcg_events(traces(s, d), RATE, m))
 _q(
