@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voltlake.functions import cardiac, dsp
 from voltlake.operators import kernels, spectra
 from voltlake.operators.layout import to_samples, to_traces
+from voltlake.plans.queries_relational import SEGMENT_HEALTH_SQL
 from voltlake.plans.registry import CHANNELS, RATE, SIGNAL, circle, n_samples, out, query, r, signal
 from voltlake.plans.script import Pipeline
 
@@ -23,8 +24,13 @@ def segments(spark, d) -> list[tuple[int, int]]:
     return [(0, n_samples(spark, d))]
 
 
-_SPECTRA = f"""{SIGNAL}, wins AS (SELECT unnest(range(0, (SELECT max(vec_id) + 1 FROM embeddings) - 255, 128)) AS a), x AS (SELECT ch, a, i - a AS k, v FROM s, wins WHERE i >= a AND i < a + 256), y AS (SELECT ch, a, k, (v - avg(v) OVER (PARTITION BY ch, a)) * (0.5 - 0.5 * cos(2 * pi() * k / 256)) AS v FROM x), b AS (SELECT unnest(range(128)) AS bin),
-f AS (SELECT ch, a, bin, sum(v * cos(2 * pi() * bin * k / 256)) AS re, sum(v * sin(2 * pi() * bin * k / 256)) AS im FROM y, b GROUP BY ALL), p AS (SELECT ch, bin, bin * 250.0 / 256 AS hz, avg(re * re + im * im) AS p FROM f GROUP BY ALL)"""
+def _spectra_sql(windows: str, length: int) -> str:
+    """Views f and p: spectra of the windows (view ``wins``, starts a), and their mean power."""
+    return f"""{SIGNAL}, {windows}, x AS (SELECT ch, a, i - a AS k, v FROM s, wins WHERE i >= a AND i < a + {length}), y AS (SELECT ch, a, k, (v - avg(v) OVER (PARTITION BY ch, a)) * (0.5 - 0.5 * cos(2 * pi() * k / {length})) AS v FROM x), b AS (SELECT unnest(range({length // 2})) AS bin),
+    f AS (SELECT ch, a, bin, sum(v * cos(2 * pi() * bin * k / {length})) AS re, sum(v * sin(2 * pi() * bin * k / {length})) AS im FROM y, b GROUP BY ALL), p AS (SELECT ch, bin, bin * 250.0 / {length} AS hz, avg(re * re + im * im) AS p FROM f GROUP BY ALL)"""
+
+
+_SPECTRA = _spectra_sql("wins AS (SELECT unnest(range(0, (SELECT max(vec_id) + 1 FROM embeddings) - 255, 128)) AS a)", 256)
 
 
 @query(f"WITH {_SPECTRA} SELECT ch::BIGINT AS channel_index, bin::BIGINT AS bin, round(p, 5) AS power FROM p", two=True)
@@ -65,13 +71,21 @@ def connectivity_all(spark, d):
     return out(spectra.connectivity(traces(spark, d), segments(spark, d), RATE), "node_a", "node_b", "band", "metric", r("value", 5).alias("value"))
 
 
-@query(f"""WITH {_SPECTRA}, {_PAIRS}, aa AS (SELECT ch, band, sum(CASE WHEN hz BETWEEN lo AND hi THEN p ELSE 0 END) AS v FROM p, bands GROUP BY ALL), pw AS (SELECT ch, band, v, v / sum(v) OVER (PARTITION BY ch) AS rel FROM aa)
-SELECT 'spectral' AS row_type, 'channel' AS scope, (ch + 1)::INT AS channel_index, 'Ch ' || (ch + 1) AS channel_name, NULL::VARCHAR AS node_a, NULL::VARCHAR AS node_b, band, unnest(['absolute', 'relative', 'log10']) AS metric, round(unnest([v, rel, log10(greatest(v, 1e-12))]), 5) + 0.0 AS value FROM pw
-UNION ALL SELECT 'spectral', 'summary', NULL, NULL, NULL, NULL, band, unnest(['absolute', 'relative']), round(unnest([avg(v), avg(rel)]), 5) FROM pw GROUP BY band UNION ALL SELECT 'connectivity', 'pair', NULL, NULL, node_a, node_b, band, metric, round(value, 5) + 0.0 FROM pr""")
+def _result_sql(views: str) -> str:
+    return f"""WITH {views}, {_PAIRS}, aa AS (SELECT ch, band, sum(CASE WHEN hz BETWEEN lo AND hi THEN p ELSE 0 END) AS v FROM p, bands GROUP BY ALL), pw AS (SELECT ch, band, v, v / sum(v) OVER (PARTITION BY ch) AS rel FROM aa)
+SELECT 'spectral' AS row_type, 'channel' AS scope, (ch + 1)::DOUBLE AS channel_index, 'Ch ' || (ch + 1) AS channel_name, NULL::VARCHAR AS node_a, NULL::VARCHAR AS node_b, band, unnest(['absolute', 'relative', 'log10']) AS metric, round(unnest([v, rel, log10(greatest(v, 1e-12))]), 5) + 0.0 AS value FROM pw
+UNION ALL SELECT 'spectral', 'summary', NULL, NULL, NULL, NULL, band, unnest(['absolute', 'relative']), round(unnest([avg(v), avg(rel)]), 5) FROM pw GROUP BY band UNION ALL SELECT 'connectivity', 'pair', NULL, NULL, node_a, node_b, band, metric, round(value, 5) + 0.0 FROM pr"""
+
+
+@query(_result_sql(_SPECTRA))
 def resting_result_rows(spark, d):
     t = traces(spark, d)
     rows = spectra.result_rows(spectra.band_powers(spectra.pooled_spectra(t, segments(spark, d), RATE)), spectra.connectivity(t, segments(spark, d), RATE))
-    return out(rows, "row_type", "scope", "channel_index", "channel_name", "node_a", "node_b", "band", "metric", r("value", 5).alias("value"))
+    return _result_table(rows)
+
+
+def _result_table(rows):
+    return out(rows, "row_type", "scope", F.col("channel_index").cast("double").alias("channel_index"), "channel_name", "node_a", "node_b", "band", "metric", r("value", 5).alias("value"))
 
 
 def _q(name, f, sql=None, two=False):
@@ -296,8 +310,12 @@ def replayed_script(spark, d):
     return _samples(Pipeline.from_xml(steps.to_xml()).run(traces(spark, d), RATE))
 
 
-@query()
+#: Half-second segments that aren't poor, and in each its two windows of 64 samples.
+_KEPT = f"kept AS (SELECT start_sample AS a FROM ({SEGMENT_HEALTH_SQL.replace('i // 63', 'i // 125')}) WHERE grade <> 'poor'), wins AS (SELECT a + o AS a FROM kept, (SELECT unnest([0, 32]) AS o))"
+
+
+@query(_result_sql(_spectra_sql(_KEPT, 64).replace("250.0 / 256", "250.0 / 64")).replace("bin * 250.0 / 256", "bin * 250.0 / 64"), two=True)
 def resting_analysis(spark, d):
     from voltlake.plans.resting import resting_analysis as analyse
 
-    return analyse(signal(spark, d), RATE, n_samples(spark, d), CHANNELS, 0.5)["rows"]
+    return _result_table(analyse(signal(spark, d), RATE, n_samples(spark, d), CHANNELS, 0.5)["rows"])
