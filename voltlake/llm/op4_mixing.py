@@ -70,20 +70,30 @@ class Features:
 def fit_softmax(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, rounds: int = 300, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features x classes) and intercepts, on features scaled by their inverse document frequency in the rows."""
     at = np.concatenate([r[0] for r in rows])
-    of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    size = np.array([len(r[0]) for r in rows])
     n = BUCKETS + 256
     idf = np.log((len(rows) + 1) / (np.bincount(at, minlength=n) + 1)) + 0.2
-    value = np.concatenate([r[1] for r in rows]) * idf[at]
-    one = np.eye(k)[y]
-    w, b, vw, vb = np.zeros((n, k)), np.zeros(k), 0.0, 0.0
+    value = (np.concatenate([r[1] for r in rows]) * idf[at]).astype(np.float32)
+    used, col = np.unique(at, return_inverse=True)  # only columns that occur have weights
+    full = np.flatnonzero(size)
+    row_starts = np.cumsum(np.append(0, size[full][:-1]))
+    by_col = np.argsort(col, kind="stable")
+    of, sorted_value = np.repeat(np.arange(len(rows)), size)[by_col], value[by_col]
+    col_starts = np.searchsorted(col[by_col], np.arange(len(used)))
+    one = np.eye(k)[:, y]
+    w, b, vw, vb = np.zeros((k, len(used)), np.float32), np.zeros(k), 0.0, 0.0
     for _ in range(rounds):
-        z = np.stack([np.bincount(of, value * w[at, c], len(rows)) for c in range(k)], 1) + b
-        p = np.exp(z - z.max(1, keepdims=True))
-        g = (p / p.sum(1, keepdims=True) - one) / len(rows)
-        vw = 0.9 * vw - 8.0 * (np.stack([np.bincount(at, value * g[of, c], n) for c in range(k)], 1) + l2 * w)
-        vb = 0.9 * vb - 2.0 * g.sum(0)
+        z = np.repeat(b[:, None], len(rows), 1)
+        for c in range(k):
+            z[c, full] += np.add.reduceat(value * w[c].take(col), row_starts)
+        p = np.exp(z - z.max(0))
+        g = ((p / p.sum(0) - one) / len(rows)).astype(np.float32)
+        vw = 0.9 * vw - 8.0 * (np.stack([np.add.reduceat(sorted_value * g[c].take(of), col_starts) for c in range(k)]) + l2 * w)
+        vb = 0.9 * vb - 2.0 * g.sum(1)
         w, b = w + vw, b + vb
-    return w * idf[:, None], b
+    out = np.zeros((n, k))
+    out[used] = w.T * idf[used, None]
+    return out, b
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 1_024) -> dict:
