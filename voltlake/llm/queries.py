@@ -18,6 +18,9 @@ from voltlake.llm.op7_jaccard import jaccard_join
 from voltlake.llm.op8_suffix import suffix_dedup
 from voltlake.llm.op9_decontam import contaminated
 from voltlake.llm.op10_tokens import count_tokens
+from voltlake.llm.op11_spelling import spelling_variants
+from voltlake.llm.op12_codes import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
+from voltlake.llm.op13_secrets import secret_digest
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +97,58 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
+#: Words meet where they are equal without one letter; forms are followed one by one. CRC-32 by its table.
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+once AS (SELECT doc_id, run, count(*) AS times FROM runs GROUP BY ALL),
+bytes AS (SELECT doc_id, run, times, list_transform(range(octet_length(b)), lambda i: ('0x' || substr(hex(b), 2 * i + 1, 2))::BIGINT) AS b FROM (SELECT *, encode(coalesce(doc_id::VARCHAR, '') || ':' || run) AS b FROM once)),
+hashed AS (SELECT run, times, xor(4294967295, list_reduce([4294967295] || b, lambda c, x: xor(t[(xor(c, x) % 256) + 1], c >> 8))) AS h FROM bytes, crc),
+formed AS (SELECT times, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM formed WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word UNION SELECT a.word, b.word, b.n FROM words a JOIN cut b ON b.rest = a.word),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+best AS (SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.near_n >= 2 * w.n THEN r.near END AS form, CASE WHEN r.near_n >= 2 * w.n THEN r.near_n END AS form_n FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.k = 1),
+chain AS (SELECT word, word AS root FROM best UNION ALL SELECT c.word, b.form FROM chain c JOIN best b ON b.word = c.root WHERE b.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c JOIN best b ON b.word = c.root WHERE b.form IS NULL)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM best JOIN ends USING (word)
+"""
+
+
+def _codes_sql() -> str:
+    """Codebooks round by round, all distances by plain integer sums."""
+    steps = [f"""kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS (SELECT vec_id, label, p, v[p * (len(v) // {PARTS}) + 1 : (p + 1) * (len(v) // {PARTS})] AS x FROM kept, range({PARTS}) AS r(p)),
+book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM part WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {ENTRIES}))"""]
+    for k in range(ROUNDS + 1):
+        steps.append(f"""dist{k} AS (SELECT vec_id, label, part.p, x, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d FROM part JOIN book{k} b ON b.p = part.p),
+own{k} AS (SELECT * FROM dist{k} QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) = 1)""")
+        if k < ROUNDS:
+            steps.append(f"""mean{k} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, e, i, floor(sum(x[i]) / count(*))::BIGINT AS m FROM own{k}, range(1, (SELECT max(len(x)) FROM part) + 1) AS r(i) GROUP BY p, e, i) GROUP BY p, e),
+book{k + 1} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m ON m.p = b.p AND m.e = b.e)""")
+    last = f"own{ROUNDS}"
+    return f"""WITH {', '.join(steps)},
+coded AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM {last} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  sha256((SELECT string_agg(array_to_string(c, ','), ',' ORDER BY p, e) FROM book{ROUNDS})) AS codebooks_sha256 FROM coded"""
+
+
+OP12_SQL = _codes_sql()
+
 #: Brute force: the n-gram sets of all distinct texts meet on each n-gram; classes grow by the links until they stay.
 OP7_SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, string_split_regex(trim(lower(coalesce(text, '')), E' \n\t\r'), '\s+') AS w FROM documents),
@@ -135,10 +190,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op7_jaccard_join": OP7_SQL,
     "op8_suffix_dedup": OP8_SQL,
+    "op11_spelling_variants": OP11_SQL,
+    "op12_vector_codes": OP12_SQL,
 }
