@@ -199,8 +199,8 @@ def zero_phase(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, pad
     return x
 
 
-def band_pass(x: np.ndarray, rate: float, high: float | None = None, low: float | None = None, notch: float | None = None, slope: int = 24) -> np.ndarray:
-    """High-pass at ``high``, low-pass at ``low``, notch; x is samples x channels or one trace."""
+def band_sections(rate: float, high: float | None = None, low: float | None = None, notch: float | None = None, slope: int = 24) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sections of a high-pass at ``high``, a low-pass at ``low`` and a notch, in that order."""
     if rate <= 0:
         raise ValueError("the sampling rate must be positive")
     for f in (high, low, notch):
@@ -208,8 +208,15 @@ def band_pass(x: np.ndarray, rate: float, high: float | None = None, low: float
             raise ValueError(f"{f} Hz isn't between 0 and half the sampling rate")
     if high and low and high >= low:
         raise ValueError("the high-pass must lie below the low-pass")
-    sections = (butterworth("high", high, rate, slope) if high else []) + (butterworth("low", low, rate, slope) if low else []) + ([biquad("notch", notch, rate, NOTCH_Q)] if notch else [])
+    return (butterworth("high", high, rate, slope) if high else []) + (butterworth("low", low, rate, slope) if low else []) + ([biquad("notch", notch, rate, NOTCH_Q)] if notch else [])
+
+
+def band_pass(x: np.ndarray, rate: float, high: float | None = None, low: float | None = None, notch: float | None = None, slope: int = 24) -> np.ndarray:
+    """High-pass at ``high``, low-pass at ``low``, notch; x is samples x channels or one trace, an empty one stays."""
+    sections = band_sections(rate, high, low, notch, slope)
     lead = high or low or notch
+    if not x.size:
+        return x
     shape = x.shape
     y = np.asarray(x, float).reshape(len(x), -1)
     return zero_phase(sections, y, max(math.ceil(3 * rate / lead), 24) if lead else 0).reshape(shape)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voltlake.functions import cardiac, dsp
-from voltlake.operators import kernels, spectra
+from voltlake.operators import kernels, recursive, spectra
 from voltlake.operators.layout import to_samples, to_traces
 from voltlake.plans.queries_relational import SEGMENT_HEALTH_SQL
 from voltlake.plans.registry import CHANNELS, RATE, SIGNAL, circle, n_samples, out, query, r, signal
@@ -124,6 +124,13 @@ def _zero_phase(sections: list, lead: float) -> str:
 _BAND = dsp.butterworth("high", 1.0, RATE, 24) + dsp.butterworth("low", 40.0, RATE, 24)
 _FLAT = "SELECT unnest(range(64))::BIGINT AS channel_index, i AS sample_index, round(unnest({v}), 5) + 0.0 AS value FROM {t}"
 _q("filtered_signal", lambda s, d: _samples(kernels.filtered(traces(s, d), RATE, high=1.0, low=40.0, notch=60.0)), f"WITH RECURSIVE {SIGNAL}, {_zero_phase([*_BAND, dsp.biquad('notch', 60.0, RATE, dsp.NOTCH_Q)], 1.0)} {_FLAT.format(v='v', t='y5')}", True)
+_LOWER = dsp.butterworth("high", 10.0, RATE, 24) + dsp.butterworth("low", 40.0, RATE, 24)
+_q(
+    "filtered_by_blocks",
+    lambda s, d: out(recursive.band_pass_blocks(signal(s, d), RATE, high=10.0, low=40.0, notch=60.0, size=128), F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value", 5).alias("value")),
+    f"WITH RECURSIVE {SIGNAL}, {_zero_phase([*_LOWER, dsp.biquad('notch', 60.0, RATE, dsp.NOTCH_Q)], 10.0)} {_FLAT.format(v='v', t='y5')}",
+    True,
+)
 
 
 def _line_sql(strength: float = 1.0) -> str:
