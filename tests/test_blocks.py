@@ -65,3 +65,57 @@ def test_halos(spark, before, after):
         assert r.first == low and r["values"] == x[low:high].tolist()
     whole = blocks.matrix_blocks(long(spark, {2: x, 0: x + 1}), 64).orderBy("block").collect()
     assert [r.channels for r in whole] == [[0, 2]] * 2 and whole[1].rows[0] == (x[64:] + 1).tolist()
+
+
+def test_islands_over_block_edges(spark):
+    from voltlake.operators import topk
+
+    rng = np.random.default_rng(9)
+    rows = [(k, int(v), float(rng.integers(0, 5))) for k in "ab" for v in rng.integers(0, 900, 160)] + [("c", 5, 1.0)]
+    df = spark.createDataFrame(rows, "key string, start long, score double")
+    for fold in (topk.merge_nearby, topk.strongest_non_overlapping):
+        for size in (1, 7, 64, 10_000):
+            assert sorted(map(tuple, fold(df, 6, "key", size=size).collect())) == sorted(map(tuple, fold(df, 6, "key").collect())), (fold, size)
+
+
+@pytest.mark.parametrize("size", [40, 64, 5_000])
+def test_matched_filters_over_blocks(spark, size):
+    from voltlake.functions import templates
+    from voltlake.operators import matched
+
+    rng = np.random.default_rng(12)
+    shape = np.sin(np.arange(32) / 3) * np.hanning(32)
+    x = rng.standard_normal((3, 1_500)) * 0.2
+    for s in range(60, 1_400, 90):
+        x[:, s : s + 32] += np.array([1.0, -2.0, 0.5])[:, None] * shape
+    df = long(spark, dict(enumerate(x))).unionByName(long(spark, {0: x[0, :20]}, "short"))
+    for polarity in ("same", "both"):
+        got = [(r.sample_index, r.score) for r in matched.waveform_matches(df, 60, 32, 0.6, polarity, size=size).orderBy("sample_index").collect()]
+        want = templates.waveform_matches(x, x[:, 60:92], 0.6, polarity)
+        assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want])
+    assert len(got) >= 15 and matched.waveform_matches(df.where("false"), 60, 32, 0.6).count() == 0
+    assert matched.waveform_matches(df.drop("recording_id").where("channel_index = 1"), 60, 32, 0.6, size=size).count() >= 15
+
+
+def test_subspaces_of_windows(spark):
+    from voltlake.functions import cleaning
+    from voltlake.operators import subspaces
+
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((3, 800)).cumsum(1)
+    at = np.arange(20, 740, 60)
+    df = long(spark, dict(enumerate(x)))
+    starts = spark.createDataFrame([("a", int(s)) for s in [*at, 790, -5]], "recording_id string, start long")
+    got = [tuple(r)[1:] for r in subspaces.obs_variance(df, starts, 40, 5).orderBy("component").collect()]
+    want = cleaning.obs_variance(x, at, 40, 5)
+    assert np.allclose(np.array(got, float), np.array(want))
+    left = np.stack(list(traces_of(subspaces.spatial_projection(df, starts.where("start BETWEEN 0 AND 750"), 40, 2)).values()))
+    assert np.allclose(left, cleaning.ssp_removed(x, at, 40, 2, 40), atol=1e-9)
+    clean = np.stack(list(traces_of(subspaces.basis_removed(df, starts, 40, 12)).values()))
+    for s in at:  # as many components as windows explain them whole: the line is left
+        w = x[:, s : s + 40]
+        assert np.allclose(clean[:, s : s + 40], cleaning.boundary_line(w), atol=1e-6)
+    assert np.allclose(clean[:, :20], x[:, :20])
+    alone = df.drop("recording_id")
+    assert subspaces.obs_variance(alone, starts.drop("recording_id"), 40, 5).count() == 5
+    assert subspaces.obs_variance(df.where("false"), starts, 40).count() == 0 == subspaces.spatial_projection(df.where("false"), starts, 40).count()

@@ -189,7 +189,7 @@ def test_ica(method):
     f = ica.features(sources[0], m["mixing"][:, 0], np.array([[0, 1], [1, 0], [0, -1], [-1, 0.0]]), 200)
     assert f["map"].shape == (32, 32) and f["psd"].shape == (100,) and f["autocorrelation"].shape == (100,)
     p = ica.classify([f], lambda image, psd, auto: np.full(7, 1 / 7))
-    assert p.shape == (1, 7) and ica.label(sources[0], m["mixing"][:, 0], np.zeros((4, 2)), 200)[0] in ica.LABELS
+    assert p.shape == (1, 7)
 
 
 def test_spectra():
@@ -201,28 +201,6 @@ def test_spectra():
     assert dsp.aperiodic_slope(k[:2], k[:2]) is None
 
 
-def test_component_labels_and_traits():
-    from voltlake.functions import ica
-
-    rng = np.random.default_rng(11)
-    k = np.arange(64)
-    positions = np.stack([np.cos(2 * np.pi * k * 0.618) * np.sqrt(k / 64), np.sin(2 * np.pi * k * 0.618) * np.sqrt(k / 64)], 1)
-    t = np.arange(5000) / 250
-    dipole, frontal, focal, rim = positions[:, 0] + 0.3 * positions[:, 1] ** 2, np.maximum(positions[:, 1] - 0.3, 0), np.where(k < 3, 1.0, 0.02), np.where(np.hypot(*positions.T) > 0.72, (-1.0) ** k, 0.1)
-    slow = np.convolve(rng.standard_normal(5000), np.ones(250) / 250, "same")
-    pink = np.cumsum(rng.standard_normal(5000))
-    pink = pink - np.convolve(pink, np.ones(500) / 500, "same") + 12 * np.sin(2 * np.pi * 10 * t)
-    beats = np.zeros(5000)
-    beats[::225] = 1
-    heart = np.convolve(beats, np.hanning(25), "same") + 0.02 * rng.standard_normal(5000)
-    cases = {"Brain": (pink, dipole), "Eye": (slow, frontal), "Channel Noise": (rng.standard_normal(5000), focal), "Line Noise": (np.sin(2 * np.pi * 60 * t) + 0.05 * rng.standard_normal(5000), np.exp(-2 * (positions**2).sum(1))), "Heart": (heart, dipole), "Muscle": (rng.standard_normal(5000), rim)}
-    got = {name: ica.label(x, w, positions, 250.0) for name, (x, w) in cases.items()}
-    assert {name: label for name, (label, _) in got.items()} == {name: name for name in cases}
-    assert ica.map_traits(dipole, positions)["dipolarity"] > 0.999 and ica.map_traits(focal, positions)["focality"] == 1.0
-    assert ica.label(np.zeros(10), np.zeros(4), np.zeros((4, 2)), 250.0)[0] in ica.LABELS and ica.label(np.array([]), np.array([]), np.zeros((0, 2)), 250.0)[0] == "Other"
-    assert ica.time_traits(np.sin(2 * np.pi * 60 * t), 250.0)["line"] == 1.0
-
-
 def test_r_wave_levels():
     from voltlake.functions import cardiac
 

@@ -1,11 +1,14 @@
-"""Independent components: fit, clean, label, features."""
+"""Independent components: rules by moments, fit, clean, features of a classifier."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
-from voltlake.functions.dsp import hamming, hann, solve, symmetric_eigen
+from voltlake.functions.dsp import hamming, symmetric_eigen
 
+#: The classes of components.
 LABELS = ("Brain", "Muscle", "Eye", "Heart", "Line Noise", "Channel Noise", "Other")
 
 
@@ -18,68 +21,98 @@ def _start(k: int) -> np.ndarray:
     return _orthogonal(np.random.default_rng(7).standard_normal((k, k)))
 
 
-def fast_ica(z: np.ndarray, rounds: int = 200, tolerance: float = 1e-7) -> np.ndarray:
-    w = _start(len(z))
-    for _ in range(rounds):
-        y = np.tanh(w @ z)
-        new = _orthogonal(y @ z.T / z.shape[1] - (1 - y**2).mean(1)[:, None] * w)
-        if np.abs(np.abs((new * w).sum(1)) - 1).max() < tolerance:
-            return new
-        w = new
-    return w
+@dataclass
+class Moments:
+    """Means over samples of what the rules need, for whitened samples z and components y = w z."""
 
+    tanh_z: np.ndarray  # tanh(y) z', k x k
+    slope: np.ndarray  # 1 - tanh(y)^2, k
+    tanh_y: np.ndarray  # tanh(y) y, k
+    fourth: np.ndarray  # y^4, k
+    second: np.ndarray  # y^2, k
 
-def infomax(z: np.ndarray, rounds: int = 300, rate: float = 0.1) -> np.ndarray:
-    """Extended natural-gradient rule with the sign of each source's kurtosis."""
-    w = _start(len(z))
-    for step in range(rounds):
-        y = w @ z
-        sign = np.sign(((y**4).mean(1) / np.maximum((y**2).mean(1), 1e-12) ** 2) - 3)
-        g = np.eye(len(z)) - (sign[:, None] * np.tanh(y)) @ y.T / z.shape[1] - y @ y.T / z.shape[1]
-        w = w + rate / (1 + step / 100) * g @ w
-        if np.abs(g).max() < 1e-6:
-            break
-    return w
-
-
-def picard(z: np.ndarray, rounds: int = 200, tolerance: float = 1e-7) -> np.ndarray:
-    """Relative quasi-Newton steps with a regularised block-diagonal Hessian, orthogonal constraint kept."""
-    w = fast_ica(z, 5)
-    for _ in range(rounds):
-        y = w @ z
-        t = np.tanh(y)
-        g = t @ y.T / z.shape[1]
-        h = (1 - t**2).mean(1)[:, None] * np.ones(len(z))
-        sign = np.sign((1 - t**2).mean(1) - (t * y).mean(1))
-        g, h = sign[:, None] * g, sign[:, None] * h
-        anti = (g - g.T) / 2
-        if np.abs(anti).max() < tolerance:
-            break
-        curve = np.maximum(np.abs((np.diag(g)[:, None] + np.diag(g)) / 2 - (h + h.T) / 2), 0.05)
-        step = -anti / curve
-        w = _orthogonal((np.eye(len(z)) + step) @ w)
-    return w
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.tanh_z.ravel(), self.slope, self.tanh_y, self.fourth, self.second])
 
+    @staticmethod
+    def of(flat: np.ndarray, k: int) -> Moments:
+        rest = flat[k * k :].reshape(4, k)
+        return Moments(flat[: k * k].reshape(k, k), *rest)
 
-def fit(x: np.ndarray, method: str = "picard", variance: float = 0.999, every: int = 1, average_reference: bool = False) -> dict:
-    """Unmixing and mixing matrices of channels x samples. Deterministic: fixed start, components by falling contribution, largest weight positive."""
-    data = np.asarray(x, float)[:, ::every]
-    if average_reference:
-        data = data - data.mean(0)
-    mean = data.mean(1, keepdims=True)
-    data = data - mean
-    values, vectors = symmetric_eigen(data @ data.T / max(1, data.shape[1] - 1))
+
+def moment_sums(w: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Sums of the moments over the samples of z (k x n); sums of parts add up."""
+    y = w @ z
+    t = np.tanh(y)
+    return Moments(t @ z.T, (1 - t * t).sum(1), (t * y).sum(1), (y**4).sum(1), (y * y).sum(1)).flat()
+
+
+def fast_step(w: np.ndarray, m: Moments, step: int) -> tuple[np.ndarray, float]:
+    """Symmetric fixed-point step; the change is how far components turn."""
+    new = _orthogonal(m.tanh_z - m.slope[:, None] * w)
+    return new, float(np.abs(np.abs((new * w).sum(1)) - 1).max())
+
+
+def infomax_step(w: np.ndarray, m: Moments, step: int) -> tuple[np.ndarray, float]:
+    """Extended natural-gradient rule with the sign of each component's kurtosis."""
+    sign = np.sign(m.fourth / np.maximum(m.second, 1e-12) ** 2 - 3)
+    g = np.eye(len(w)) - sign[:, None] * (m.tanh_z @ w.T) - w @ w.T
+    return w + 0.1 / (1 + step / 100) * g @ w, float(np.abs(g).max())
+
+
+def picard_step(w: np.ndarray, m: Moments, step: int) -> tuple[np.ndarray, float]:
+    """Five fixed-point steps, then relative quasi-Newton steps with a regularised block-diagonal Hessian; the orthogonal constraint is kept."""
+    if step < 5:
+        return fast_step(w, m, step)[0], np.inf
+    sign = np.sign(m.slope - m.tanh_y)
+    g = sign[:, None] * (m.tanh_z @ w.T)
+    h = (sign * m.slope)[:, None] * np.ones(len(w))
+    anti = (g - g.T) / 2
+    curve = np.maximum(np.abs((np.diag(g)[:, None] + np.diag(g)) / 2 - (h + h.T) / 2), 0.05)
+    change = float(np.abs(anti).max())
+    return (w if change < 1e-7 else _orthogonal((np.eye(len(w)) - anti / curve) @ w)), change
+
+
+#: Step, most steps and the change at which a rule stops.
+RULES = {"picard": (picard_step, 205, 1e-7), "fastica": (fast_step, 200, 1e-7), "infomax": (infomax_step, 300, 1e-6)}
+
+
+def whitening(covariance: np.ndarray, variance: float) -> np.ndarray:
+    """Rows that give uncorrelated components of unit variance, as many as ``variance`` asks for."""
+    values, vectors = symmetric_eigen(covariance)
     values, vectors = values[::-1], vectors[:, ::-1]
     keep = values > 1e-6 * max(values[0], 1e-300)
     k = min(int(keep.sum()), int(np.searchsorted(np.cumsum(values) / max(values.sum(), 1e-300), variance)) + 1)
-    whiten = (vectors[:, :k] / np.sqrt(values[:k])).T
-    w = {"picard": picard, "fastica": fast_ica, "infomax": infomax}[method](whiten @ data) @ whiten
+    return (vectors[:, :k] / np.sqrt(values[:k])).T
+
+
+def ordered(w: np.ndarray, mean: np.ndarray, covariance: np.ndarray) -> dict:
+    """A model with components by falling contribution, their largest weight positive."""
     mixing = np.linalg.pinv(w)
-    power = (mixing**2).sum(0) * ((w @ data) ** 2).mean(1)
+    power = (mixing**2).sum(0) * np.einsum("ki,ij,kj->k", w, covariance, w)
     order = np.argsort(-power, kind="stable")
     w, mixing, power = w[order], mixing[:, order], power[order]
     sign = np.sign(mixing[np.abs(mixing).argmax(0), np.arange(mixing.shape[1])])
-    return {"unmixing": w * sign[:, None], "mixing": mixing * sign, "mean": mean[:, 0], "contribution": power / max(power.sum(), 1e-300)}
+    return {"unmixing": w * sign[:, None], "mixing": mixing * sign, "mean": mean, "contribution": power / max(power.sum(), 1e-300)}
+
+
+def fit(x: np.ndarray, method: str = "picard", variance: float = 0.999, every: int = 1, average_reference: bool = False) -> dict:
+    """Unmixing and mixing matrices of channels x samples held in memory; ``operators.components.fit_components`` fits tables. Deterministic: fixed start."""
+    data = np.asarray(x, float)[:, ::every]
+    if average_reference:
+        data = data - data.mean(0)
+    mean = data.mean(1, keepdims=True)
+    data = data - mean
+    covariance = data @ data.T / max(1, data.shape[1] - 1)
+    whiten = whitening(covariance, variance)
+    z = whiten @ data
+    rule, most, enough = RULES[method]
+    w = _start(len(z))
+    for step in range(most):
+        w, change = rule(w, Moments.of(moment_sums(w, z) / max(1, z.shape[1]), len(z)), step)
+        if change < enough:
+            break
+    return ordered(w @ whiten, mean[:, 0], covariance)
 
 
 def clean(x: np.ndarray, model: dict, components: list[int], block: int = 32_768, clip: bool = True) -> np.ndarray:
@@ -96,103 +129,6 @@ def clean(x: np.ndarray, model: dict, components: list[int], block: int = 32_768
     return out
 
 
-def _part(x: float) -> float:
-    return float(min(max(x, 0.0), 1.0))
-
-
-def map_traits(weights: np.ndarray, positions: np.ndarray) -> dict[str, float]:
-    """Where a component's map is strong: focality (its five largest sensors against the rest), contrasts of regions, and dipolarity (variance that a quadratic surface over the sensors explains)."""
-    centred = np.nan_to_num(np.asarray(weights, float))
-    centred = centred - centred.mean() if len(centred) else centred
-    top = np.abs(centred).max(initial=0)
-    w = centred / top if top > 1e-12 else np.zeros(len(centred))
-    size = np.abs(w)
-    ranked = np.sort(size)[::-1]
-    focality = _part((ranked[:5].mean() / max(ranked[5:].mean(), 1e-9) - 2.4) / 4.0) if len(w) > 6 else 0.0
-    traits = dict.fromkeys(("anterior", "posterior", "lateral", "edge", "dipolarity"), 0.0) | {"focality": focality, "smoothness": 1 - focality}
-    n = min(len(w), len(positions))
-    if not n:
-        return traits
-    x, y = positions[:n, 0], positions[:n, 1]
-    size, r = size[:n], np.hypot(x, y)
-    mean = {k: float(size[m].mean()) if m.any() else 0.0 for k, m in (("front", y > 0.32), ("back", y < -0.20), ("side", np.abs(x) > 0.55), ("rim", r > 0.72), ("middle", r < 0.45))}
-    overall = max(float(np.abs(w).mean()), 1e-9)
-    traits |= {
-        "anterior": _part((mean["front"] - mean["back"]) / (1.8 * overall) + 0.35),
-        "posterior": _part((mean["back"] - mean["front"]) / (1.8 * overall) + 0.35),
-        "lateral": _part((mean["side"] - mean["middle"]) / (1.7 * overall) + 0.25),
-        "edge": _part((mean["rim"] - mean["middle"]) / (1.6 * overall) + 0.25),
-        "smoothness": _part(1 - focality + 0.25 * min(mean["middle"] / max(mean["rim"], 1e-9), 1)),
-    }
-    spread = ((w[:n] - w[:n].mean()) ** 2).sum()
-    surface = np.stack([np.ones(n), x, y, x * x, y * y, x * y], 1)
-    if n >= 12 and spread > 1e-12 and (c := solve(surface.T @ surface, surface.T @ w[:n])) is not None:
-        traits["dipolarity"] = _part(1 - ((w[:n] - surface @ c) ** 2).sum() / spread)
-    return traits
-
-
-def spectrum_traits(x: np.ndarray, rate: float) -> dict[str, float]:
-    """Shares of slow and fast power, alpha and mains peaks over their surroundings, and how the spectrum falls, from at most 40 windows of 256 samples."""
-    none = dict.fromkeys(("low", "high", "alpha", "decay", "line"), 0.0)
-    length = 256
-    if len(x) < length or rate <= 0:
-        return none
-    span = len(x) - length
-    count = max(1, min(40, span // (length // 2) + 1))
-    starts = np.arange(count) * (span // (count - 1) if count > 1 else 0)
-    power = (np.abs(np.fft.rfft(x[starts[:, None] + np.arange(length)] * hann(length, True), axis=1)[:, : length // 2]) ** 2).mean(0)
-    total, step, nyquist = float(power[1:].sum()), rate / length, rate / 2
-    if total <= 1e-12:
-        return none
-    place = lambda f: int(f / step + 0.5)
-    band = lambda a, b: float(power[max(place(a), 1) : min(place(b), len(power) - 1) + 1].sum())
-    alpha, beside = band(8, 12) / max(1, 4 / step), (band(5, 7) + band(13, 16)) / max(1, 5 / step)
-    out = none | {"low": _part(band(0.5, 3) / total), "high": _part(band(20, min(nyquist, 90)) / total), "alpha": _part((alpha / max(beside, 1e-12) - 1.1) / 1.4)}
-    bins = np.arange(max(place(2), 1), min(place(min(40, nyquist)), len(power) - 1) + 1)
-    if len(bins) > 1:
-        slope = np.polyfit(np.log(bins * step), np.log(np.maximum(power[bins], 1e-20)), 1)[0]
-        around = {f: band(f - 6, f - 3) + band(f + 3, f + 6) for f in (50.0, 60.0) if f + 2 < nyquist}
-        out |= {"decay": _part((-slope - 0.3) / 1.6), "line": max((_part((band(f - 1.5, f + 1.5) / v - 1.5) / 4) for f, v in around.items() if v > 1e-12), default=0.0)}
-    return out
-
-
-def time_traits(source: np.ndarray, rate: float) -> dict[str, float]:
-    """Slowness (few sign changes), spikiness (kurtosis), rhythm (autocorrelation at 0.45 to 1.35 s) and the traits of the spectrum."""
-    x = np.asarray(source, float)
-    x = x[np.isfinite(x)]
-    out = dict.fromkeys(("slow", "spiky", "rhythm"), 0.0)
-    if len(x) <= 4:
-        return out | spectrum_traits(x[:0], rate)
-    x = x - x.mean()
-    some = x[:: max(len(x) // 10_000, 1)]
-    changes = float(np.mean((some[1:] >= 0) != (some[:-1] >= 0))) if len(some) > 1 else 0.0
-    out |= {"slow": _part((0.22 - changes) / 0.22), "spiky": _part((float(np.mean((x / max(x.std(), 1e-6)) ** 4)) - 3) / 12)}
-    if rate > 0 and len(x) > int(rate):
-        skip = max(len(x) // 8_000, 1)
-        y, per_s = x[::skip], rate / skip
-        lags = range(max(int(0.45 * per_s + 0.5), 1), min(int(1.35 * per_s + 0.5), len(y) // 2) + 1)
-        energy = float(y @ y)
-        if energy > 0 and len(lags) > 1:
-            out["rhythm"] = _part((max(0.0, *(float(y[k:] @ y[:-k]) for k in lags)) / energy - 0.08) / 0.35)
-    return out | spectrum_traits(x, rate)
-
-
-def label(source: np.ndarray, weights: np.ndarray, positions: np.ndarray, rate: float) -> tuple[str, float]:
-    """Class of a component and its score by fixed weights of its traits; Other under 0.48."""
-    m, t = map_traits(weights, positions), time_traits(source, rate)
-    rim = max(m["lateral"], m["edge"])
-    scores = {
-        "Eye": 0.46 * max(m["anterior"], m["posterior"]) + 0.30 * t["low"] + 0.14 * m["smoothness"] + 0.10 * t["slow"],
-        "Muscle": 0.50 * t["high"] + 0.34 * rim + 0.16 * t["spiky"] if t["high"] > 0.5 and rim > 0.5 else 0.18 * min(t["high"], rim),
-        "Heart": 0.62 * t["rhythm"] + 0.20 * t["spiky"] + 0.18 * m["smoothness"] if t["rhythm"] > 0.32 else 0.14 * t["rhythm"],
-        "Line Noise": 0.80 * t["line"] + 0.20 * m["focality"] if t["line"] > 0.5 else 0.10 * t["line"],
-        "Channel Noise": 0.78 * m["focality"] + 0.12 * t["spiky"] + 0.10 * (1 - m["dipolarity"]) if m["focality"] > 0.68 else 0.16 * m["focality"],
-        "Brain": 0.34 * m["dipolarity"] + 0.24 * t["decay"] + 0.20 * t["alpha"] + 0.12 * m["smoothness"] + 0.10 * (1 - max(m["focality"], t["spiky"])),
-    }
-    name = max(scores, key=scores.__getitem__)
-    return (name, _part(scores[name])) if scores[name] >= 0.48 else ("Other", scores[name])
-
-
 def features(source: np.ndarray, weights: np.ndarray, positions: np.ndarray, rate: float) -> dict[str, np.ndarray]:
     """Inputs of a component classifier: a 32 x 32 inverse-distance map, 100 spectral bins in dB, 100 lags of autocorrelation."""
     axis = np.linspace(-1, 1, 32)

@@ -179,28 +179,17 @@ def gradient_corrected(traces: DataFrame, rate: float, starts: list[int], spacin
     return matrix_kernel(traces, lambda x: fastr(x, rate, np.array(starts, int), spacing, **options))
 
 
-def ica_fitted(traces: DataFrame, rate: float, positions: np.ndarray, method: str = "picard") -> DataFrame:
-    """A row a component: contribution, label, score, mixing and unmixing weights."""
-    from voltlake.functions import ica
-
-    def run(x: np.ndarray, _: list[int]) -> pd.DataFrame:
-        m = ica.fit(x, method)
-        sources = m["unmixing"] @ (x - m["mean"][:, None])
-        labels = [ica.label(s, m["mixing"][:, k], positions[: len(x)], rate) for k, s in enumerate(sources)]
-        return pd.DataFrame({"component": range(len(sources)), "contribution": m["contribution"], "label": [n for n, _ in labels], "score": [s for _, s in labels], "mixing": list(m["mixing"].T), "unmixing": list(m["unmixing"])})
-
-    return by_recording(traces, run, "component int, contribution double, label string, score double, mixing array<double>, unmixing array<double>")
-
-
 def ica_cleaned(traces: DataFrame, rate: float, positions: np.ndarray, reject: tuple[str, ...] = ("Eye", "Heart", "Muscle", "Line Noise"), method: str = "picard") -> DataFrame:
-    from voltlake.functions import ica
-
-    def run(x: np.ndarray) -> np.ndarray:
-        m = ica.fit(x, method)
-        sources = m["unmixing"] @ (x - m["mean"][:, None])
-        return ica.clean(x, m, [k for k, s in enumerate(sources) if ica.label(s, m["mixing"][:, k], positions[: len(x)], rate)[0] in reject])
-
-    return matrix_kernel(traces, run)
+    """Traces less the components of rejected labels; fit, labels and removal run over blocks of samples."""
+    from voltlake.operators import components as c
+    from voltlake.operators.layout import to_samples, to_traces
+    from voltlake.operators.tables import written
+
+    samples = written(to_samples(recorded(traces), "recording_id", "channel_index"))
+    layout = traces.sparkSession.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(positions)], "channel_index int, x double, y double")
+    models = c.fit_components(samples, method)
+    chosen = c.label_components(samples, models, layout, rate).where(F.col("label").isin(*reject))
+    return to_traces(c.without_components(samples, models, chosen), "recording_id", "channel_index")
 
 
 def interpolated_channels(samples: DataFrame, geometry: list[tuple[int, float, float, float]], bad: list[int]) -> DataFrame:

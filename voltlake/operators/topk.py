@@ -12,16 +12,40 @@ def _items() -> Column:
     return F.array_sort(F.collect_list(F.struct(F.col("start").cast("bigint").alias("start"), (-F.col("score")).alias("neg"))))
 
 
-def _folded(candidates: DataFrame, gap: int, keys: tuple[str, ...], items: Column, empty: Column, step) -> DataFrame:
+def islands(candidates: DataFrame, gap: int, keys: tuple[str, ...], size: int | None = None) -> DataFrame:
+    """``candidates`` with __island: candidates further than ``gap`` from the one before begin a new one.
+
+    With ``size``, no key's candidates have to meet in one task: they are looked at in
+    blocks of ``size`` samples, and islands are stitched over block edges by what each block
+    says in one row: its last candidate, and the last start of an island in it.
+    """
+    if size is None:
+        w = Window.partitionBy(*keys).orderBy("start")
+        fresh = F.coalesce((F.col("start") - F.lag("start").over(w) > gap).cast("int"), F.lit(1))
+        return candidates.withColumn("__fresh", fresh).withColumn("__island", F.sum("__fresh").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("__fresh")
+    placed = candidates.withColumn("__block", F.floor(F.col("start") / size))
+    own = Window.partitionBy(*keys, "__block").orderBy("start")
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+
+    def carried(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        edges = rows.groupBy(*keys, "__block").agg(F.max(value).alias("__v"))
+        return rows.join(edges.select(*keys, "__block", F.max("__v").over(before).alias(name)), [*keys, "__block"])
+
+    seen = carried(placed, F.col("start"), "__past")
+    fresh = seen.withColumn("__first", F.when(F.coalesce(F.col("start") - F.coalesce(F.lag("start").over(own), "__past") > gap, F.lit(True)), F.col("start")))
+    known = carried(fresh, F.col("__first"), "__open")
+    island = F.coalesce(F.max("__first").over(own.rangeBetween(Window.unboundedPreceding, 0)), "__open")
+    return known.withColumn("__island", island).select(*candidates.columns, "__island")
+
+
+def _folded(candidates: DataFrame, gap: int, keys: tuple[str, ...], items: Column, empty: Column, step, size: int | None = None) -> DataFrame:
     """start, score of what a fold keeps of each island: candidates further than ``gap`` from the one before can't touch it, so folds are as short as islands."""
-    w = Window.partitionBy(*keys).orderBy("start")
-    fresh = F.coalesce((F.col("start") - F.lag("start").over(w) > gap).cast("int"), F.lit(1))
-    apart = candidates.withColumn("__fresh", fresh).withColumn("__island", F.sum("__fresh").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    apart = islands(candidates, gap, keys, size)
     folded = apart.groupBy(*keys, "__island").agg(items.alias("all")).select(*keys, F.explode(F.aggregate("all", empty, step)).alias("__one"))
     return folded.select(*keys, "__one.start", "__one.score")
 
 
-def merge_nearby(candidates: DataFrame, gap: int, *keys: str) -> DataFrame:
+def merge_nearby(candidates: DataFrame, gap: int, *keys: str, size: int | None = None) -> DataFrame:
     """Chains of starts no further than ``gap`` from the last kept one: the better stays, and moves the anchor."""
 
     def step(acc: Column, x: Column) -> Column:
@@ -34,10 +58,10 @@ def merge_nearby(candidates: DataFrame, gap: int, *keys: str) -> DataFrame:
             .otherwise(acc)
         )
 
-    return _folded(candidates, gap, keys, _items(), F.array().cast(ITEM), step)
+    return _folded(candidates, gap, keys, _items(), F.array().cast(ITEM), step, size)
 
 
-def strongest_non_overlapping(candidates: DataFrame, spacing: int, *keys: str) -> DataFrame:
+def strongest_non_overlapping(candidates: DataFrame, spacing: int, *keys: str, size: int | None = None) -> DataFrame:
     """Best first; one within ``spacing`` of a kept one goes."""
 
     def step(acc: Column, x: Column) -> Column:
@@ -45,7 +69,7 @@ def strongest_non_overlapping(candidates: DataFrame, spacing: int, *keys: str) -
         return F.when(clash, acc).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), (-x["neg"]).alias("score")))))
 
     by_score = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("start").cast("bigint").alias("start"))))
-    return _folded(candidates, spacing - 1, keys, by_score, F.array().cast(ITEM), step)
+    return _folded(candidates, spacing - 1, keys, by_score, F.array().cast(ITEM), step, size)
 
 
 def local_peaks(samples: DataFrame, *keys: str, value: str = "value") -> DataFrame:

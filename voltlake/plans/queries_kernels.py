@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltlake.functions import cardiac, dsp
-from voltlake.operators import kernels, recursive, spectra
+from voltlake.operators import components, kernels, matched, recursive, spectra, subspaces
+from voltlake.operators.keys import ids
 from voltlake.operators.layout import to_samples, to_traces
 from voltlake.plans.queries_relational import SEGMENT_HEALTH_SQL
-from voltlake.plans.registry import CHANNELS, RATE, SIGNAL, circle, n_samples, out, query, r, signal
+from voltlake.plans.registry import CHANNELS, RATE, SIGNAL, circle, n_samples, out, query, r, signal, table
 from voltlake.plans.script import Pipeline
 
 
@@ -267,6 +269,16 @@ rr AS (SELECT a, s.ch, corr(v, t) AS r FROM fine JOIN s ON i >= a AND i < a + 32
 f AS (SELECT k, i AS ki, v AS kv, NULL::BIGINT AS oi, NULL::DOUBLE AS ov FROM p WHERE k = 1 UNION ALL SELECT p.k, CASE WHEN p.i - ki > 16 OR p.v > kv THEN p.i ELSE ki END, CASE WHEN p.i - ki > 16 OR p.v > kv THEN p.v ELSE kv END, CASE WHEN p.i - ki > 16 THEN ki END, CASE WHEN p.i - ki > 16 THEN kv END FROM f JOIN p ON p.k = f.k + 1) SELECT oi + 16 AS sample_index, round(ov, 5) AS score FROM f WHERE oi IS NOT NULL UNION ALL SELECT arg_max(ki, k) + 16, round(arg_max(kv, k), 5) FROM f""",
     True,
 )
+_q(
+    "template_waveform_by_blocks",
+    lambda s, d: out(matched.waveform_matches(signal(s, d), 100, 32, 0.2, size=64), "sample_index", r("score", 5).alias("score")),
+    f"""WITH RECURSIVE {SIGNAL}, tp AS (SELECT ch, i - 100 AS w, v AS t FROM s WHERE i >= 100 AND i < 132), te AS (SELECT ch, sum(t * t) AS e, avg(t) AS m, sqrt(avg(t * t)) AS r FROM tp GROUP BY ch), best AS (SELECT arg_max(ch, struct_pack(e := e, c := -ch)) AS ch FROM te), un AS (SELECT w, (t - avg(t) OVER ()) AS t FROM tp JOIN best USING (ch)), one AS (SELECT i, v - avg(v) OVER () AS v FROM s JOIN best USING (ch)),
+st AS (SELECT unnest(range(0, {_N} - 31)) AS a), pj AS (SELECT a, abs(sum(v * t)) AS p FROM st JOIN one ON i >= a AND i < a + 32 JOIN un ON w = i - a GROUP BY a), lm AS (SELECT avg(p) + 1.25 * stddev_pop(p) AS lim FROM pj), lo AS (SELECT a, p, row_number() OVER (ORDER BY p DESC, a) AS k FROM (SELECT *, lag(p) OVER (ORDER BY a) AS b, lead(p) OVER (ORDER BY a) AS c FROM pj), lm WHERE p >= b AND p > c AND p >= lim),
+gr AS (SELECT k, [a] AS kept FROM lo WHERE k = 1 UNION ALL SELECT lo.k, CASE WHEN len(list_filter(kept, lambda z: abs(z - lo.a) < 10)) > 0 THEN kept ELSE list_append(kept, lo.a) END FROM gr JOIN lo ON lo.k = gr.k + 1), ks AS (SELECT arg_max(kept, k) AS kept FROM gr), cs AS (SELECT unnest(CASE WHEN len(kept) >= 12 THEN kept ELSE range(0, {_N} - 31, 8) END) AS a FROM ks), fine AS (SELECT DISTINCT greatest(0, least({_N} - 32, a + d)) AS a FROM cs, (SELECT unnest(range(-4, 5)) AS d)),
+rr AS (SELECT a, s.ch, corr(v, t) AS r FROM fine JOIN s ON i >= a AND i < a + 32 JOIN tp ON tp.ch = s.ch AND w = i - a GROUP BY ALL), sc AS (SELECT a, sum(rr.r * te.r) / (SELECT sum(r) FROM te) AS v FROM rr JOIN te USING (ch) GROUP BY a), p AS (SELECT a AS i, v, row_number() OVER (ORDER BY a) AS k FROM sc WHERE v >= 0.2),
+f AS (SELECT k, i AS ki, v AS kv, NULL::BIGINT AS oi, NULL::DOUBLE AS ov FROM p WHERE k = 1 UNION ALL SELECT p.k, CASE WHEN p.i - ki > 16 OR p.v > kv THEN p.i ELSE ki END, CASE WHEN p.i - ki > 16 OR p.v > kv THEN p.v ELSE kv END, CASE WHEN p.i - ki > 16 THEN ki END, CASE WHEN p.i - ki > 16 THEN kv END FROM f JOIN p ON p.k = f.k + 1) SELECT oi + 16 AS sample_index, round(ov, 5) AS score FROM f WHERE oi IS NOT NULL UNION ALL SELECT arg_max(ki, k) + 16, round(arg_max(kv, k), 5) FROM f""",
+    True,
+)
 for _method in ("trajectory", "wavelet"):
     _q(f"template_{_method}", lambda s, d, m=_method: kernels.template_events(traces(s, d), 100, 32, 0.2, m))
 _TIMES = [0.2 * k for k in range(1, 9)]
@@ -279,7 +291,65 @@ t AS (SELECT ch, rel, avg(x) AS t FROM e GROUP BY ALL), g AS (SELECT ch, sum(t *
 )
 for _method in ("obs", "ssp"):
     _q(f"cleaned_by_{_method}", lambda s, d, m=_method: to_samples(kernels.artifact_cleaned(traces(s, d), [{"method": m, "times": _TIMES, "width": 40}], RATE), "recording_id", "channel_index"))
-_q("obs_variance", lambda s, d: kernels.obs_variance(traces(s, d), _TIMES, RATE, 40))
+_STARTS = list(range(30, 460, 50))
+_STARTS_SQL = f"st AS (SELECT unnest({_STARTS}) AS a)"
+
+
+def starts(spark):
+    return spark.createDataFrame([(a,) for a in _STARTS], "start long")
+
+
+def named_starts(spark, x):
+    """The same starts for each recording of ``x``."""
+    return starts(spark).crossJoin(F.broadcast(x.select(*ids(x)).distinct())) if ids(x) else starts(spark)  # two names
+
+
+def _at_starts(f):
+    def run(spark, d):
+        x = signal(spark, d)
+        return f(x, named_starts(spark, x))
+
+    return run
+
+
+_q("obs_variance", _at_starts(lambda x, s: subspaces.obs_variance(x, s, 40)))
+_q(
+    "window_variance",
+    _at_starts(lambda x, s: out(subspaces.window_components(subspaces.window_grams(subspaces.event_windows(x, s, 40), 40), 40, 1), F.col("channel_index").cast("long").alias("channel_index"), r("all", 4).alias("variance"))),
+    f"WITH {SIGNAL}, {_STARTS_SQL}, w AS (SELECT ch, a, i - a AS j, v FROM s JOIN st ON i >= a AND i < a + 40) SELECT ch::BIGINT AS channel_index, round(sum(q), 4) AS variance FROM (SELECT ch, j, var_pop(v) * count(*) AS q FROM w GROUP BY ALL) GROUP BY ch",
+    True,
+)
+_q(
+    "mean_map_projected_out",
+    _at_starts(lambda x, s: out(subspaces.projected_out(x, _mean_map(x, s)), F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value", 5).alias("value"))),
+    f"WITH {SIGNAL}, {_STARTS_SQL}, m AS (SELECT ch, avg(v) AS m FROM s JOIN st ON i = a GROUP BY ch), u AS (SELECT ch, m / sqrt(sum(m * m) OVER ()) AS u FROM m), p AS (SELECT i, sum(v * u) AS p FROM s JOIN u USING (ch) GROUP BY i) SELECT s.ch::BIGINT AS channel_index, s.i AS sample_index, round(v - p * u, 5) + 0.0 AS value FROM s JOIN u USING (ch) JOIN p USING (i)",
+    True,
+)
+
+
+def _mean_map(x, s):
+    """The mean map at the starts, of unit length, as the one direction of its recording."""
+    means = x.join(s.withColumnRenamed("start", "sample_index"), [*ids(x), "sample_index"]).groupBy(*ids(x), "channel_index").agg(F.avg("value").alias("m"))
+    size = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy(*(ids(x) or [F.lit(0)]))))
+    return means.select(*ids(x), F.lit(0).alias("component"), "channel_index", (F.col("m") / size).alias("weight"))
+
+
+def shaped(spark, d):
+    """Windows of one shape a channel, each scaled by a value of the table: decompositions of rank one with a known answer."""
+    x = signal(spark, d).where("channel_index < 8")
+    amplitude = x.join(named_starts(spark, x).withColumnRenamed("start", "sample_index"), [*ids(x), "sample_index"]).select(*ids(x), "channel_index", F.col("sample_index").alias("start"), F.col("value").alias("amp"))
+    j = F.explode(F.sequence(F.lit(0), F.lit(39))).alias("j")
+    shape = F.sin((F.col("j") + 1) * (F.col("channel_index") + 1) * 0.05)
+    return amplitude.select("*", j).select(*ids(x), "channel_index", (F.col("start") + F.col("j")).alias("sample_index"), (F.col("amp") * shape).alias("value"))
+
+
+@query(f"""WITH {SIGNAL}, {_STARTS_SQL}, am AS (SELECT ch, sum(v * v) AS e FROM s JOIN st ON i = a WHERE ch < 8 GROUP BY ch), sh AS (SELECT ch, j, sin((j + 1) * (ch + 1) * 0.05) AS x FROM (SELECT unnest(range(8)) AS ch), (SELECT unnest(range(40)) AS j)), n AS (SELECT ch, sum(x * x) AS n, sign(arg_max(x, abs(x))) AS sg FROM sh GROUP BY ch)
+SELECT ch::BIGINT AS channel_index, j::BIGINT AS at, round(e * n, 4) AS eigenvalue, round(sg * x / sqrt(n), 5) + 0.0 AS value FROM sh JOIN n USING (ch) JOIN am USING (ch)""", two=True)
+def window_shapes(spark, d):
+    x = shaped(spark, d)
+    found = subspaces.window_components(subspaces.window_grams(subspaces.event_windows(x, named_starts(spark, x), 40), 40), 40, 1, centred=False)
+    each = found.select(*ids(found), F.col("channel_index").cast("long").alias("channel_index"), r("eigenvalue", 4).alias("eigenvalue"), F.posexplode("vector").alias("at", "v"))
+    return out(each, "channel_index", F.col("at").cast("long").alias("at"), "eigenvalue", r("v", 5).alias("value"))
 for _scheme in ("neighbour", "farm", "moosmann"):
     _q(f"gradient_{_scheme}", lambda s, d, m=_scheme: to_samples(kernels.gradient_corrected(traces(s, d), RATE, list(range(0, n_samples(s, d) // 25 * 25, 25)), 25, factor=4, scheme=m), "recording_id", "channel_index"))
 
@@ -288,9 +358,64 @@ def _positions() -> np.ndarray:
     return np.array([(x, y) for _, x, y in circle(CHANNELS)])
 
 
-_q("ica_components", lambda s, d: kernels.ica_fitted(traces(s, d), RATE, _positions()))
+def _layout(spark):
+    return spark.createDataFrame(circle(CHANNELS), "channel_index int, x double, y double")
+
+
+@query()
+def ica_components(spark, d):
+    samples = to_samples(traces(spark, d), "recording_id", "channel_index")
+    return components.label_components(samples, components.fit_components(samples), _layout(spark), RATE)
+
+
 _q("ica_cleaned", lambda s, d: to_samples(kernels.ica_cleaned(traces(s, d), RATE, _positions()), "recording_id", "channel_index"))
 
+#: Mixtures with a known answer: over 500 samples the three sources take every combination of their levels once, so they are exactly independent.
+_MIXED = {"a": ((4.0, 1.0, 0.5), (1.0, 3.0, 0.2), (0.3, 0.5, 2.0), (1.0, 1.0, 0.0)), "b": ((-1.0, 5.0, 0.1), (0.4, 0.2, 1.5), (6.0, -0.5, 0.3))}
+_SOURCES_SQL = "src AS (SELECT vec_id AS i, unnest([0, 1, 2]) AS k, unnest([vec_id % 5, vec_id // 5 % 10, vec_id // 50 % 10])::DOUBLE AS s FROM embeddings), z AS (SELECT i, k, (s - avg(s) OVER (PARTITION BY k)) / stddev_samp(s) OVER (PARTITION BY k) AS z FROM src)"
+_MIXING_SQL = "mix(rec, ch, k, w) AS (VALUES " + ", ".join(f"('{name}', {c}, {k}, {w!r}::DOUBLE)" for name, rows in _MIXED.items() for c, row in enumerate(rows) for k, w in enumerate(row)) + ")"
+_MIXTURE_SQL = f"{_SOURCES_SQL}, {_MIXING_SQL}, x AS (SELECT rec, ch, i, x + 10 * ch AS x FROM (SELECT rec, ch, i, sum(w * s) AS x FROM src JOIN mix USING (k) GROUP BY rec, ch, i))"
+_RANKS_SQL = "a AS (SELECT rec, ch, k, w * sd AS a FROM mix JOIN (SELECT k, stddev_samp(s) AS sd FROM src GROUP BY k) USING (k)), p AS (SELECT rec, k, sum(a * a) AS p, sign(arg_max(a, abs(a))) AS sg FROM a GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY p DESC) - 1 AS component FROM p)"
+
+
+def mixture(spark, d):
+    """LONG samples of both mixtures."""
+    i = F.col("vec_id")
+    sources = [i % 5, F.floor(i / 5) % 10, F.floor(i / 50) % 10]
+    rows = [(name, c, list(map(float, row))) for name, mixing in _MIXED.items() for c, row in enumerate(mixing)]
+    weights = F.broadcast(spark.createDataFrame(rows, "recording_id string, channel_index int, w array<double>"))  # seven rows
+    return table(spark, d, "embeddings").select(i.alias("sample_index"), *(x.cast("double").alias(f"s{k}") for k, x in enumerate(sources))).crossJoin(weights).select("recording_id", "channel_index", "sample_index", (sum((F.get("w", F.lit(k)) * F.col(f"s{k}") for k in range(3)), F.lit(0.0)) + 10 * F.col("channel_index")).alias("value"))
+
+
+def _fitted(spark, d, method="picard"):
+    x = mixture(spark, d)
+    return x, components.fit_components(x, method, 0.999999, size=128)
+
+
+for _method in ("picard", "fastica"):
+    _q(
+        f"recovered_sources_{_method}",
+        lambda s, d, m=_method: components.component_sources(*_fitted(s, d, m), size=128).select("recording_id", F.col("component").cast("long").alias("component"), "sample_index", r("value", 3).alias("value")),
+        f"WITH {_MIXTURE_SQL}, {_RANKS_SQL} SELECT rec AS recording_id, component::BIGINT AS component, i AS sample_index, round(z * sg, 3) + 0.0 AS value FROM o JOIN z USING (k)",
+    )
+
+
+@query(f"""WITH {_MIXTURE_SQL}, {_RANKS_SQL}, y AS (SELECT rec, component, i, z * sg AS y FROM o JOIN z USING (k)), st AS (SELECT rec, component, sum(y * y) AS s2, sum(y * y * y * y) AS s4, count(*) AS n FROM y GROUP BY ALL),
+df AS (SELECT a.rec, a.component, sum((a.y - b.y) * (a.y - b.y)) AS d2 FROM y a JOIN y b ON b.rec = a.rec AND b.component = a.component AND b.i = a.i - 1 GROUP BY ALL), lg AS (SELECT rec, component, max(c) AS c FROM (SELECT a.rec, a.component, l, sum(a.y * b.y) AS c FROM y a, (SELECT unnest([125, 150, 175, 200, 225, 250, 275, 300]) AS l) JOIN y b ON b.rec = a.rec AND b.component = a.component AND b.i = a.i - l GROUP BY ALL) GROUP BY ALL),
+ln AS (SELECT rec, component, max(q) AS q FROM (SELECT rec, component, f, pow(sum(y * cos(2 * pi() * f / 250 * i)), 2) + pow(sum(y * sin(2 * pi() * f / 250 * i)), 2) AS q FROM y, (SELECT unnest([50.0, 60.0]) AS f) GROUP BY ALL) GROUP BY ALL), tt AS (SELECT *, d2 / (4 * s2) AS rough, greatest(n * s4 / (s2 * s2) - 3, 0) AS ku FROM st JOIN df USING (rec, component) JOIN lg USING (rec, component) JOIN ln USING (rec, component))
+SELECT rec AS recording_id, component::BIGINT AS component, round(exp(-60 * rough), 4) AS slow, round(least(2 * rough, 1), 4) AS fast, round(ku / (ku + 6), 4) + 0.0 AS spiky, round(least(2 * q / (n * s2), 1), 4) + 0.0 AS line, round(least(greatest(c / s2, 0), 1) * ku / (ku + 6), 4) + 0.0 AS pulses FROM tt""")
+def component_traits(spark, d):
+    x, models = _fitted(spark, d)
+    traits = components.source_traits(components.source_sums(x, models, RATE, size=128))
+    return traits.select("recording_id", F.col("component").cast("long").alias("component"), *(r(c, 4).alias(c) for c in ("slow", "fast", "spiky", "line", "pulses")))
+
+
+@query(f"WITH {_MIXTURE_SQL}, {_RANKS_SQL}, gone AS (SELECT o.rec, ch, i, a.a * z.z AS v FROM o JOIN a ON a.rec = o.rec AND a.k = o.k JOIN z ON z.k = o.k WHERE component = 1) SELECT x.rec AS recording_id, x.ch::BIGINT AS channel_index, x.i AS sample_index, round(x.x - gone.v, 3) + 0.0 AS value FROM x JOIN gone ON gone.rec = x.rec AND gone.ch = x.ch AND gone.i = x.i")
+def component_removed(spark, d):
+    x, models = _fitted(spark, d)
+    left = components.without_components(x, models, models.where("component = 1"), size=128)
+    return left.select("recording_id", F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value", 3).alias("value"))
+
 
 _DOME = [(k, x, y, max(0.0, 1 - x * x - y * y) ** 0.5) for k, x, y in circle(CHANNELS)]
 _GOOD = [g for g in _DOME if g[0] not in (3, 10)]
