@@ -2,11 +2,15 @@
 
 A text is compared in passages: each line that speaks of a licence, a copyright or
 an SPDX tag, and windows of ``WINDOW`` terms, ``STEP`` apart, that run over line
-breaks and comment marks. Of a file named as a licence file all windows count, of
+breaks and comment marks. Of a licence file (by its name, or as the caller says) all windows count, of
 other files those that hold such a word; so a header block of several short lines and a licence text
 of any length are compared piece by piece. Templates are notices and, of whole
 licence texts, their distinctive passages. Inverse document frequencies are counted
-over all passages and the templates. Passages become sparse term rows that are
+over all passages and the templates. A map task then drops the passages whose cosine can't
+reach the threshold, by an exact bound that needs the idf of the templates' terms only, and those
+that can't state a licence: siblings and versions are told apart by words a passage must or must not
+hold (``TELLS``), an SPDX tag by its identifier, BSD variants by the whole file, and denials
+("not licensed under") are heeded. The passages left become sparse term rows that are
 joined with the idf table and with the templates' terms (a fixed list, so
 broadcast), and cosines are sums over the shared terms.
 
@@ -23,6 +27,12 @@ as an output are replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +60,24 @@ TEMPLATES = {
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-only SPDX-License-Identifier: GPL-3.0-or-later",
     ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+        "SPDX-License-Identifier: GPL-2.0-only SPDX-License-Identifier: GPL-2.0-or-later",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+        "SPDX-License-Identifier: AGPL-3.0-only SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
+    "LGPL-2.1": (
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+        "SPDX-License-Identifier: LGPL-2.1-only SPDX-License-Identifier: LGPL-2.1-or-later",
+    ),
     "LGPL-3.0": (
         "This library is licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -63,6 +91,11 @@ TEMPLATES = {
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
     "MPL-2.0": (
         "This file is subject to the terms of the Mozilla Public License, v. 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -71,6 +104,8 @@ TEMPLATES = {
     ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under the Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    "CC0-1.0": ("Released under CC0 1.0.", "To the extent possible under law, the authors have dedicated all copyright and related and neighboring rights to this work to the public domain worldwide under the CC0 1.0 Universal Public Domain Dedication.", "SPDX-License-Identifier: CC0-1.0"),
     "ISC": (
         "Released under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -82,6 +117,25 @@ TEMPLATES = {
         "SPDX-License-Identifier: Unlicense",
     ),
 }
+#: Words that tell a licence from its siblings and versions: what a passage must hold, and what it must not.
+TELLS = {
+    "GPL-3.0": (r"version 3\b|\bv3|gpl-?v?3|\b3\.0\b", r"affero|agpl|lesser|lgpl|library general"),
+    "GPL-2.0": (r"version 2\b(?!\.1)|\bv2\b(?!\.1)|gpl-?v?2(?!\.1)|\b2\.0\b", r"affero|agpl|lesser|lgpl|library general"),
+    "AGPL-3.0": (r"affero|agpl", None),
+    "LGPL-3.0": (r"(?=.*(?:lesser|lgpl))(?=.*(?:version 3\b|\bv3|gpl-?v?3|\b3\.0\b))", None),
+    "LGPL-2.1": (r"(?=.*(?:lesser|lgpl|library general))(?=.*(?:version 2|\bv2|gpl-?v?2|\b2\.1\b))", None),
+    "Apache-2.0": (r"apache", r"\b1\.[01]\b"),
+    "MPL-2.0": (r"mozilla|mpl", r"\b1\.[01]\b(?!.*\b2\.0\b)"),
+    "CC-BY-4.0": (r"\bby\b|by-4|attribution", r"by-?(?:sa|nc|nd)|\b(?:sa|nc|nd)\b|share-?alike|non-?commercial|no-?deriv"),
+    "CC-BY-NC-4.0": (r"by-nc|non-?commercial", r"nc-(?:sa|nd)|share-?alike|no-?deriv"),
+    "CC-BY-SA-4.0": (r"by-sa|share-?alike", r"by-nc|non-?commercial"),
+    "CC0-1.0": (r"cc0|public domain dedication", None),
+    "MIT": (r"\bmit\b|free of charge|to use copy modify merge", None),
+}
+#: The same of whole files, where siblings share whole passages.
+THREE_CLAUSES = r"(?i)neither\s+the\s+name|3[- ]clause|bsd-3|bsd-style|(?:new|modified)\s+bsd"
+DENIED = r"(?i)\bnot\s+(?:\S+\s+){0,2}licen[cs]ed\s+under\s+(?:the\s+|an?\s+)?([a-z0-9]+)"
+TAGGED = "spdx-license-identifier"
 TRIGGER = r"(?i)licen[cs]e|copyright|spdx|public domain"
 FILE_NAME = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|notice)(?:\.[a-z]+)?$"
 WINDOW, STEP = 45, 15
@@ -107,6 +161,57 @@ def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def stated(name: str, passage: str, three_clauses: bool, denied: str) -> bool:
+    """Whether a passage (terms joined by spaces) may state the licence and not a sibling of it, in a file of the given traits."""
+    if denied and name.lower().startswith(denied):
+        return False
+    if TAGGED in passage:
+        return re.search(rf"{TAGGED} {re.escape(name.lower())}(?:-only|-or-later|\+)?(?: |$)", passage) is not None
+    if name in ("BSD-2-Clause", "BSD-3-Clause"):
+        return three_clauses == (name == "BSD-3-Clause")
+    needs, bars = TELLS.get(name, (None, None))
+    return (needs is None or re.search(needs, passage) is not None) and (bars is None or re.search(bars, passage) is None)
+
+
+def _weight(tf: int, idf: float) -> float:
+    return (1 + math.log(tf)) * idf
+
+
+def near_templates(idf: dict[str, float], threshold: float):
+    """Map task: passages that may reach the threshold, with the names they may state.
+
+    The bound is exact. Terms of no template weigh at least 1, so with the idf of the
+    templates' terms alone a passage's length is at least what is used here, and its cosine
+    at most the quotient.
+    """
+    models: dict[str, list[tuple[str, dict[str, float], float]]] = {}
+    for name, texts in TEMPLATES.items():
+        for text in texts:
+            weights = {t: _weight(c, idf[t]) for t, c in Counter(split_terms(text)).items()}
+            models.setdefault(name, []).append((name, weights, math.sqrt(sum(v * v for v in weights.values()))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep, names = [], []
+            for terms_, three, denied in zip(pdf["passage"], pdf["three_clauses"], pdf["denied"], strict=True):
+                counts = Counter(terms_)
+                known = {t: _weight(c, idf[t]) for t, c in counts.items() if t in idf}
+                least = math.sqrt(sum(v * v for v in known.values()) + len(counts) - len(known))
+                near = [name for name, variants in models.items() if any(sum(v * m[t] for t, v in known.items() if t in m) >= (threshold - 1e-9) * least * length for _, m, length in variants)]
+                text = " ".join(terms_) if near else ""
+                found = [n for n in near if stated(n, text, three, denied or "")]
+                keep.append(bool(found))
+                names.append(found)
+            yield pdf.assign(names=names)[keep]
+
+    return run
+
+
+def split_terms(text: str) -> list[str]:
+    """``terms`` of a template in Python."""
+    return [t for t in re.split(r"[^\w.+-]+|_|[.,;:]+(?=\s|$)", text.lower()) if t]
+
+
 def scan_licences(files: DataFrame, path: str = "path", is_licence_file: Column | None = None, threshold: float = 0.5) -> DataFrame:
     """``files`` with licence, cosine, origin ('own', 'inherited' or null) and licence_path (the licence file inherited from)."""
     files = files.drop("licence", "cosine", "origin", "licence_path")
@@ -114,19 +219,20 @@ def scan_licences(files: DataFrame, path: str = "path", is_licence_file: Column
     named = F.coalesce(F.col(path), F.lit(""))
     special = F.coalesce(is_licence_file if is_licence_file is not None else named.rlike(FILE_NAME), F.lit(False))
     keyed = files.select(named.alias("p"), special.alias("special"), text_of().alias("t"))
-    passages = materialise(
-        keyed.where(F.col("special") | F.col("t").rlike(TRIGGER))
-        .groupBy("p", "special", "t")
-        .agg(F.count("*").alias("times"))
-        .select("p", "special", F.xxhash64("t").alias("th"), F.posexplode(passages_of(F.col("t"), F.col("special") & F.col("p").rlike(FILE_NAME))).alias("no", "passage"))
-    )
-    counted = passages.select("p", "special", "th", "no", F.explode("passage").alias("term")).groupBy("p", "special", "th", "no", "term").agg(F.count("*").alias("tf"))
+    base = materialise(keyed.where(F.col("special") | F.col("t").rlike(TRIGGER)).groupBy("p", "special", "t").agg(F.count("*").alias("times")))
+    passages = base.select("p", "special", F.xxhash64("t").alias("th"), F.col("t").rlike(THREE_CLAUSES).alias("three_clauses"), F.lower(F.regexp_extract("t", DENIED, 1)).alias("denied"), F.posexplode(passages_of(F.col("t"), F.col("special"))).alias("no", "passage"))
 
     rows = [(name, i, text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
-    template = spark.createDataFrame(rows, "name string, variant int, text string").select("name", "variant", F.explode(terms(F.col("text"))).alias("term")).groupBy("name", "variant", "term").agg(F.count("*").alias("tf"))
-    seen = counted.select("term", F.lit(1).alias("one")).unionByName(template.select("term", F.lit(1).alias("one")))
-    n = passages.select(F.lit(1).alias("one")).unionByName(spark.createDataFrame([(1,)] * len(rows), "one int")).agg(F.count("*").alias("n"))
-    idf = seen.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    template = materialise(spark.createDataFrame(rows, "name string, variant int, text string").select("name", "variant", F.explode(terms(F.col("text"))).alias("term")).groupBy("name", "variant", "term").agg(F.count("*").alias("tf")))
+    seen = passages.select(F.explode(F.array_distinct("passage")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = materialise(seen.unionByName(template.groupBy("term").agg(F.count("*").alias("df"))).groupBy("term").agg(F.sum("df").alias("df")))
+    n = passages.count() + len(rows)
+    idf = df.select("term", (F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
+    known = {r.term: r.idf for r in idf.join(template.select("term").distinct(), "term", "left_semi").collect()}  # the templates' terms: a fixed list
+
+    fields = "p string, special boolean, th long, three_clauses boolean, denied string, no int, passage array<string>"
+    near = materialise(passages.mapInPandas(near_templates(known, threshold), f"{fields}, names array<string>"))
+    counted = near.select("p", "special", "th", "no", F.explode("passage").alias("term")).groupBy("p", "special", "th", "no", "term").agg(F.count("*").alias("tf"))
     weigh = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
     keyed_idf = idf.select(F.xxhash64("term").alias("j"), F.col("term").alias("__term"), "idf")  # another key than the grouping's, so that a frequent term can be split
     vectors = counted.withColumn("j", F.xxhash64("term")).join(keyed_idf, "j").where("term = __term").select("p", "special", "th", "no", "term", weigh.alias("w"))
@@ -135,7 +241,8 @@ def scan_licences(files: DataFrame, path: str = "path", is_licence_file: Column
     model_len = models.groupBy("name", "variant").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("vlen"))
     models = models.join(model_len, ["name", "variant"])  # a fixed list: a few hundred rows
     dots = vectors.join(F.broadcast(models), "term").groupBy("p", "special", "th", "no", "name", "variant").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.max("vlen").alias("vlen"))
-    cosines = dots.join(lengths, ["p", "special", "th", "no"]).select("p", "special", "th", "name", F.round(F.col("dot") / (F.col("len") * F.col("vlen")), 9).alias("cosine")).where(F.col("cosine") >= threshold)
+    may = near.select("p", "special", "th", "no", F.explode("names").alias("name"))
+    cosines = dots.join(lengths, ["p", "special", "th", "no"]).join(may, ["p", "special", "th", "no", "name"]).select("p", "special", "th", "name", F.round(F.col("dot") / (F.col("len") * F.col("vlen")), 9).alias("cosine")).where(F.col("cosine") >= threshold)
     own = materialise(cosines.groupBy("p", "special", "th").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "name")).alias("best")).select("p", "special", "th", F.col("best.name").alias("name"), (-F.col("best.c")).alias("cosine")))
 
     licensed = own.where("special").groupBy(directory(F.col("p")).alias("dir")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "p", "name")).alias("x")).select("dir", F.col("x.name").alias("__dir_name"), (-F.col("x.c")).alias("__dir_cosine"), F.col("x.p").alias("__dir_path"))
