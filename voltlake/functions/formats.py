@@ -453,36 +453,62 @@ def layout_sensors(raw: bytes) -> list[dict]:
     return out
 
 
-def package(files: dict[str, bytes], role: str = "eeg") -> dict:
-    """A recording from a package's files: the first signal of the role (or the first of all for eeg)."""
-    binaries = sorted((f for f in files if re.match(r"(?i)^signal\d*\.bin$", f)), key=natural_key)
+def _signal_info(files: dict[str, bytes], signal: str) -> bytes:
+    number = re.search(r"(\d+)", signal)
+    return files.get(f"info{number[1] if number else 1}.xml", b"")
+
+
+def chosen_signal(names: list[str], texts: dict[str, bytes], role: str = "eeg") -> str:
+    """The first signal file of the role (or the first of all for eeg)."""
+    binaries = sorted((f for f in names if re.match(r"(?i)^signal\d*\.bin$", f)), key=natural_key)
     kinds = {}
     for b in binaries:
-        number = re.search(r"(\d+)", b)
-        info = files.get(f"info{number[1] if number else 1}.xml", b"")
+        info = _signal_info(texts, b)
         kind = next(_plain(info).iter("fileDataType"), None) if info else None
         kinds[b] = "EEG" if kind is None else kind[0].tag if len(kind) else (kind.text or "EEG").strip()
     eeg = [b for b in binaries if kinds[b].upper() == "EEG"] or binaries
-    pns = [b for b in binaries if "pns" in kinds[b].lower()]
-    chosen = (pns if role == "pns" else eeg)[:1]
-    if not chosen:
+    found = [b for b in binaries if "pns" in kinds[b].lower()] if role == "pns" else eeg
+    if not found:
         raise FormatError("the package has no such signal")
-    x, rate, sizes = signal_blocks(files[chosen[0]])
-    number = re.search(r"(\d+)", chosen[0])
-    info = files.get(f"info{number[1] if number else 1}.xml")
+    return found[0]
+
+
+def signal_gains(texts: dict[str, bytes], signal: str, n: int) -> list[float]:
+    info = _signal_info(texts, signal)
+    return calibrations(info, "GCAL", n).tolist() if info else [1.0] * n
+
+
+def channel_names(texts: dict[str, bytes], n: int, role: str = "eeg") -> list[str]:
+    """Names of the layout's sensors of type 0, or of the peripheral set; numbers elsewhere."""
+    placed = layout_sensors(texts["sensorLayout.xml"]) if "sensorLayout.xml" in texts else []
+    named = {s["number"]: s["name"] for s in placed if s["type"] == 0}
+    names = [named.get(k + 1) or f"Ch {k + 1}" for k in range(n)]
+    if role == "pns" and "pnsSet.xml" in texts:
+        own = [(s.findtext("name") or "").strip() for s in _plain(texts["pnsSet.xml"]).iter("sensor")]
+        names = (own + names[len(own) :])[:n]
+    return names
+
+
+def companion_files(rate: float, samples: int, blocks: int, start: datetime | None = None) -> dict[str, bytes]:
+    """What goes beside the signal of a continuous package: its time, kind and one epoch of all blocks."""
+    files = write_package(np.zeros((1, 1)), rate, start=start)
+    end = round(samples * 1e6 / rate)
+    return {"info.xml": files["info.xml"], "info1.xml": files["info1.xml"], "epochs.xml": f"<epochs><epoch><beginTime>0</beginTime><endTime>{end}</endTime><firstBlock>1</firstBlock><lastBlock>{blocks}</lastBlock></epoch></epochs>".encode()}
+
+
+def package(files: dict[str, bytes], role: str = "eeg") -> dict:
+    """A recording from a package's files: the first signal of the role (or the first of all for eeg)."""
+    chosen = chosen_signal(list(files), files, role)
+    x, rate, sizes = signal_blocks(files[chosen])
+    info = _signal_info(files, chosen)
     impedance = None
     if info:
-        x = calibrated(x, calibrations(info, "GCAL", len(x)))
+        x = calibrated(x, np.array(signal_gains(files, chosen, len(x))))
         z = calibrations(info, "ICAL", len(x))
         impedance = z.tolist() if np.isfinite(z).any() else None
     values = flattened(files["info.xml"]) if "info.xml" in files else {}
     start = parse_time(next((v for k, v in values.items() if k.endswith("recordTime")), ""))
-    placed = layout_sensors(files["sensorLayout.xml"]) if "sensorLayout.xml" in files else []
-    named = {s["number"]: s["name"] for s in placed if s["type"] == 0}
-    names = [named.get(k + 1) or f"Ch {k + 1}" for k in range(len(x))]
-    if role == "pns" and "pnsSet.xml" in files:
-        own = [(s.findtext("name") or "").strip() for s in _plain(files["pnsSet.xml"]).iter("sensor")]
-        names = (own + names[len(own) :])[: len(x)]
+    names = channel_names(files, len(x), role)
     epochs = package_epochs(files, sizes, rate)
     events = package_events(files, start)
     if epochs:

@@ -12,9 +12,11 @@ from voltlake.functions import cardiac, dsp
 from voltlake.operators import components, kernels, matched, recursive, spectra, subspaces
 from voltlake.operators.keys import ids
 from voltlake.operators.layout import to_samples, to_traces
+from voltlake.operators.tables import new_folder
 from voltlake.plans.queries_relational import SEGMENT_HEALTH_SQL
 from voltlake.plans.registry import CHANNELS, RATE, SIGNAL, circle, n_samples, out, query, r, signal, table
 from voltlake.plans.script import Pipeline
+from voltlake.sources import packages
 
 
 def traces(spark, d):
@@ -451,3 +453,16 @@ def resting_analysis(spark, d):
     from voltlake.plans.resting import resting_analysis as analyse
 
     return _result_table(analyse(signal(spark, d), RATE, n_samples(spark, d), CHANNELS, 0.5)["rows"])
+
+
+@query(
+    f"WITH {SIGNAL} SELECT ch::BIGINT AS channel_index, i AS sample_index, round(v::FLOAT::DOUBLE, 5) + 0.0 AS value FROM s WHERE ch IN (3, 10) AND i >= 128 AND i < 320",
+    two=True,
+)
+def packages_by_blocks(spark, d):
+    """Recordings written as packages, and two channels of three blocks read back."""
+    samples, folder = signal(spark, d), new_folder(spark)
+    packages.write_packages(samples, folder, RATE, block=64)
+    wanted = packages.read_blocks(spark, folder, blocks=1).where(F.col("channel_index").isin(3, 10) & (F.col("first_sample") >= 128) & (F.col("first_sample") < 320))
+    named = packages.block_samples(wanted).withColumn("recording_id", F.regexp_extract("recording_id", r"([^/]+)\.mff$", 1))
+    return out(named, F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value", 5).alias("value"))

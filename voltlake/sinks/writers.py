@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from voltlake.functions import formats
 from voltlake.operators.keys import ids
+from voltlake.sources.packages import package_folder
 
 
 SEGMENT = "array<struct<category:string,start_sample:bigint,end_sample:bigint,stimulus_offset:int,contributing:int>>"
@@ -59,13 +60,13 @@ def package_files(traces: DataFrame, rate: float, segments: DataFrame | None = N
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
-    """Writes (recording_id, file, content) below a folder that all executors share, in their tasks: recording_id, file, bytes written."""
+    """Writes (recording_id, file, content) below a folder that all executors share, in their tasks: recording_id, file, bytes written. Folders are named by the whole id (``package_folder``)."""
 
     def run(batches):
         for pdf in batches:
             done = []
             for row in pdf.itertuples():
-                target = os.path.join(folder, os.path.basename(row.recording_id.rstrip("/")))
+                target = os.path.join(folder, package_folder(row.recording_id))
                 os.makedirs(target, exist_ok=True)
                 part = os.path.join(target, f".{row.file}.{os.getpid()}")
                 with open(part, "wb") as f:
