@@ -5,6 +5,12 @@ Trials are rows (category, trial, channel_index, rel, value); averages lack the
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,32 +105,36 @@ def snr_metrics(trials: DataFrame, pre: int) -> DataFrame:
     )
 
 
+#: Modulus of the bootstrap's hash.
+PRIME = 2_147_483_647
+
+
 def measurement_error(trials: DataFrame, pre: int, draws: int = 200, seed: int = 1) -> DataFrame:
     """Bootstrap deviation of the mean response amplitude, averaged over channels; categories with at least four trials.
 
-    Draws come from a generator seeded by (seed, category, channel), and trials are
-    in order, so reruns and lost executors give the same value.
+    The k-th trial of a draw is a hash of (seed, category, draw, k) modulo the number of trials, in their
+    order: the same on every machine and run, and in SQL. The hash squares modulo a prime, in
+    whole numbers. Trials are drawn whole, so all channels of a category share a draw.
     """
     named = ids(trials)
     means = trials.where(F.col("rel") >= pre).groupBy(*named, "category", "channel_index", "trial").agg(F.avg("value").alias("m"))
     packed = means.groupBy(*named, "category", "channel_index").agg(F.array_sort(F.collect_list(F.struct("trial", "m"))).alias("t")).where(F.size("t") >= 4)
 
-    def draw(batches):
-        import zlib
-
-        import numpy as np
-        import pyarrow as pa
+    def deviate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(8)
+        def picks(category: str, n: int) -> np.ndarray:
+            h = (zlib.crc32(f"{seed}:{category}".encode()) + np.arange(draws)[:, None] * 1_000_003 + np.arange(n) * 7_919) % PRIME
+            for _ in range(3):
+                h = (h * h + 48_271) % PRIME
+            return h % n
 
         for batch in batches:
-            sd = []
-            for category, channel, m in zip(batch.column("category").to_pylist(), batch.column("channel_index").to_pylist(), batch.column("m"), strict=True):
-                x = m.values.to_numpy(zero_copy_only=False)
-                rng = np.random.default_rng([seed, zlib.crc32(str(category).encode()), channel])
-                sd.append(float(np.std([x[rng.integers(0, len(x), len(x))].mean() for _ in range(draws)])))
-            yield pa.RecordBatch.from_arrays([batch.column("recording_id"), batch.column("category"), pa.array(sd)], names=["recording_id", "category", "sd"])
-
-    one_each = packed.select((F.col("recording_id").cast("string") if named else F.lit("")).alias("recording_id"), "category", "channel_index", F.transform("t", lambda t: t["m"]).alias("m"))
-    return one_each.mapInArrow(draw, "recording_id string, category string, sd double").groupBy(*named, "category").agg(F.avg("sd").alias("sme"))
+            rows = zip(batch.column("category").to_pylist(), (m.values.to_numpy(zero_copy_only=False) for m in batch.column("m")), strict=True)
+            sd = [float(x[picks(str(category), len(x))].mean(1).std()) for category, x in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("recording_id"), batch.column("category"), pa.array(sd, pa.float64())], names=["recording_id", "category", "sd"])
+
+    each = packed.select((F.col("recording_id").cast("string") if named else F.lit("")).alias("recording_id"), "category", F.transform("t", lambda t: t["m"]).alias("m"))
+    return each.mapInArrow(deviate, "recording_id string, category string, sd double").groupBy(*named, "category").agg(F.avg("sd").alias("sme"))
 
 
 def category_summary(trials: DataFrame) -> DataFrame:

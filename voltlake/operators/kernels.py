@@ -23,14 +23,17 @@ def recorded(traces: DataFrame) -> DataFrame:
 
 
 def map_traces(traces: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Each trace replaced by the kernel's result; 64 traces at a time, so a batch of arrays stays small."""
+    """Each trace replaced by the kernel's result; 64 traces at a time, so a batch of arrays stays small. Null and empty traces (of files that couldn't be read) stay, with all columns."""
     keys = [c for c in traces.columns if c != "values"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                rows = [np.asarray(kernel(np.array(v.values.to_numpy(zero_copy_only=False), float)), float) for v in part.column("values")]
+                rows = []
+                for v in part.column("values"):
+                    x = np.array(v.values.to_numpy(zero_copy_only=False), float) if v.is_valid else None
+                    rows.append(np.asarray(kernel(x), float) if x is not None and len(x) else x)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(rows, pa.list_(pa.float64()))], names=[*keys, "values"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in traces.select(*keys).schema.fields)
@@ -38,12 +41,19 @@ def map_traces(traces: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) ->
 
 
 def by_recording(traces: DataFrame, kernel: Callable[..., pd.DataFrame], schema: str, named: bool = False) -> DataFrame:
-    """Rows the kernel makes of a recording's matrix (channels x samples, in channel order), channel indices and, if ``named``, id."""
+    """Rows the kernel makes of a recording's matrix (channels x samples, in channel order), channel indices and, if ``named``, id.
+
+    Channels that are null or empty don't count, a recording without others gives no rows; channels of several lengths
+    are cut to the shortest.
+    """
     names = [part.strip().split()[0] for part in schema.split(",")]
 
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("channel_index")
-        out = kernel(np.stack([np.asarray(v, float) for v in pdf["values"]]), pdf["channel_index"].tolist(), *key[: int(named)])
+        pdf = pdf[[v is not None and len(v) > 0 for v in pdf["values"]]].sort_values("channel_index")
+        if not len(pdf):
+            return pd.DataFrame(columns=["recording_id", *names])
+        n = min(map(len, pdf["values"]))
+        out = kernel(np.stack([np.asarray(v[:n], float) for v in pdf["values"]]), pdf["channel_index"].tolist(), *key[: int(named)])
         out.insert(0, "recording_id", key[0])
         return out[["recording_id", *names]]
 
@@ -51,13 +61,24 @@ def by_recording(traces: DataFrame, kernel: Callable[..., pd.DataFrame], schema:
 
 
 def matrix_kernel(traces: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Traces of the kernel's matrix."""
-
-    def run(x: np.ndarray, channels: list[int]) -> pd.DataFrame:
-        y = kernel(x)
-        return pd.DataFrame({"channel_index": channels[: len(y)], "values": list(y)})
+    """Traces of the kernel's matrix, with their other columns. A recording whose channels differ in length stays as it is, and so do null and empty channels."""
+    traces = recorded(traces)
+    keys = [c for c in traces.columns if c != "values"]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in traces.select(*keys).schema.fields)
 
-    return by_recording(traces, run, "channel_index int, values array<double>")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("channel_index").reset_index(drop=True)
+        full = [k for k, v in enumerate(pdf["values"]) if v is not None and len(v) > 0]
+        if not full or len({len(pdf["values"][k]) for k in full}) > 1:
+            return pdf[[*keys, "values"]]
+        y = kernel(np.stack([np.asarray(pdf["values"][k], float) for k in full]))
+        values = list(pdf["values"])
+        for k, row in zip(full, y, strict=False):
+            values[k] = row
+        gone = set(full[len(y) :])
+        return pdf.assign(values=values).drop(index=list(gone))[[*keys, "values"]]
+
+    return traces.select(*keys, F.transform("values", lambda v: v.cast("double")).alias("values")).groupBy("recording_id").applyInPandas(run, f"{ddl}, values array<double>")
 
 
 def filtered(traces: DataFrame, rate: float, **options) -> DataFrame:

@@ -427,10 +427,21 @@ def dense_markers(spark, d):
     return views.dense_markers(track(spark, d).withColumn("source_index", F.col("user_id")), 0.0, 50000.0, 300).select("event_id")
 
 
-@query()
+def crc32_sql(name: str, source: str, text: str, columns: str) -> str:
+    """Views that add h, the CRC-32 of a text, to the columns of a view; the table of 256 remainders is made by its rule."""
+    return f"""{name}_t AS (SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i)),
+{name}_b AS (SELECT {columns}, list_transform(range(octet_length(b)), lambda i: ('0x' || substr(hex(b), 2 * i + 1, 2))::BIGINT) AS b FROM (SELECT *, encode({text}) AS b FROM {source})),
+{name} AS (SELECT {columns}, xor(4294967295, list_reduce([4294967295] || b, lambda c, x: xor(tab[(xor(c, x) % 256) + 1], c >> 8))) AS h FROM {name}_b, {name}_t)"""
+
+
+@query(
+    f"""WITH {_TRIALS}, m AS (SELECT category, ch, trial, avg(v) AS m FROM x WHERE rel >= 5 GROUP BY ALL), q AS (SELECT *, row_number() OVER (PARTITION BY category, ch ORDER BY trial) - 1 AS k, count(*) OVER (PARTITION BY category, ch) AS n FROM m), t AS (SELECT DISTINCT category, n FROM q WHERE n >= 4), {crc32_sql("o", "t", "'1:' || category", "category, n")},
+h0 AS (SELECT category, n, d, (h % 2147483647 + d * 1000003 + k * 7919) % 2147483647 AS h FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT *, unnest(range(200)) AS d FROM o))), h1 AS (SELECT category, n, d, (h * h + 48271) % 2147483647 AS h FROM h0), h2 AS (SELECT category, n, d, (h * h + 48271) % 2147483647 AS h FROM h1), h3 AS (SELECT category, n, d, (h * h + 48271) % 2147483647 % n AS k, count(*) AS c FROM h2 GROUP BY ALL),
+pick AS (SELECT q.category, ch, d, sum(c * m) / any_value(q.n) AS m FROM h3 JOIN q ON q.category = h3.category AND q.n = h3.n AND q.k = h3.k GROUP BY ALL), sd AS (SELECT category, ch, stddev_pop(m) AS sd FROM pick GROUP BY ALL) SELECT category, round(avg(sd), 7) AS sme FROM sd GROUP BY category""",
+    two=True,
+)
 def measurement_error(spark, d):
-    return epochs.measurement_error(trials(spark, d), 5)
-
+    return out(epochs.measurement_error(trials(spark, d), 5), "category", r("sme", 7).alias("sme"))
 
 
 @query(f"WITH {_TRIALS}, a AS (SELECT category, ch, rel, avg(v) AS v FROM x GROUP BY ALL), n AS (SELECT category, count(DISTINCT trial) AS k FROM x GROUP BY 1) SELECT category, any_value(k) AS trial_count, round(sqrt(any_value(k)), 6) AS root_n, round(sqrt(avg(v*v) FILTER (rel < 5)), 6) AS baseline_noise, round(max(abs(v)) FILTER (rel >= 5) / sqrt(avg(v*v) FILTER (rel < 5)), 5) AS baseline_snr FROM a JOIN n USING (category) GROUP BY category".replace("n AS (SELECT category, count", "nn AS (SELECT category, count").replace("JOIN n USING", "JOIN nn USING"), two=True)
