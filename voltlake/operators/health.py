@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.functions.scoring import finite, grade, impedance_score, score_lower_bound, score_two_sided_ratio, score_upper_ratio
-from voltlake.operators.joins import artifact_overlap
+from voltlake.operators.joins import in_segments, swept_overlap
 from voltlake.operators.keys import ids
 from voltlake.operators.stats import clipping_fraction, excess_kurtosis, percentile, spread_percentiles
 from voltlake.operators.windows import block_mean_drift, first_difference
@@ -47,16 +47,23 @@ def weighted(scores: list[tuple[str, Column, float]]) -> tuple[Column, Column, C
     return good, percent, F.array_join(F.transform(F.slice(listed, 1, 2), lambda x: x["name"]), " and ")
 
 
-def segment_health(samples: DataFrame, segment_length: int, n_samples: int, n_channels: int, rate: float, intervals: DataFrame | None = None, stride: int | None = None) -> DataFrame:
+def segment_health(samples: DataFrame, segment_length: int, n_samples: int, n_channels: int, rate: float, intervals: DataFrame | None = None, stride: int | None = None, segments: DataFrame | None = None) -> DataFrame:
     """One row a segment: features, scores, score, percent, grade, weakest metrics.
 
+    ``segments`` (segment_id, start_sample, end_sample; epochs of any length that don't overlap) take the
+    place of tumbling ones of ``segment_length``. Baselines are of the whole recording either way.
+
     Plan: one aggregation by (segment, sample) for the field power, one by segment
     for amplitudes, both from the same samples, and one row of recording baselines.
     """
     step, named = stride or segment_stride(n_samples, rate), ids(samples)
     seg = F.floor(F.col("sample_index") / segment_length).cast("int").alias("segment_id")
     x = F.when(finite(F.col("value")), F.col("value"))
-    rows = first_difference(samples.where(F.col("sample_index") % step == 0), carry=False).select(*named, seg, "sample_index", "channel_index", x.alias("x"), "diff", F.lag("channel_index").over(Window.partitionBy(*named, "channel_index", F.floor(F.col("sample_index") / segment_length)).orderBy("sample_index")).isNull().alias("opens"))
+    held = [] if segments is None else ["start_sample", "end_sample"]
+    if segments is not None:
+        samples = in_segments(samples, segments)
+        seg = F.col("segment_id")
+    rows = first_difference(samples.where(F.col("sample_index") % step == 0), carry=False).select(*named, seg, "sample_index", "channel_index", x.alias("x"), "diff", *held, F.lag("channel_index").over(Window.partitionBy(*named, "channel_index", F.floor(F.col("sample_index") / segment_length) if segments is None else "segment_id").orderBy("sample_index")).isNull().alias("opens"))
     rows = rows.withColumn("inner", F.when(~F.col("opens"), F.col("diff")))
 
     power = rows.groupBy(*named, "segment_id", "sample_index").agg(F.sqrt(F.avg(F.col("x") ** 2)).alias("gfp"))
@@ -84,10 +91,13 @@ def segment_health(samples: DataFrame, segment_length: int, n_samples: int, n_ch
     bounds = last.select(*named, F.explode(tumbling_segments(F.col("n"), segment_length)).alias("s")).select(*named, "s.*")
     third = F.greatest(F.floor((F.col("end_sample") - F.col("start_sample") + 1) / 3), F.lit(1))
     start = (F.col("segment_id") * segment_length).cast("long")
-    ended = with_key(rows, last, named).withColumn("start_sample", start).withColumn("end_sample", F.least(start + segment_length, "n") - 1)
+    if segments is None:
+        ended = with_key(rows, last, named).withColumn("start_sample", start).withColumn("end_sample", F.least(start + segment_length, "n") - 1)
+    else:
+        ended, bounds = rows, segments.select(*named, "segment_id", F.col("start_sample").cast("long").alias("start_sample"), F.col("end_sample").cast("long").alias("end_sample"))
     edges = ended.withColumn("first", F.when(F.col("sample_index") <= F.col("start_sample") + third, F.col("x"))).withColumn("last", F.when(F.col("sample_index") >= F.col("end_sample") - third, F.col("x")))
     drift = edges.groupBy(*named, "segment_id", "channel_index").agg((F.avg("last") - F.avg("first")).alias("d")).groupBy(*named, "segment_id").agg(F.coalesce(F.sqrt(F.avg(F.col("d") ** 2)), F.lit(0.0)).alias("drift_rms"))
-    covered = artifact_overlap(bounds, intervals) if intervals is not None else bounds.withColumn("overlap_samples", F.lit(0).cast("long")).withColumn("n_intervals", F.lit(0).cast("long"))
+    covered = swept_overlap(bounds, intervals) if intervals is not None else bounds.withColumn("overlap_samples", F.lit(0).cast("long")).withColumn("n_intervals", F.lit(0).cast("long"))
 
     by = [*named, "segment_id"]
     joined = with_key(covered.join(by_segment, by).join(by_power, by).join(clip, by).join(drift, by), base, named)

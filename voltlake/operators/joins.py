@@ -141,3 +141,67 @@ def compatibility(files: DataFrame, reference: DataFrame) -> DataFrame:
 def weighted_sources(samples: DataFrame, weights: DataFrame) -> DataFrame:
     """target samples as weighted sums of source channels; weights (target, channel_index, weight) are a sensor table."""
     return samples.join(F.broadcast(weights), "channel_index").groupBy(*ids(samples), "target", "sample_index").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+
+
+def running_sums(points: DataFrame, keys: list[str], columns: list[str], size: int) -> DataFrame:
+    """``points`` (keys, pos, turn, columns) with __<column>: sums over all points up to (pos, turn), itself included; points equal in both come in any order.
+
+    A sweep without one task for a key: points are dealt by ranges of ``size`` positions, what
+    lies before a range is one row a range, added up over ranges.
+    """
+    placed = points.withColumn("__range", F.floor(F.col("pos") / size))
+    own = Window.partitionBy(*keys, "__range").orderBy("pos", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys, F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "__range").agg(*(F.sum(c).alias(c) for c in columns))
+    carried = totals.select(*keys, "__range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__before_{c}") for c in columns))
+    joined = placed.join(carried, [*keys, "__range"])
+    return joined.select(*points.columns, *((F.sum(c).over(own) + F.col(f"__before_{c}")).alias(f"__{c}") for c in columns))
+
+
+def swept_overlap(segments: DataFrame, intervals: DataFrame, key: str = "segment_id", size: int = 65_536) -> DataFrame:
+    """``artifact_overlap`` by a sweep: no pairs are made, and an interval costs two points whatever its length.
+
+    The samples that intervals cover up to a place, with repetitions, are a difference of
+    sums over starts and ends before it; a segment looks up its two edges. Inclusive ranges; intervals that end before they
+    start count as none.
+    """
+    named = ids(segments, intervals)
+    every = ids(segments)
+    ranges = intervals.where("end_sample >= start_sample").select(*named, F.col("start_sample").cast("long").alias("a"), (F.col("end_sample") + 1).cast("long").alias("z"))
+    own = segments.select(*every, F.col(key).alias("__key"), F.col("start_sample").cast("long").alias("__a"), (F.col("end_sample") + 1).cast("long").alias("__z"))
+    nil, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def point(df: DataFrame, pos: str, turn: int, starts, ends, start_sum, end_sum, edge) -> DataFrame:
+        return df.select(*named, F.col(pos).alias("pos"), F.lit(turn).alias("turn"), starts.alias("starts"), ends.alias("ends"), start_sum.alias("start_sum"), end_sum.alias("end_sum"), edge.alias("edge"))
+
+    no_edge = F.lit(None).cast("int")
+    asked = own.select(*named, F.explode(F.array("__a", "__z")).alias("pos")).distinct()
+    points = point(ranges, "z", 0, nil, one, nil, F.col("z"), no_edge).unionByName(point(asked, "pos", 1, nil, nil, nil, nil, F.lit(1))).unionByName(point(ranges, "a", 2, one, nil, F.col("a"), nil, no_edge))
+    seen = running_sums(points, named, ["starts", "ends", "start_sum", "end_sum"], size).where("edge IS NOT NULL")
+    covered = seen.select(*named, "pos", (F.col("pos") * (F.col("__starts") - F.col("__ends")) - F.col("__start_sum") + F.col("__end_sum")).alias("covered"), F.col("__starts").alias("begun"), F.col("__ends").alias("over"))
+    low = covered.select(*named, F.col("pos").alias("__a"), F.col("covered").alias("__low"), F.col("over").alias("__over"))
+    high = covered.select(*named, F.col("pos").alias("__z"), F.col("covered").alias("__high"), F.col("begun").alias("__begun"))
+    found = own.join(low, [*named, "__a"]).join(high, [*named, "__z"]).select(*every, F.col("__key").alias(key), (F.col("__high") - F.col("__low")).alias("s"), (F.col("__begun") - F.col("__over")).alias("c")).distinct()
+    length = F.col("end_sample") - F.col("start_sample") + 1
+    return segments.join(found, [*every, key], "left").select(*segments.columns, F.greatest(F.least(F.coalesce("s", nil), length), nil).cast("long").alias("overlap_samples"), F.greatest(F.coalesce("c", nil), nil).cast("long").alias("n_intervals"))
+
+
+def in_segments(samples: DataFrame, segments: DataFrame, size: int = 4_096) -> DataFrame:
+    """``samples`` with segment_id, start_sample, end_sample of the last segment that starts at or before them and hasn't ended; null outside. Segments don't overlap.
+
+    As-of by ranges of ``size`` samples: a range gets the segments that start in it, and the last
+    one that started before, so a segment of any length costs one row a range.
+    """
+    keys = ids(samples)
+    starts = segments.select(*keys, F.struct(F.col("start_sample").cast("long").alias("start_sample"), F.col("end_sample").cast("long").alias("end_sample"), F.col("segment_id").alias("segment_id")).alias("s")).withColumn("__range", F.floor(F.col("s.start_sample") / size))
+    listed = starts.groupBy(*keys, "__range").agg(F.sort_array(F.collect_list("s")).alias("own"))
+    last = samples.groupBy(*keys).agg(F.floor(F.max("sample_index") / size).alias("__last"))
+    ranges = last.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), "__last")).alias("__range"))
+    every = ranges.join(listed, [*keys, "__range"], "left")
+    before = Window.partitionBy(*keys, F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.withColumn("__past", F.last(F.element_at("own", -1), ignorenulls=True).over(before))
+    known = carried.select(*keys, "__range", F.filter(F.concat(F.array("__past"), F.coalesce("own", F.array().cast(listed.schema["own"].dataType))), lambda s: s.isNotNull()).alias("__all"))
+    placed = samples.withColumn("__range", F.floor(F.col("sample_index") / size)).join(known, [*keys, "__range"], "left")
+    found = F.try_element_at(F.filter("__all", lambda s: s["start_sample"] <= F.col("sample_index")), F.lit(-1))
+    inside = placed.withColumn("__s", found).withColumn("__s", F.when(F.col("__s.end_sample") >= F.col("sample_index"), F.col("__s")))
+    return inside.select(*samples.columns, *(F.col(f"__s.{c}").alias(c) for c in ("segment_id", "start_sample", "end_sample")))

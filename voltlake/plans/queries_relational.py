@@ -25,6 +25,11 @@ def artifact_overlap(spark, d):
     return joins.artifact_overlap(*ranges(spark, d)).select("segment_id", "overlap_samples", "n_intervals")
 
 
+@query(f"WITH {TRACK}, {_RANGES} SELECT segment_id, least(coalesce(sum(least(art.b, seg.b) - greatest(art.a, seg.a) + 1), 0), 5001)::BIGINT AS overlap_samples, count(art.id) AS n_intervals FROM seg LEFT JOIN art ON art.a <= seg.b AND art.b >= seg.a GROUP BY segment_id")
+def artifact_overlap_by_sweep(spark, d):
+    return joins.swept_overlap(*ranges(spark, d), size=500).select("segment_id", "overlap_samples", "n_intervals")
+
+
 _SHORT = "seg AS (SELECT event_id AS segment_id, floor(t)::BIGINT AS a, floor(t)::BIGINT + 40 AS b FROM e WHERE code = 'click'), art AS (SELECT floor(t)::BIGINT AS a, floor(t)::BIGINT + floor(value / 10)::BIGINT AS b FROM e WHERE code = 'error')"
 
 
@@ -326,6 +331,20 @@ def segment_health(spark, d):
     return out(h, F.col("segment_id").cast("long").alias("segment_id"), "start_sample", "end_sample", *(r(c).alias(c) for c in ("rms", "p95", "gfp_p95", "gfp_max", "drift_rms", "score")), F.col("percent").cast("long").alias("percent"), "grade")
 
 
+#: The same over epochs of growing length, 20, 40, 60 ... samples.
+_EPOCHS_SQL = SEGMENT_HEALTH_SQL.replace("x AS (SELECT ch, i, v, i // 63 AS seg", "ep AS (SELECT k, 10 * k * (k + 1) AS lo, 10 * (k + 1) * (k + 2) AS hi FROM (SELECT unnest(range(200)) AS k)),\nx AS (SELECT ch, i, v, ep.k AS seg", 1).replace("PARTITION BY ch, i // 63 ORDER BY i) AS k FROM s)", "PARTITION BY ch, ep.k ORDER BY i) AS k FROM s JOIN ep ON i >= lo AND i < hi)", 1)
+
+
+@query(_EPOCHS_SQL, two=True)
+def segment_health_of_epochs(spark, d):
+    n, x = n_samples(spark, d), signal(spark, d)
+    k = F.col("id")
+    grown = spark.range(200).select(k.alias("segment_id"), (10 * k * (k + 1)).alias("start_sample"), F.least(10 * (k + 1) * (k + 2) - 1, F.lit(n - 1)).alias("end_sample")).where(F.col("start_sample") < n)
+    named = grown.crossJoin(F.broadcast(x.select(*ids(x)).distinct())) if ids(x) else grown  # two names
+    h = health.segment_health(x, 63, n, CHANNELS, RATE, stride=1, segments=named)
+    return out(h, F.col("segment_id").cast("long").alias("segment_id"), "start_sample", "end_sample", *(r(c).alias(c) for c in ("rms", "p95", "gfp_p95", "gfp_max", "drift_rms", "score")), F.col("percent").cast("long").alias("percent"), "grade")
+
+
 _MARKED = "ar AS (SELECT unnest([30, 100]) AS aa, unnest([90, 101]) AS az), ov AS (SELECT seg, coalesce(sum(least(az, z) - greatest(aa, a) + 1) FILTER (aa IS NOT NULL), 0)::BIGINT AS os, count(aa) AS ni, least(1.0, coalesce(sum(least(az, z) - greatest(aa, a) + 1) FILTER (aa IS NOT NULL), 0) / (any_value(z) - any_value(a) + 1)) AS mk FROM f LEFT JOIN ar ON aa <= z AND az >= a GROUP BY seg),"
 _MARKED_SQL = (
     SEGMENT_HEALTH_SQL.replace("t AS (SELECT seg, a, z,", _MARKED + "\nt AS (SELECT seg, a, z, os, ni,")
