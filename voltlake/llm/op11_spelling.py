@@ -6,16 +6,15 @@ spoils at most two overlapping bigrams. Its pivots are the two disjoint bigrams
 prefix of the least total frequency, chosen by dynamic programming: one edit spoils at
 most one of them. So, of two words one edit apart, take the one whose prefix ends
 earlier in the rank order: a pivot of it is left in the other word, and as it ranks no
-later than that word's prefix ends, it stands in that prefix. An edit moves what follows
-it by the difference in length, so that the place of a shared bigram and both lengths
-are part of the join key: same length and place, or one longer with the same or the next
-place, or one shorter with the same or the last place. Levenshtein distance verifies
-each pair inside the join.
+later than that word's prefix ends, it stands in that prefix. The edit lies before or
+after that bigram, so either the text after it or the text before it is the same in both words:
+its place is fixed from one end. That text and the length (the same, one less or one more) are part of
+the join key. Levenshtein distance verifies each pair inside the join.
 
 Plan: words are counted where they are read (partial sums before the shuffle). All
 later steps work on the vocabulary. Bigrams have a fixed alphabet (at most 90 x 90
-rows), so their ranks may be broadcast. A frequent bigram's pairs share a key of gram,
-place and length only, which adaptive execution splits. Forms have at least twice the
+rows), so their counts may be broadcast. A frequent bigram's words share a key only with
+equal text on one side and equal length; what is still hot, adaptive execution splits. Forms have at least twice the
 count of their word, so chains are shorter than 64 and pointers double in a few joins.
 
 Edge cases: null text has no words; a null id counts as an empty string in the hash;
@@ -80,15 +79,21 @@ def with_prefixes(words: DataFrame) -> DataFrame:
 def near_words(words: DataFrame) -> DataFrame:
     """word, near, near_n: every ordered pair of words (word, n) that one inserted, deleted or replaced letter makes equal."""
     grams = materialise(with_prefixes(words))
-    held = grams.select("word", "n", "last", F.explode("prefix").alias("x")).select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("last").alias("b_last"), F.col("x.gram").alias("gram"), F.col("x.pos").alias("pos"), F.length("word").alias("len"))
-    moves = F.array(*(F.struct(F.lit(longer).alias("longer"), F.lit(later).alias("later")) for longer, later in ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))))
+
+    def sides(gram: Column) -> Column:
+        """A key for each side of a bigram's place: the bigram, and the word's whole text before or after it."""
+        before, after = F.left("word", gram["pos"]), F.substr("word", gram["pos"] + 3)
+        return F.array(F.xxhash64(F.lit("before"), gram["gram"], before), F.xxhash64(F.lit("after"), gram["gram"], after))
+
+    held = grams.select("word", "n", "last", "len", F.explode("prefix").alias("x")).select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("last").alias("b_last"), "len", F.explode(sides(F.col("x"))).alias("k"))
+    lengths = F.explode(F.array(F.col("len") - 1, F.col("len"), F.col("len") + 1))
     sought = (
         grams.select("word", "n", "last", "len", F.explode("pivots").alias("x"))
-        .select("*", F.explode(moves).alias("m"))
-        .select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("last").alias("a_last"), F.col("x.gram").alias("gram"), (F.col("x.pos") + F.col("m.later")).alias("pos"), (F.col("len") + F.col("m.longer")).alias("len"))
+        .select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("last").alias("a_last"), F.explode(sides(F.col("x"))).alias("k"), "len")
+        .select("a", "a_n", "a_last", "k", lengths.alias("len"))
     )
     met = (F.col("a_last") <= F.col("b_last")) & (F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1)
-    keys = [F.col(f"s.{k}") == F.col(f"h.{k}") for k in ("gram", "pos", "len")]
+    keys = [F.col(f"s.{k}") == F.col(f"h.{k}") for k in ("k", "len")]
     pairs = sought.alias("s").join(held.alias("h"), [*keys, met]).select("a", "a_n", "b", "b_n")
     both = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n")))
     return pairs.select(F.explode(both).alias("p")).select("p.*").distinct()  # a pair may meet at both pivots
