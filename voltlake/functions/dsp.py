@@ -158,15 +158,15 @@ def butterworth(kind: str, f: float, rate: float, slope: int) -> list[tuple[np.n
     return [biquad(kind, f, rate, 1 / (2 * math.cos(math.pi * (2 * k + 1) / (2 * n)))) for k in range(n // 2)]
 
 
-def _recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray, block: int = 128) -> np.ndarray:
-    """A second-order section from zero state, along the first axis.
+def _recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray, block: int = 128, kind: type = np.float64) -> np.ndarray:
+    """A second-order section from zero state, along the first axis, in the precision of ``kind``.
 
     Blockwise state space: within a block the response to the input is one matrix
     product; only the two state values are carried from block to block.
     """
     n, rest = len(x), x.shape[1:]
     blocks = -(-n // block)
-    padded = np.zeros((blocks * block, int(np.prod(rest, dtype=int))))
+    padded = np.zeros((blocks * block, int(np.prod(rest, dtype=int))), kind)
     padded[:n] = x.reshape(n, -1)
     u = padded.reshape(blocks, block, -1)
     step, enter = np.array([[-a[1], 1.0], [-a[2], 0.0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
@@ -178,23 +178,24 @@ def _recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray, block: int = 128) ->
     forced = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
     into = np.stack([powers[block - 1 - k] @ enter for k in range(block)], 1)
     free = np.stack([powers[k][0] for k in range(block)])
+    forced, into, free, carry = (m.astype(kind) for m in (forced, into, free, powers[block]))
     y = forced @ u
     push = into @ u
-    state = np.zeros((2, u.shape[2]))
+    state = np.zeros((2, u.shape[2]), kind)
     for k in range(blocks):
         y[k] += free @ state
-        state = powers[block] @ state + push[k]
+        state = carry @ state + push[k]
     return y.reshape(blocks * block, -1)[:n].reshape(x.shape)
 
 
-def zero_phase(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, pad: int) -> np.ndarray:
+def zero_phase(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, pad: int, kind: type = np.float64) -> np.ndarray:
     """Each section forward and backward, with even reflection; up to 6 samples are returned as they are."""
     if len(x) <= 6:
         return x
     pad = min(pad, len(x) - 1)
     for b, a in sections:
         y = np.concatenate([x[pad:0:-1], x, x[-2 : -pad - 2 : -1]]) if pad else x
-        y = _recursive(b, a, _recursive(b, a, y)[::-1])[::-1]
+        y = _recursive(b, a, _recursive(b, a, y, kind=kind)[::-1], kind=kind)[::-1]
         x = y[pad : pad + len(x)]
     return x
 
@@ -222,6 +223,38 @@ def band_pass(x: np.ndarray, rate: float, high: float | None = None, low: float
     return zero_phase(sections, y, max(math.ceil(3 * rate / lead), 24) if lead else 0).reshape(shape)
 
 
+#: Below these shares of the sampling rate a high-pass, and within these shares of half of it a low-pass, needs double precision; the second of each is for steep filters, of so many poles.
+SINGLE_LIMITS = {"high": (0.00005, 0.0002), "low": (0.02, 0.05), "steep": 8}
+#: Single precision has failed where the output outgrows the input so many times, and this level.
+GROWTH = (1e4, 1e9)
+
+
+def precision(rate: float, high: float | None = None, low: float | None = None, slope: int = 24) -> str:
+    """'single' or 'double', by cut-offs, poles and rate."""
+    steep = POLES[slope] >= SINGLE_LIMITS["steep"]
+    if rate <= 0:
+        return "double"
+    share = {"high": high / rate if high else None, "low": (rate / 2 - low) / (rate / 2) if low else None}
+    close = any(v is not None and (v < SINGLE_LIMITS[k][0] or (steep and v < SINGLE_LIMITS[k][1])) for k, v in share.items())
+    return "double" if close else "single"
+
+
+def band_pass_by_precision(x: np.ndarray, rate: float, wanted: str = "auto", **options) -> tuple[np.ndarray, str]:
+    """``band_pass`` in single precision where that is safe or ``wanted``, else in double; a single-precision result that isn't finite or has outgrown its input is made again in double. Result and precision used."""
+    cuts = {k: v for k, v in options.items() if k in ("high", "low", "slope")}
+    used = precision(rate, **cuts) if wanted == "auto" else wanted
+    if used == "single" and x.size:
+        sections = band_sections(rate, **options)
+        lead = options.get("high") or options.get("low") or options.get("notch")
+        source = np.asarray(x, np.float32)
+        with np.errstate(over="ignore", invalid="ignore"):
+            y = zero_phase(sections, source.reshape(len(x), -1), max(math.ceil(3 * rate / lead), 24) if lead else 0, np.float32).reshape(x.shape)
+        top = float(np.abs(source[np.isfinite(source)]).max(initial=0))
+        if np.isfinite(y).all() and float(np.abs(y).max(initial=0)) <= max(GROWTH[0] * top, GROWTH[1]):
+            return y.astype(float), "single"
+    return band_pass(x, rate, **options), "double"
+
+
 def line_noise_reduced(x: np.ndarray, rate: float, line: float = 60.0, harmonics: int = 3, window_s: float = 4.0, strength: float = 1.0) -> np.ndarray:
     """Sinusoids at the line's harmonics, fitted in half-overlapping windows, subtracted where they explain enough."""
     strength = min(max(strength, 0.1), 1.5)

@@ -24,8 +24,11 @@ def ocular_drive(samples: DataFrame, candidates: tuple[int, ...]) -> DataFrame:
     return samples.where(F.col("channel_index").isin(*candidates)).groupBy(*ids(samples), "sample_index").agg(F.max_by("value", F.struct(F.abs("value"), -F.col("channel_index"))).alias("value"))
 
 
-def ocular_events(samples: DataFrame, candidates: tuple[int, ...], rate: float, threshold: float = 150.0, polarity: str = "both", min_s: float = 0.05, max_s: float = 0.5, cap: float | None = None, rise_s: float | None = 0.1, gap_s: float = 0.25) -> DataFrame:
-    """Blinks or movements: runs over the threshold with duration, peak and rise limits; close ones merge and keep the earlier peak."""
+def ocular_events(samples: DataFrame, candidates: tuple[int, ...], rate: float, threshold: float = 150.0, polarity: str = "both", min_s: float = 0.05, max_s: float = 0.5, cap: float | None = None, rise_s: float | None = 0.1, gap_s: float = 0.25, velocity: float | None = None, acceleration: float | None = None) -> DataFrame:
+    """Blinks or movements: runs over the threshold with duration, peak and rise limits; close ones merge and keep the earlier peak.
+
+    ``velocity`` (per ms) and ``acceleration`` (per ms squared) are the least that a run's largest first and second difference must reach.
+    """
     drive = ocular_drive(samples, candidates)
     over = {"positive": F.col("value") >= threshold, "negative": F.col("value") <= -threshold}.get(polarity, F.abs("value") >= threshold)
     named = ids(drive)
@@ -37,12 +40,31 @@ def ocular_events(samples: DataFrame, candidates: tuple[int, ...], rate: float,
     peaks = _peaks(drive, runs)
     if rise_s is not None:
         peaks = peaks.where(F.col("peak_sample") - F.col("start_sample") <= rise_s * rate)
+    if velocity is not None or acceleration is not None:
+        speeds = _kinematics(drive, peaks, rate)
+        fast = F.lit(True)
+        for column, least in (("velocity", velocity), ("acceleration", acceleration)):
+            fast = fast & (F.coalesce(column, F.lit(0.0)) >= least) if least is not None else fast
+        peaks = peaks.join(speeds, [*named, "start_sample", "end_sample"]).where(fast).drop("velocity", "acceleration")
     w = Window.partitionBy(*named).orderBy("start_sample")  # events of a recording
     end = F.max("end_sample").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = peaks.withColumn("fresh", F.when(end.isNull() | (F.col("start_sample") - end > gap_s * rate), 1).otherwise(0)).withColumn("island", F.sum("fresh").over(w))
     return marked.groupBy(*named, "island").agg(F.min("start_sample").alias("start_sample"), F.max("end_sample").alias("end_sample"), F.min_by("peak_sample", "start_sample").alias("peak_sample"), F.min_by("peak", "start_sample").alias("peak")).drop("island")
 
 
+def _kinematics(drive: DataFrame, runs: DataFrame, rate: float, bucket: int = 512) -> DataFrame:
+    """Largest first and second difference within each run, per millisecond; neighbours meet by joins on the next sample, so no recording is one task."""
+    named = ids(drive, runs)
+    own = drive.select(*named, "sample_index", F.col("value").cast("double").alias("v"))
+    past = own.select(*named, (F.col("sample_index") + 1).alias("sample_index"), F.col("v").alias("__past"))
+    coming = own.select(*named, (F.col("sample_index") - 1).alias("sample_index"), F.col("v").alias("__next"))
+    per_ms = rate / 1_000
+    steps = own.join(past, [*named, "sample_index"]).join(coming, [*named, "sample_index"], "left").select(*named, "sample_index", (F.abs(F.col("v") - F.col("__past")) * per_ms).alias("velocity"), (F.abs(F.col("__next") - 2 * F.col("v") + F.col("__past")) * per_ms**2).alias("acceleration"))
+    spread = runs.select(*named, "start_sample", "end_sample").withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_sample") / bucket), F.floor(F.col("end_sample") / bucket))))
+    hit = steps.withColumn("__b", F.floor(F.col("sample_index") / bucket)).join(spread, [*named, "__b"], "right").where(F.col("sample_index").isNull() | F.col("sample_index").between(F.col("start_sample"), F.col("end_sample")))
+    return hit.groupBy(*named, "start_sample", "end_sample").agg(F.max("velocity").alias("velocity"), F.max("acceleration").alias("acceleration"))
+
+
 def _peaks(drive: DataFrame, runs: DataFrame, bucket: int = 512) -> DataFrame:
     """Sample of the largest magnitude in each run, by a bucketed equi-join."""
     spread = runs.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_sample") / bucket), F.floor(F.col("end_sample") / bucket))))

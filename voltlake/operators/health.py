@@ -186,7 +186,7 @@ def neighbour_agreement(samples: DataFrame, neighbours: DataFrame) -> DataFrame:
 
 
 def neighbour_prediction(samples: DataFrame, neighbours: DataFrame, window: int) -> DataFrame:
-    """Median over full windows of max(r, 0) between a channel and the inverse-distance blend of its neighbours; bad under 0.485."""
+    """Median over full windows of max(r, 0) between a channel and the inverse-distance blend of its neighbours; bad under 0.485. A channel of less than a window (or windows under 8 samples) has one r over all its samples, if they are more than 8."""
     from voltlake.operators.stats import pearson
 
     w = F.lit(1.0) / F.greatest(F.sqrt("d2"), F.lit(1e-6))
@@ -195,8 +195,12 @@ def neighbour_prediction(samples: DataFrame, neighbours: DataFrame, window: int)
     by = [*ids(samples), "channel_index"]
     other = samples.select(*ids(samples), F.col("channel_index").alias("source"), "sample_index", F.col("value").alias("y"))
     blend = other.join(F.broadcast(weights), "source").groupBy(*by, "sample_index").agg(F.sum(F.col("weight") * F.col("y")).alias("y"))
-    each = samples.join(blend, [*by, "sample_index"]).groupBy(*by, F.floor(F.col("sample_index") / window).alias("w")).agg(pearson(F.col("value"), F.col("y")).alias("r"), F.count("*").alias("n"))
-    return each.where(F.col("n") == window).groupBy(*by).agg(F.percentile(F.greatest("r", F.lit(0.0)), 0.5).alias("prediction")).withColumn("bad", F.col("prediction") < 0.485)
+    both = samples.join(blend, [*by, "sample_index"]).withColumnRenamed("value", "x")
+    each = both.groupBy(*by, F.floor(F.col("sample_index") / window).alias("w")).agg(pearson(F.col("x"), F.col("y")).alias("r"), F.count("*").alias("n"))
+    windows = each.where((F.col("n") == window) & F.lit(window >= 8)).groupBy(*by).agg(F.percentile(F.greatest("r", F.lit(0.0)), 0.5).alias("prediction"))
+    whole = both.groupBy(*by).agg(pearson(F.col("x"), F.col("y")).alias("r"), F.count("*").alias("n")).where((F.col("n") > 8) & (F.lit(window < 8) | (F.col("n") < window)))
+    found = windows.unionByName(whole.join(windows, by, "left_anti").select(*by, F.greatest("r", F.lit(0.0)).alias("prediction")))
+    return found.withColumn("bad", F.col("prediction") < 0.485)
 
 
 def merged_metrics(metrics: DataFrame, new: DataFrame) -> DataFrame:

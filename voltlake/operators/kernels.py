@@ -87,6 +87,26 @@ def filtered(traces: DataFrame, rate: float, **options) -> DataFrame:
     return map_traces(traces, lambda x: band_pass(x, rate, **options))
 
 
+def filtered_by_precision(traces: DataFrame, rate: float, wanted: str = "auto", **options) -> DataFrame:
+    """``filtered`` in single precision where cut-offs, poles and rate allow, with the column ``precision`` that was used for a trace (null for null and empty ones)."""
+    from voltlake.functions.dsp import band_pass_by_precision
+
+    keys = [c for c in traces.columns if c not in ("values", "precision")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, used = [], []
+            for v in batch.column("values"):
+                x = np.array(v.values.to_numpy(zero_copy_only=False), float) if v.is_valid else None
+                y, kind = band_pass_by_precision(x, rate, wanted, **options) if x is not None and len(x) else (x, None)
+                rows.append(y)
+                used.append(kind)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(rows, pa.list_(pa.float64())), pa.array(used, pa.string())], names=[*keys, "values", "precision"])
+
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in traces.select(*keys).schema.fields)
+    return traces.select(*keys, F.transform("values", lambda v: v.cast("double")).alias("values")).mapInArrow(run, f"{ddl}values array<double>, precision string")
+
+
 def line_reduced(traces: DataFrame, rate: float, **options) -> DataFrame:
     from voltlake.functions.dsp import line_noise_reduced
 

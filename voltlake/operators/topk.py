@@ -146,3 +146,24 @@ def visible(rows: DataFrame, low: float, high: float, at: str = "begin_s") -> Da
 def natural_order(name: Column) -> list[Column]:
     """Sort keys by the text before a trailing number, then by the number."""
     return [F.regexp_replace(name, r"\d+$", ""), F.coalesce(F.nullif(F.regexp_extract(name, r"(\d+)$", 1), F.lit("")), F.lit("0")).cast("long"), name]
+
+
+def natural_key(name: Column) -> Column:
+    """Sort key of text with numbers anywhere in it: its parts in order, numbers of any length by value, letters without case. Names that differ in case or leading zeros only tie."""
+    number = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    part = lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(number(p)).cast("string"), 6, "0"), number(p))).otherwise(F.lower(p))
+    return F.transform(F.regexp_extract_all(name, F.lit(r"\d+|\D+"), F.lit(0)), part)
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with place, from 1, in the order given, which must be one without ties. No window over all rows: they are dealt by ranges, and each range counts on from those before it."""
+    from voltlake.operators.tables import written
+
+    at = F.monotonically_increasing_id()
+    keys = [f"__k{i}" for i in range(len(order))]
+    ranged = df.select("*", *(o.alias(k) for o, k in zip(order, keys, strict=True))).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = written(ranged.select(*(F.col(c) for c in df.columns), F.spark_partition_id().alias("__part"), at.alias("__at")))
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))  # a row a range
+    before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return dealt.join(offsets, "__part").select(*(F.col(c) for c in df.columns), (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("place"))

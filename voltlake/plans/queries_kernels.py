@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -466,3 +467,25 @@ def packages_by_blocks(spark, d):
     wanted = packages.read_blocks(spark, folder, blocks=1).where(F.col("channel_index").isin(3, 10) & (F.col("first_sample") >= 128) & (F.col("first_sample") < 320))
     named = packages.block_samples(wanted).withColumn("recording_id", F.regexp_extract("recording_id", r"([^/]+)\.mff$", 1))
     return out(named, F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value", 5).alias("value"))
+
+
+def _by_precision(spark, d):
+    """Four filters on both sides of the limits: a slow one, a steep slow one, one near half the rate, and a plain one; channels 16 of each."""
+    t = traces(spark, d)
+    settings = ({"high": 0.0120}, {"high": 0.03, "slope": 48}, {"low": 123.0, "slope": 12}, {"high": 10.0, "low": 40.0})
+    parts = [kernels.filtered_by_precision(t.where(F.col("channel_index") % 4 == k), RATE, **options) for k, options in enumerate(settings)]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+_q(
+    "filter_precisions",
+    lambda s, d: out(_by_precision(s, d), F.col("channel_index").cast("long").alias("channel_index"), "precision"),
+    f"WITH {SIGNAL} SELECT DISTINCT ch::BIGINT AS channel_index, CASE ch % 4 WHEN 0 THEN CASE WHEN 0.0120 / 250.0 < 0.00005 THEN 'double' ELSE 'single' END WHEN 1 THEN CASE WHEN 0.03 / 250.0 < 0.0002 THEN 'double' ELSE 'single' END WHEN 2 THEN CASE WHEN (125.0 - 123.0) / 125.0 < 0.02 THEN 'double' ELSE 'single' END ELSE 'single' END AS precision FROM s",
+    True,
+)
+_q(
+    "filtered_in_single_precision",
+    lambda s, d: out(to_samples(kernels.filtered_by_precision(traces(s, d), RATE, high=10.0, low=40.0, notch=60.0).drop("precision")), F.col("channel_index").cast("long").alias("channel_index"), "sample_index", r("value", 2).alias("value")),
+    f"WITH RECURSIVE {SIGNAL}, {_zero_phase([*_LOWER, dsp.biquad('notch', 60.0, RATE, dsp.NOTCH_Q)], 10.0)} {_FLAT.format(v='v', t='y5').replace('5) + 0.0', '2) + 0.0')}",
+    True,
+)

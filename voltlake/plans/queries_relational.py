@@ -245,6 +245,13 @@ def natural_sort(spark, d):
     return names.select("name", F.row_number().over(Window.orderBy(*topk.natural_order(F.col("name")))).cast("long").alias("place"))
 
 
+@query("WITH n AS (SELECT DISTINCT p_brand, p_size FROM part) SELECT p_brand || '-' || p_size || ' x' AS name, row_number() OVER (ORDER BY regexp_extract(p_brand, '[0-9]+')::INT, p_size) AS place FROM n")
+def natural_places(spark, d):
+    """Names with numbers inside, in natural order, numbered without one task for all."""
+    names = table(spark, d, "part").select(F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string"), F.lit(" x")).alias("name")).distinct()
+    return topk.numbered(names, topk.natural_key(F.col("name")), F.col("name")).select("name", F.col("place").cast("long").alias("place"))
+
+
 @query(f"WITH {TRACK} SELECT event_id FROM e WHERE t BETWEEN 5000 AND 90000")
 def visible_events(spark, d):
     return topk.visible(track(spark, d), 5000, 90000).select("event_id")
@@ -267,6 +274,14 @@ def ocular_events(spark, d):
     return out(detect.ocular_events(signal(spark, d), (0, 1, 2, 3), RATE, threshold=0.2, min_s=0.004, rise_s=None, gap_s=0.008), "start_sample", "end_sample", "peak_sample", r("peak").alias("peak"))
 
 
+@query(f"""WITH {SIGNAL}, dr AS (SELECT i, arg_max(v, struct_pack(a := abs(v), c := -ch)) AS v FROM s WHERE ch IN (0, 1, 2, 3) GROUP BY i), k0 AS (SELECT i, v, abs(v - lag(v) OVER (ORDER BY i)) * 0.25 AS sp, abs(lead(v) OVER (ORDER BY i) - 2 * v + lag(v) OVER (ORDER BY i)) * 0.0625 AS ac FROM dr), h AS (SELECT i, v, sp, ac, i - row_number() OVER (ORDER BY i) AS g FROM k0 WHERE abs(v) >= 0.2),
+u AS (SELECT min(i) AS a, max(i) AS b, arg_max(i, struct_pack(m := abs(v), c := -i)) AS p, max(abs(v)) AS m FROM h GROUP BY g HAVING count(*) BETWEEN 1 AND 125 AND coalesce(max(sp), 0) >= 0.05 AND coalesce(max(ac), 0) >= 0.02), k AS (SELECT *, CASE WHEN max(b) OVER w IS NULL OR a - max(b) OVER w > 2 THEN 1 ELSE 0 END AS fresh FROM u WINDOW w AS (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), l AS (SELECT *, sum(fresh) OVER (ORDER BY a) AS isle FROM k)
+SELECT min(a)::BIGINT AS start_sample, max(b)::BIGINT AS end_sample, arg_min(p, a)::BIGINT AS peak_sample, round(arg_min(m, a), 6) AS peak FROM l GROUP BY isle""", two=True)
+def ocular_events_with_gates(spark, d):
+    found = detect.ocular_events(signal(spark, d), (0, 1, 2, 3), RATE, threshold=0.2, min_s=0.004, rise_s=None, gap_s=0.008, velocity=0.05, acceleration=0.02)
+    return out(found, "start_sample", "end_sample", "peak_sample", r("peak").alias("peak"))
+
+
 @query(f"WITH RECURSIVE {SIGNAL}, r AS (SELECT 0 AS ch, i, sqrt(avg(v * v)) AS v FROM s GROUP BY i), {_HIGH.format(sigmas='0.5')}, {_STRONGEST.format(spacing=10)} SELECT i AS start, round(v, 6) AS score FROM z JOIN o USING (ch, i)", two=True)
 def field_power_peaks(spark, d):
     return out(detect.field_power_peaks(signal(spark, d), 0.5, 10), "start", r("score").alias("score"))
