@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from voltlake.operators.joins import event_samples
 from voltlake.operators.keys import ids
 from voltlake.operators.stats import pearson
+from voltlake.operators.tables import written
 
 
 def epoch(events: DataFrame, samples: DataFrame, rate: float, pre: int, post: int, n_samples: int) -> DataFrame:
@@ -74,9 +75,10 @@ def snr_metrics(trials: DataFrame, pre: int) -> DataFrame:
     """A row a recording and category: trial count, its root, plus-minus noise and SNR, baseline noise and SNR, GFP ratio, split-half reliability."""
     named = [*ids(trials), "category"]
     even = F.col("trial") % 2 == 0
-    points = trials.groupBy(*named, "channel_index", "rel").agg(
+    points = trials.groupBy(*named, "channel_index", "rel").agg(  # written, as two branches read it: trials are many times more
         F.max("trial").alias("last"), F.avg("value").alias("avg"), F.avg(F.when(even, F.col("value")).otherwise(-F.col("value"))).alias("res"), F.avg(F.when(even, F.col("value"))).alias("a"), F.avg(F.when(~even, F.col("value"))).alias("b")
     )
+    points = written(points)
     base, resp = F.col("rel") < pre, F.col("rel") >= pre
     over_all = points.groupBy(*named).agg(
         (F.max("last") + 1).cast("long").alias("n"),

@@ -11,6 +11,7 @@ from voltlake.functions.scoring import finite, grade, impedance_score, score_low
 from voltlake.operators.joins import in_segments, swept_overlap
 from voltlake.operators.keys import ids
 from voltlake.operators.stats import clipping_fraction, excess_kurtosis, percentile, spread_percentiles
+from voltlake.operators.tables import written
 from voltlake.operators.windows import block_mean_drift, first_difference
 
 #: Fixed values: (green, red) thresholds and weights of the scores.
@@ -54,7 +55,7 @@ def segment_health(samples: DataFrame, segment_length: int, n_samples: int, n_ch
     place of tumbling ones of ``segment_length``. Baselines are of the whole recording either way.
 
     Plan: one aggregation by (segment, sample) for the field power, one by segment
-    for amplitudes, both from the same samples, and one row of recording baselines.
+    for amplitudes, both from the same samples with their differences, which are written once, and one row of recording baselines.
     """
     step, named = stride or segment_stride(n_samples, rate), ids(samples)
     seg = F.floor(F.col("sample_index") / segment_length).cast("int").alias("segment_id")
@@ -64,7 +65,7 @@ def segment_health(samples: DataFrame, segment_length: int, n_samples: int, n_ch
         samples = in_segments(samples, segments)
         seg = F.col("segment_id")
     rows = first_difference(samples.where(F.col("sample_index") % step == 0), carry=False).select(*named, seg, "sample_index", "channel_index", x.alias("x"), "diff", *held, F.lag("channel_index").over(Window.partitionBy(*named, "channel_index", F.floor(F.col("sample_index") / segment_length) if segments is None else "segment_id").orderBy("sample_index")).isNull().alias("opens"))
-    rows = rows.withColumn("inner", F.when(~F.col("opens"), F.col("diff")))
+    rows = written(rows.withColumn("inner", F.when(~F.col("opens"), F.col("diff"))))
 
     power = rows.groupBy(*named, "segment_id", "sample_index").agg(F.sqrt(F.avg(F.col("x") ** 2)).alias("gfp"))
     at_least = lambda df: df.select(*named, *(F.greatest(c, F.lit(1e-9)).alias(c) for c in df.columns if c not in named))

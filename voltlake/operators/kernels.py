@@ -40,8 +40,8 @@ def map_traces(traces: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) ->
     return traces.select(*keys, F.transform("values", lambda v: v.cast("double")).alias("values")).mapInArrow(run, f"{ddl}, values array<double>")
 
 
-def by_recording(traces: DataFrame, kernel: Callable[..., pd.DataFrame], schema: str, named: bool = False) -> DataFrame:
-    """Rows the kernel makes of a recording's matrix (channels x samples, in channel order), channel indices and, if ``named``, id.
+def by_recording(traces: DataFrame, kernel: Callable[..., pd.DataFrame], schema: str, beside: str | None = None) -> DataFrame:
+    """Rows the kernel makes of a recording's matrix (channels x samples, in channel order), channel indices and the recording's value of the column ``beside``.
 
     Channels that are null or empty don't count, a recording without others gives no rows; channels of several lengths
     are cut to the shortest.
@@ -53,11 +53,11 @@ def by_recording(traces: DataFrame, kernel: Callable[..., pd.DataFrame], schema:
         if not len(pdf):
             return pd.DataFrame(columns=["recording_id", *names])
         n = min(map(len, pdf["values"]))
-        out = kernel(np.stack([np.asarray(v[:n], float) for v in pdf["values"]]), pdf["channel_index"].tolist(), *key[: int(named)])
+        out = kernel(np.stack([np.asarray(v[:n], float) for v in pdf["values"]]), pdf["channel_index"].tolist(), *([pdf[beside].iloc[0]] if beside else []))
         out.insert(0, "recording_id", key[0])
         return out[["recording_id", *names]]
 
-    return recorded(traces).select("recording_id", "channel_index", "values").groupBy("recording_id").applyInPandas(run, f"recording_id string, {schema}")
+    return recorded(traces).select("recording_id", "channel_index", "values", *([beside] if beside else [])).groupBy("recording_id").applyInPandas(run, f"recording_id string, {schema}")
 
 
 def matrix_kernel(traces: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

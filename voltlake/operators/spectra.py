@@ -18,33 +18,42 @@ from voltlake.schema import BANDS
 FLOOR = 1e-12
 
 
-Segments = list[tuple[int, int]] | dict[str, list[tuple[int, int]]]
+Segments = list[tuple[int, int]] | dict[str, list[tuple[int, int]]] | DataFrame
 
 
-def segments_of(segments: Segments, recording: str | None) -> list[tuple[int, int]]:
-    """The segments of a recording: one list for all, or a list by recording."""
-    return segments.get(recording, []) if isinstance(segments, dict) else segments
+def with_segments(traces: DataFrame, segments: Segments) -> tuple[DataFrame, int]:
+    """Traces with __segments, their recording's segments [a, b) in order, and the longest segment's samples.
 
-
-def longest(segments: Segments) -> int:
-    every = [s for part in segments.values() for s in part] if isinstance(segments, dict) else segments
-    return max((b - a for a, b in every), default=16)
+    Segments are one list for all recordings, a list by recording, or a table (recording_id where there are
+    several, start_sample, end_sample inclusive), which is joined and never read by the driver.
+    """
+    spark = traces.sparkSession
+    if isinstance(segments, dict):
+        segments = spark.createDataFrame([(name, a, b - 1) for name, part in segments.items() for a, b in part], "recording_id string, start_sample long, end_sample long")
+    elif isinstance(segments, list):
+        segments = spark.createDataFrame([(a, b - 1) for a, b in segments], "start_sample long, end_sample long")
+    named = ids(traces, segments)
+    one = F.struct(F.col("start_sample").cast("long").alias("a"), (F.col("end_sample") + 1).cast("long").alias("b"))
+    listed = segments.groupBy(*named).agg(F.sort_array(F.collect_list(one)).alias("__segments"))
+    most = segments.agg(F.max(F.col("end_sample") + 1 - F.col("start_sample"))).first()[0]
+    return (traces.join(listed, named, "left") if named else traces.crossJoin(F.broadcast(listed))), int(most or 16)  # without recordings, one row
 
 
 def pooled_spectra(traces: DataFrame, segments: Segments, rate: float) -> DataFrame:
     """A row a recording, channel and bin: power pooled over the windows of the kept segments [start, end)."""
-    length, named = dsp.power_of_two_length(rate, longest(segments)), ids(traces)
+    joined, longest = with_segments(traces, segments)
+    length, named = dsp.power_of_two_length(rate, longest), ids(traces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, c, v in zip(batch.column("recording_id").to_pylist(), batch.column("channel_index").to_pylist(), batch.column("values"), strict=True):
+            for key, c, v, mine in zip(batch.column("recording_id").to_pylist(), batch.column("channel_index").to_pylist(), batch.column("values"), batch.column("__segments").to_pylist(), strict=True):
                 x = np.array(v.values.to_numpy(zero_copy_only=False), float)
-                parts = [dsp.window_spectra(x[a:b], rate, length)[1] for a, b in segments_of(segments, key)]
+                parts = [dsp.window_spectra(x[s["a"] : s["b"]], rate, length)[1] for s in mine or []]
                 all_ = np.concatenate(parts) if parts else np.zeros((0, length // 2))
                 power = (np.abs(all_) ** 2).mean(0) if len(all_) else np.zeros(length // 2)
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(power), pa.string()), pa.array(np.full(len(power), c), pa.int32()), pa.array(np.arange(len(power)), pa.int32()), pa.array(np.arange(len(power)) * rate / length), pa.array(power), pa.array(np.full(len(power), len(all_)), pa.int64())], names=["recording_id", "channel_index", "bin", "hz", "power", "windows"])
 
-    shipped = recorded(traces).select(F.col("recording_id").cast("string").alias("recording_id"), "channel_index", "values")
+    shipped = recorded(joined).where("values IS NOT NULL").select(F.col("recording_id").cast("string").alias("recording_id"), "channel_index", "values", "__segments")
     found = shipped.mapInArrow(run, "recording_id string, channel_index int, bin int, hz double, power double, windows long")
     return found if named else found.drop("recording_id")
 
@@ -101,10 +110,11 @@ def connectivity(traces: DataFrame, segments: Segments, rate: float, nodes: dict
     are made as matrix products within the recording's task, so they aren't
     shuffled.
     """
-    length = dsp.power_of_two_length(rate, longest(segments))
+    joined, longest = with_segments(traces, segments)
+    length = dsp.power_of_two_length(rate, longest)
 
-    def run(x: np.ndarray, channels: list[int], key: str) -> pd.DataFrame:
-        mine = segments_of(segments, key)
+    def run(x: np.ndarray, channels: list[int], found: list[dict] | None) -> pd.DataFrame:
+        mine = [(s["a"], s["b"]) for s in (found if found is not None else [])]
         at = {c: i for i, c in enumerate(channels)}
         named = nodes or {str(c): [c] for c in channels}
         keys = list(named)
@@ -137,7 +147,7 @@ def connectivity(traces: DataFrame, segments: Segments, rate: float, nodes: dict
                 rows.append(pd.DataFrame({"node_a": [keys[i] for i in left], "node_b": [keys[j] for j in right], "band": band, "metric": metric, "value": m[left, right]}))
         return pd.concat(rows)
 
-    return by_recording(traces, run, "node_a string, node_b string, band string, metric string, value double", named=True)
+    return by_recording(joined, run, "node_a string, node_b string, band string, metric string, value double", beside="__segments")
 
 
 def result_rows(powers: DataFrame, pairs: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:

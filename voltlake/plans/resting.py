@@ -8,22 +8,19 @@ from pyspark.sql import functions as F
 from voltlake.operators import health, select, spectra
 from voltlake.operators.keys import ids
 from voltlake.operators.layout import to_traces
+from voltlake.operators.tables import written
 
 
 def resting_analysis(samples: DataFrame, rate: float, n_samples: int, n_channels: int, seconds: float = 4.0, intervals: DataFrame | None = None, kept_grades: tuple[str, ...] = ("good", "watch"), max_overlap: float = 0.1) -> dict[str, DataFrame]:
     """Tables: decisions, summary, powers, bands, pairs and the long result rows.
 
-    The kept segments' bounds (one pair a segment of some seconds) are read by the
-    driver: they are parameters of the spectral kernels.
+    Decisions are written once; the kept segments are joined to their recording's traces.
     """
     scored = health.segment_health(samples, max(1, round(seconds * rate)), n_samples, n_channels, rate, intervals)
     scored = scored.withColumn("overlap_fraction", F.least(F.lit(1.0), F.col("overlap_samples") / (F.col("end_sample") - F.col("start_sample") + 1)))
-    decisions = select.segment_decisions(scored, kept_grades, max_overlap)
-    named = ids(samples)
-    kept: spectra.Segments = {} if named else []
-    for r in decisions.where("kept").orderBy("start_sample").select(*named, "start_sample", "end_sample").collect():
-        (kept.setdefault(r.recording_id, []) if named else kept).append((int(r.start_sample), int(r.end_sample) + 1))
+    decisions = written(select.segment_decisions(scored, kept_grades, max_overlap))
+    kept = decisions.where("kept").select(*ids(samples), "start_sample", "end_sample")
     traces = to_traces(samples)
     powers = spectra.band_powers(spectra.pooled_spectra(traces, kept, rate))
-    pairs = spectra.connectivity(traces, kept, rate) if kept else None
+    pairs = spectra.connectivity(traces, kept, rate) if kept.head(1) else None
     return {"decisions": decisions, "summary": health.segment_summary(decisions), "powers": powers, "bands": spectra.band_summary(powers), "rows": spectra.result_rows(powers, pairs)} | ({"pairs": pairs} if pairs is not None else {})
