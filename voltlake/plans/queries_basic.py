@@ -167,9 +167,11 @@ def category_names(spark, d):
     return p.select("name", sc.normalised_category(F.col("name")).alias("norm"), F.levenshtein(F.lower("name"), F.lit("standard")).cast("long").alias("distance"), sc.non_empty(F.col("name")).alias("kept"))
 
 
-@query("WITH u AS (SELECT unnest(['V', 'mV', 'µV', '', 'nV', 'x']) AS u, unnest([1e6, 1e3, 1.0, 1.0, 1e-3, 1.0]) AS scale) SELECT * FROM u")
+@query("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 1e6 WHEN 1 THEN 1e3 WHEN 2 THEN 1.0 WHEN 3 THEN 1.0 WHEN 4 THEN 1e-3 ELSE 1.0 END AS scale FROM part")
 def unit_scales(spark, d):
-    return spark.createDataFrame([("V",), ("mV",), ("µV",), ("",), ("nV",), ("x",)], "u string").select("u", sc.unit_scale(F.col("u")).alias("scale"))
+    """A unit a row of ``part``, known and unknown ones."""
+    unit = F.element_at(F.array(*map(F.lit, ("V", "mV", "µV", "", "nV", "x"))), F.col("p_size") % 6 + 1)
+    return table(spark, d, "part").select("p_partkey", sc.unit_scale(unit).alias("scale"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 5) AS dot, round(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE - list_avg(embedding)))), 6) AS scale FROM embeddings")
@@ -228,10 +230,11 @@ def segment_decisions(spark, d):
     return select.segment_decisions(g.withColumn("grade", sc.grade(F.col("overlap_fraction"))), ("good", "watch"), 0.1).select("code", "kept", F.array_join("reasons", "|").alias("reasons"))
 
 
-@query("WITH p AS (SELECT unnest([8, 32, 128, 256]) AS n) SELECT n, CASE WHEN n >= 241 THEN '17,36,237,240' WHEN n >= 127 THEN '7,24,125,126' ELSE '0,1,2,3' END AS blink, CASE WHEN n >= 252 THEN '225,251' WHEN n >= 128 THEN '0,31,124,127' ELSE '0,1,2,3' END AS movement FROM p")
+@query("SELECT p_partkey, CASE WHEN p_size * 6 >= 241 THEN '17,36,237,240' WHEN p_size * 6 >= 127 THEN '7,24,125,126' ELSE '0,1,2,3' END AS blink, CASE WHEN p_size * 6 >= 252 THEN '225,251' WHEN p_size * 6 >= 128 THEN '0,31,124,127' ELSE '0,1,2,3' END AS movement FROM part WHERE p_size * 6 >= 4")
 def ocular_presets(spark, d):
-    n = spark.createDataFrame([(8,), (32,), (128,), (256,)], "n int")
-    return n.select("n", *(F.array_join(select.ocular_preset(k, F.col("n")), ",").alias(k) for k in ("blink", "movement")))
+    """A net a row of ``part``, with six channels for each unit of its size."""
+    n = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 6).cast("int").alias("n")).where("n >= 4")
+    return n.select("p_partkey", *(F.array_join(select.ocular_preset(k, F.col("n")), ",").alias(k) for k in ("blink", "movement")))
 
 
 @query("WITH f AS (SELECT l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1), o AS (SELECT f, (sum(n) OVER (ORDER BY f) - n)::BIGINT AS off FROM f) SELECT l_returnflag AS file_id, min(off + k)::BIGINT AS first, max(off + k)::BIGINT AS last, count(*) AS n FROM (SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS k FROM lineitem) JOIN o ON o.f = l_returnflag GROUP BY 1")
@@ -257,11 +260,14 @@ def deduplicated_events(spark, d):
     return sets.distinct_events(e).agg(F.count("*").alias("n"), F.countDistinct("code").alias("codes"))
 
 
-@query("SELECT name, low, high FROM (VALUES ('Delta', 1.0::DOUBLE, 4.0::DOUBLE), ('Theta', 4.0, 8.0), ('Alpha', 8.0, 13.0), ('Beta', 13.0, 30.0), ('Low Gamma', 30.0, 45.0)) t(name, low, high)")
+@query("SELECT event_id, name FROM (SELECT event_id, value / 10 AS hz FROM events) JOIN (VALUES ('Delta', 1.0::DOUBLE, 4.0::DOUBLE), ('Theta', 4.0, 8.0), ('Alpha', 8.0, 13.0), ('Beta', 13.0, 30.0), ('Low Gamma', 30.0, 45.0)) t(name, low, high) ON hz >= low AND hz < high")
 def band_presets(spark, d):
+    """The band of a frequency a row of ``events``."""
     from voltlake.schema import BANDS
 
-    return spark.createDataFrame(list(BANDS), "name string, low double, high double")
+    hz = F.col("value") / 10
+    band = F.coalesce(*(F.when((hz >= low) & (hz < high), name) for name, low, high in BANDS))
+    return table(spark, d, "events").select("event_id", band.alias("name")).where("name IS NOT NULL")
 
 
 @query(f"WITH {SERIES}, x AS (SELECT ch, i, v, v > 200 AS up, i - row_number() OVER (PARTITION BY ch, v > 200 ORDER BY i) AS g FROM r) SELECT ch AS channel_index, min(i)::BIGINT AS start_sample, max(i)::BIGINT AS end_sample, round(max(abs(v)), 6) AS peak FROM x WHERE up GROUP BY ch, g", two=True)

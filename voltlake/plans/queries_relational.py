@@ -142,9 +142,14 @@ def sensors(spark):
     return spark.createDataFrame(circle(CHANNELS), "channel_index int, x double, y double")
 
 
+def placed_sensors(spark, d):
+    """The sensors of the channels that the recording has."""
+    return sensors(spark).join(signal(spark, d).select("channel_index").distinct(), "channel_index", "left_semi")
+
+
 @query(f"WITH {_CIRCLE}, p AS (SELECT a.ch, b.ch AS o, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM l a JOIN l b ON a.ch <> b.ch), k AS (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY round(d2, 7), o) AS n FROM p) SELECT ch::BIGINT AS channel_index, round(max(d2), 6) AS furthest, count(*) AS n FROM k WHERE n <= 6 GROUP BY ch")
 def nearest_neighbours(spark, d):
-    return joins.nearest(sensors(spark), 6).groupBy(F.col("channel_index").cast("long").alias("channel_index")).agg(r(F.max("d2")).alias("furthest"), F.count("*").alias("n"))
+    return joins.nearest(placed_sensors(spark, d), 6).groupBy(F.col("channel_index").cast("long").alias("channel_index")).agg(r(F.max("d2")).alias("furthest"), F.count("*").alias("n"))
 
 
 @query("SELECT a.c AS \"left\", b.c AS \"right\" FROM (SELECT DISTINCT l_linenumber AS c FROM lineitem) a JOIN (SELECT DISTINCT l_linenumber AS c FROM lineitem) b ON a.c < b.c")
@@ -432,12 +437,12 @@ def merged_health_metrics(spark, d):
 
 @query(f"WITH {_CIRCLE}, p AS (SELECT a.ch, b.ch AS o, sqrt((a.x + b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM l a, l b) SELECT ch::BIGINT AS channel_index, o::BIGINT AS partner FROM (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY d, o) AS k FROM p) WHERE k = 1 AND d < 0.18")
 def mirror_partners(spark, d):
-    return views.mirror_partners(sensors(spark)).select(F.col("channel_index").cast("long").alias("channel_index"), F.col("partner").cast("long").alias("partner"))
+    return views.mirror_partners(placed_sensors(spark, d)).select(F.col("channel_index").cast("long").alias("channel_index"), F.col("partner").cast("long").alias("partner"))
 
 
 @query(f"WITH {_CIRCLE} SELECT unnest(range(70))::BIGINT AS channel_index EXCEPT SELECT ch::BIGINT FROM l")
 def unpositioned_channels(spark, d):
-    return views.unpositioned(spark.range(70).select(F.col("id").alias("channel_index")), sensors(spark).withColumn("channel_index", F.col("channel_index").cast("long")))
+    return views.unpositioned(spark.range(70).select(F.col("id").alias("channel_index")), placed_sensors(spark, d).withColumn("channel_index", F.col("channel_index").cast("long")))
 
 
 @query(f"""WITH {SIGNAL}, {_CIRCLE}, q AS (SELECT x, y, v FROM s JOIN l USING (ch) WHERE i = 10), g AS (SELECT k, (k % 24) * (2.0 / 23) - 1 AS gx, (k // 24) * (2.0 / 23) - 1 AS gy FROM (SELECT unnest(range(576)) AS k)), j AS (SELECT k, v, (x - gx) ** 2 + (y - gy) ** 2 AS d2 FROM g, q WHERE gx * gx + gy * gy <= 1.0000001)
@@ -532,4 +537,4 @@ def segment_summary(spark, d):
 @query(f"WITH {_CIRCLE}, p AS (SELECT a.ch, b.ch AS o, sqrt((a.x + b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM l a, l b), m AS (SELECT ch, o FROM (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY d, o) AS k FROM p) WHERE k = 1 AND d < 0.18) SELECT DISTINCT c::BIGINT AS channel_index FROM (SELECT unnest([1, 5, 9]) AS c UNION ALL SELECT o FROM m WHERE ch IN (1, 5, 9))")
 def mirrored_selection(spark, d):
     chosen = spark.createDataFrame([(1,), (5,), (9,)], "channel_index int")
-    return views.mirrored_selection(chosen, sensors(spark)).select(F.col("channel_index").cast("long").alias("channel_index"))
+    return views.mirrored_selection(chosen, placed_sensors(spark, d)).select(F.col("channel_index").cast("long").alias("channel_index"))
