@@ -9,7 +9,8 @@ earlier in the rank order: a pivot of it is left in the other word, and as it ra
 later than that word's prefix ends, it stands in that prefix. The edit lies before or
 after that bigram, so either the text after it or the text before it is the same in both words:
 its place is fixed from one end. That text and the length (the same, one less or one more) are part of
-the join key. Levenshtein distance verifies each pair inside the join.
+the join key; where that text is short, so is one half of the text on the other side, as the edit spares
+the half it doesn't lie in. Levenshtein distance verifies each pair inside the join.
 
 Plan: words are counted where they are read (partial sums before the shuffle). All
 later steps work on the vocabulary. Bigrams have a fixed alphabet (at most 90 x 90
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from voltlake.llm.common import drop_materialised, materialise, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Letters beside a bigram that make a key by themselves.
+ENOUGH = 4
 LETTERS = "A-Za-z\u00C0-\u00FF"
 
 
@@ -80,17 +83,24 @@ def near_words(words: DataFrame) -> DataFrame:
     """word, near, near_n: every ordered pair of words (word, n) that one inserted, deleted or replaced letter makes equal."""
     grams = materialise(with_prefixes(words))
 
-    def sides(gram: Column) -> Column:
-        """A key for each side of a bigram's place: the bigram, and the word's whole text before or after it."""
+    def places(gram: Column, longer: int) -> Column:
+        """Keys of a bigram's place in the word and in words ``longer`` by so many letters: what may be equal around it."""
         before, after = F.left("word", gram["pos"]), F.substr("word", gram["pos"] + 3)
-        return F.array(F.xxhash64(F.lit("before"), gram["gram"], before), F.xxhash64(F.lit("after"), gram["gram"], after))
-
-    held = grams.select("word", "n", "last", "len", F.explode("prefix").alias("x")).select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("last").alias("b_last"), "len", F.explode(sides(F.col("x"))).alias("k"))
-    lengths = F.explode(F.array(F.col("len") - 1, F.col("len"), F.col("len") + 1))
+        found = []
+        for side, same, edited in (("before", before, after), ("after", after, before)):
+            size = F.length(edited) + longer
+            half = F.floor(size / 2).cast("int")
+            key = lambda part, text: F.xxhash64(F.lit(f"{side} {part}"), gram["gram"], same, text)  # noqa: E731, B023
+            halves = F.array(key("head", F.left(edited, half)), key("tail", F.right(edited, size - half)))
+            found.append(F.when(size < 0, F.array().cast("array<bigint>")).when(F.length(same) >= ENOUGH, F.array(key("whole", F.lit("")))).otherwise(halves))
+        return F.concat(*found)
+
+    held = grams.select("word", "n", "last", "len", F.explode("prefix").alias("x")).select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("last").alias("b_last"), "len", F.explode(places(F.col("x"), 0)).alias("k"))
+    wanted = F.array(*(F.struct((F.col("len") + longer).alias("len"), places(F.col("x"), longer).alias("ks")) for longer in (-1, 0, 1)))
     sought = (
         grams.select("word", "n", "last", "len", F.explode("pivots").alias("x"))
-        .select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("last").alias("a_last"), F.explode(sides(F.col("x"))).alias("k"), "len")
-        .select("a", "a_n", "a_last", "k", lengths.alias("len"))
+        .select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("last").alias("a_last"), F.explode(wanted).alias("w"))
+        .select("a", "a_n", "a_last", "w.len", F.explode("w.ks").alias("k"))
     )
     met = (F.col("a_last") <= F.col("b_last")) & (F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1)
     keys = [F.col(f"s.{k}") == F.col(f"h.{k}") for k in ("k", "len")]
