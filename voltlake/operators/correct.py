@@ -31,10 +31,19 @@ def gradient_removed(samples: DataFrame, first: int, spacing: int, n_volumes: in
 
 
 def template_regressed(trials: DataFrame) -> DataFrame:
-    """Each event less its projection on the unit average of its channel."""
+    """Each event less its projection on the unit average of its channel. Rows of ``times`` count so often in the average."""
     named = [*ids(trials), "category", "channel_index"]
-    mean = trials.groupBy(*named, "rel").agg(F.avg("value").alias("m"))
+    times = F.col("times") if "times" in trials.columns else F.lit(1)
+    mean = trials.groupBy(*named, "rel").agg((F.sum(F.col("value") * times) / F.sum(F.when(F.col("value").isNotNull(), times))).alias("m"))
     size = mean.groupBy(*named).agg(F.sum(F.col("m") ** 2).alias("e"))
     joined = trials.join(mean, [*named, "rel"]).join(size, named)
     scale = F.sum(F.col("value") * F.col("m")).over(Window.partitionBy(*named, "trial")) / F.when(F.col("e") > 1e-18, F.col("e"))
     return joined.withColumn("scale", F.coalesce(scale, F.lit(0.0))).select(*named, "trial", "rel", (F.col("value") - F.col("scale") * F.col("m")).alias("value"), "scale")
+
+
+def regression_scales(windows: DataFrame, placed: DataFrame) -> DataFrame:
+    """Keys, category, channel_index, trial, scale of ``template_regressed`` for every trial of ``placed`` (epochs.placed_trials): worked out once a window, and handed to its trials."""
+    keys = [*ids(windows, placed), "category", "window"]
+    found = template_regressed(windows).where("rel = 0").withColumnRenamed("trial", "window")
+    packed = found.groupBy(*keys).agg(F.collect_list(F.struct("channel_index", "scale")).alias("c"))
+    return placed.join(packed, keys).select(*keys[:-1], "trial", F.explode("c").alias("c")).select(*keys[:-1], "trial", "c.channel_index", "c.scale")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,3 +169,11 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     return dealt.join(offsets, "__part").select(*(F.col(c) for c in df.columns), (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("place"))
+
+
+def numbered_within(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """``df`` with place, from 0, in the order given within each key; numbered as by ``numbered``, so no key's rows have to meet in one task."""
+    placed = numbered(df, *(F.col(c) for c in (*keys, *order)))
+    firsts = placed.groupBy(*(F.col(c).alias(f"__{c}") for c in keys)).agg(F.min("place").alias("__least"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys))
+    return placed.join(firsts, same).select(*(F.col(c) for c in df.columns), (F.col("place") - F.col("__least")).alias("place"))

@@ -62,10 +62,16 @@ def triggers(spark, d):
     return both(e, e)
 
 
-def trials(spark, d):
+def placed(spark, d, number: bool = True):
+    """Complete trials of ten samples, numbered if wanted."""
     n = n_samples(spark, d)
     found = triggers(spark, d).where((F.round(F.col("begin_s") * RATE) >= 5) & (F.round(F.col("begin_s") * RATE) + 5 <= n))
-    return epochs.epoch(found, signal(spark, d), RATE, 5, 5, n)
+    return epochs.placed_trials(found, RATE, 5, 5, n, number)
+
+
+def trials(spark, d, number: bool = False):
+    """Trials by window; most queries need no numbers."""
+    return epochs.windows(placed(spark, d, number), signal(spark, d), 10)
 
 
 @query(f"WITH {_TRIALS} SELECT category, ch::BIGINT AS channel_index, rel::BIGINT AS rel, round(avg(v), 6) + 0.0 AS value, count(*) AS n_trials FROM x GROUP BY ALL", two=True)
@@ -82,7 +88,7 @@ def baseline_corrected_average(spark, d):
 o AS (SELECT category, sqrt(avg(m*m)) AS sig, sqrt(avg(q*q)) AS noise, sqrt(avg(m*m) FILTER (rel < 5)) AS base, max(abs(m)) FILTER (rel >= 5) AS peak, corr(a, b) AS r FROM p GROUP BY 1), f AS (SELECT category, sum(s) AS gs, sum(k) AS gk FROM (SELECT category, rel, sqrt(avg(m*m)) AS s, sqrt(avg(q*q)) AS k FROM p GROUP BY ALL) GROUP BY 1)
 SELECT category, nt::BIGINT AS trial_count, round(sqrt(nt), 6) AS root_n, round(noise, 6) AS plus_minus_noise, round(sig / noise, 5) AS plus_minus_snr, round(gs / gk, 5) AS gfp_snr, round(base, 6) AS baseline_noise, round(peak / base, 5) AS baseline_snr, round(2 * r / (1 + r), 5) + 0.0 AS split_half FROM tn JOIN o USING (category) JOIN f USING (category)""", two=True)
 def snr_metrics(spark, d):
-    m = epochs.snr_metrics(trials(spark, d), 5)
+    m = epochs.snr_metrics(trials(spark, d, True), 5)
     return out(m, "category", "trial_count", *(r(c, k).alias(c) for c, k in (("root_n", 6), ("plus_minus_noise", 6), ("plus_minus_snr", 5), ("gfp_snr", 5), ("baseline_noise", 6), ("baseline_snr", 5), ("split_half", 5))))
 
 
@@ -93,7 +99,8 @@ def preview_average(spark, d):
 
 @query(f"WITH {_TRIALS}, m AS (SELECT category, ch, rel, avg(v) AS m FROM x GROUP BY ALL), e2 AS (SELECT category, ch, sum(m*m) AS e FROM m GROUP BY ALL), k AS (SELECT category, trial, ch, sum(v*m) / any_value(e2.e) AS k FROM x JOIN m USING (category, ch, rel) JOIN e2 USING (category, ch) GROUP BY ALL) SELECT category, ch::BIGINT AS channel_index, trial::BIGINT AS trial, round(k, 5) + 0.0 AS scale FROM k", two=True)
 def template_regression(spark, d):
-    return out(correct.template_regressed(trials(spark, d)).where("rel = 0"), "category", F.col("channel_index").cast("long").alias("channel_index"), F.col("trial").cast("long").alias("trial"), r("scale", 5).alias("scale"))
+    p = placed(spark, d)
+    return out(correct.regression_scales(epochs.windows(p, signal(spark, d), 10), p), "category", F.col("channel_index").cast("long").alias("channel_index"), F.col("trial").cast("long").alias("trial"), r("scale", 5).alias("scale"))
 
 
 _AVERAGES = "a AS (SELECT l_returnflag AS file, l_linenumber AS ch, CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END AS rel, avg(l_quantity) AS v, count(*) AS n FROM lineitem GROUP BY ALL)"
