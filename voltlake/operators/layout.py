@@ -41,15 +41,23 @@ def block_average(samples: DataFrame, factor: int) -> DataFrame:
 
 
 def linear_upsample(samples: DataFrame, factor: int, n: int) -> DataFrame:
-    """Linear interpolation between block centres, clamped at the ends."""
+    """Linear interpolation between block centres, clamped at the ends.
+
+    Each centre is joined to the next and then makes the samples up to it, so no table of all samples is
+    joined (whose size the planner guesses from the few rows that it is exploded from, and broadcasts it).
+    """
     named = ids(samples)
-    last = samples.groupBy(*named, "channel_index").agg(F.max("sample_index").alias("last"))
-    grid = last.withColumn("sample_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    pos = F.greatest(F.lit(0.0), F.least(F.col("last").cast("double"), (F.col("sample_index") - (factor - 1) / 2) / factor))
-    grid = grid.withColumn("pos", pos).withColumn("low", F.floor("pos")).withColumn("high", F.least(F.floor("pos") + 1, F.col("last")))
-    a = samples.select(*named, "channel_index", F.col("sample_index").alias("low"), F.col("value").alias("v0"))
-    b = samples.select(*named, "channel_index", F.col("sample_index").alias("high"), F.col("value").alias("v1"))
-    return grid.join(a, [*named, "channel_index", "low"]).join(b, [*named, "channel_index", "high"]).select(*named, "channel_index", "sample_index", (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("pos") - F.col("low"))).alias("value"))
+    keys, at = [*named, "channel_index"], F.col("sample_index")
+    last = samples.groupBy(*keys).agg(F.max("sample_index").alias("last"))
+    after = samples.select(*keys, (at - 1).alias("sample_index"), F.col("value").alias("v1"), F.lit(True).alias("followed"))
+    pairs = samples.select(*keys, "sample_index", F.col("value").alias("v0")).join(last, keys).join(after, [*keys, "sample_index"], "left")
+    ends = pairs.where((at == F.col("last")) | F.col("followed")).withColumn("v1", F.when(at == F.col("last"), F.col("v0")).otherwise(F.col("v1")))
+    centre = (factor - 1) / 2
+    first = F.when(at == 0, 0).otherwise(F.ceil(at * factor + centre)).cast("long")
+    until = F.when(at == F.col("last"), n - 1).otherwise(F.least(F.ceil((at + 1) * factor + centre) - 1, F.lit(n - 1))).cast("long")
+    spread = ends.withColumn("low", at).withColumn("from", first).withColumn("to", until).where("from <= to").withColumn("sample_index", F.explode(F.sequence("from", "to")))
+    pos = F.greatest(F.lit(0.0), F.least(F.col("last").cast("double"), (at - centre) / factor))
+    return spread.select(*keys, "sample_index", (F.col("v0") + (F.col("v1") - F.col("v0")) * (pos - F.col("low"))).alias("value"))
 
 
 def unit_geometry(sensors: DataFrame) -> DataFrame:
