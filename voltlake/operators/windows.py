@@ -15,13 +15,28 @@ def per_channel(samples: DataFrame):
     return Window.partitionBy(*ids(samples), "channel_index").orderBy("sample_index")
 
 
-def framewise_displacement(motion: DataFrame, radius_mm: float = 50.0) -> DataFrame:
+def with_previous(rows: DataFrame, at: str, columns: tuple[str, ...], size: int = 65_536) -> DataFrame:
+    """``rows`` with __<column>, the value in the row before by ``at``. Rows are looked at in blocks of ``size`` of ``at``, and a block gets the last row of the one before it; so no recording's rows meet in one task."""
+    keys = ids(rows)
+    placed = rows.withColumn("__block", F.floor(F.col(at) / size))
+    edges = placed.groupBy(*keys, "__block").agg(F.max_by(F.struct(*columns), at).alias("__last"))  # a row a block
+    carried = edges.select(*(F.col(k).alias(f"__of_{k}") for k in keys), F.col("__block").alias("__of"), F.lag("__last").over(Window.partitionBy(*keys).orderBy("__block")).alias("__edge"))
+    same = F.col("__block").eqNullSafe(F.col("__of"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    own = Window.partitionBy(*keys, "__block").orderBy(at)
+    first = F.row_number().over(own) == 1
+    found = placed.join(carried, same, "left")
+    return found.select(*rows.columns, *(F.when(first, F.col(f"__edge.{c}")).otherwise(F.lag(c).over(own)).alias(f"__{c}") for c in columns))
+
+
+def framewise_displacement(motion: DataFrame, radius_mm: float = 50.0, size: int = 65_536) -> DataFrame:
     """Sum of absolute steps of six parameters, rotations as arcs on a sphere; 0 for the first volume."""
-    order = Window.partitionBy(*ids(motion)).orderBy("volume")
-    step = lambda c: F.abs(F.col(c) - F.lag(c).over(order))
+    turns, shifts = ("roll", "pitch", "yaw"), ("d_s", "d_l", "d_p")
+    step = lambda c: F.abs(F.col(c) - F.col(f"__{c}"))
     arc = math.pi / 180 * radius_mm
-    fd = sum((step(c) * arc for c in ("roll", "pitch", "yaw")), F.lit(0.0)) + sum((step(c) for c in ("d_s", "d_l", "d_p")), F.lit(0.0))
-    return motion.withColumn("fd", F.coalesce(fd, F.lit(0.0)))
+    fd = sum((step(c) * arc for c in turns), F.lit(0.0)) + sum((step(c) for c in shifts), F.lit(0.0))
+    return with_previous(motion, "volume", turns + shifts, size).select(*motion.columns, F.coalesce(fd, F.lit(0.0)).alias("fd"))
 
 
 def first_difference(samples: DataFrame, carry: bool) -> DataFrame:
