@@ -26,11 +26,13 @@ def channel_union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def channel_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("channel_index").intersect(b.select("channel_index"))
+    """By aggregation: partial groups leave a row a channel and task, so rows of one channel never meet in a join."""
+    sides = a.select("channel_index", F.lit(True).alias("a"), F.lit(False).alias("b")).unionByName(b.select("channel_index", F.lit(False).alias("a"), F.lit(True).alias("b")))
+    return sides.groupBy("channel_index").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b")).where("a AND b").select("channel_index")
 
 
 def good_channels(all_: DataFrame, bad: DataFrame) -> DataFrame:
-    return all_.join(bad.select("channel_index"), "channel_index", "left_anti")
+    return all_.join(bad.select("channel_index").distinct(), "channel_index", "left_anti")
 
 
 def distinct_events(events: DataFrame) -> DataFrame:
