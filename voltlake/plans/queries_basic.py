@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltlake.functions import scoring as sc
-from voltlake.operators import layout, select, sets, stats, windows
+from voltlake.operators import layout, select, sets, stats, topk, windows
 from voltlake.operators.keys import ids
 from voltlake.plans.registry import CHANNELS, SERIES, SIGNAL, TRACK, out, query, r, series, signal, table, track
 
@@ -17,7 +17,7 @@ def channel_statistics(spark, d):
     return s.groupBy(*ids(s), F.col("channel_index").cast("long").alias("channel_index")).agg(r(stats.percentile(F.abs(v), 0.95)).alias("p95"), r(stats.rms(v)).alias("rms"), r(stats.variance_population(v)).alias("var_pop"), r(stats.variance_sample(v)).alias("var_samp"), r(stats.energy(v), 5).alias("energy"), r(stats.excess_kurtosis(v), 5).alias("kurtosis"))
 
 
-@query(f"WITH {SERIES} SELECT ch AS channel_index, round(greatest(quantile_cont(v, 0.5), 1e-9), 6) AS interpolated, round(list_sort(list(v))[count(*) // 2 + 1], 6) AS upper, round(quantile_cont(v, 0.5), 6) AS middles FROM r GROUP BY ch", two=True)
+@query(f"WITH {SERIES} SELECT ch AS channel_index, round(greatest(coalesce(quantile_cont(v, 0.5) FILTER (v > 0 AND isfinite(v)), 0), 1e-9), 6) AS interpolated, round(list_sort(list(v))[count(*) // 2 + 1], 6) AS upper, round(quantile_cont(v, 0.5), 6) AS middles FROM r GROUP BY ch", two=True)
 def median_rules(spark, d):
     v, s = F.col("value"), series(spark, d)
     return s.groupBy(*ids(s), "channel_index").agg(r(stats.median_interpolated(v)).alias("interpolated"), r(stats.median_upper(v)).alias("upper"), r(stats.median_middles(v)).alias("middles"))
@@ -239,8 +239,9 @@ def ocular_presets(spark, d):
 
 @query("WITH f AS (SELECT l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1), o AS (SELECT f, (sum(n) OVER (ORDER BY f) - n)::BIGINT AS off FROM f) SELECT l_returnflag AS file_id, min(off + k)::BIGINT AS first, max(off + k)::BIGINT AS last, count(*) AS n FROM (SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS k FROM lineitem) JOIN o ON o.f = l_returnflag GROUP BY 1")
 def appended_recordings(spark, d):
-    w = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    s = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("file_id"), F.lit(0).alias("channel_index"), (F.row_number().over(w) - 1).cast("long").alias("sample_index"), F.col("l_quantity").alias("value"))
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("file_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("value"))
+    placed = topk.numbered_within(rows, ["file_id"], "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    s = placed.select("file_id", F.lit(0).alias("channel_index"), F.col("place").cast("long").alias("sample_index"), "value")
     files = s.groupBy("file_id").agg(F.count("*").alias("n_samples")).withColumn("n_channels", F.lit(1)).withColumn("file_order", F.dense_rank().over(Window.orderBy("file_id")))
     joined, _ = sets.append_recordings(s, None, files)
     return joined.groupBy("file_id").agg(F.min("sample_index").alias("first"), F.max("sample_index").alias("last"), F.count("*").alias("n"))
