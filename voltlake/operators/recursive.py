@@ -34,6 +34,8 @@ from voltlake.operators.keys import ids
 
 #: Blocks of a trace at most, and samples of a block at least.
 MOST, LEAST = 65_536, 4_096
+#: Samples of the blocks that run side by side at a time.
+SIDE_BY_SIDE = 1 << 19
 Section = tuple[np.ndarray, np.ndarray]
 
 
@@ -101,17 +103,27 @@ def filtered_blocks(samples: DataFrame, sections: list[Section], pad: int, size:
     names = [*keys, "block", "n_blocks"]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*names).schema.fields)
 
-    def passed(batch: pa.RecordBatch, states: list[np.ndarray | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def passed(batch: pa.RecordBatch, states: list[np.ndarray | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Output and states left of each row; blocks of one kind and length run side by side, as columns."""
         at, n = batch.column("block").to_pylist(), batch.column("n_blocks").to_pylist()
-        for k, values in enumerate(batch.column("values")):
-            x = np.asarray(values.values.to_numpy(zero_copy_only=False), float)[:, None]
-            first, last = at[k] == 0, at[k] == n[k] - 1
-            if both and first and last and len(x) <= 6:
-                yield x[:, 0], np.zeros(n_states)
-                continue
-            enter = np.zeros(n_states) if states[k] is None else states[k]
-            y, left = run_block(sections, x, enter.reshape(-1, 2, 1), min(pad, len(x) - 1), first, last, both)
-            yield y[:, 0], left[..., 0].ravel()
+        rows = [np.asarray(values.values.to_numpy(zero_copy_only=False), float) for values in batch.column("values")]
+        kinds: dict[tuple[int, bool, bool], list[int]] = {}
+        for k, x in enumerate(rows):
+            kinds.setdefault((len(x), at[k] == 0, at[k] == n[k] - 1), []).append(k)
+        out: list = [None] * len(rows)
+        for (length, first, last), members in kinds.items():
+            beside = max(1, SIDE_BY_SIDE // max(length, 1))
+            for low in range(0, len(members), beside):
+                part = members[low : low + beside]
+                if both and first and last and length <= 6:
+                    for k in part:
+                        out[k] = (rows[k], np.zeros(n_states))
+                    continue
+                enter = np.stack([np.zeros(n_states) if states[k] is None else states[k] for k in part], 1)
+                y, left = run_block(sections, np.stack([rows[k] for k in part], 1), enter.reshape(-1, 2, len(part)), min(pad, length - 1), first, last, both)
+                for j, k in enumerate(part):
+                    out[k] = (y[:, j], left[..., j].ravel())
+        return out
 
     def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
