@@ -7,6 +7,10 @@ import numpy as np
 from voltlake.functions.wavelets import a_trous
 
 
+#: Windows that are compared at a time.
+WINDOWS = 16_384
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x - x.mean(-1, keepdims=True)
     n = np.linalg.norm(x, axis=-1, keepdims=True)
@@ -25,6 +29,17 @@ def merge(starts: list[int], scores: list[float], gap: int) -> list[tuple[int, f
     return kept
 
 
+def spaced(order: np.ndarray, spacing: int) -> list[int]:
+    """Of places in the order given those at least ``spacing`` from all kept before; each marks what it keeps others from."""
+    taken = np.zeros(int(order.max(initial=0)) + spacing + 1, bool)
+    kept: list[int] = []
+    for a in order.tolist():
+        if not taken[a]:
+            kept.append(a)
+            taken[max(0, a - spacing + 1) : a + spacing] = True
+    return kept
+
+
 def candidate_starts(x: np.ndarray, width: int, template: np.ndarray) -> np.ndarray:
     """Local maxima of the projection on the template's strongest channel, at mean + 1.25 deviations or more and a third of a window apart; with fewer than 12, every quarter window."""
     n = x.shape[1] - width + 1
@@ -34,10 +49,7 @@ def candidate_starts(x: np.ndarray, width: int, template: np.ndarray) -> np.ndar
     p = np.abs(np.correlate(x[c] - x[c].mean(), unit(template[c]), "valid"))
     at = np.flatnonzero((p[1:-1] >= p[:-2]) & (p[1:-1] > p[2:])) + 1
     at = at[p[at] >= p.mean() + 1.25 * p.std()]
-    kept: list[int] = []
-    for a in at[np.argsort(-p[at], kind="stable")].tolist():
-        if all(abs(a - k) >= width // 3 for k in kept):
-            kept.append(a)
+    kept = spaced(at[np.argsort(-p[at], kind="stable")], width // 3)
     return np.array(sorted(kept), int) if len(kept) >= 12 else np.arange(0, n, max(1, width // 4))
 
 
@@ -46,9 +58,11 @@ def waveform_scores(x: np.ndarray, template: np.ndarray, starts: np.ndarray, pol
     width = template.shape[1]
     weight = np.sqrt((template**2).mean(1))
     weight = weight / max(1e-12, weight.sum())
-    t = unit(template)
-    windows = np.lib.stride_tricks.sliding_window_view(x, width, 1)[:, starts]
-    r = weight @ np.einsum("csw,cw->cs", unit(windows), t)
+    r = np.zeros(len(starts))
+    for c, (trace, t) in enumerate(zip(x, unit(template), strict=True)):  # a channel and some windows at a time: all windows are many times the recording
+        windows = np.lib.stride_tricks.sliding_window_view(trace, width)
+        for low in range(0, len(starts), WINDOWS):
+            r[low : low + WINDOWS] += weight[c] * (unit(windows[starts[low : low + WINDOWS]]) @ t)
     return np.abs(r) if polarity == "both" else -r if polarity == "opposite" else r
 
 
@@ -120,12 +134,15 @@ def wavelet_matches(x: np.ndarray, template: np.ndarray, threshold: float, level
     starts = candidate_starts(x, width, template)
     if not len(starts):
         return []
-    deep = np.stack([np.stack(a_trous(c, levels)[1]) for c in x])
     mine = np.stack([np.stack(a_trous(c, levels)[1]) for c in template])
     weight = (mine**2).sum(2)
     weight = weight / max(1e-300, weight.sum())
-    windows = np.lib.stride_tricks.sliding_window_view(deep, width, 2)[:, :, starts]
-    r = (weight[:, :, None] * np.einsum("clsw,clw->cls", unit(windows), unit(mine))).sum((0, 1))
+    r = np.zeros(len(starts))
+    for trace, shares, own in zip(x, weight, mine, strict=True):
+        for share, detail, t in zip(shares, a_trous(trace, levels)[1], unit(own), strict=True):
+            windows = np.lib.stride_tricks.sliding_window_view(detail, width)
+            for low in range(0, len(starts), WINDOWS):
+                r[low : low + WINDOWS] += share * (unit(windows[starts[low : low + WINDOWS]]) @ t)
     hit = r >= threshold
     return [(s + width // 2, v) for s, v in merge(starts[hit].tolist(), r[hit].tolist(), width // 2)]
 
