@@ -26,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of two lines and more go, everywhere but at their first place; n_chars is that of the text left."""
+    """Repeated chunks, cut by rolling hashes over line hashes, and repeated passages of two lines and more go, everywhere but at their first place; n_chars is that of the text left."""
     cleaned = dedupe_lines(docs, prefix="__", passages=True)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("__n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

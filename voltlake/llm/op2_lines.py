@@ -7,9 +7,9 @@ more than one place stays where it comes first, by (doc_id, content hash, chunk
 number), and goes everywhere else.
 
 Those boundaries need luck: a short passage inside otherwise different documents
-goes only if one falls before it and one at its end. With ``passages``, the chunks
-are instead all pairs of neighbouring lines that are not blank, so every repeated
-passage of two lines and more goes, wherever it stands; a line goes with any pair
+goes only if one falls before it and one at its end. With ``passages``, all pairs of
+neighbouring lines that are not blank are judged beside the chunks, so every repeated
+passage of two lines and more goes, wherever it stands; a line goes with any chunk or pair
 that has come before, and its first place always stays.
 
 Plan: chunk hashes without text are counted (partial aggregates before the
@@ -91,6 +91,19 @@ def with_passages(text: Column, body: Callable[[Column, Column], Column]) -> Col
     return let(F.split(text, "\n", -1), pairs)
 
 
+def with_chunks_and_passages(text: Column, window: int, divisor: int, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the lines and of the chunks of ``with_chunks`` that hold more than two lines that are not blank (smaller ones are pairs), then the pairs of ``with_passages``, numbered on."""
+    fields = lambda c: F.struct(c["first"].cast("int").alias("first"), c["n"].cast("int").alias("n"))
+    solid = lambda lines, c: F.size(F.filter(F.slice(lines, c["first"], c["n"]), lambda line: F.trim(line) != ""))
+
+    def with_units(lines: Column, chunks: Column) -> Column:
+        large = F.transform(F.filter(chunks, lambda c: solid(lines, c) > 2), fields)
+        units = F.concat(large, with_passages(text, lambda _, pairs: F.transform(pairs, fields)))
+        return let(F.transform(units, lambda c, k: F.struct(k.alias("no"), c["first"].alias("first"), c["n"].alias("n"))), lambda u: body(lines, u))
+
+    return with_chunks(text, window, divisor, with_units)
+
+
 def removed_chunks(keyed: DataFrame, cut: Callable[[Column, Callable[[Column, Column], Column]], Column]) -> DataFrame:
     """k1, k2, removed (chunk numbers) for the rows of ``keyed`` (k1, k2, text) that lose chunks, as ``cut`` makes them."""
     hashed = keyed.select(
@@ -126,11 +139,11 @@ def dedupe_lines(docs: DataFrame, window: int = 3, divisor: int = 4, prefix: str
     """``docs`` with ``text`` less its repeated chunks, and n_lines, n_removed_lines, n_removed_chunks, each with the prefix.
 
     Input columns with the name of one of these are replaced. With ``passages``, all
-    repeated passages of two lines and more go, and pairs of lines count as chunks.
+    repeated passages of two lines and more go too, and pairs of lines count beside chunks.
     """
 
     def cut(text: Column, body: Callable[[Column, Column], Column]) -> Column:
-        return with_passages(text, body) if passages else with_chunks(text, window, divisor, body)
+        return with_chunks_and_passages(text, window, divisor, body) if passages else with_chunks(text, window, divisor, body)
 
     added = [f"{prefix}{c}" for c in ("n_lines", "n_removed_lines", "n_removed_chunks")]
     docs = docs.drop(*added)
