@@ -43,8 +43,8 @@ class Moments:
 def moment_sums(w: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Sums of the moments over the samples of z (k x n); sums of parts add up."""
     y = w @ z
-    t = np.tanh(y)
-    return Moments(t @ z.T, (1 - t * t).sum(1), (t * y).sum(1), (y**4).sum(1), (y * y).sum(1)).flat()
+    t, square = np.tanh(y), y * y
+    return Moments(t @ z.T, (1 - t * t).sum(1), (t * y).sum(1), (square * square).sum(1), square.sum(1)).flat()
 
 
 def fast_step(w: np.ndarray, m: Moments, step: int) -> tuple[np.ndarray, float]:

@@ -29,10 +29,15 @@ def halo_blocks(samples: DataFrame, size: int, before: int, after: int) -> DataF
     neighbours; halos are cut at the ends of the recording.
     """
     keys = [*ids(samples), "channel_index"]
-    low, high = F.floor((F.col("sample_index") - after) / size), F.floor((F.col("sample_index") + before) / size)
-    last = samples.groupBy(*ids(samples)).agg(F.floor(F.max("sample_index") / size).alias("last"))
-    at = samples.join(last, ids(samples)) if ids(samples) else samples.crossJoin(F.broadcast(last))  # one row
-    spread = at.select(*keys, "sample_index", F.col("value").cast("double").alias("value"), F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, "last"))).alias("block"))
+    value = F.col("value").cast("double").alias("value")
+    if before or after:
+        low, high = F.floor((F.col("sample_index") - after) / size), F.floor((F.col("sample_index") + before) / size)
+        last = samples.groupBy(*ids(samples)).agg(F.floor(F.max("sample_index") / size).alias("last"))
+        named = last.withColumnsRenamed({"recording_id": "__r"})
+        at = samples.join(named, F.col("recording_id").eqNullSafe(F.col("__r"))).drop("__r") if ids(samples) else samples.crossJoin(F.broadcast(last))  # one row
+        spread = at.select(*keys, "sample_index", value, F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, "last"))).alias("block"))
+    else:  # a sample is in one block
+        spread = samples.select(*keys, "sample_index", value, F.floor(F.col("sample_index") / size).alias("block"))
     packed = spread.groupBy(*keys, "block").agg(F.min("sample_index").alias("first"), F.sort_array(F.collect_list(F.struct("sample_index", "value"))).alias("s"))
     return packed.select(*keys, "block", "first", F.transform("s", lambda x: x["value"]).alias("values"))
 

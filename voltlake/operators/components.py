@@ -28,7 +28,7 @@ from voltlake.operators.blocks import matrix_blocks
 from voltlake.operators.keys import ids
 from voltlake.operators.tables import written
 
-SIZE, GROUP = 32_768, 256
+SIZE, PIECE, GROUP = 32_768, 4_096, 256
 MODEL = "recording_id string, component int, contribution double, mixing array<double>, unmixing array<double>, means array<double>, channels array<int>"
 
 
@@ -46,21 +46,40 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[int], np
         yield name, channels, np.stack([x[:n] for x in each]), first, block
 
 
-def summed(blocks: DataFrame, sums: Callable[[str | None, list[int], np.ndarray], np.ndarray | None]) -> dict[str | None, np.ndarray]:
-    """Vectors of the blocks of a recording, added up: in tasks first, then by Spark; the totals come to the driver."""
+def fit_pieces(blocks: DataFrame, size: int = PIECE) -> DataFrame:
+    """recording_id, channels, data: the finite samples of blocks as matrices of doubles, ``size`` samples at most, dealt evenly over tasks.
+
+    Every round of a fit reads them: bytes reach a task as they are, where arrays of arrays would be taken apart
+    and rebuilt value by value. A block without finite samples is one empty piece.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str | None, np.ndarray] = {}
         for batch in batches:
             for name, channels, x, _, _ in _matrices(batch):
-                found = sums(name, channels, x)
+                x = _finite(x)
+                for at in range(0, max(x.shape[1], 1), size):
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([channels], pa.list_(pa.int32())), pa.array([x[:, at : at + size].tobytes()])], names=["recording_id", "channels", "data"])
+
+    cut = blocks.select("recording_id", "block", "first", F.col("channels").cast("array<int>").alias("channels"), "rows").mapInArrow(run, "recording_id string, channels array<int>, data binary")
+    return cut.repartition(blocks.sparkSession.sparkContext.defaultParallelism)
+
+
+def summed(pieces: DataFrame, sums: Callable[[str | None, list[int], np.ndarray], np.ndarray | None]) -> dict[str | None, np.ndarray]:
+    """Vectors of the pieces of a recording, added up: in tasks first, then by Spark; the totals come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str | None, np.ndarray] = {}
+        for batch in batches:
+            for name, channels, data in zip(batch.column("recording_id").to_pylist(), batch.column("channels").to_pylist(), batch.column("data"), strict=True):
+                held = data.as_buffer()
+                found = sums(name, channels, np.frombuffer(held).reshape(len(channels), -1)) if held.size else None
                 if found is not None:
                     totals[name] = totals[name] + found if name in totals else found
         for name, total in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(total), pa.string()), pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["recording_id", "at", "v"])
 
     found: dict[str | None, list[tuple[int, float]]] = {}
-    for r in blocks.mapInArrow(run, "recording_id string, at int, v double").groupBy("recording_id", "at").agg(F.sum("v").alias("v")).collect():
+    for r in pieces.mapInArrow(run, "recording_id string, at int, v double").groupBy("recording_id", "at").agg(F.sum("v").alias("v")).collect():
         found.setdefault(r.recording_id, []).append((r.at, r.v))
     return {name: np.array([v for _, v in sorted(row)]) for name, row in found.items()}
 
@@ -73,16 +92,15 @@ def _whole(name: str | None, channels: list[int], models: dict) -> bool:
     return name in models and channels == models[name]["channels"]
 
 
-def fit_group(blocks: DataFrame, channels: dict[str | None, list[int]], method: str, variance: float, rounds: int, tolerance: float) -> dict[str | None, dict]:
+def fit_group(pieces: DataFrame, channels: dict[str | None, list[int]], method: str, variance: float, rounds: int, tolerance: float) -> dict[str | None, dict]:
     """Models by recording, for the recordings of ``channels``."""
     rule = ica.RULES[method][0]
     models: dict[str | None, dict] = {name: {"channels": c} for name, c in channels.items()}
 
     def gram(name: str | None, own: list[int], x: np.ndarray) -> np.ndarray | None:
-        x = _finite(x)
         return np.concatenate([[x.shape[1]], x.sum(1), (x @ x.T).ravel()]) if _whole(name, own, models) else None
 
-    for name, total in summed(blocks, gram).items():
+    for name, total in summed(pieces, gram).items():
         k, n = len(models[name]["channels"]), max(total[0], 1)
         means = total[1 : k + 1] / n
         covariance = (total[k + 1 :].reshape(k, k) - n * np.outer(means, means)) / max(n - 1, 1)
@@ -98,9 +116,9 @@ def fit_group(blocks: DataFrame, channels: dict[str | None, list[int]], method:
             if not _whole(name, own, shipped):
                 return None
             m = shipped[name]
-            return ica.moment_sums(m["w"], m["whiten"] @ (_finite(x) - m["means"][:, None]))
+            return ica.moment_sums(m["w"], m["whiten"] @ (x - m["means"][:, None]))
 
-        for name, total in summed(blocks, moments).items():
+        for name, total in summed(pieces, moments).items():
             m = models[name]
             m["w"], change = rule(m["w"], ica.Moments.of(total / m["n"], len(m["w"])), step)
             if change < tolerance:
@@ -110,13 +128,13 @@ def fit_group(blocks: DataFrame, channels: dict[str | None, list[int]], method:
 
 def fit_components(samples: DataFrame, method: str = "picard", variance: float = 0.999, size: int = SIZE, rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
     """A row a recording and component: contribution, mixing and unmixing weights and means by channel. Each round is one pass over the samples."""
-    blocks = written(recording_blocks(samples, size))
-    channels = {r.recording_id: r.channels for r in blocks.groupBy("recording_id").agg(F.max_by("channels", F.size("channels")).alias("channels")).collect()}  # a list a recording
+    pieces = written(fit_pieces(recording_blocks(samples, size)))
+    channels = {r.recording_id: r.channels for r in pieces.groupBy("recording_id").agg(F.max_by("channels", F.size("channels")).alias("channels")).collect()}  # a list a recording
     names = sorted(channels, key=lambda n: (n is not None, n or ""))
     rows = []
     for at in range(0, len(names), GROUP):
         group = {n: channels[n] for n in names[at : at + GROUP]}
-        for name, m in fit_group(blocks, group, method, variance, rounds, tolerance).items():
+        for name, m in fit_group(pieces, group, method, variance, rounds, tolerance).items():
             rows += [(name, k, float(m["contribution"][k]), m["mixing"][:, k].tolist(), m["unmixing"][k].tolist(), m["mean"].tolist(), m["channels"]) for k in range(len(m["unmixing"]))]
     return samples.sparkSession.createDataFrame(rows, MODEL)
 

@@ -13,7 +13,7 @@ from voltlake.functions import cardiac, dsp
 from voltlake.operators import components, kernels, matched, recursive, spectra, subspaces
 from voltlake.operators.keys import ids
 from voltlake.operators.layout import to_samples, to_traces
-from voltlake.operators.tables import new_folder
+from voltlake.operators.tables import new_folder, written
 from voltlake.plans.queries_relational import SEGMENT_HEALTH_SQL
 from voltlake.plans.registry import CHANNELS, RATE, SIGNAL, circle, n_samples, out, query, r, signal, table
 from voltlake.plans.script import Pipeline
@@ -367,7 +367,7 @@ def _layout(spark):
 
 @query()
 def ica_components(spark, d):
-    samples = to_samples(traces(spark, d), "recording_id", "channel_index")
+    samples = written(to_samples(traces(spark, d), "recording_id", "channel_index"))
     return components.label_components(samples, components.fit_components(samples), _layout(spark), RATE)
 
 
