@@ -229,7 +229,7 @@ def ica_cleaned(traces: DataFrame, rate: float, positions: np.ndarray, reject: t
     samples = written(to_samples(recorded(traces), "recording_id", "channel_index"))
     layout = traces.sparkSession.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(positions)], "channel_index int, x double, y double")
     models = c.fit_components(samples, method)
-    chosen = c.label_components(samples, models, layout, rate).where(F.col("label").isin(*reject))
+    chosen = written(c.label_components(samples, models, layout, rate).where(F.col("label").isin(*reject)).select("recording_id", "component"))  # removal reads it twice, labels take a pass over the samples
     return to_traces(c.without_components(samples, models, chosen), "recording_id", "channel_index")
 
 
