@@ -128,12 +128,9 @@ def wavelet_summary(w: np.ndarray, rate: float, levels: int = 5) -> list[tuple[i
     return [(c, k, rate / 2 ** (k + 1 + 1), float(e[c, k] / max(1e-300, e.sum()))) for c in range(len(e)) for k in range(levels)]
 
 
-def wavelet_matches(x: np.ndarray, template: np.ndarray, threshold: float, levels: int = 5) -> list[tuple[int, float]]:
-    """Windows whose wavelet details correlate with the template's, weighted by the template's energy."""
+def wavelet_scores(x: np.ndarray, template: np.ndarray, starts: np.ndarray, levels: int = 5) -> np.ndarray:
+    """Correlation of the windows' wavelet details with the template's, weighted by the template's energy."""
     width = template.shape[1]
-    starts = candidate_starts(x, width, template)
-    if not len(starts):
-        return []
     mine = np.stack([np.stack(a_trous(c, levels)[1]) for c in template])
     weight = (mine**2).sum(2)
     weight = weight / max(1e-300, weight.sum())
@@ -143,6 +140,16 @@ def wavelet_matches(x: np.ndarray, template: np.ndarray, threshold: float, level
             windows = np.lib.stride_tricks.sliding_window_view(detail, width)
             for low in range(0, len(starts), WINDOWS):
                 r[low : low + WINDOWS] += share * (unit(windows[starts[low : low + WINDOWS]]) @ t)
+    return r
+
+
+def wavelet_matches(x: np.ndarray, template: np.ndarray, threshold: float, levels: int = 5) -> list[tuple[int, float]]:
+    """(centre, score) of windows by ``wavelet_scores``."""
+    width = template.shape[1]
+    starts = candidate_starts(x, width, template)
+    if not len(starts):
+        return []
+    r = wavelet_scores(x, template, starts, levels)
     hit = r >= threshold
     return [(s + width // 2, v) for s, v in merge(starts[hit].tolist(), r[hit].tolist(), width // 2)]
 

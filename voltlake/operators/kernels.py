@@ -173,10 +173,26 @@ def template_events(traces: DataFrame, start: int, width: int, threshold: float,
     """Matches of an exemplar window: waveform, trajectory or wavelet."""
     from voltlake.functions import templates as t
 
-    match = {"waveform": t.waveform_matches, "trajectory": t.trajectory_matches, "wavelet": t.wavelet_matches}[method]
+    if method == "wavelet":
+        return _wavelet_events(traces, start, width, threshold)
+    match = {"waveform": t.waveform_matches, "trajectory": t.trajectory_matches}[method]
     return by_recording(traces, lambda x, _: pd.DataFrame(match(x, x[:, start : start + width], threshold), columns=["sample_index", "score"]), "sample_index long, score double")
 
 
+def _wavelet_events(traces: DataFrame, start: int, width: int, threshold: float) -> DataFrame:
+    """``matched.wavelet_matches`` of traces cut to their recording's shortest; a null id, which joins would lose, is a recording. A recording that ends within the exemplar has no matches."""
+    from voltlake.operators.layout import to_samples
+    from voltlake.operators.matched import wavelet_matches
+    from voltlake.operators.tables import written
+
+    name = F.coalesce(F.concat(F.lit("="), F.col("recording_id").cast("string")), F.lit(""))
+    full = recorded(traces).where(F.size("values") > 0).select(name.alias("recording_id"), "channel_index", F.transform("values", lambda v: v.cast("double")).alias("values"))
+    shortest = full.groupBy("recording_id").agg(F.min(F.size("values")).alias("__n"))
+    cut = full.join(shortest, "recording_id").select("recording_id", "channel_index", F.slice("values", F.lit(1), F.col("__n")).alias("values"))
+    found = wavelet_matches(written(to_samples(cut, "recording_id", "channel_index")), start, width, threshold)
+    return found.withColumn("recording_id", F.when(F.col("recording_id") != "", F.expr("substring(recording_id, 2)"))).select("recording_id", "sample_index", "score")
+
+
 def wavelet_ranges(traces: DataFrame, rate: float, **options) -> DataFrame:
     from voltlake.functions.templates import wavelet_explore
 

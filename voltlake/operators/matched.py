@@ -13,13 +13,14 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltlake.functions import templates as kernels
 from voltlake.functions.templates import unit
 from voltlake.operators import topk
 from voltlake.operators.blocks import halo_blocks, matrix_blocks
@@ -86,12 +87,12 @@ def candidate_starts(samples: DataFrame, templates: DataFrame, width: int, size:
     return (kept.join(enough, keys) if keys else kept.crossJoin(F.broadcast(enough))).select(*keys, "start").unionByName(grid)
 
 
-def waveform_scores(samples: DataFrame, templates: DataFrame, starts: DataFrame, width: int, polarity: str = "same", size: int = SIZE) -> DataFrame:
-    """Keys, start, score: correlation with the template by channel, weighted by the template's rms. Channels without a template don't count."""
+def _scored(samples: DataFrame, templates: DataFrame, starts: DataFrame, width: int, score: Callable[[list[tuple[np.ndarray, np.ndarray]], np.ndarray], np.ndarray], size: int, halo: int = 0) -> DataFrame:
+    """Keys, start, score: what ``score`` makes of a block's channels with their templates, and of the starts in it; ``halo`` samples on both sides of the windows. Channels without a template don't count."""
     keys = ids(samples)
     listed = starts.select(*keys, F.floor(F.col("start") / size).alias("block"), "start").groupBy(*keys, "block").agg(F.sort_array(F.collect_set("start")).alias("starts"))  # at most a block's samples
     models = templates.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("channel_index", "template"))).alias("models"))
-    blocks = _joined(matrix_blocks(samples, size, 0, width - 1).join(listed, [*keys, "block"]), models, keys)
+    blocks = _joined(matrix_blocks(samples, size, halo, width - 1 + halo).join(listed, [*keys, "block"]), models, keys)
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in blocks.select(*keys).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,18 +105,36 @@ def waveform_scores(samples: DataFrame, templates: DataFrame, starts: DataFrame,
                 if not pairs:
                     continue
                 at = at[at + width <= min(len(x) for x, _ in pairs)]
-                weight = np.sqrt([(t * t).mean() for _, t in pairs])
-                weight = weight / max(1e-12, weight.sum())
-                score = np.zeros(len(at))
-                for (x, t), w in zip(pairs, weight, strict=True):
-                    if len(at):
-                        score += w * (unit(np.lib.stride_tricks.sliding_window_view(x, width)[at]) @ unit(t))
-                score = np.abs(score) if polarity == "both" else -score if polarity == "opposite" else score
-                yield pa.RecordBatch.from_arrays([*(pa.array([row[c]] * len(at), batch.column(c).type) for c in keys), pa.array(at + row["first"]), pa.array(score)], names=[*keys, "start", "score"])
+                found = score(pairs, at) if len(at) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*(pa.array([row[c]] * len(at), batch.column(c).type) for c in keys), pa.array(at + row["first"]), pa.array(found)], names=[*keys, "start", "score"])
 
     return blocks.select(*keys, "first", "channels", "rows", "starts", "models").mapInArrow(run, f"{ddl}start long, score double")
 
 
+def waveform_scores(samples: DataFrame, templates: DataFrame, starts: DataFrame, width: int, polarity: str = "same", size: int = SIZE) -> DataFrame:
+    """Keys, start, score: correlation with the template by channel, weighted by the template's rms."""
+
+    def score(pairs: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray) -> np.ndarray:
+        weight = np.sqrt([(t * t).mean() for _, t in pairs])
+        weight = weight / max(1e-12, weight.sum())
+        found = np.zeros(len(at))
+        for (x, t), w in zip(pairs, weight, strict=True):
+            found += w * (unit(np.lib.stride_tricks.sliding_window_view(x, width)[at]) @ unit(t))
+        return np.abs(found) if polarity == "both" else -found if polarity == "opposite" else found
+
+    return _scored(samples, templates, starts, width, score, size)
+
+
+def wavelet_scores(samples: DataFrame, templates: DataFrame, starts: DataFrame, width: int, levels: int = 5, size: int = SIZE) -> DataFrame:
+    """Keys, start, score as ``templates.wavelet_scores``. The halo is as wide as the widest detail reaches, so details are those of the whole trace, clamped at its ends only."""
+
+    def score(pairs: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray) -> np.ndarray:
+        n = min(len(x) for x, _ in pairs)
+        return kernels.wavelet_scores(np.stack([np.asarray(x[:n], float) for x, _ in pairs]), np.stack([t for _, t in pairs]).astype(float), at, levels)
+
+    return _scored(samples, templates, starts, width, score, size, 2 * (2**levels - 1))
+
+
 def waveform_matches(samples: DataFrame, start: int, width: int, threshold: float, polarity: str = "same", merge_share: float = 0.5, size: int = SIZE) -> DataFrame:
     """Keys, sample_index (centre), score of the matches of the window at ``start`` in its own recording."""
     keys = ids(samples)
@@ -126,3 +145,13 @@ def waveform_matches(samples: DataFrame, start: int, width: int, threshold: floa
     fine = near.select(*keys, F.explode(F.transform(F.sequence(F.lit(-(width // 8)), F.lit(width // 8)), lambda d: F.least(F.greatest(F.col("start") + d, F.lit(0)), F.col("last")))).alias("start")).distinct()
     hits = written(waveform_scores(samples, templates, fine, width, polarity, size).where(F.col("score") >= threshold))
     return topk.merge_nearby(hits, int(width * merge_share), *keys, size=size).select(*keys, (F.col("start") + width // 2).alias("sample_index"), "score")
+
+
+def wavelet_matches(samples: DataFrame, start: int, width: int, threshold: float, levels: int = 5, size: int = SIZE) -> DataFrame:
+    """Keys, sample_index (centre), score of the windows whose wavelet details match those of the window at ``start`` in its own recording."""
+    keys = ids(samples)
+    size = max(size, width)
+    templates = exemplar(samples, start, width)
+    near = candidate_starts(samples, templates, width, size)
+    hits = written(wavelet_scores(samples, templates, near, width, levels, size).where(F.col("score") >= threshold))
+    return topk.merge_nearby(hits, width // 2, *keys, size=size).select(*keys, (F.col("start") + width // 2).alias("sample_index"), "score")
