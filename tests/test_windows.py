@@ -47,3 +47,40 @@ def test_numbers_within_keys(spark):
     for key, at in sorted(((r.key, r.at) for r in rows.collect()), key=lambda x: (x[0] or "", x[1])):
         wanted[key, at] = sum(1 for k, _ in wanted if k == key)
     assert {(r.key, r.at): r.place for r in numbered_within(rows, ["key"], "at").collect()} == wanted
+
+
+def test_counts_of_windows_number_trials(spark):
+    samples, events = recording(spark)
+    odd = spark.createDataFrame([("a", 900 + k, code, t) for k, (code, t) in enumerate([("x", None), ("y", -3.0), ("x", 0.0), (None, 2.0), (None, 2.0), ("x", 99.0)])], events.schema)
+    events = events.unionByName(odd)
+    placed = epochs.placed_trials(events, 10.0, 4, 6, 60)
+    counted = epochs.counted_windows(events, 10.0, 4, 6, 60)
+    key = ("recording_id", "category", "window")
+    of = lambda rows: {tuple(r[k] for k in key): (r.first, r.times) for r in rows.collect()}
+    wanted = of(placed.groupBy(*key).agg(F.min("trial").alias("first"), F.count("*").alias("times"), F.max("trial").alias("last")))
+    assert of(counted) == wanted and ("a", None, 16) in wanted
+    assert placed.groupBy(*key).agg((F.max("trial") - F.min("trial") + 1 - F.count("*")).alias("gap")).where("gap <> 0").isEmpty()
+    evens = ("recording_id", "category", "trial", "channel_index", "rel")
+    close(epochs.windows(placed, samples, 10).where("category IS NOT NULL"), epochs.windows(counted, samples, 10).where("category IS NOT NULL"), *evens)
+    scales = ("recording_id", "category", "channel_index", "trial")
+    close(correct.regression_scales(epochs.windows(placed, samples, 10), placed), correct.regression_scales(epochs.windows(counted, samples, 10), counted), *scales)
+    assert "event_id" not in counted._jdf.queryExecution().analyzed().toString()  # no events are sorted or joined
+
+
+def test_pieces_of_a_window(spark, monkeypatch):
+    monkeypatch.setattr(correct, "PIECE", 3)
+    samples, events = recording(spark)
+    placed = epochs.placed_trials(events, 10.0, 4, 6, 60)
+    once = epochs.windows(placed, samples, 10)
+    found = correct.regression_scales(once, placed)
+    whole = correct.template_regressed(epochs.epoch(events, samples, 10.0, 4, 6, 60)).where("rel = 0").select("recording_id", "category", "channel_index", "trial", "scale")
+    close(whole, found.select(*whole.columns), "recording_id", "category", "channel_index", "trial")
+    assert found.count() == whole.count()
+
+
+def test_totals_over_block_edges(spark):
+    from voltlake.operators.topk import totals_before
+
+    rows = spark.createDataFrame([(k, at, at % 7) for k in ("a", None) for at in range(-30, 100, 3)], "key string, at long, n long")
+    got = {(r.key, r.at): r.before for r in totals_before(rows, ["key"], "at", "n", size=10).collect()}
+    assert got == {(k, at): sum(x % 7 for x in range(-30, at, 3)) for k in ("a", None) for at in range(-30, 100, 3)}

@@ -41,9 +41,16 @@ def template_regressed(trials: DataFrame) -> DataFrame:
     return joined.withColumn("scale", F.coalesce(scale, F.lit(0.0))).select(*named, "trial", "rel", (F.col("value") - F.col("scale") * F.col("m")).alias("value"), "scale")
 
 
+#: Trials of a window that one row of ``regression_scales`` holds before they are told apart.
+PIECE = 4_096
+
+
 def regression_scales(windows: DataFrame, placed: DataFrame) -> DataFrame:
-    """Keys, category, channel_index, trial, scale of ``template_regressed`` for every trial of ``placed`` (epochs.placed_trials): worked out once a window, and handed to its trials."""
+    """Keys, category, channel_index, trial, scale of ``template_regressed`` for every trial of ``placed`` (epochs.placed_trials or counted_windows): worked out once a window, and handed to its trials, whose numbers are in a row."""
     keys = [*ids(windows, placed), "category", "window"]
+    counted = placed if "times" in placed.columns else placed.groupBy(*keys).agg(F.min("trial").alias("first"), F.count("*").alias("times"))
     found = template_regressed(windows).where("rel = 0").withColumnRenamed("trial", "window")
     packed = found.groupBy(*keys).agg(F.collect_list(F.struct("channel_index", "scale")).alias("c"))
-    return placed.join(packed, keys).select(*keys[:-1], "trial", F.explode("c").alias("c")).select(*keys[:-1], "trial", "c.channel_index", "c.scale")
+    pieces = counted.join(packed, keys).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("times") - 1, F.lit(PIECE)))).repartition(200, *keys, "piece")  # few rows make many: spread before that
+    trial = F.explode(F.sequence(F.col("first") + F.col("piece"), F.col("first") + F.least(F.col("piece") + PIECE, F.col("times")) - 1))
+    return pieces.select(*keys[:-1], trial.alias("trial"), "c").select(*keys[:-1], "trial", F.explode("c").alias("c")).select(*keys[:-1], "trial", "c.channel_index", "c.scale")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.operators.keys import ids
@@ -43,10 +43,13 @@ def containing_epoch(segments: DataFrame, epochs: DataFrame, bucket: float = 1e6
     return segments.join(found, [*named, "segment_id"], "left").select(*segments.columns, F.col("first.epoch_index").alias("epoch_index"))
 
 
+def window_start(rate: float, width: int) -> Column:
+    return F.round(F.col("begin_s") * rate).cast("long") - F.lit(width // 2)
+
+
 def placed_windows(events: DataFrame, rate: float, width: int, n_samples: int) -> DataFrame:
     """Events with the start of their half-open window; windows that leave the recording are dropped."""
-    start = F.round(F.col("begin_s") * rate).cast("long") - F.lit(width // 2)
-    return events.withColumn("start_sample", start).where((F.col("start_sample") >= 0) & (F.col("start_sample") + width <= n_samples))
+    return events.withColumn("start_sample", window_start(rate, width)).where((F.col("start_sample") >= 0) & (F.col("start_sample") + width <= n_samples))
 
 
 def event_windows(events: DataFrame, rate: float, width: int, n_samples: int) -> DataFrame:

@@ -171,6 +171,17 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     return dealt.join(offsets, "__part").select(*(F.col(c) for c in df.columns), (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("place"))
 
 
+def totals_before(df: DataFrame, keys: list[str], at: str, value: str, size: int = 65_536) -> DataFrame:
+    """``df`` with before, the sum of ``value`` in the key's rows of lesser ``at``, of which each comes once. Rows are looked at in blocks of ``size`` of ``at``, and a block is told the sum of those before it."""
+    placed = df.withColumn("__block", F.floor(F.col(at) / size))
+    past = Window.partitionBy(*(f"__{c}" for c in keys)).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*(F.col(c).alias(f"__{c}") for c in keys), F.col("__block").alias("__of")).agg(F.sum(value).alias("__n"))  # a row a block
+    carried = sums.select(*(f"__{c}" for c in keys), "__of", F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__past"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys), F.col("__block").eqNullSafe(F.col("__of")))
+    own = Window.partitionBy(*keys, "__block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(carried, same).select(*(F.col(c) for c in df.columns), (F.col("__past") + F.coalesce(F.sum(value).over(own), F.lit(0))).alias("before"))
+
+
 def numbered_within(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """``df`` with place, from 0, in the order given within each key; numbered as by ``numbered``, so no key's rows have to meet in one task."""
     placed = numbered(df, *(F.col(c) for c in (*keys, *order)))

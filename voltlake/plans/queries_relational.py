@@ -63,10 +63,10 @@ def triggers(spark, d):
 
 
 def placed(spark, d, number: bool = True):
-    """Complete trials of ten samples, numbered if wanted."""
+    """Complete trials of ten samples; with ``number``, their windows with the numbers of trials."""
     n = n_samples(spark, d)
     found = triggers(spark, d).where((F.round(F.col("begin_s") * RATE) >= 5) & (F.round(F.col("begin_s") * RATE) + 5 <= n))
-    return epochs.placed_trials(found, RATE, 5, 5, n, number)
+    return epochs.counted_windows(found, RATE, 5, 5, n) if number else epochs.placed_trials(found, RATE, 5, 5, n, False)
 
 
 def trials(spark, d, number: bool = False):
