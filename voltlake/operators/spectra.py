@@ -39,16 +39,19 @@ def with_segments(traces: DataFrame, segments: Segments) -> tuple[DataFrame, int
     return (traces.join(listed, named, "left") if named else traces.crossJoin(F.broadcast(listed))), int(most or 16)  # without recordings, one row
 
 
-def pooled_spectra(traces: DataFrame, segments: Segments, rate: float) -> DataFrame:
-    """A row a recording, channel and bin: power pooled over the windows of the kept segments [start, end)."""
+def pooled_spectra(traces: DataFrame, segments: Segments, rate: float, whole: int = 0) -> DataFrame:
+    """A row a recording, channel and bin: power pooled over the windows of the kept segments [start, end).
+
+    With ``whole``, the samples of a segment that the recording's end doesn't cut, a shorter one has the windows of a whole one as far as its samples go.
+    """
     joined, longest = with_segments(traces, segments)
-    length, named = dsp.power_of_two_length(rate, longest), ids(traces)
+    length, named = dsp.power_of_two_length(rate, max(longest, whole)), ids(traces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, c, v, mine in zip(batch.column("recording_id").to_pylist(), batch.column("channel_index").to_pylist(), batch.column("values"), batch.column("__segments").to_pylist(), strict=True):
                 x = np.array(v.values.to_numpy(zero_copy_only=False), float)
-                parts = [dsp.window_spectra(x[s["a"] : s["b"]], rate, length)[1] for s in mine or []]
+                parts = [dsp.window_spectra(x[s["a"] : s["b"]], rate, length, whole=whole)[1] for s in mine or []]
                 all_ = np.concatenate(parts) if parts else np.zeros((0, length // 2))
                 power = (np.abs(all_) ** 2).mean(0) if len(all_) else np.zeros(length // 2)
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(power), pa.string()), pa.array(np.full(len(power), c), pa.int32()), pa.array(np.arange(len(power)), pa.int32()), pa.array(np.arange(len(power)) * rate / length), pa.array(power), pa.array(np.full(len(power), len(all_)), pa.int64())], names=["recording_id", "channel_index", "bin", "hz", "power", "windows"])
@@ -103,15 +106,15 @@ def advanced_spectral(spectra: DataFrame, line: float = 60.0) -> DataFrame:
     return first.join(snr, [*named, "channel_index"]).select(*named, "channel_index", F.when(F.col("bins") >= 8, F.col("slope")).alias("slope"), "emg_ratio", "line_snr")
 
 
-def connectivity(traces: DataFrame, segments: Segments, rate: float, nodes: dict[str, list[int]] | None = None) -> DataFrame:
+def connectivity(traces: DataFrame, segments: Segments, rate: float, nodes: dict[str, list[int]] | None = None, whole: int = 0) -> DataFrame:
     """Coherence, imaginary coherence, PLV, wPLI and amplitude correlation of node pairs by band.
 
-    Sums are pooled over bins and windows before the ratio. Products of all pairs
+    Sums are pooled over bins and windows (``whole`` as in ``pooled_spectra``) before the ratio. Products of all pairs
     are made as matrix products within the recording's task, so they aren't
     shuffled.
     """
     joined, longest = with_segments(traces, segments)
-    length = dsp.power_of_two_length(rate, longest)
+    length = dsp.power_of_two_length(rate, max(longest, whole))
 
     def run(x: np.ndarray, channels: list[int], found: list[dict] | None) -> pd.DataFrame:
         mine = [(s["a"], s["b"]) for s in (found if found is not None else [])]
@@ -119,7 +122,7 @@ def connectivity(traces: DataFrame, segments: Segments, rate: float, nodes: dict
         named = nodes or {str(c): [c] for c in channels}
         keys = list(named)
         signals = np.stack([np.nan_to_num(np.nanmean(np.where(np.isfinite(x[[at[c] for c in named[k] if c in at]]), x[[at[c] for c in named[k] if c in at]], np.nan), 0)) for k in keys])
-        spectra = np.stack([np.concatenate([dsp.window_spectra(s[a:b], rate, length)[1] for a, b in mine] or [np.zeros((0, length // 2), complex)]) for s in signals])
+        spectra = np.stack([np.concatenate([dsp.window_spectra(s[a:b], rate, length, whole=whole)[1] for a, b in mine] or [np.zeros((0, length // 2), complex)]) for s in signals])
         hz = np.arange(length // 2) * rate / length
         left, right = np.triu_indices(len(keys), 1)
         rows = []
