@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Generator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,21 +32,24 @@ class Moments:
     tanh_y: np.ndarray  # tanh(y) y, k
     fourth: np.ndarray  # y^4, k
     second: np.ndarray  # y^2, k
+    log_cosh: np.ndarray  # log cosh(y), k
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.tanh_z.ravel(), self.slope, self.tanh_y, self.fourth, self.second])
+        return np.concatenate([self.tanh_z.ravel(), self.slope, self.tanh_y, self.fourth, self.second, self.log_cosh])
 
     @staticmethod
     def of(flat: np.ndarray, k: int) -> Moments:
-        rest = flat[k * k :].reshape(4, k)
+        rest = flat[k * k :].reshape(5, k)
         return Moments(flat[: k * k].reshape(k, k), *rest)
 
 
 def moment_sums(w: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Sums of the moments over the samples of z (k x n); sums of parts add up."""
     y = w @ z
-    t, square = np.tanh(y), y * y
-    return Moments(t @ z.T, (1 - t * t).sum(1), (t * y).sum(1), (square * square).sum(1), square.sum(1)).flat()
+    size = np.abs(y)
+    e = np.exp(-2 * size)
+    t, square = np.copysign((1 - e) / (1 + e), y), y * y
+    return Moments(t @ z.T, (1 - t * t).sum(1), (t * y).sum(1), (square * square).sum(1), square.sum(1), (size + np.log(1 + e)).sum(1) - np.log(2) * y.shape[1]).flat()
 
 
 def fast_step(w: np.ndarray, m: Moments, step: int) -> tuple[np.ndarray, float]:
@@ -60,21 +65,93 @@ def infomax_step(w: np.ndarray, m: Moments, step: int) -> tuple[np.ndarray, floa
     return w + 0.1 / (1 + step / 100) * g @ w, float(np.abs(g).max())
 
 
-def picard_step(w: np.ndarray, m: Moments, step: int) -> tuple[np.ndarray, float]:
-    """Five fixed-point steps, then relative quasi-Newton steps with a regularised block-diagonal Hessian; the orthogonal constraint is kept."""
-    if step < 5:
-        return fast_step(w, m, step)[0], np.inf
-    sign = np.sign(m.slope - m.tanh_y)
-    g = sign[:, None] * (m.tanh_z @ w.T)
-    h = (sign * m.slope)[:, None] * np.ones(len(w))
-    anti = (g - g.T) / 2
-    curve = np.maximum(np.abs((np.diag(g)[:, None] + np.diag(g)) / 2 - (h + h.T) / 2), 0.05)
-    change = float(np.abs(anti).max())
-    return (w if change < 1e-7 else _orthogonal((np.eye(len(w)) - anti / curve) @ w)), change
-
-
-#: Step, most steps and the change at which a rule stops.
-RULES = {"picard": (picard_step, 205, 1e-7), "fastica": (fast_step, 200, 1e-7), "infomax": (infomax_step, 300, 1e-6)}
+#: A fit asks for the moments of one matrix after the other and returns the last.
+Fit = Generator[np.ndarray, Moments, np.ndarray]
+
+
+def stepwise(rule: Callable[[np.ndarray, Moments, int], tuple[np.ndarray, float]]) -> Callable[[np.ndarray, int | None, float], Fit]:
+    """The fit of a rule that goes one step a round, up to ``most`` rounds."""
+
+    def fit_(w: np.ndarray, most: int | None, enough: float) -> Fit:
+        for step in itertools.count() if most is None else range(most):
+            w, change = rule(w, (yield w), step)
+            if change < enough:
+                break
+        return w
+
+    return fit_
+
+
+#: Mean log cosh of a normal variable.
+NORMAL = 0.374567207491438
+
+
+def _turned(angles: np.ndarray) -> np.ndarray:
+    """The rotation exp(angles) of an antisymmetric matrix."""
+    values, vectors = np.linalg.eigh(1j * angles)
+    return np.real((vectors * np.exp(-1j * values)) @ vectors.conj().T)
+
+
+def picard(w: np.ndarray, most: int | None, enough: float, memory: int = 10) -> Fit:
+    """Rotations that take the components' mean log cosh as far from a normal variable's as they can, each by its own side.
+
+    Quasi-Newton steps of limited memory over a block-diagonal Hessian, along which the sum of distances must grow by a share of what
+    the gradient says (a quarter of the step if not). So the fit ends: where the gradient's largest element is under ``enough``, or where no step
+    is left that double precision can tell from none.
+    """
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def seen(w: np.ndarray, m: Moments) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+        """Sides, what is left to lose, its gradient by rotations and the Hessian's diagonal."""
+        side = np.where(m.log_cosh > NORMAL, -1.0, 1.0)
+        near = side * (m.slope - m.tanh_y)
+        return side, float((side * (m.log_cosh - NORMAL)).sum()), _anti(side, w, m), np.maximum(np.abs(near[:, None] + near) / 2, 0.03)
+
+    m = yield w
+    asked = 1
+    side, loss, g, curve = seen(w, m)
+    while np.abs(g).max(initial=0) >= enough:
+        p, shares = g, []
+        for s, y in reversed(steps):
+            shares.append((s * p).sum() / (s * y).sum())
+            p = p - shares[-1] * y
+        p = p / curve
+        for (s, y), share in zip(steps, reversed(shares), strict=True):
+            p = p + (share - (y * p).sum() / (s * y).sum()) * s
+        if (g * p).sum() <= 0:
+            steps, p = [], g / curve
+        slope, length = -(g * p).sum(), min(1.0, 0.5 / np.abs(p).max())
+        for _ in range(12):
+            if most is not None and asked >= most:
+                return w
+            new = _orthogonal(_turned(-length * p) @ w)
+            m = yield new
+            asked += 1
+            found = seen(new, m)
+            # losses that double precision can't tell apart: the gradient must fall instead
+            if found[1] <= loss + 1e-4 * length * slope or (abs(found[1] - loss) <= 1e-13 * len(w) and np.abs(found[2]).max() < 0.9 * np.abs(g).max()):
+                break
+            length /= 4
+        else:
+            if not steps:
+                return w
+            steps = []
+            continue
+        s, y = -length * p, _anti(side, new, m) - g
+        steps = [*steps, (s, y)][-memory:] if (s * y).sum() > 1e-12 * (s * s).sum() else steps
+        if (found[0] != side).any():
+            steps = []
+        w, (side, loss, g, curve) = new, found
+    return w
+
+
+def _anti(side: np.ndarray, w: np.ndarray, m: Moments) -> np.ndarray:
+    g = side[:, None] * (m.tanh_z @ w.T)
+    return (g - g.T) / 2
+
+
+#: Fit, most rounds (None: until it converges) and the change at which it ends.
+RULES = {"picard": (picard, None, 1e-7), "fastica": (stepwise(fast_step), 200, 1e-7), "infomax": (stepwise(infomax_step), 300, 1e-6)}
 
 
 def whitening(covariance: np.ndarray, variance: float) -> np.ndarray:
@@ -96,8 +173,21 @@ def ordered(w: np.ndarray, mean: np.ndarray, covariance: np.ndarray) -> dict:
     return {"unmixing": w * sign[:, None], "mixing": mixing * sign, "mean": mean, "contribution": power / max(power.sum(), 1e-300)}
 
 
-def fit(x: np.ndarray, method: str = "picard", variance: float = 0.999, every: int = 1, average_reference: bool = False) -> dict:
-    """Unmixing and mixing matrices of channels x samples held in memory; ``operators.components.fit_components`` fits tables. Deterministic: fixed start."""
+def solved(method: str, z: np.ndarray, most: int | None = None, enough: float | None = None, piece: int = 4_096) -> np.ndarray:
+    """The matrix that a method comes to on whitened samples (k x n) held in memory."""
+    rule = RULES[method]
+    going = rule[0](_start(len(z)), rule[1] if most is None else most, rule[2] if enough is None else enough)
+    try:
+        w = next(going)
+        while True:
+            total = sum(moment_sums(w, z[:, at : at + piece]) for at in range(0, max(z.shape[1], 1), piece))
+            w = going.send(Moments.of(total / max(1, z.shape[1]), len(z)))
+    except StopIteration as end:
+        return end.value
+
+
+def fit(x: np.ndarray, method: str = "picard", variance: float = 0.999, every: int = 1, average_reference: bool = False, most: int | None = None, enough: float | None = None) -> dict:
+    """Unmixing and mixing matrices of channels x samples held in memory; ``operators.components.fit_components`` fits tables. Deterministic: fixed start. ``most`` rounds and ``enough`` are the method's own unless given."""
     data = np.asarray(x, float)[:, ::every]
     if average_reference:
         data = data - data.mean(0)
@@ -106,12 +196,7 @@ def fit(x: np.ndarray, method: str = "picard", variance: float = 0.999, every: i
     covariance = data @ data.T / max(1, data.shape[1] - 1)
     whiten = whitening(covariance, variance)
     z = whiten @ data
-    rule, most, enough = RULES[method]
-    w = _start(len(z))
-    for step in range(most):
-        w, change = rule(w, Moments.of(moment_sums(w, z) / max(1, z.shape[1]), len(z)), step)
-        if change < enough:
-            break
+    w = solved(method, z, most, enough) if len(z) else np.zeros((0, 0))
     return ordered(w @ whiten, mean[:, 0], covariance)
 
 

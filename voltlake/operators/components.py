@@ -1,10 +1,10 @@
 """Independent components of recordings that no task or driver holds: fit, sources, labels, removal.
 
-A recording comes as blocks (all channels of a stretch of samples). An iteration ships the
-unmixing matrices to the tasks; each task adds up the moments of its blocks, Spark
+A recording comes as blocks (all channels of a stretch of samples). A recording of one block is
+fitted in its task. For longer ones an iteration ships the unmixing matrices to the tasks; each task adds up the moments of its blocks, Spark
 adds up the tasks', and the driver gets channels x channels numbers a recording to
-turn the matrix by. Samples never leave the tasks. Recordings are fitted in
-groups of ``GROUP``, so what is shipped has a bound whatever the table's size.
+turn the matrix by. Samples never leave the tasks. Long recordings are fitted in
+groups by ``GROUP``, so what is shipped has a bound whatever the table's size.
 
 The labeller is this engine's own: traits of a component's time course (sums over
 its blocks) and of its map (sums over channels) are columns, and classes are weighted
@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,9 @@ from voltlake.operators.blocks import matrix_blocks
 from voltlake.operators.keys import ids
 from voltlake.operators.tables import written
 
-SIZE, PIECE, GROUP = 32_768, 4_096, 256
+SIZE, PIECE = 32_768, 4_096
+#: Squares of channels of the recordings whose matrices the driver turns at a time: 256 recordings of 64 channels, 16 of 256.
+GROUP = 256 * 64**2
 MODEL = "recording_id string, component int, contribution double, mixing array<double>, unmixing array<double>, means array<double>, channels array<int>"
 
 
@@ -47,7 +50,7 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[int], np
 
 
 def fit_pieces(blocks: DataFrame, size: int = PIECE) -> DataFrame:
-    """recording_id, channels, data: the finite samples of blocks as matrices of doubles, ``size`` samples at most, dealt evenly over tasks.
+    """recording_id, channels, first, data: the finite samples of blocks as matrices of doubles, ``size`` samples at most, dealt evenly over tasks.
 
     Every round of a fit reads them: bytes reach a task as they are, where arrays of arrays would be taken apart
     and rebuilt value by value. A block without finite samples is one empty piece.
@@ -55,17 +58,17 @@ def fit_pieces(blocks: DataFrame, size: int = PIECE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, channels, x, _, _ in _matrices(batch):
+            for name, channels, x, first, _ in _matrices(batch):
                 x = _finite(x)
                 for at in range(0, max(x.shape[1], 1), size):
-                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([channels], pa.list_(pa.int32())), pa.array([x[:, at : at + size].tobytes()])], names=["recording_id", "channels", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([channels], pa.list_(pa.int32())), pa.array([first + at], pa.int64()), pa.array([x[:, at : at + size].tobytes()])], names=["recording_id", "channels", "first", "data"])
 
-    cut = blocks.select("recording_id", "block", "first", F.col("channels").cast("array<int>").alias("channels"), "rows").mapInArrow(run, "recording_id string, channels array<int>, data binary")
+    cut = blocks.select("recording_id", "block", "first", F.col("channels").cast("array<int>").alias("channels"), "rows").mapInArrow(run, "recording_id string, channels array<int>, first long, data binary")
     return cut.repartition(blocks.sparkSession.sparkContext.defaultParallelism)
 
 
 def summed(pieces: DataFrame, sums: Callable[[str | None, list[int], np.ndarray], np.ndarray | None]) -> dict[str | None, np.ndarray]:
-    """Vectors of the pieces of a recording, added up: in tasks first, then by Spark; the totals come to the driver."""
+    """Vectors of the pieces of a recording, added up: in tasks first, then by Spark, in the order of tasks, so that sums come out the same each time; the totals come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str | None, np.ndarray] = {}
@@ -75,13 +78,12 @@ def summed(pieces: DataFrame, sums: Callable[[str | None, list[int], np.ndarray]
                 found = sums(name, channels, np.frombuffer(held).reshape(len(channels), -1)) if held.size else None
                 if found is not None:
                     totals[name] = totals[name] + found if name in totals else found
-        for name, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(total), pa.string()), pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["recording_id", "at", "v"])
+        task, n = TaskContext.get().partitionId(), len(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([task] * n, pa.int32()), pa.array(list(totals.values()), pa.list_(pa.float64()))], names=["recording_id", "task", "v"])
 
-    found: dict[str | None, list[tuple[int, float]]] = {}
-    for r in pieces.mapInArrow(run, "recording_id string, at int, v double").groupBy("recording_id", "at").agg(F.sum("v").alias("v")).collect():
-        found.setdefault(r.recording_id, []).append((r.at, r.v))
-    return {name: np.array([v for _, v in sorted(row)]) for name, row in found.items()}
+    parts = F.array_sort(F.collect_list(F.struct("task", "v")))
+    added = F.aggregate(parts, F.array_repeat(F.lit(0.0), F.size(parts[0]["v"])), lambda total, x: F.zip_with(total, x["v"], lambda a, b: a + b))
+    return {r.recording_id: np.array(r.v) for r in pieces.mapInArrow(run, "recording_id string, task int, v array<double>").groupBy("recording_id").agg(added.alias("v")).collect()}
 
 
 def _finite(x: np.ndarray) -> np.ndarray:
@@ -92,25 +94,35 @@ def _whole(name: str | None, channels: list[int], models: dict) -> bool:
     return name in models and channels == models[name]["channels"]
 
 
-def fit_group(pieces: DataFrame, channels: dict[str | None, list[int]], method: str, variance: float, rounds: int, tolerance: float) -> dict[str | None, dict]:
+def fit_group(pieces: DataFrame, channels: dict[str | None, list[int]], method: str, variance: float, rounds: int | None, tolerance: float | None) -> dict[str | None, dict]:
     """Models by recording, for the recordings of ``channels``."""
-    rule = ica.RULES[method][0]
+    rule = ica.RULES[method]
     models: dict[str | None, dict] = {name: {"channels": c} for name, c in channels.items()}
 
     def gram(name: str | None, own: list[int], x: np.ndarray) -> np.ndarray | None:
         return np.concatenate([[x.shape[1]], x.sum(1), (x @ x.T).ravel()]) if _whole(name, own, models) else None
 
+    going: dict[str | None, ica.Fit] = {}
     for name, total in summed(pieces, gram).items():
         k, n = len(models[name]["channels"]), max(total[0], 1)
         means = total[1 : k + 1] / n
         covariance = (total[k + 1 :].reshape(k, k) - n * np.outer(means, means)) / max(n - 1, 1)
         models[name] |= {"n": n, "means": means, "covariance": covariance, "whiten": ica.whitening(covariance, variance)}
-        models[name]["w"] = ica._start(len(models[name]["whiten"]))
-    open_ = {name for name, m in models.items() if "w" in m and len(m["w"])}
-    for step in range(rounds):
-        if not open_:
-            break
-        shipped = {name: {k: models[name][k] for k in ("channels", "means", "whiten", "w")} for name in open_}
+        if len(models[name]["whiten"]):
+            going[name] = rule[0](ica._start(len(models[name]["whiten"])), rule[1] if rounds is None else rounds, rule[2] if tolerance is None else tolerance)
+
+    def ask(name: str | None, moments: ica.Moments | None) -> None:
+        """The next matrix whose moments a fit needs; the last one where it ends."""
+        try:
+            models[name]["w"] = going[name].send(moments)
+        except StopIteration as end:
+            models[name]["w"] = end.value
+            del going[name]
+
+    for name in list(going):
+        ask(name, None)
+    while going:
+        shipped = {name: {k: models[name][k] for k in ("channels", "means", "whiten", "w")} for name in going}
 
         def moments(name: str | None, own: list[int], x: np.ndarray, shipped: dict = shipped) -> np.ndarray | None:
             if not _whole(name, own, shipped):
@@ -119,24 +131,54 @@ def fit_group(pieces: DataFrame, channels: dict[str | None, list[int]], method:
             return ica.moment_sums(m["w"], m["whiten"] @ (x - m["means"][:, None]))
 
         for name, total in summed(pieces, moments).items():
-            m = models[name]
-            m["w"], change = rule(m["w"], ica.Moments.of(total / m["n"], len(m["w"])), step)
-            if change < tolerance:
-                open_.discard(name)
-    return {name: m | ica.ordered(m["w"] @ m["whiten"], m["means"], m["covariance"]) for name, m in models.items() if "w" in m and len(m["w"])}
+            ask(name, ica.Moments.of(total / models[name]["n"], len(models[name]["w"])))
+    return {name: m | ica.ordered(m["w"] @ m["whiten"], m["means"], m["covariance"]) for name, m in models.items() if "w" in m}
 
 
-def fit_components(samples: DataFrame, method: str = "picard", variance: float = 0.999, size: int = SIZE, rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
-    """A row a recording and component: contribution, mixing and unmixing weights and means by channel. Each round is one pass over the samples."""
+def _rows(name: str | None, m: dict) -> list[tuple]:
+    return [(name, k, float(m["contribution"][k]), m["mixing"][:, k].tolist(), m["unmixing"][k].tolist(), m["mean"].tolist(), m["channels"]) for k in range(len(m["unmixing"]))]
+
+
+def fit_short(pieces: DataFrame, method: str, variance: float, rounds: int | None, tolerance: float | None) -> DataFrame:
+    """Models of recordings that a task holds, each fitted in one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = table.sort_by("first")
+        channels = max(parts.column("channels").to_pylist(), key=len)
+        own = [np.frombuffer(d).reshape(len(c), -1) for c, d in zip(parts.column("channels").to_pylist(), parts.column("data").to_pylist(), strict=True) if c == channels]
+        x = np.concatenate(own, 1)
+        found = _rows(parts.column("recording_id")[0].as_py(), ica.fit(x, method, variance, most=rounds, enough=tolerance) | {"channels": channels}) if x.shape[1] else []
+        names = [part.split()[0] for part in MODEL.split(", ")]
+        types = [pa.string(), pa.int32(), pa.float64(), *[pa.list_(pa.float64())] * 3, pa.list_(pa.int32())]
+        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True) if found else [[]] * len(names), types, strict=True)], names=names)
+
+    tasks = 4 * pieces.sparkSession.sparkContext.defaultParallelism  # as stated, so that recordings aren't put into one task for being small
+    return pieces.repartition(tasks, "recording_id").groupBy("recording_id").applyInArrow(run, MODEL)
+
+
+def fit_components(samples: DataFrame, method: str = "picard", variance: float = 0.999, size: int = SIZE, rounds: int | None = None, tolerance: float | None = None) -> DataFrame:
+    """A row a recording and component: contribution, mixing and unmixing weights and means by channel.
+
+    A recording of at most ``size`` samples is fitted in a task; for longer ones each round is one pass over their samples. ``rounds`` and
+    ``tolerance`` are the method's own unless given (``ica.RULES``): picard has no most rounds, it goes on until it converges.
+    """
     pieces = written(fit_pieces(recording_blocks(samples, size)))
-    channels = {r.recording_id: r.channels for r in pieces.groupBy("recording_id").agg(F.max_by("channels", F.size("channels")).alias("channels")).collect()}  # a list a recording
+    sizes = pieces.groupBy(F.col("recording_id").alias("__name")).agg(F.max_by("channels", F.size("channels")).alias("__channels"), F.sum(F.length("data") / (8 * F.size("channels"))).alias("__n"))
+    of = lambda part: pieces.join(sizes.where(part), F.col("recording_id").eqNullSafe(F.col("__name")))
+    fitted = written(fit_short(of(F.col("__n") <= size).select(*pieces.columns), method, variance, rounds, tolerance))
+    channels = {r["__name"]: r["__channels"] for r in sizes.where(F.col("__n") > size).collect()}  # a list a long recording
+    if not channels:
+        return fitted
+    long = written(of(F.col("__n") > size).select(*pieces.columns)) if fitted.head(1) else pieces
     names = sorted(channels, key=lambda n: (n is not None, n or ""))
-    rows = []
-    for at in range(0, len(names), GROUP):
-        group = {n: channels[n] for n in names[at : at + GROUP]}
-        for name, m in fit_group(pieces, group, method, variance, rounds, tolerance).items():
-            rows += [(name, k, float(m["contribution"][k]), m["mixing"][:, k].tolist(), m["unmixing"][k].tolist(), m["mean"].tolist(), m["channels"]) for k in range(len(m["unmixing"]))]
-    return samples.sparkSession.createDataFrame(rows, MODEL)
+    rows, group = [], {}
+    for at, name in enumerate(names):
+        group[name] = channels[name]
+        if at + 1 == len(names) or sum(len(c) ** 2 for c in group.values()) + len(channels[names[at + 1]]) ** 2 > GROUP:
+            for found, m in fit_group(long, group, method, variance, rounds, tolerance).items():
+                rows += _rows(found, m)
+            group = {}
+    return fitted.unionByName(samples.sparkSession.createDataFrame(rows, MODEL))
 
 
 def models_by_recording(models: DataFrame) -> DataFrame:
