@@ -68,7 +68,7 @@ def fit_pieces(blocks: DataFrame, size: int = PIECE) -> DataFrame:
 
 
 def summed(pieces: DataFrame, sums: Callable[[str | None, list[int], np.ndarray], np.ndarray | None]) -> dict[str | None, np.ndarray]:
-    """Vectors of the pieces of a recording, added up: in tasks first, then by Spark, in the order of tasks, so that sums come out the same each time; the totals come to the driver."""
+    """Vectors of the pieces of a recording, added up: in tasks first, then by Spark in the order of tasks; the totals come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str | None, np.ndarray] = {}
