@@ -32,6 +32,8 @@ from voltlake.operators.tables import written
 SIZE, PIECE = 32_768, 4_096
 #: Squares of channels of the recordings whose matrices the driver turns at a time: 256 recordings of 64 channels, 16 of 256.
 GROUP = 256 * 64**2
+#: Numbers of all tasks that the driver adds up in a round (64 MB).
+HELD = 8 * 2**20
 MODEL = "recording_id string, component int, contribution double, mixing array<double>, unmixing array<double>, means array<double>, channels array<int>"
 
 
@@ -67,8 +69,8 @@ def fit_pieces(blocks: DataFrame, size: int = PIECE) -> DataFrame:
     return cut.repartition(blocks.sparkSession.sparkContext.defaultParallelism)
 
 
-def summed(pieces: DataFrame, sums: Callable[[str | None, list[int], np.ndarray], np.ndarray | None]) -> dict[str | None, np.ndarray]:
-    """Vectors of the pieces of a recording, added up: in tasks first, then by Spark in the order of tasks; the totals come to the driver."""
+def summed(pieces: DataFrame, sums: Callable[[str | None, list[int], np.ndarray], np.ndarray | None], few: bool = False) -> dict[str | None, np.ndarray]:
+    """Vectors of the pieces of a recording, added up: in tasks first, then by Spark in the order of tasks, and the totals come to the driver. With ``few`` tasks and recordings the driver adds up the tasks', which saves an exchange a round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str | None, np.ndarray] = {}
@@ -81,9 +83,15 @@ def summed(pieces: DataFrame, sums: Callable[[str | None, list[int], np.ndarray]
         task, n = TaskContext.get().partitionId(), len(totals)
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([task] * n, pa.int32()), pa.array(list(totals.values()), pa.list_(pa.float64()))], names=["recording_id", "task", "v"])
 
+    found = pieces.mapInArrow(run, "recording_id string, task int, v array<double>")
+    if few:
+        added: dict[str | None, np.ndarray] = {}
+        for r in sorted(found.collect(), key=lambda r: r.task):
+            added[r.recording_id] = added[r.recording_id] + np.array(r.v) if r.recording_id in added else np.array(r.v)
+        return added
     parts = F.array_sort(F.collect_list(F.struct("task", "v")))
-    added = F.aggregate(parts, F.array_repeat(F.lit(0.0), F.size(parts[0]["v"])), lambda total, x: F.zip_with(total, x["v"], lambda a, b: a + b))
-    return {r.recording_id: np.array(r.v) for r in pieces.mapInArrow(run, "recording_id string, task int, v array<double>").groupBy("recording_id").agg(added.alias("v")).collect()}
+    total = F.aggregate(parts, F.array_repeat(F.lit(0.0), F.size(parts[0]["v"])), lambda total, x: F.zip_with(total, x["v"], lambda a, b: a + b))
+    return {r.recording_id: np.array(r.v) for r in found.groupBy("recording_id").agg(total.alias("v")).collect()}
 
 
 def _finite(x: np.ndarray) -> np.ndarray:
@@ -98,12 +106,13 @@ def fit_group(pieces: DataFrame, channels: dict[str | None, list[int]], method:
     """Models by recording, for the recordings of ``channels``."""
     rule = ica.RULES[method]
     models: dict[str | None, dict] = {name: {"channels": c} for name, c in channels.items()}
+    few = pieces.rdd.getNumPartitions() * sum(len(c) ** 2 + 5 * len(c) for c in channels.values()) <= HELD
 
     def gram(name: str | None, own: list[int], x: np.ndarray) -> np.ndarray | None:
         return np.concatenate([[x.shape[1]], x.sum(1), (x @ x.T).ravel()]) if _whole(name, own, models) else None
 
     going: dict[str | None, ica.Fit] = {}
-    for name, total in summed(pieces, gram).items():
+    for name, total in summed(pieces, gram, few).items():
         k, n = len(models[name]["channels"]), max(total[0], 1)
         means = total[1 : k + 1] / n
         covariance = (total[k + 1 :].reshape(k, k) - n * np.outer(means, means)) / max(n - 1, 1)
@@ -130,7 +139,7 @@ def fit_group(pieces: DataFrame, channels: dict[str | None, list[int]], method:
             m = shipped[name]
             return ica.moment_sums(m["w"], m["whiten"] @ (x - m["means"][:, None]))
 
-        for name, total in summed(pieces, moments).items():
+        for name, total in summed(pieces, moments, few).items():
             ask(name, ica.Moments.of(total / models[name]["n"], len(models[name]["w"])))
     return {name: m | ica.ordered(m["w"] @ m["whiten"], m["means"], m["covariance"]) for name, m in models.items() if "w" in m}
 
